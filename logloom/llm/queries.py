@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logloom.llm.decontaminate import contamination
 from logloom.llm.exact_dedup import exact_groups
 from logloom.llm.packing import digests, packed
+from logloom.llm.substring_dedup import substring_dedup
 
 #: Folder and name of the public tokenizer; None: where the installed package has it.
 TOKENIZER: str | None = None
@@ -35,11 +36,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op8_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op6_substring_dedup, op8_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
