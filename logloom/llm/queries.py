@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.decontaminate import contamination
 from logloom.llm.exact_dedup import exact_groups
+from logloom.llm.jaccard_join import jaccard_components
 from logloom.llm.packing import digests, packed
 from logloom.llm.substring_dedup import substring_dedup
 
@@ -28,6 +29,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, least=85)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(packed(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -45,7 +50,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op6_substring_dedup, op8_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_packing, op3_exact_dedup, op6_substring_dedup, op8_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
