@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.llm.chat import chains, formatted, read_back
 from logloom.llm.decontaminate import contamination
 from logloom.llm.exact_dedup import exact_groups
 from logloom.llm.jaccard_join import jaccard_components
 from logloom.llm.packing import digests, packed
+from logloom.llm.secrets import scan_secrets
+from logloom.llm.sharding import lookup_table, place
 from logloom.llm.substring_dedup import substring_dedup
 
 #: Folder and name of the public tokenizer; None: where the installed package has it.
@@ -41,20 +44,58 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+#: Shards of the sharding query.
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: A conversation whose texts hold control strings of the template.
+TRICKY = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(*(F.when(F.col("id") == 0, a).otherwise(b).alias(c) for c, a, b in zip(own.columns, *TRICKY, strict=True)))
+    out = read_back(formatted(chains(own.unionByName(more))))
+    said = F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))), "")
+    return out.select(F.col("tree").alias("conv_id"), F.size("roles").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_packing, op3_exact_dedup, op6_substring_dedup, op8_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_packing, op3_exact_dedup, op4_secret_scan, op5_sharding, op6_substring_dedup, op7_chat_formatting, op8_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
 with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
 g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from t group by text_sha256)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t join g using (text_sha256)""",
+    "op5_sharding": f"""
+select doc_id, s.slot, cast(string_split('{",".join(map(str, lookup_table(SHARDS)))}', ',')[cast(s.slot as int) + 1] as bigint) as shard_id
+from (select doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) % 65537 as slot from documents) s""",
+    "op7_chat_formatting": r"""
+with c as (select conv_id, turn, role, text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+  row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as nr from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by nr)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by nr) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(20 + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '#', '&num;'), ':', '&colon;'))
+    + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '#', '&num;'))) as bigint) as formatted_chars
+from t group by conv_id""",
 }
