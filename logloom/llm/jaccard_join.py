@@ -20,17 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import attach_groups, bloom_probe, bloom_words, filter_bits, keep_or_drop, materialize
-from logloom.llm.components import components
+from logloom.llm.pivots import Threshold, linked_points
 from logloom.llm.words import Alphabet, Words, chunks, grams, mix
 
 #: Frequent shingles that are broadcast number so many at most (8 MB).
 MAX_FREQUENT = 1 << 20
-#: So many pairs in all open cells are few enough to measure all that their windows allow; beyond it pivots go on.
-FEW_PAIRS = 100_000
 
 
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
@@ -45,28 +43,6 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     return out
 
 
-class Threshold:
-    """Links have ``parts`` * intersection >= ``least`` * union."""
-
-    def __init__(self, least: int, parts: int = 100):
-        self.least, self.parts = least, parts
-
-    def prefix(self, n: int) -> int:
-        return n - -(-self.least * n // self.parts) + 1
-
-    @property
-    def distance(self) -> float:
-        return 1 - self.least / self.parts
-
-    def links(self, common: Column, nx: Column, ny: Column) -> Column:
-        return self.parts * common >= self.least * (nx + ny - common)
-
-    def possible(self, x: str, y: str) -> Column:
-        """By sizes, and by what can follow a first common shingle at their places."""
-        nx, ny, px, py = (F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos"))
-        return self.links(F.least(nx - px, ny - py), nx, ny)
-
-
 def _map_sets(rows: DataFrame, k: int, make, schema: str) -> DataFrame:
     """``make(ids, sets)`` of whole Arrow batches of (id, text)."""
     alphabet = Alphabet("space", fold=True)
@@ -151,56 +127,8 @@ class _Join:
 
     def linked(self) -> DataFrame:
         """(node, component) of the points that link with others."""
-        t, docs = self.t, self.documents()
-        held = materialize(self.cells(docs), "cells")
-        n_rows = held.count()
-        pivots = materialize(held.groupBy("cell").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"), F.min_by(F.struct("n", "pos"), "id").alias("p")).filter("size > 1"), "pivots")
-        open_ = materialize(held.join(pivots.select(F.col("cell").alias("cell2")), F.col("cell") == F.col("cell2"), "left_semi").withColumn("to", F.array().cast("array<double>")), "open")
-        links, groups = None, None
-        while not open_.isEmpty():
-            few = pivots.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] <= max(FEW_PAIRS, n_rows // 20 if FEW_PAIRS else 0)
-            if few:  # the windows hold few pairs: measure them all
-                x, y = (open_.select(*(F.col(c).alias(f"{s}{c}") for c in open_.columns)) for s in "xy")
-                window = F.forall(F.arrays_zip("xto", "yto"), lambda d: F.coalesce(F.abs(d["xto"] - d["yto"]) <= t.distance + 1e-9, F.lit(True)))
-                same = F.col("xgroup") != F.col("ygroup") if groups is not None else F.lit(True)
-                met = x.join(y, (F.col("xcell") == F.col("ycell")) & (F.col("xid") < F.col("yid")) & same & t.possible("x", "y") & window)
-                pairs = met.select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct()
-            else:
-                lines = self._to_pivots(open_, pivots)
-                pairs = lines.filter("possible").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct()
-            pairs = materialize(pairs, "pairs")
-            if pairs.isEmpty() and few:
-                break
-            found = materialize(self.measured(docs, pairs), "distances")
-            new = found.filter(t.links(F.col("common"), F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-            links = new if links is None else groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
-            groups = materialize(components(links), "components")
-            if few:
-                break
-            open_, pivots = self._next(open_, pivots, found, groups)
-        if groups is None:
-            groups = docs.sparkSession.createDataFrame([], f"node {self.kind}, component {self.kind}")
-        return groups
-
-    def _to_pivots(self, open_: DataFrame, pivots: DataFrame) -> DataFrame:
-        side = pivots.select(F.col("cell").alias("cell2"), "pivot", F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
-        lines = open_.join(side, F.col("cell") == F.col("cell2")).drop("cell2")
-        own = lines.select("*", F.col("n").alias("xn"), F.col("pos").alias("xpos"))
-        return own.withColumn("possible", (F.col("id") != F.col("pivot")) & self.t.possible("x", "p")).drop("xn", "xpos", "pn", "ppos")
-
-    def _next(self, open_: DataFrame, pivots: DataFrame, found: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows and next pivots of the cells that hold documents of several groups; a pivot has met all others and goes."""
-        distance = found.select(F.col("x").alias("id2"), F.col("y").alias("pivot2"), (1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("d"))
-        rows = self._to_pivots(open_.drop("group"), pivots).filter("id != pivot")
-        rows = rows.join(distance, (F.col("id") == F.col("id2")) & (F.col("pivot") == F.col("pivot2")), "left")
-        rows = rows.join(groups.withColumnRenamed("node", "id3"), F.col("id") == F.col("id3"), "left").withColumn("group", F.coalesce("component", "id"))
-        rows = materialize(rows.select("cell", "id", "n", "pos", F.concat("to", F.array("d")).alias("to"), "group", "d"), "rows")
-        inside = F.coalesce(F.col("d") <= self.t.distance + 1e-9, F.lit(False))
-        ahead = F.struct(inside.alias("inside"), F.col("id"))
-        cells = rows.groupBy("cell").agg(F.min_by("id", ahead).alias("pivot"), F.count(F.lit(1)).alias("size"), F.min_by(F.struct("n", "pos"), ahead).alias("p"), F.min("group").alias("g1"), F.max("group").alias("g2"))
-        pivots = materialize(cells.filter("g1 != g2").drop("g1", "g2"), "pivots")
-        open_ = materialize(rows.drop("d").join(pivots.select(F.col("cell").alias("cell2")), F.col("cell") == F.col("cell2"), "left_semi"), "open")
-        return open_, pivots
+        docs = self.documents()
+        return linked_points(materialize(self.cells(docs), "cells"), lambda pairs: self.measured(docs, pairs), self.t)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: int = 80, parts: int = 100) -> DataFrame:
