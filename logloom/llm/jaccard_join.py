@@ -55,9 +55,19 @@ def _map_sets(rows: DataFrame, k: int, make, schema: str) -> DataFrame:
     return rows.mapInArrow(scan, schema)
 
 
+#: Words of 64 bits in a parity bitmap of a set.
+BITMAP = 16
+BITMAP_NAMES = [f"b_{i}" for i in range(BITMAP)]
+
+
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=64 * BITMAP) & 1 == 1).view(np.int64)
+
+
 def _signature(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    bitmaps = np.array([_bitmap(s) for s in sets], np.int64).reshape(-1, BITMAP)
     both = [np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), len(s)], np.uint64).tobytes() for s in sets]
-    return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(both, pa.binary())], ["id", "n", "sig"])
+    return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(both, pa.binary()), *map(pa.array, np.ascontiguousarray(bitmaps.T))], ["id", "n", "sig", *BITMAP_NAMES])
 
 
 def _whole(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -71,14 +81,14 @@ class _Join:
         self.k, self.t = k, threshold
         self.kind = docs.schema[id_col].dataType.simpleString()
         self.rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        self.keyed = materialize(_map_sets(self.rows, k, _signature, f"id {self.kind}, n long, sig binary"), "sets")
+        self.keyed = materialize(_map_sets(self.rows, k, _signature, f"id {self.kind}, n long, sig binary, " + ", ".join(f"{b} long" for b in BITMAP_NAMES)), "sets")
         self.total = self.keyed.count()
-        self.points = materialize(self.keyed.filter("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n")), "points")
+        self.points = materialize(self.keyed.filter("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITMAP_NAMES)), "points")
 
     def of_all(self, points: DataFrame) -> DataFrame:
         """Each document with the columns of its point."""
         spread = F.concat(F.lit("row "), F.coalesce(F.col("id").cast("string"), F.lit("")))
-        return attach_groups(self.keyed, points.withColumnRenamed("id", "point"), "sig", "size", self.total, spread)
+        return attach_groups(self.keyed.select("id", "n", "sig"), points.withColumnRenamed("id", "point"), "sig", "size", self.total, spread)
 
     def documents(self) -> DataFrame:
         """A document of each point: those that copy another's set are left out."""
@@ -128,7 +138,7 @@ class _Join:
     def linked(self) -> DataFrame:
         """(node, component) of the points that link with others."""
         docs = self.documents()
-        return linked_points(materialize(self.cells(docs), "cells"), lambda pairs: self.measured(docs, pairs), self.t)
+        return linked_points(materialize(self.cells(docs), "cells"), self.points, lambda pairs: self.measured(docs, pairs), self.t)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: int = 80, parts: int = 100) -> DataFrame:

@@ -35,17 +35,23 @@ def _rarity(lines: DataFrame) -> Column:
 
 
 def _cells(lines: DataFrame, t: Threshold) -> DataFrame:
-    """(cell, id, n, pos, b_0, b_1): the rarest tokens of each set, as 8 bits of rarity and 54 of a hash."""
+    """(cell, id, n, pos): the rarest tokens of each set, as 8 bits of rarity and 54 of a hash."""
     rarity = _rarity(lines)
     hashes = lines.select("id", F.transform(tokens(F.col("line")), lambda x: F.xxhash64(x)).alias("hashes"))
     place = lambda h: (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")
     key = lambda h: F.element_at(rarity, place(h)).cast("long") * F.lit(1 << 54) + h.bitwiseAND(F.lit((1 << 54) - 1))
     n = F.size("hashes").cast("long")
-    parity = lambda side: F.expr(f"aggregate(hashes, 0L, (a, h) -> a ^ if((shiftright(h, 40) & 1) = {side}, shiftleft(1L, cast(shiftright(h, 32) & 63 as int)), 0L))")
     prefix = n - F.ceil(n * t.least / t.parts).cast("long") + 1
-    own = hashes.select("id", n.alias("n"), parity(0).alias("b_0"), parity(1).alias("b_1"), F.slice(F.sort_array(F.transform("hashes", key)), F.lit(1), prefix.cast("int")).alias("cells"))
-    out = own.select("id", "n", "b_0", "b_1", F.posexplode("cells").alias("pos", "cell"))
-    return out.select("cell", "id", "n", F.col("pos").cast("long").alias("pos"), "b_0", "b_1")
+    own = hashes.select("id", n.alias("n"), F.slice(F.sort_array(F.transform("hashes", key)), F.lit(1), prefix.cast("int")).alias("cells"))
+    out = own.select("id", "n", F.posexplode("cells").alias("pos", "cell"))
+    return out.select("cell", "id", "n", F.col("pos").cast("long").alias("pos"))
+
+
+def _bitmaps(lines: DataFrame) -> DataFrame:
+    """(id, b_0 ... b_3): parity bitmaps of 256 bits."""
+    hashes = lines.select("id", F.transform(tokens(F.col("line")), lambda x: F.xxhash64(x)).alias("hashes"))
+    parity = lambda i: F.expr(f"aggregate(hashes, 0L, (a, h) -> a ^ if((shiftright(h, 40) & 3) = {i}, shiftleft(1L, cast(shiftright(h, 32) & 63 as int)), 0L))")
+    return hashes.select("id", *(parity(i).alias(f"b_{i}") for i in range(4)))
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80, parts: int = 100) -> DataFrame:
@@ -68,7 +74,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = pairs.select("x", "y").join(side("y"), "y").join(side("x"), "x")
         return both.select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.size(F.array_intersect("sx", "sy")).cast("long").alias("common"))
 
-    found = linked_points(materialize(_cells(sets.select("id", "line"), t), "cells"), measured, t)
+    own = sets.select("id", "line")
+    found = linked_points(materialize(_cells(own, t), "cells"), materialize(_bitmaps(own), "bitmaps"), measured, t)
     grouped = sets.select("id", "key", "size", "first").join(found.withColumnRenamed("node", "id2"), F.col("id") == F.col("id2"), "left")
     grouped = materialize(grouped.select("key", "size", "first", "component"), "groups")
     # the first line of each group of linked sets

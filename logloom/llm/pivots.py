@@ -12,6 +12,8 @@ from logloom.llm.components import components
 
 #: So many pairs in all open cells are few enough to measure all that their windows allow; beyond it pivots go on.
 FEW_PAIRS = 100_000
+#: Pivots also stop once a round leaves more than this share of the pairs: then cells hold what has little in common.
+LEAST_GAIN = 0.7
 
 
 class Threshold:
@@ -45,10 +47,9 @@ class Threshold:
 
 
 class _Cells:
-    def __init__(self, held: DataFrame, threshold: Threshold):
-        self.t = threshold
-        self.bits = [c for c in held.columns if c.startswith("b_")]
-        self.carry = ["n", "pos", *self.bits]
+    def __init__(self, threshold: Threshold, bits: list[str]):
+        self.t, self.bits = threshold, bits
+        self.carry = ["n", "pos", *bits]
 
     def fits(self, x: str, y: str) -> Column:
         return self.t.possible(x, y) & self.t.near(x, y, self.bits)
@@ -88,19 +89,25 @@ def _in_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
     return rows.join(cells.select(F.col("cell").alias("cell2")), F.col("cell") == F.col("cell2"), "left_semi")
 
 
-def linked_points(held: DataFrame, measured: Callable[[DataFrame], DataFrame], threshold: Threshold) -> DataFrame:
+def linked_points(held: DataFrame, bitmaps: DataFrame, measured: Callable[[DataFrame], DataFrame], threshold: Threshold) -> DataFrame:
     """(node, component) of all sets that link with others.
 
-    ``held`` has rows (cell, id, n, pos, parity bitmaps b_...) such that sets that link share a cell: n is the set's size, pos
-    the cell's place in the set's order. ``measured`` adds nx, ny and common to pairs (x, y).
+    ``held`` has rows (cell, id, n, pos) such that sets that link share a cell: n is the set's size, pos the cell's place in the
+    set's order. ``bitmaps`` has the parity bitmaps (b_0, b_1, ...) of each id. ``measured`` adds nx, ny and common to pairs
+    (x, y).
     """
-    cells = _Cells(held, threshold)
+    cells = _Cells(threshold, [c for c in bitmaps.columns if c.startswith("b_")])
     n_rows = held.count()
-    pivots = materialize(held.groupBy("cell").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"), F.min_by(cells.own(), "id").alias("p")).filter("size > 1"), "pivots")
-    rows = materialize(_in_cells(held, pivots).withColumn("to", F.array().cast("array<double>")), "open")
+    several = materialize(held.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "several")
+    rows = _in_cells(held, several).join(bitmaps.select(F.col("id").alias("id2"), *cells.bits), F.col("id") == F.col("id2")).drop("id2")
+    rows = materialize(rows.withColumn("to", F.array().cast("array<double>")), "open")
+    pivots = materialize(rows.groupBy("cell").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"), F.min_by(cells.own(), "id").alias("p")), "pivots")
     links = groups = None
+    before = None
     while not rows.isEmpty():
-        few = pivots.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] <= max(FEW_PAIRS, n_rows // 20 if FEW_PAIRS else 0)
+        left = pivots.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0]
+        few = left <= max(FEW_PAIRS, n_rows // 20 if FEW_PAIRS else 0) or (before is not None and left > LEAST_GAIN * before)
+        before = left
         if few:
             pairs = cells.windows(rows)
         else:
