@@ -13,6 +13,7 @@ from logloom.llm.exact_dedup import exact_groups
 from logloom.llm.jaccard_join import jaccard_components
 from logloom.llm.line_dedup import line_dedup
 from logloom.llm.packing import digests, packed
+from logloom.llm.quality import quality
 from logloom.llm.secrets import scan_secrets
 from logloom.llm.sharding import lookup_table, place
 from logloom.llm.substring_dedup import substring_dedup
@@ -78,11 +79,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_packing, op3_exact_dedup, op4_secret_scan, op5_sharding, op6_substring_dedup, op7_chat_formatting, op8_decontamination, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_packing, op3_exact_dedup, op4_secret_scan, op5_sharding, op6_substring_dedup, op7_chat_formatting, op8_decontamination, op9_quality, op10_line_dedup)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
