@@ -46,23 +46,24 @@ def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     own = materialize(messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
     nodes = own.select(F.col("node").alias("parent2"))
     tied = own.join(nodes, F.col("parent") == F.col("parent2"), "left")
+    # up: the message so many replies above (null: the root has been passed); steps and score: of the messages on the way
     step = materialize(tied.select("tree", "node", F.col("parent2").alias("up"), F.lit(1).cast("long").alias("steps"), "score"), "replies")
-    n, steps = own.count(), []
-    while True:
+    n, steps, rooted = own.count(), [], step.filter("up is null")
+    step = step.filter("up is not null")
+    while not step.isEmpty() and 2 ** len(steps) <= 2 * max(n, 1):
         steps.append(step)
-        if 2 ** len(steps) > 2 * max(n, 1) or step.filter("up is not null").isEmpty():
-            break
-        above = step.select(F.col("node").alias("node2"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
-        both = step.join(above, F.col("up") == F.col("node2"), "left")
-        step = both.select("tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
-        step = materialize(step, "replies")
+        above = step.unionByName(rooted).select(F.col("node").alias("node2"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
+        both = step.join(above, F.col("up") == F.col("node2"))
+        step = materialize(both.select("tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("score") + F.col("score2")).alias("score")), "replies")
+        rooted = rooted.unionByName(step.filter("up is null"))
+        step = step.filter("up is not null")
     answered = own.filter("parent is not null").select(F.col("parent").alias("node")).distinct()
-    leaves = steps[-1].filter("up is null").join(answered, "node", "left_anti")
+    leaves = rooted.join(answered, "node", "left_anti")
     order = Window.partitionBy("tree").orderBy(F.col("score").desc(), "node")
     ranked = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
     found = ranked.select("tree", F.col("node").alias("leaf"), "rank", "node", (F.col("steps") - 1).alias("depth"))
     for i in range(len(steps) - 1, -1, -1):
-        up = steps[i].filter("up is not null").select(F.col("node").alias("node2"), "up")
+        up = steps[i].select(F.col("node").alias("node2"), "up")
         higher = found.join(up, F.col("node") == F.col("node2")).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("depth") - 2**i).alias("depth"))
         found = materialize(found.unionByName(higher), "paths")
     return found
