@@ -29,8 +29,8 @@ SIZE = 2048
 LAST = np.array([1], "<u4").tobytes()
 #: Sources beyond so many share queues by hash, so that a window's cuts stay cheap.
 MAX_QUEUES = 1024
-#: A worker keeps the ids of so many different words at most.
-MEMO_WORDS = 500_000
+#: A worker keeps the ids of about so many different words and parts of words at most.
+MEMO_WORDS = 800_000
 
 _BLANK = re.compile(r"[ \t\n\r]+")
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")  # str.split() takes them for blanks; the tokenizer doesn't
@@ -40,7 +40,8 @@ _LETTERS = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")  # no apostrophe
 class Encoder(dict):
     """Ids of texts by a tokenizer that lower-cases and neither joins nor looks across blanks.
 
-    The ids of words are kept for reuse, as little-endian unsigned 32-bit integers.
+    The ids of words are kept for reuse, as little-endian unsigned 32-bit integers, in two generations: when the newer one is
+    full it becomes the older one, and words that come again move back.
     """
 
     def __init__(self, path: str):
@@ -48,30 +49,29 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        split = _LETTERS.fullmatch(word if word.islower() else word.lower())
-        if not split:
-            ids = self.encode(word)
-        else:  # a word of plain letters and a run of marks: tokens apart
-            ids = b""
-            for part in split.groups():
-                if part:
-                    if part not in self.parts:
-                        self.parts[part] = self.encode(part)
-                    ids += self.parts[part]
+        ids = self.older.pop(word, None)
+        if ids is None:
+            split = _LETTERS.fullmatch(word if word.islower() else word.lower())
+            if not split:
+                ids = self.encode(word)
+            elif split[2]:  # a word of plain letters and a run of marks: tokens apart
+                ids = self[split[1]] + self[split[2]]
+            else:
+                ids = self.encode(word) if split[1] == word else self[split[1]]
         self[word] = ids
         return ids
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, with the id that ends a document."""
-        for kept in (self, self.parts):
-            if len(kept) > MEMO_WORDS:
-                kept.clear()
+        if len(self) > MEMO_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
         split = (_BLANK.split(t) if _ODD_BLANKS.search(t) else t.split() for t in ((t or "") for t in texts))
         return [b"".join(map(self.__getitem__, words)) + LAST for words in split]
 
