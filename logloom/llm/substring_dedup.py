@@ -17,13 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.common import bloom_probe, bloom_words, filter_bits, materialize
 from logloom.llm.words import Alphabet, Words, chunks, grams, inside_text, window_min
 
-WINDOW, M = 20, 8
+WINDOW, M = 20, 5
 #: Slots of the filter that is broadcast: 32 MB at most. With more super-k-mers than slots it lets more through, losing none.
 MAX_SLOTS = 1 << 28
 #: Slots of the filter are gathered in pieces of so many.
@@ -109,10 +110,25 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("minimiser")
     several = materialize(strings.join(shared, "minimiser").select("key", "first"), "several")
     bits = filter_bits(several.count())
-    near = bloom_probe(found, bloom_words(several, "key", bits), F.col("key"), bits, "maybe").filter("maybe")
-    unpacked = near.join(several, "key").filter(place == F.col("first")).dropDuplicates(["key"])
-    texts = F.expr(f"transform(sequence(1, n), i -> array_join(slice(split(packed, ' '), cast(i as int), {window}), ' '))")
-    windows = unpacked.select("id", "h", "start", F.posexplode(texts).alias("i", "window")).select("id", "h", (F.col("start") + F.col("i")).alias("start"), F.unhex(F.sha2("window", 256)).alias("window"))
+    firsts = bloom_words(several.select(F.xxhash64("key", "first.id", "first.h", "first.start").alias("at")), "at", bits)
+    near = bloom_probe(found, firsts, F.xxhash64("key", "id", "h", "start"), bits, "maybe").filter("maybe")
+    unpacked = near.join(several, "key").filter(place == F.col("first")).dropDuplicates(["key"]).select("id", "h", "start", "packed")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part, row, at, out = batch.slice(a, 1024), [], [], []
+                for i, text in enumerate(part.column(3).to_pylist()):
+                    words = text.encode().split(b" ")
+                    n = len(words) - window + 1
+                    row += [i] * n
+                    at += range(n)
+                    out += [hashlib.blake2b(b" ".join(words[j : j + window]), digest_size=16).digest() for j in range(n)]
+                take = pa.array(row, pa.int64())
+                start = pc.add(part.column(2).take(take), pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), start, pa.array(out, pa.binary())], ["id", "h", "start", "window"])
+
+    windows = unpacked.mapInArrow(unpack, f"id {kind}, h long, start long, window binary")
     windows = materialize(windows, "windows")
     firsts = materialize(windows.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("window", "first"), "firsts")
     other = windows.join(firsts, "window").filter(place != F.col("first")).select("id", "h", "start", (F.col("start") + window).alias("stop"))
