@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.common import bloom_probe, bloom_words, filter_bits, materialize
@@ -74,10 +74,16 @@ def _filter(rows: DataFrame, spark: SparkSession, slots: int, window: int, m: in
     return out.reshape(-1)
 
 
+def own_hash(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows of the same id apart: a hash of the text, or 0 for all where no id repeats."""
+    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64(text_col)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, m: int = M) -> DataFrame:
-    """Rows (id, h, start, stop): words start ... stop - 1 of the document with this id and text hash h are repeats."""
+    """Rows (id, h, start, stop): words start ... stop - 1 of the document with this id and own_hash h are repeats."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), own_hash(docs, id_col, text_col).alias("h"), F.col(text_col).alias("text"))
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     slots = max(PIECE, filter_bits(chars // 32, 8, MAX_SLOTS))
     seen = spark.sparkContext.broadcast(_filter(rows, spark, slots, window, m))
@@ -102,9 +108,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = materialize(rows.mapInArrow(pack, f"id {kind}, h long, start long, n long, minimiser long, key binary, packed string"), "super-k-mers")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h"), F.col("start"))
-    strings = materialize(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"), F.min("minimiser").alias("minimiser")), "strings")
+    strings = materialize(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"), F.min("minimiser").alias("minimiser"), F.min("n").alias("n")), "strings")
     # all but the first of equal strings
-    later = found.select("id", "h", "start", "n", "key").join(strings.filter("times > 1").select("key", "first"), "key").filter(place != F.col("first"))
+    later = found.select("id", "h", "start", "key").join(strings.filter("times > 1").select("key", "first", "n"), "key").filter(place != F.col("first"))
     later = later.select("id", "h", "start", (F.col("start") + F.col("n") + (window - 1)).alias("stop"))
     # windows of the first ones, where different strings have the same minimiser
     shared = strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("minimiser")
@@ -148,7 +154,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.xxhash64(F.col("id").isNull(), "id", "h")
     spans = materialize(spans.groupBy("id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).select(own.alias("own"), F.col("id").alias("id2"), F.col("h").alias("h2"), "spans"), "spans")
     bits = filter_bits(spans.count())
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).withColumn("own0", own)
+    rows = docs.select(F.col(id_col).alias("id"), own_hash(docs, id_col, text_col).alias("h"), F.col(text_col).alias("text")).withColumn("own0", own)
     rows = bloom_probe(rows, bloom_words(spans, "own", bits), F.col("own0"), bits, "maybe")
     hit = rows.filter("maybe").join(spans, (F.col("own0") == F.col("own")) & F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
     none = F.lit(None).cast("array<struct<start:bigint,stop:bigint>>")

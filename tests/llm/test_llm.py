@@ -233,3 +233,9 @@ def test_pipeline_stages(spark):
         docs = out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_substring_dedup_with_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(25))
+    got = substring_dedup.substring_dedup(table_of(spark, [(1, a), (1, a), (1, b), (2, a + " end"), (3, b)])).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 25, 0), (1, 30, 0), (1, 30, 0), (2, 31, 30), (3, 25, 25)]
