@@ -22,7 +22,8 @@ def indicator_values(text: Column, user: Column, process: Column, hostname: Colu
     ips = F.filter(F.concat(find(T.IPV4, 0), _array(given(src_ip))), lambda x: ~x.isin("127.0.0.1", "0.0.0.0"))
     named = F.filter(F.concat(find(r"(?i)user[=: ]+(\w+)", 1), find(r"(?i)for (\w+) from", 1)), lambda x: F.length(x) > 1)
     by = {"ips": ips, "domains": find(T.DOMAIN, 0), "users": F.concat(_array(given(user, "-", "None")), named), "processes": _array(given(process, "None")), "files": _array(given(path, "/")), "hostnames": _array(given(hostname, "None"))}
-    return F.concat(*(F.transform(v, lambda x, k=k: F.struct(F.lit(k).alias("category"), x.alias("value"))) for k, v in by.items()))
+    named_by = lambda k: lambda x: F.struct(F.lit(k).alias("category"), x.alias("value"))  # noqa: E731  one parameter: a second would be the index
+    return F.concat(*(F.transform(v, named_by(k)) for k, v in by.items()))
 
 
 def extracted(events: DataFrame, *keys: str) -> DataFrame:
