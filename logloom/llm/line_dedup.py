@@ -2,8 +2,8 @@
 
 Equal token sets are one set from the start. The tokens of a line are ordered by rarity; a set of n tokens meets others only in
 its first n - ceil(0.8 n) + 1 tokens (prefix filter), at places after which enough can follow (positional filter), if sizes
-allow (length filter) and parity bitmaps differ in few bits. What passes is verified on the tokens themselves. Built from
-DataFrame functions alone.
+allow (length filter) and parity bitmaps differ in few bits. Every pair that passes is verified on the tokens themselves.
+Cells of many sets are cut into blocks that meet pairwise under keys of their own. Built from DataFrame functions alone.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import attach_groups, bloom_probe, bloom_words, filter_bits, materialize
-from logloom.llm.pivots import Threshold, linked_points
+from logloom.llm.pivots import Threshold
 
 #: Token frequencies are counted in so many buckets by hash: the table that is broadcast has this size for any input.
 BUCKETS = 1 << 20
+#: Sets of a block of a cell, about: so many at most meet as many under one key.
+BLOCK = 256
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -54,8 +56,36 @@ def _bitmaps(lines: DataFrame) -> DataFrame:
     return hashes.select("id", *(parity(i).alias(f"b_{i}") for i in range(4)))
 
 
+def _candidates(held: DataFrame, bitmaps: DataFrame, t: Threshold) -> DataFrame:
+    """All pairs (x, y) of sets in a cell that the places, sizes and bitmaps let link."""
+    carry = ["n", "pos", *(c for c in bitmaps.columns if c != "id")]
+    several = materialize(held.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumnRenamed("cell", "cell2"), "several")
+    rows = held.join(several, F.col("cell") == F.col("cell2")).join(bitmaps.withColumnRenamed("id", "id2"), F.col("id") == F.col("id2"))
+    blocks = F.ceil(F.col("k") / BLOCK)
+    rows = rows.select("cell", "id", *carry, blocks.alias("blocks"), F.pmod(F.xxhash64("id", F.lit(3)), blocks).alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", *carry)
+    x, y = (rows.select(*(F.col(c).alias(f"{s}{c}") for c in rows.columns)) for s in "xy")
+    at = (F.col("xcell") == F.col("ycell")) & (F.col("xlo") == F.col("ylo")) & (F.col("xhi") == F.col("yhi"))
+    once = (F.col("xblock") != F.col("yblock")) | (F.col("xlo") == F.col("xhi"))  # sets of one block meet under its own key only
+    met = x.join(y, at & once & (F.col("xid") < F.col("yid")) & t.possible("x", "y") & t.near("x", "y", carry[2:]))
+    return met.select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct()
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
+    """Those of ``pairs`` (x, y) that link, from the tokens of both."""
+    ids = materialize(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "measured")
+    bits = filter_bits(ids.count())
+    near = bloom_probe(sets.select("id", "line"), bloom_words(ids, "id", bits), F.col("id"), bits, "maybe").filter("maybe")
+    near = materialize(near.select("id", tokens(F.col("line")).alias("tokens")), "tokens")
+    side = lambda c: near.select(F.col("id").alias(c), F.col("tokens").alias(f"s{c}"))
+    both = pairs.join(side("y"), "y").join(side("x"), "x")
+    size = lambda c: F.size(c).cast("long")
+    return both.filter(t.links(size(F.array_intersect("sx", "sy")), size("sx"), size("sy"))).select("x", "y")
+
+
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80, parts: int = 100) -> DataFrame:
-    """(id, h, no, removed) of all lines that hold tokens; h is a hash of the document's text, no counts from 0."""
+    """(id, h, no, class_id, n_links, removed) of all lines that hold tokens; h is a hash of the document's text, no counts from 0."""
     t = Threshold(least, parts)
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
@@ -64,46 +94,40 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", key)
     sets = keyed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"), F.first("line").alias("line"))
     sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "lines")
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        ids = materialize(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "measured")
-        bits = filter_bits(ids.count())
-        near = bloom_probe(sets.select("id", "line"), bloom_words(ids, "id", bits), F.col("id"), bits, "maybe").filter("maybe")
-        near = materialize(near.select("id", tokens(F.col("line")).alias("tokens")), "tokens")
-        side = lambda c: near.select(F.col("id").alias(c), F.col("tokens").alias(f"s{c}"))
-        both = pairs.select("x", "y").join(side("y"), "y").join(side("x"), "x")
-        return both.select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.size(F.array_intersect("sx", "sy")).cast("long").alias("common"))
-
     own = sets.select("id", "line")
-    found = linked_points(materialize(_cells(own, t), "cells"), materialize(_bitmaps(own), "bitmaps"), measured, t)
-    grouped = sets.select("id", "key", "size", "first").join(found.withColumnRenamed("node", "id2"), F.col("id") == F.col("id2"), "left")
-    grouped = materialize(grouped.select("key", "size", "first", "component"), "groups")
-    # the first line of each group of linked sets
-    heads = grouped.filter("component is not null").groupBy("component").agg(F.min("first").alias("head")).withColumnRenamed("component", "component2")
-    grouped = grouped.join(heads, F.col("component") == F.col("component2"), "left").select("key", "size", F.coalesce("head", "first").alias("head"))
+    pairs = materialize(_candidates(materialize(_cells(own, t), "cells"), materialize(_bitmaps(own), "bitmaps"), t), "pairs")
+    links = materialize(_verified(sets, pairs, t), "links")
+    both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    # of each set with links: how many, and the first line of those that it links with
+    met = both.join(sets.select(F.col("id").alias("y"), "first"), "y").groupBy(F.col("x").alias("id2")).agg(F.count(F.lit(1)).alias("n_links"), F.min("first").alias("other"))
+    grouped = sets.select("id", "key", "size", "first").join(met, F.col("id") == F.col("id2"), "left")
+    grouped = grouped.select("key", "size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("first", F.coalesce("other", "first")).alias("head"))
     narrow = materialize(keyed.select("id", "h", "no", "key"), "places")
     spread = F.unhex(F.md5(F.concat_ws(" ", F.lit("line"), F.col("id").cast("string"), F.col("h").cast("string"), F.col("no").cast("string"))))
     out = attach_groups(narrow, materialize(grouped, "heads"), "key", "size", narrow.count(), spread)
-    return out.select("id", "h", "no", (place != F.col("head")).alias("removed"))
+    return out.select("id", "h", "no", F.lower(F.hex("key")).alias("class_id"), "n_links", (place != F.col("head")).alias("removed"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80, parts: int = 100) -> DataFrame:
-    """For each document: its id, n_lines, n_removed, removed_lines (their numbers from 0, in order).
+    """For each document: its id, n_lines, n_removed, removed_lines (their numbers from 0, in order), lines.
 
     Lines are what newlines part; tokens are the distinct words of a line between ASCII white space, lower-cased. Lines match
-    when parts * intersection >= least * union; of lines that match, directly or through others, the first stays: that of the
-    smallest id, then the smallest number. Lines without tokens always stay. A null text is one empty line, like an empty one.
-    Documents without an id come last. Rows with the same id and text are one document and get the same result each; with the
-    same id and other texts they come in the order of a hash of the text. An empty table gives an empty result. Other columns
-    are ignored, whatever their names.
+    when parts * intersection >= least * union; a line is removed when an earlier one matches it, whether that one stays or
+    not: earlier by the smaller id, then the smaller number. ``lines`` has (no, class_id, n_links) of each line that holds
+    tokens: lines of equal token sets are one class, and n_links counts the other classes that match it. Lines without
+    tokens always stay. A null text is one empty line, like an empty one. Documents without an id come last. Rows with the
+    same id and text are one document and get the same result each; with the same id and other texts they come in the order
+    of a hash of the text. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    gone = line_groups(docs, id_col, text_col, least, parts).filter("removed")
-    gone = gone.groupBy("id", "h").agg(F.array_sort(F.collect_set("no")).alias("removed_lines")).select(F.col("id").alias("id2"), F.col("h").alias("h2"), "removed_lines")
+    found = line_groups(docs, id_col, text_col, least, parts)
+    found = found.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("no", "class_id", "n_links", "removed"))).alias("found")).select(F.col("id").alias("id2"), F.col("h").alias("h2"), "found")
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
-    out = own.join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
-    removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return out.select(F.col("id").alias(id_col), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+    out = own.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
+    removed = F.transform(F.filter("found", lambda x: x["removed"]), lambda x: x["no"])
+    removed = F.coalesce(removed, F.array().cast("array<int>"))
+    lines = F.coalesce(F.transform("found", lambda x: F.struct(x["no"].alias("no"), x["class_id"].alias("class_id"), x["n_links"].alias("n_links"))), F.array().cast("array<struct<no:int,class_id:string,n_links:bigint>>"))
+    return out.select(F.col("id").alias(id_col), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"), lines.alias("lines"))
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

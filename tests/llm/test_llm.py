@@ -239,3 +239,18 @@ def test_substring_dedup_with_repeated_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(25))
     got = substring_dedup.substring_dedup(table_of(spark, [(1, a), (1, a), (1, b), (2, a + " end"), (3, b)])).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 25, 0), (1, 30, 0), (1, 30, 0), (2, 31, 30), (3, 25, 25)]
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_line_dedup_of_chains(spark, block, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    r, words = random.Random(8), [f"w{i}" for i in range(14)]
+    lines = ["a b c d e f g h", "c d e f g h i j", "a b c d e f g h i j"] + [" ".join(x for x in words if r.random() < 0.8) for _ in range(60)]
+    sets = [frozenset(x.split()) for x in lines]
+    match = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    want = [(any(match(sets[i], sets[j]) for j in range(i)), sum(match(x, y) for y in set(sets)) - 1) for i, x in enumerate(sets)]
+    assert [x for x, _ in want[:3]] == [False, False, True]
+    got = sorted(line_dedup.line_dedup(table_of(spark, list(enumerate(lines)))).collect(), key=lambda x: x["doc_id"])
+    assert [(x["n_removed"] == 1, x["lines"][0]["n_links"]) for x in got] == want
+    classes = {(x["lines"][0]["class_id"], sets[x["doc_id"]]) for x in got}
+    assert len(classes) == len({c for c, _ in classes}) == len(set(sets))
