@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logloom.llm.common import materialize
 from logloom.llm.decontaminate import drop_contaminated
@@ -11,11 +12,14 @@ from logloom.llm.jaccard_join import drop_near_duplicates
 from logloom.llm.packing import digests, packed
 from logloom.llm.quality import fit
 from logloom.llm.queries import table, tokenizer_path
+from logloom.llm.toxic import fit_toxic
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier doesn't reject."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
+    """Documents that neither the co-trained classifier nor the words of toxic ones reject."""
+    labels = table(spark, sf_dir, "labels")
+    model, toxic = fit(docs, labels), fit_toxic(docs, labels)
+    docs = docs.filter(~toxic.toxic(F.col("text")))
     return model.scored(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c in ("p_text", "p_page", "score")})).filter("score >= 0.5").select(*docs.columns)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import materialize
+from logloom.llm.toxic import fit_toxic
 
 #: Labelled rows, and pseudo-labelled ones, in a fit at most: a sample by a hash of the id.
 MAX_LABELLED = 20_000
@@ -136,7 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """For each row of ``docs``: its id, p_text, p_page, score, keep (score >= 0.5). Rows that repeat score the same; null
-    columns count as empty or 0; an empty table gives an empty result."""
+    """For each row of ``docs``: its id, p_text, p_page, score, keep (score >= 0.5), toxic (by its words, where ``labels`` has
+    a column toxic). Rows that repeat score the same; null columns count as empty or 0; an empty table gives an empty result."""
     out = fit(docs, labels, id_col, **columns).scored(docs.select(id_col, *(c for c in ("text", "lang", "source", "n_chars"))) if not columns else docs)
-    return out.select(id_col, "p_text", "p_page", "score", (F.col("score") >= 0.5).alias("keep"))
+    text_col = columns.get("text_col", "text")
+    toxic = fit_toxic(docs, labels, id_col, text_col).toxic(F.col(text_col)) if "toxic" in labels.columns else F.lit(False)
+    return out.select(id_col, "p_text", "p_page", "score", (F.col("score") >= 0.5).alias("keep"), toxic.alias("toxic"))

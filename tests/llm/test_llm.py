@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, components, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, pivots, quality, queries, secrets, sharding, substring_dedup
+from logloom.llm import chat, components, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, pivots, quality, queries, secrets, sharding, substring_dedup, toxic
 from tests.compare import rows_of, sql_rows
 
 SF = "/root/testdata/sf0.001"
@@ -254,3 +254,25 @@ def test_line_dedup_of_chains(spark, block, monkeypatch):
     assert [(x["n_removed"] == 1, x["lines"][0]["n_links"]) for x in got] == want
     classes = {(x["lines"][0]["class_id"], sets[x["doc_id"]]) for x in got}
     assert len(classes) == len({c for c, _ in classes}) == len(set(sets))
+
+
+def test_toxic_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (queries.table(spark, sf, t) for t in ("documents", "labels"))
+    test = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(4)) == 0
+    model = toxic.fit_toxic(docs, labels.filter(~test))
+    found = {(r["toxic"], r["found"]): r["count"] for r in docs.join(labels.filter(test), "doc_id").groupBy("toxic", model.toxic(F.col("text")).alias("found")).count().collect()}
+    share = lambda y: found.get((y, True), 0) / (found.get((y, True), 0) + found.get((y, False), 0))
+    assert share(1) > 0.8 and share(0) < 0.02
+    assert not toxic.fit_toxic(docs, labels.limit(0)).weights
+
+
+def test_pipeline_drops_toxic(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, "the idiot and the moron" if i % 4 == 0 else f"a plain text of {i}", "en", "s", 20) for i in range(80)], "doc_id long, text string, lang string, source string, n_chars long")
+    model = toxic.fit_toxic(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    assert sorted(r["doc_id"] for r in docs.filter(model.toxic(F.col("text"))).collect()) == list(range(0, 80, 4))
+    docs, labels = (queries.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    kept = corpus_pipeline.quality_classifier(spark, docs, "/root/testdata/sf0.01").join(labels, "doc_id").filter("toxic = 1").count()
+    assert kept < 0.5 * labels.filter("toxic = 1").count()
