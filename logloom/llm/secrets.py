@@ -1,6 +1,7 @@
 """Secret scans: patterns, and the novelty of strings to a dictionary-primed zstandard compressor.
 
-A long string near a sensitive word is a candidate. It is compressed together with the text around it by a compressor that
+A long string with a sensitive word in the text around it, on either side and across lines, is a candidate, and so is one
+that follows a candidate closely, as the lines of a key block do. It is compressed together with the text around it by a compressor that
 already knows common identifiers; what it adds to the compressed size, in bytes, tells how much of it neither the code around
 nor the dictionary explains. Random keys add about as many bytes as they carry; names and words add few.
 """
@@ -23,9 +24,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are taken whole, so this is [0-9a-f]+ of 24 or more
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Words that make what follows them within NEAR characters of the same line a candidate.
+#: Words that make strings candidates whose surroundings, AROUND characters on both sides, hold one.
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "private", "credential", "bearer", "auth", "access_key", "signature")
-NEAR, AROUND = 60, 400
+AROUND = 400
 #: A candidate is reported if it adds so many bytes for each of its characters, and so many in all.
 LEAST_SHARE, LEAST_BYTES = 0.7, 12
 _CANDIDATE = re.compile(r"(?![0-9]+(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{16,}")  # not plain numbers
@@ -74,18 +75,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], identifiers: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
-    """Incompressible strings after sensitive words, apart from ``taken`` spans."""
+    """Incompressible strings amid sensitive words, apart from ``taken`` spans. The sensitive context goes on from a find to the
+    strings within AROUND characters after it."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
-    out = []
+    out, reach = [], -1
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
         if any(s < b and a < e for s, _, e in taken):
             continue
-        before = text[max(0, a - NEAR) : a].rpartition("\n")[2].lower()
-        if any(w in before for w in SENSITIVE) and (n := marginal_bytes(text, a, b, identifiers)) >= LEAST_BYTES and n >= LEAST_SHARE * (b - a):
+        # the string's own characters are no context; lower-casing may change lengths, so it comes after the cut
+        near = a <= reach or any(w in part for part in (text[max(0, a - AROUND) : a].lower(), text[b : b + AROUND].lower()) for w in SENSITIVE)
+        if near and (n := marginal_bytes(text, a, b, identifiers)) >= LEAST_BYTES and n >= LEAST_SHARE * (b - a):
             out.append((a, 3, b))
+            reach = b + AROUND
     return out
 
 
