@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import materialize
@@ -130,6 +130,12 @@ def _digest(names: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """The same for rows of the same id, null or not, and the same text: what a row holds, hits and is depends on no more."""
+    part = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(" "), c.cast("string")), F.lit("none"))
+    return F.md5(F.concat(part(F.col(id_col)), F.lit(" "), part(F.col(text_col))))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """For each document: its id, n_words, n_hit, n_items, items (their ids as strings, sorted), items_sha256, contaminated.
 
@@ -177,12 +183,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 row, fp = row[fp != NONE], fp[fp != NONE]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(fp.view(np.int64))], [id_col, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    doc_prints = rows.mapInArrow(prints, f"`{id_col}` {kind}, fp long")
+    keyed = rows.withColumn("__row", _row_key(id_col, "__text"))
+    doc_prints = keyed.select(F.col("__row").alias(id_col), "__text").mapInArrow(prints, f"`{id_col}` string, fp long").withColumnRenamed(id_col, "__row")
     numbered = materialize(items.withColumn("nr", F.monotonically_increasing_id()), "items")
     item_prints = numbered.select(F.col("nr").alias(id_col), F.col("item_text").alias("__text")).mapInArrow(prints, f"`{id_col}` long, fp long").select(F.col(id_col).alias("nr"), "fp").distinct()
-    pairs = doc_prints.join(item_prints, "fp").select(id_col, "nr").distinct()
-    near = pairs.join(numbered, "nr").groupBy(id_col).agg(F.collect_list("item").alias("__names"), F.collect_list(F.coalesce("item_text", F.lit(""))).alias("__texts"))
+    pairs = doc_prints.join(item_prints, "fp").select("__row", "nr").distinct()
+    near = pairs.join(numbered, "nr").groupBy("__row").agg(F.collect_list("item").alias("__names"), F.collect_list(F.coalesce("item_text", F.lit(""))).alias("__texts"))
 
     def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +199,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     found += scanned(own, Index.of(batch.column(2)[i].as_py() or [], batch.column(3)[i].as_py() or [], alphabet))
             yield result(batch.column(0), found)
 
-    return rows.join(near, id_col, "left").select(id_col, "__text", "__names", "__texts").mapInArrow(one_by_one, out)
+    return keyed.join(near, "__row", "left").select(id_col, "__text", "__names", "__texts").mapInArrow(one_by_one, out)
 
 
 def _short_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,5 +213,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The rows of ``docs`` whose text shares no window with the benchmark, with all their columns."""
     from logloom.llm.common import keep_or_drop
 
-    verdicts = materialize(contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(id_col), "contaminated")
-    return keep_or_drop(docs, verdicts, id_col, verdicts.count(), keep=False)
+    keyed = docs.withColumn("__key", _row_key(id_col, text_col))
+    verdicts = materialize(contamination(keyed, benchmark, "__key", text_col).filter("contaminated").select("__key"), "contaminated")
+    return keep_or_drop(keyed, verdicts, "__key", verdicts.count(), keep=False).select(*docs.columns)

@@ -294,3 +294,18 @@ def test_secrets_across_lines():
     ]
     for text, want in cases:
         assert [text[a:b] for a, _, b in secrets.novel_spans(text, [])] == want
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_decontamination_of_null_and_repeated_ids(spark, limit, monkeypatch):
+    item = " ".join(f"v{i}" for i in range(12))
+    docs = [(None, f"a {item} b"), (None, "clean one"), (1, item), (1, "clean two"), (1, item), (2, "none")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    plain = decontaminate.contamination
+    monkeypatch.setattr(decontaminate, "contamination", lambda *a, **k: plain(*a, **k, broadcast_chars=limit))
+    got = decontaminate.contamination(rows, bench).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r["doc_id"], r["contaminated"]) for r in got), key=key) == sorted(((i, item in t) for i, t in docs), key=key)
+    kept = [(r["doc_id"], r["text"]) for r in decontaminate.drop_contaminated(rows, bench).collect()]
+    assert sorted(kept, key=key) == sorted((x for x in docs if item not in x[1]), key=key)
