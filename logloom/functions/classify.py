@@ -1,4 +1,7 @@
-"""Ordered rules that name an event: the first that holds wins. Each is one CASE expression."""
+"""Ordered rules that name an event: the first that holds wins. Each is one CASE expression.
+
+Texts that rules search (``m`` a message, ``p`` a process or path) come lower-cased, so that they are lower-cased once.
+"""
 
 from __future__ import annotations
 
@@ -23,14 +26,12 @@ def first_of(rules: list[tuple[Column, str | Column]], otherwise: str | Column)
     return lit(otherwise) if out is None else out.otherwise(lit(otherwise))
 
 
-def firewall_verdict(message: Column) -> Column:
-    m = F.lower(message)
+def firewall_verdict(m: Column) -> Column:
     return first_of([(has(m, "drop", "block", "reject", "deny"), "firewall_drop"), (has(m, "allow", "accept"), "firewall_allow")], "firewall_event")
 
 
-def syslog(process: Column, message: Column) -> Column:
-    """Type of a syslog message by its process and text (about 40 types)."""
-    p, m = F.lower(F.coalesce(process, F.lit(""))), F.lower(F.coalesce(message, F.lit("")))
+def syslog(p: Column, m: Column, message: Column) -> Column:
+    """Type of a syslog message by its process and text (about 40 types); ``message``: the text as it is."""
     sshd = first_of([(has(m, "accepted"), "auth_success"), (has(m, "failed", "invalid user", "invalid password", "no matching key", "connection closed by invalid"), "auth_failure"), (has(m, "disconnect"), "ssh_disconnect")], "ssh_event")
     sudo = first_of([(has(m, "incorrect password", "authentication failure"), "sudo_failure"), (has(m, "command not allowed", "user not in sudoers"), "sudo_denied")], "privilege_escalation")
     su = first_of([(has(m, "failed", "incorrect"), "auth_failure")], "privilege_escalation")
@@ -71,8 +72,7 @@ def syslog(process: Column, message: Column) -> Column:
     )
 
 
-def web_request(path: Column, status: Column) -> Column:
-    p = F.lower(path)
+def web_request(p: Column, status: Column) -> Column:
     return first_of(
         [
             (has(p, "'", '"', " or ", "union+", "union%20", "select%20", "--", "1=1", "1%3d1"), "sqli_attempt"),
@@ -95,22 +95,18 @@ def iptables_prefix(prefix: Column) -> Column:
 
 #: Numbers of system calls and the event they are.
 SYSCALLS = {
-    "code_execution": ["59", "322"],
-    "network_activity": ["41", "42", "43"],
-    "privilege_change": ["105", "117"],
-    "file_access": ["2", "257"],
-    "file_deleted": ["87", "263"],
-    "file_modified": ["82"],
-    "permission_change": ["90", "92", "161"],
-}
-
-
-def audit(kind: Column, kv: Column, args: Column) -> Column:
-    """Type of an audit record by its kind and its fields; ``args``: the command of an EXECVE record."""
+    "59": "code_execution", "322": "code_execution", "2": "file_access", "257": "file_access", "87": "file_deleted", "263": "file_deleted",
+    "82": "file_modified", "90": "permission_change", "92": "permission_change", "161": "permission_change", "41": "network_activity",
+    "42": "network_activity", "43": "network_activity", "105": "privilege_change", "117": "privilege_change",
+}
+
+
+def audit(kind: Column, kv: Column, cmd: Column, exe: Column, result: Column) -> Column:
+    """Type of an audit record by its kind and its fields; lower-cased: the command of an EXECVE record, program and result."""
     field = lambda k: F.coalesce(F.try_element_at(kv, F.lit(k)), F.lit(""))
-    exe, result, name, cmd = F.lower(field("exe")), F.lower(F.coalesce(F.nullif(field("res"), F.lit("")), field("success"))), field("name"), F.lower(args)
+    name = field("name")
     ok = has(result, "success") | (result == "yes")
-    call = first_of([(field("syscall").isin(v), k) for k, v in SYSCALLS.items()], "system_call")
+    call = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SYSCALLS.items() for x in kv)), field("syscall")), F.lit("system_call"))
     syscall = first_of([(has(exe, "nmap", "masscan", "ncat", "nc "), "network_tool"), (has(exe, "wget", "curl"), "file_download"), (has(exe, "scp", "rsync", "sftp"), "data_exfiltration"), (has(exe, "sudo", "su "), "privilege_escalation")], call)
     execve = first_of(
         [
@@ -152,8 +148,8 @@ def package_action(action: Column, package: Column) -> Column:
     return first_of([(action.isin("remove", "purge"), "package_remove"), (put & attack_package(package), "suspicious_tool_installed"), (put, "package_install")], "package_event")
 
 
-def mysql_error(level: Column, message: Column) -> Column:
-    m, v = F.lower(message), F.lower(level)
+def mysql_error(v: Column, m: Column) -> Column:
+    """``v``: the level, lower-cased."""
     return first_of(
         [
             (has(m, "access denied"), "auth_failure"),
@@ -167,8 +163,8 @@ def mysql_error(level: Column, message: Column) -> Column:
     )
 
 
-def mysql_query(command: Column, message: Column) -> Column:
-    m, query = F.lower(message), command == "Query"
+def mysql_query(command: Column, m: Column) -> Column:
+    query = command == "Query"
     return first_of(
         [
             (query & has(m, "' or ", "' and ", "1=1", "1='1", "drop table", "union select", "information_schema", "sleep(", "benchmark(", "load_file"), "sqli_attempt"),
@@ -180,8 +176,7 @@ def mysql_query(command: Column, message: Column) -> Column:
     )
 
 
-def openvpn(message: Column) -> Column:
-    m = F.lower(message)
+def openvpn(m: Column) -> Column:
     return first_of(
         [
             (has(m, "peer connection initiated", "client connected", "tls: initial packet from"), "vpn_connection"),

@@ -43,9 +43,11 @@ def united(*sources: DataFrame) -> DataFrame:
 
 
 def deduplicated(events: DataFrame, keys: tuple[str, ...] = ("ts", "description"), seq: str = "seq") -> DataFrame:
-    """Of events with equal keys the first by ``seq``. Pre-aggregated, so that a key may have any number of rows; ``seq`` is unique."""
-    first = events.groupBy(*keys).agg(F.min(seq).alias("__first")).select("__first")
-    return events.join(first, F.col(seq) == F.col("__first"), "left_semi")
+    """Of events with equal keys the first by ``seq``, in one shuffle: rows of a key are reduced before it, so that a key may
+    have any number of them. Nulls are equal to each other. ``seq`` is unique."""
+    rest = [c for c in events.columns if c not in keys]
+    first = events.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(seq)).alias("__first"))
+    return first.select(*(F.col(c) if c in keys else F.col(f"__first.{c}").alias(c) for c in events.columns))
 
 
 def partition_summary(files: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ YEAR = 2024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,7 +37,7 @@ def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized events of the syslog lines, with a given score."""
-    lines = syslog_lines(spark, sf_dir).withColumn("e", parse.syslog(F.col("line"), YEAR)).filter("e is not null")
+    lines = parse.with_events(syslog_lines(spark, sf_dir), parse.syslog, year=YEAR).filter("e is not null")
     out = normalized(lines.select("seq", F.col("line").alias("raw_line"), "e.*"))
     score = (F.col("seq") * 37 % 1000) / F.lit(1000.0)
     return out.withColumn("anomaly_score", score).withColumn("is_anomaly", score >= 0.9)
@@ -107,7 +106,7 @@ ORDERS = "o as (select o_orderkey as k, o_custkey as c, o_orderdate + to_seconds
 
 def parsed(spark: SparkSession, sf_dir: str, kind: str, parser) -> DataFrame:
     """(k, all fields) of the lines of a format."""
-    return lines(spark, sf_dir, kind).withColumn("e", parser(F.col("line"))).select("k", "e.*")
+    return parse.with_events(lines(spark, sf_dir, kind), parser, year=YEAR).select("k", "e.*")
 
 
 def doc_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # as the SQL has it
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return f
@@ -57,7 +61,7 @@ def s19(spark, sf_dir):
 @query("S20_dispatch", f"with {ORDERS} select k, case when k % 2 = 0 then 'auth_success' else 'log_entry' end as event_type, case when k % 2 = 0 then 'syslog' else 'text_log' end as source from o")
 def s20(spark, sf_dir):
     own = lines(spark, sf_dir, "syslog_5424").withColumn("line", F.when(F.col("k") % 2 == 0, F.col("line")).otherwise(text("odd line ", F.col("k"))))
-    return own.withColumn("e", parse.parsed(F.col("line"), F.lit("syslog"), YEAR)).select("k", "e.event_type", "e.source")
+    return parse.with_events(own.withColumn("format", F.lit("syslog")), parse.any_format(F.col("format")), year=YEAR).select("k", "e.event_type", "e.source")
 
 
 @query("S16_input_type", """
@@ -87,7 +91,7 @@ def p1(spark, sf_dir):
 
 @query("P2_syslog_3164", f"{EV} select seq, {WHEN.format('ts')} as ts, hostname, process, description as message, event_type from ev")
 def p2(spark, sf_dir):
-    own = syslog_lines(spark, sf_dir).withColumn("e", parse.syslog_3164(F.col("line"), YEAR)).select("seq", "e.*")
+    own = parse.with_events(syslog_lines(spark, sf_dir), parse.syslog_3164, year=YEAR).select("seq", "e.*")
     return own.select("seq", when(), "hostname", "process", "message", "event_type")
 
 
@@ -101,7 +105,7 @@ def p3(spark, sf_dir):
 @query("P4_iptables", f"""with {ORDERS} select k, ['IPTABLES-DROP', 'IPT-ACCEPT', 'IPT-FORWARD', 'IPT-LOG'][k % 4 + 1] as action, 'gw' as hostname, '10.0.0.' || (c % 250) as src_ip,
   '8.8.8.8' as dst_ip, cast(k % 60000 as varchar) as src_port, '22' as dst_port, 'eth0' as in_if, 'TCP' as proto from o""")
 def p4(spark, sf_dir):
-    return parsed(spark, sf_dir, "iptables", lambda x: parse.iptables(x, YEAR)).select("k", "action", "hostname", "src_ip", "dst_ip", "src_port", "dst_port", F.col("extra")["in"].alias("in_if"), F.col("extra")["proto"].alias("proto"))
+    return parsed(spark, sf_dir, "iptables", parse.iptables).select("k", "action", "hostname", "src_ip", "dst_ip", "src_port", "dst_port", F.col("extra")["in"].alias("in_if"), F.col("extra")["proto"].alias("proto"))
 
 
 @query("P5_firewall", f"""with {ORDERS} select k, {WHEN.format('t')} as ts, ['firewall_allow', 'firewall_block', 'firewall_deny'][k % 3 + 1] as event_type, '10.0.0.' || (c % 250) as src_ip,
@@ -131,7 +135,7 @@ def p8(spark, sf_dir):
 @query("P9_yum", f"""with {ORDERS} select k, {WHEN.format('t')} as ts, ['Installed', 'Erased', 'log_entry'][k % 3 + 1] as action, case when k % 3 = 2 then 'refreshing pkg-' || k else 'pkg-' || k end as package,
   case when k % 3 = 0 then 'package_install' else 'package_event' end as event_type from o""")
 def p9(spark, sf_dir):
-    return parsed(spark, sf_dir, "yum", lambda x: parse.yum(x, YEAR)).select("k", when(), "action", "package", "event_type")
+    return parsed(spark, sf_dir, "yum", parse.yum).select("k", when(), "action", "package", "event_type")
 
 
 @query("P10_mysql_error", f"""with {ORDERS} select k, {WHEN.format('t')} as ts, ['note', 'warning', 'error'][k % 3 + 1] as action, ['Access denied for x', 'disk full', 'ready', 'done'][k % 4 + 1] as message,
@@ -179,7 +183,7 @@ def p16(spark, sf_dir):
 
 @query("P17_generic", "select doc_id, 'log_entry' as event_type, length(text) as n from documents where length(text) >= 5")
 def p17(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").withColumn("e", parse.generic(F.col("text"))).filter("e is not null")
+    own = parse.with_events(table(spark, sf_dir, "documents").select("doc_id", "text"), parse.generic, "text").filter("e is not null")
     return own.select("doc_id", "e.event_type", F.length("e.message").cast("long").alias("n"))
 
 
@@ -199,7 +203,7 @@ def c3(spark, sf_dir):
 
 @query("C4_iptables_verdict", f"with {ORDERS} select ['firewall_drop', 'firewall_allow', 'firewall_forward', 'firewall_event'][k % 4 + 1] as event_type, count(*) as n from o group by 1")
 def c4(spark, sf_dir):
-    return views.counts_by(parsed(spark, sf_dir, "iptables", lambda x: parse.iptables(x, YEAR)), "event_type")
+    return views.counts_by(parsed(spark, sf_dir, "iptables", parse.iptables), "event_type")
 
 
 @query("C5_audit_types", f"""with {ORDERS} select case k % 3 when 0 then case when k % 2 = 0 then 'auth_success' else 'auth_failure' end when 1 then ['code_execution', 'file_access', 'network_activity', 'system_call'][k % 4 + 1]
@@ -773,7 +777,7 @@ def q17(spark, sf_dir):
 
 @query("Q18_indicator_list", f"{IOC}, d as (select distinct category, value from ioc) select category, left(value, 80) as value, row_number() over (partition by category order by value) as nr from d qualify nr <= 20")
 def q18(spark, sf_dir):
-    return indicators.indicator_list(indicators.extracted(timeline(spark, sf_dir))).withColumn("nr", F.col("nr").cast("long"))
+    return views.indicator_list(indicators.extracted(timeline(spark, sf_dir))).withColumn("nr", F.col("nr").cast("long"))
 
 
 @query("Q19_provenance_table", f"{EV} select seq, hostname || '.log' as evidence_file from ev where is_anomaly order by seq limit 40")

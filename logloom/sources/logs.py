@@ -59,7 +59,7 @@ def read_logs(spark: SparkSession, path: str, year: int, whole_files: bool = Tru
     """Events of all text logs under a path: the common fields with file, line_number, raw_line."""
     lines = text_lines(spark, path, whole_files)
     formats = sniffed(lines)
-    out = lines.join(formats, "file").withColumn("e", parse.parsed(F.col("line"), F.col("format"), year)).filter("e is not null")
+    out = parse.with_events(lines.join(formats, "file"), parse.any_format(F.col("format")), year=year).filter("e is not null")
     return out.select("file", "line_number", F.col("line").alias("raw_line"), "format", "e.*")
 
 
