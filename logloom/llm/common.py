@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,18 +12,48 @@ from pyspark.sql import functions as F
 MAX_FILTER_BITS = 1 << 27
 
 
+#: Spark removes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where all run on this machine.
+
+    Elsewhere each executor would write to its own disk, so there a missing setting is an error.
+    """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and no executor's loss loses it."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and no executor's loss loses it.
+
+    The shuffle files of the write go with its end, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/logloom-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what ``materialize`` wrote for these tables, once all that is made from them is itself written."""
+    for table in tables:
+        if table is not None and (path := _folders.pop(table, None)):
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def filter_bits(n: int, per_row: int = 16, max_bits: int = MAX_FILTER_BITS) -> int:

@@ -2,16 +2,11 @@
 
 Between unrelated documents every distance is 1, so pivots drawn from the whole table would tell nothing apart. The space is
 therefore first covered by cells: a set of n shingles lies in the cells of its first n - ceil(s n) + 1 shingles, in one order
-for all sets in which frequent shingles come last; two sets of similarity s or more share at least one cell. In each cell:
+for all sets in which frequent shingles come last; two sets of similarity s or more share at least one cell. Inside the cells
+pivots make Voronoi regions, triangle-inequality windows replicate sets at their boundaries, and regions recur (``pivots``).
 
-* The least document is the pivot; the distance of every other one to it is measured, a line for each, not for each pair.
-* Documents within the threshold of the pivot form its region and are linked through it. Two documents can only link if their
-  distances to every pivot of the cell differ by no more than the threshold (the triangle inequality): that window is where
-  documents of one region meet those of others.
-* Cells whose documents are all connected are done. The others recur with a next pivot, from outside the first one's region,
-  and once few pairs are left in their windows, those are measured. No linked pair of unconnected documents is left out.
-
-Equal sets are one point of the space from the start. Distances are measured on whole sets, exactly.
+Equal sets are one point of the space from the start, named by a 64-bit hash of the set as shingles are by theirs. Distances
+are measured on whole sets, exactly.
 """
 
 from __future__ import annotations
@@ -23,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import attach_groups, bloom_probe, bloom_words, filter_bits, keep_or_drop, materialize
+from logloom.llm.common import attach_groups, bloom_probe, bloom_words, discard, filter_bits, keep_or_drop, materialize
+from logloom.llm.components import components
 from logloom.llm.pivots import Threshold, linked_points
 from logloom.llm.words import Alphabet, Words, chunks, grams, mix
 
@@ -55,63 +51,87 @@ def _map_sets(rows: DataFrame, k: int, make, schema: str) -> DataFrame:
     return rows.mapInArrow(scan, schema)
 
 
-#: Words of 64 bits in a parity bitmap of a set.
-BITMAP = 16
+#: Words of 64 bits in a parity bitmap of a set, and in the folded one that travels with its cells.
+BITMAP, FOLD = 16, 4
 BITMAP_NAMES = [f"b_{i}" for i in range(BITMAP)]
+FOLD_NAMES = [f"f_{i}" for i in range(FOLD)]
+
+
+def _bitmap(s: np.ndarray, words: int) -> np.ndarray:
+    places = (s >> np.uint64(54)).astype(np.int64) % (64 * words)
+    return np.packbits(np.bincount(places, minlength=64 * words) & 1 == 1).view(np.int64)
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    return np.packbits(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=64 * BITMAP) & 1 == 1).view(np.int64)
+def _keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set: of the sum of mixed hashes of its shingles, and of their number."""
+    return np.array([mix(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)[None] + np.uint64(len(s)))[0] for s in sets], np.uint64).view(np.int64)
 
 
 def _signature(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-    bitmaps = np.array([_bitmap(s) for s in sets], np.int64).reshape(-1, BITMAP)
-    both = [np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), len(s)], np.uint64).tobytes() for s in sets]
-    return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(both, pa.binary()), *map(pa.array, np.ascontiguousarray(bitmaps.T))], ["id", "n", "sig", *BITMAP_NAMES])
+    bitmaps = np.array([_bitmap(s, BITMAP) for s in sets], np.int64).reshape(-1, BITMAP)
+    return pa.RecordBatch.from_arrays([ids, pa.array(_keys(sets)), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(bitmaps.T))], ["doc", "id", "n", *BITMAP_NAMES])
 
 
 def _whole(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
     values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], ["id", "shingles"])
+    return pa.RecordBatch.from_arrays([ids, pa.array(_keys(sets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], ["doc", "id", "shingles"])
+
+
+def _slots(cells, bits: int):
+    """Two places of a 64-bit hash in a filter of ``bits``; takes numpy arrays."""
+    return (cells & np.uint64(bits - 1)).astype(np.int64), ((cells >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 class _Join:
+    """``keyed``: (doc, id, n, b_0, ...) of each row: the document's id, its point, the point's size and bitmap. ``points``:
+    (id, doc, size, n, b_0, ...), the least document and the number of documents of each point."""
+
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, threshold: Threshold):
         self.k, self.t = k, threshold
         self.kind = docs.schema[id_col].dataType.simpleString()
-        self.rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        self.keyed = materialize(_map_sets(self.rows, k, _signature, f"id {self.kind}, n long, sig binary, " + ", ".join(f"{b} long" for b in BITMAP_NAMES)), "sets")
+        self.rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+        self.keyed = materialize(_map_sets(self.rows, k, _signature, f"doc {self.kind}, id long, n long, " + ", ".join(f"{b} long" for b in BITMAP_NAMES)), "sets")
         self.total = self.keyed.count()
-        self.points = materialize(self.keyed.filter("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITMAP_NAMES)), "points")
+        held = self.keyed.filter("n > 0 and doc is not null").groupBy("id")
+        self.points = materialize(held.agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITMAP_NAMES)), "points")
+        self.n_points = self.points.count()
 
     def of_all(self, points: DataFrame) -> DataFrame:
-        """Each document with the columns of its point."""
-        spread = F.concat(F.lit("row "), F.coalesce(F.col("id").cast("string"), F.lit("")))
-        return attach_groups(self.keyed.select("id", "n", "sig"), points.withColumnRenamed("id", "point"), "sig", "size", self.total, spread)
+        """Each document (doc, n, id) with the columns of its point (id, size, ...)."""
+        return attach_groups(self.keyed.select("doc", "n", "id"), points, "id", "size", self.total, F.xxhash64("doc", F.lit(5)))
 
     def documents(self) -> DataFrame:
-        """A document of each point: those that copy another's set are left out."""
-        copies = materialize(self.of_all(self.points.select("sig", "id", "size")).filter("id != point").select("id"), "copies")
-        return keep_or_drop(self.rows.filter("id is not null"), copies, "id", copies.count(), keep=False)
+        """(doc, text) of all documents but those that only copy others: whose points all have a lesser document."""
+        own = self.of_all(self.points.select("id", "size", F.col("doc").alias("first"))).filter("first is not null").groupBy("doc")
+        own = materialize(own.agg(F.bool_or(F.col("doc") == F.col("first")).alias("leads"), F.count(F.lit(1)).alias("n"), (F.min("id") != F.max("id")).alias("several")), "documents")
+        copies = materialize(own.filter("not leads").select("doc"), "copies")
+        n, self.several = own.agg(F.sum(F.when(F.col("leads"), F.col("n"))), F.coalesce(F.bool_or("several"), F.lit(False))).first()
+        self.repeated = (n or 0) > self.n_points  # a point may come from several rows
+        discard(own)
+        return keep_or_drop(self.rows.filter("doc is not null"), copies, "doc", copies.count(), keep=False)
 
     def cells(self, docs: DataFrame) -> DataFrame:
-        """(cell, id, n, pos): the shingles that begin each set; frequent ones come last."""
+        """(cell, id, n, pos, f_0, ...): the shingles that begin each set; frequent ones come last. Cells that only one set
+        begins with are mostly left out, by a filter of the others."""
         t, spark = self.t, docs.sparkSession
+        counted = "cell long, n long"
 
-        def first_ones(_: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-            some = np.concatenate([s[: t.prefix(len(s)) * 5 // 4] for s in sets if len(s)] or [np.zeros(0, np.uint64)])
-            cell, n = np.unique(some, return_counts=True)
+        def counts(cells: np.ndarray) -> pa.RecordBatch:
+            cell, n = np.unique(cells, return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(n.astype(np.int64))], ["cell", "n"])
 
+        def first_ones(_: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+            return counts(np.concatenate([s[: t.prefix(len(s)) * 5 // 4] for s in sets if len(s)] or [np.zeros(0, np.uint64)]))
+
         rows = self.points.agg(F.sum("n")).first()[0] or 0
         least = max(64, -(-(rows * (t.parts - t.least) * 5 // 4 // t.parts + self.total * 2) // MAX_FREQUENT))
-        counts = _map_sets(docs, self.k, first_ones, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-        often = counts.filter(F.col("n") > least).select("cell").toPandas()["cell"].to_numpy(np.int64)  # MAX_FREQUENT at most
+        often = _map_sets(docs, self.k, first_ones, counted).groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > least)
+        often = often.select("cell").toPandas()["cell"].to_numpy(np.int64)  # MAX_FREQUENT at most
         frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
 
-        def begin(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-            known, row, cell, pos, size = frequent.value, [], [], [], []
+        def prefixes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            known, row, cell, pos = frequent.value, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, s in enumerate(sets):
                 if not len(s):
                     continue
@@ -119,41 +139,89 @@ class _Join:
                     late = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
                     s = np.concatenate([s[~late], s[late]])
                 p = t.prefix(len(s))
-                row.append(np.full(p, i)), cell.append(s[:p]), pos.append(np.arange(p)), size.append(np.full(p, len(s)))
-            row, cell, pos, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, cell, pos, size))
-            return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.uint64).view(np.int64)), ids.take(pa.array(row)), pa.array(size.astype(np.int64)), pa.array(pos.astype(np.int64))], ["cell", "id", "n", "pos"])
-
-        return _map_sets(docs, self.k, begin, f"cell long, id {self.kind}, n long, pos long")
+                row.append(np.full(p, i)), cell.append(s[:p]), pos.append(np.arange(p))
+            return np.concatenate(row), np.concatenate(cell), np.concatenate(pos)
+
+        several = _map_sets(docs, self.k, lambda _, sets: counts(prefixes(sets)[1]), counted).groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
+        several = materialize(several.select("cell"), "several")
+        bits = filter_bits(several.count())
+        slot = F.explode(F.array(F.col("cell").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("cell", 32).bitwiseAND(F.lit(bits - 1)))).alias("slot")
+        words = several.select(slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask")).toPandas()  # bits / 64 at most
+        table = np.zeros(bits // 64, np.uint64)
+        table[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+        shared = spark.sparkContext.broadcast(table)
+        discard(several)
+
+        def begin(_: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+            row, cell, pos = prefixes(sets)
+            may = np.ones(len(cell), bool)
+            for at in _slots(cell, bits):
+                may &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            row, cell, pos = row[may], cell[may], pos[may]
+            folds = np.array([_bitmap(s, FOLD) for s in sets], np.int64).reshape(-1, FOLD)
+            size = np.array([len(s) for s in sets], np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(_keys(sets)[row]), pa.array(size[row]), pa.array(pos), *map(pa.array, np.ascontiguousarray(folds[row].T))], ["cell", "id", "n", "pos", *FOLD_NAMES])
+
+        out = _map_sets(docs, self.k, begin, "cell long, id long, n long, pos long, " + ", ".join(f"{f} long" for f in FOLD_NAMES))
+        return out.dropDuplicates(["cell", "id"]) if self.repeated else out
 
     def measured(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-        """(x, y, nx, ny, common) of ``pairs`` (x, y), from the whole sets of both."""
+        """(x, y, nx, ny, common) of ``pairs`` (x, y) of points, from the whole sets of both."""
         ids = materialize(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "measured")
-        bits = filter_bits(ids.count())
-        near = bloom_probe(docs, bloom_words(ids, "id", bits), F.col("id"), bits, "maybe").filter("maybe").select("id", "text")
-        sets = materialize(_map_sets(near, self.k, _whole, f"id {self.kind}, shingles array<bigint>"), "shingles")
+        leads = materialize(ids.join(self.points.select("id", "doc"), "id"), "leads")
+        bits = filter_bits(leads.count())
+        near = bloom_probe(docs, bloom_words(leads, "doc", bits), F.col("doc"), bits, "maybe").filter("maybe").select("doc", "text")
+        sets = _map_sets(near, self.k, _whole, f"doc {self.kind}, id long, shingles array<bigint>")
+        sets = sets.join(leads.select(F.col("id").alias("id2"), F.col("doc").alias("doc2")), (F.col("id") == F.col("id2")) & (F.col("doc") == F.col("doc2"))).select("id", "shingles")
+        sets = materialize(sets.dropDuplicates(["id"]) if self.repeated else sets, "shingles")
+        discard(ids, leads)
+        self.open.append(sets)
         side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
         out = pairs.select("x", "y").join(side("y"), "y").join(side("x"), "x")
         return out.select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.size(F.array_intersect("sx", "sy")).cast("long").alias("common"))
 
-    def linked(self) -> DataFrame:
-        """(node, component) of the points that link with others."""
-        docs = self.documents()
-        return linked_points(materialize(self.cells(docs), "cells"), self.points, lambda pairs: self.measured(docs, pairs), self.t)
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: int = 80, parts: int = 100) -> DataFrame:
+    def linked(self, seen: list | None = None) -> DataFrame:
+        """(node, component) of the points that link with others, or that are texts of one document."""
+        docs, self.open = self.documents(), []
+
+        def measured(pairs: DataFrame) -> DataFrame:
+            discard(*self.open)
+            self.open = []
+            return self.measured(docs, pairs)
+
+        groups = linked_points(materialize(self.cells(docs), "cells"), self.points.select("id", "n", *BITMAP_NAMES), measured, self.t, seen)
+        discard(*self.open)
+        if not self.several:
+            return groups
+        own = self.keyed.filter("n > 0 and doc is not null").groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a != z")
+        texts = own.select("doc", "a").join(self.keyed.filter("n > 0").select("doc", F.col("id").alias("b")), "doc").select("a", "b")
+        return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(texts))
+
+    def points_in_components(self, seen: list | None = None) -> DataFrame:
+        """(id, size, component) of all points: the least document of the points that are linked."""
+        groups = self.linked(seen)
+        own = self.points.select("id", "doc", "size").join(groups, F.col("id") == F.col("node"), "left").drop("node")
+        linked = own.filter("component is not null")
+        least = materialize(linked.groupBy("component").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("k")), "least")
+        out = attach_groups(linked, least, "component", "k", self.n_points, F.xxhash64("id", F.lit(9))).select("id", "size", F.col("least").alias("component"))
+        out = materialize(out.unionByName(own.filter("component is null").select("id", "size", F.col("doc").alias("component"))), "points")
+        discard(groups, self.points)
+        return out
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: int = 80, parts: int = 100, seen: list | None = None) -> DataFrame:
     """For each row of ``docs``: its id, n_shingles, component_id (the least id that links lead to, its own included).
 
     Words are runs of characters other than ASCII white space, with A-Z as a-z; a set holds a text's distinct runs of ``k``
     words, or the whole text as one run if it is shorter. Sets link when parts * intersection >= least * union. A text without
     words (empty or null) has no shingles and links with nothing: its component is its own id. A row without an id links with
     nothing and has no component. Rows with the same id are one document, which links as any of its texts does. An empty
-    table gives an empty result. Other columns are ignored, whatever their names.
+    table gives an empty result. Other columns are ignored, whatever their names. ``seen``, a list, gets the number of pivots
+    of each round.
     """
     join = _Join(docs, id_col, text_col, k, Threshold(least, parts))
-    groups = join.linked().withColumnRenamed("node", "id2")
-    points = materialize(join.points.join(groups, F.col("id") == F.col("id2"), "left").select("sig", "id", "size", F.coalesce("component", "id").alias("component")), "points")
-    return join.of_all(points).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    points = join.points_in_components(seen)
+    return join.of_all(points).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: int = 80, parts: int = 100) -> DataFrame:

@@ -1,19 +1,41 @@
-"""Links between sets through pivots: cells, distances to a pivot, triangle-inequality windows, recursion."""
+"""Links between sets of a metric space (Jaccard distance) through pivots, Voronoi regions and triangle-inequality windows.
+
+The space comes covered by cells: sets that link share one. A cell is the first region. With T the link threshold:
+
+* A region of more than LEAF sets gets several pivots, up to PIVOTS, none near another. Each set's distance to the pivots of
+  its region is measured unless bitmaps show that it is over 2 T.
+* A set belongs to the region of its nearest pivot. It visits the region of any other pivot that is at most 2 T further than
+  its own. Sets over T from all pivots go to the rest region, with others of the kind.
+* No link is lost. For sets x, y within T of each other, with x at home at p and y at q, the triangle inequality gives
+  d(x, q) <= d(y, q) + T <= d(y, p) + T <= d(x, p) + 2 T, so x visits q if that distance was measured; if it was not, then
+  d(x, q) > 2 T, so d(y, q) > T and y is in the rest region. The same holds with x and y exchanged, so the two either meet in
+  the region of one of them or both in the rest. A set without any pivot in reach is over 2 T from all, so what links with it
+  is over T from all: they meet in the rest.
+* Pivots have met all others of their region and leave it. Regions whose sets are all connected are done; the others recur.
+* Regions of at most LEAF sets, and those that the last pivots did not split (their sets lie apart from all of them), are
+  leaves: the pairs of which one set is at home, and that sizes, places and bitmaps let link, are measured. Leaves of more
+  sets are cut into blocks that meet under keys of their own.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialize
+from logloom.llm.common import discard, materialize
 from logloom.llm.components import components
 
-#: So many pairs in all open cells are few enough to measure all that their windows allow; beyond it pivots go on.
-FEW_PAIRS = 100_000
-#: Pivots also stop once a round leaves more than this share of the pairs: then cells hold what has little in common.
-LEAST_GAIN = 0.7
+#: Regions of so many sets at most are leaves.
+LEAF = 16
+#: Pivots of a region, at most.
+PIVOTS = 8
+#: A region that holds more than this share of its parent's sets was not split: it is a leaf of any size.
+SPLIT = 0.75
+#: Sets of a block of a large leaf, about.
+BLOCK = 256
 
 
 class Threshold:
@@ -29,6 +51,10 @@ class Threshold:
     def distance(self) -> float:
         return 1 - self.least / self.parts
 
+    def twice(self) -> Threshold:
+        """The threshold at twice the distance."""
+        return Threshold(max(0, 2 * self.least - self.parts), self.parts)
+
     def links(self, common: Column, nx: Column, ny: Column) -> Column:
         return self.parts * common >= self.least * (nx + ny - common)
 
@@ -37,92 +63,146 @@ class Threshold:
         nx, ny, px, py = (F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos"))
         return self.links(F.least(nx - px, ny - py), nx, ny)
 
+    def sizes(self, x: str, y: str) -> Column:
+        nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
+        return self.links(F.least(nx, ny), nx, ny)
+
     def near(self, x: str, y: str, bits: list[str]) -> Column:
         """By parity bitmaps: each shingle that only one set holds flips one bit, so different bits bound how many there are."""
         if not bits:
             return F.lit(True)
-        differ = sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in bits[1:]), F.bit_count(F.col(f"{x}{bits[0]}").bitwiseXOR(F.col(f"{y}{bits[0]}"))))
+        differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in bits))
         both = F.col(f"{x}n") + F.col(f"{y}n")
         return (self.parts + self.least) * differ <= (self.parts - self.least) * both
 
 
-class _Cells:
-    def __init__(self, threshold: Threshold, bits: list[str]):
-        self.t, self.bits = threshold, bits
-        self.carry = ["n", "pos", *bits]
+def _side(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
+
+
+class _Space:
+    """``points``: (id, n, b_0, b_1, ...), the sets with their sizes and parity bitmaps."""
 
-    def fits(self, x: str, y: str) -> Column:
-        return self.t.possible(x, y) & self.t.near(x, y, self.bits)
+    def __init__(self, points: DataFrame, measured: Callable[[DataFrame], DataFrame], threshold: Threshold):
+        self.points, self.measured, self.t = points, measured, threshold
+        self.bits = [c for c in points.columns if c.startswith("b_")]
 
-    def own(self) -> Column:
-        return F.struct(*self.carry)
+    def reachable(self, pairs: DataFrame, t: Threshold) -> DataFrame:
+        """Those of ``pairs`` (x, y) whose sizes and bitmaps let them be within ``t``."""
+        own = self.points.select("id", "n", *self.bits)
+        both = pairs.join(_side(own, "x_"), F.col("x") == F.col("x_id")).join(_side(own, "y_"), F.col("y") == F.col("y_id"))
+        return both.filter(t.sizes("x_", "y_") & t.near("x_", "y_", self.bits)).select("x", "y")
+
+    def distances(self, pairs: DataFrame, t: Threshold) -> DataFrame:
+        """(x, y, d, link) of those of ``pairs`` that are within ``t``, from whole sets."""
+        of = F.col("common"), F.col("nx"), F.col("ny")
+        d = 1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
+        return self.measured(pairs).filter(t.links(*of)).select("x", "y", d.alias("d"), self.t.links(*of).alias("link"))
+
+    def chosen(self, rows: DataFrame) -> DataFrame:
+        """(region, pivot): of each region the sets with least hashes in PIVOTS slots, without those near an earlier one."""
+        slot = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(PIVOTS))
+        drawn = rows.groupBy("region", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"))).alias("least"))
+        drawn = drawn.select("region", "least.h", F.col("least.id").alias("pivot"))
+        own = self.points.select(F.col("id").alias("id2"), F.col("n").alias("size"), F.array(*self.bits).alias("bits"))
+        listed = drawn.join(own, F.col("pivot") == F.col("id2")).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("h", "pivot", "size", "bits"))).alias("all"))
+        differ = lambda a, b: F.aggregate(F.zip_with(a["bits"], b["bits"], lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+        close = lambda a, b: (self.t.parts + self.t.least) * differ(a, b) <= (self.t.parts - self.t.least) * (a["size"] + b["size"])
+        kept = F.filter("all", lambda p, i: ~F.exists(F.slice(F.col("all"), F.lit(1), i), lambda q: close(p, q)))
+        return listed.select("region", F.explode(F.transform(kept, lambda p: p["pivot"])).alias("pivot"))
 
     def to_pivots(self, rows: DataFrame, pivots: DataFrame) -> DataFrame:
-        """Each row with the pivot of its cell, and whether they may link."""
-        side = pivots.select(F.col("cell").alias("cell2"), "pivot", *(F.col(f"p.{c}").alias(f"p{c}") for c in self.carry))
-        lines = rows.join(side, F.col("cell") == F.col("cell2")).select("*", *(F.col(c).alias(f"x{c}") for c in self.carry))
-        return lines.withColumn("possible", (F.col("id") != F.col("pivot")) & self.fits("x", "p")).select(*rows.columns, "pivot", "possible")
-
-    def windows(self, rows: DataFrame) -> DataFrame:
-        """All pairs (x, y) of different groups in a cell whose distances to each pivot of the cell allow a link."""
-        x, y = (rows.select(*(F.col(c).alias(f"{s}{c}") for c in rows.columns)) for s in "xy")
-        window = F.forall(F.arrays_zip("xto", "yto"), lambda d: F.coalesce(F.abs(d["xto"] - d["yto"]) <= self.t.distance + 1e-9, F.lit(True)))
-        same = F.col("xgroup") != F.col("ygroup") if "group" in rows.columns else F.lit(True)
-        met = x.join(y, (F.col("xcell") == F.col("ycell")) & (F.col("xid") < F.col("yid")) & same & self.fits("x", "y") & window)
-        return met.select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct()
-
-    def narrowed(self, rows: DataFrame, pivots: DataFrame, found: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows and next pivots of the cells that hold sets of several groups; a pivot has met all others of its cell and goes."""
-        distance = found.select(F.col("x").alias("id2"), F.col("y").alias("pivot2"), (1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("d"))
-        rows = self.to_pivots(rows.drop("group"), pivots).filter("id != pivot")
-        rows = rows.join(distance, (F.col("id") == F.col("id2")) & (F.col("pivot") == F.col("pivot2")), "left")
-        rows = rows.join(groups.withColumnRenamed("node", "id3"), F.col("id") == F.col("id3"), "left").withColumn("group", F.coalesce("component", "id"))
-        rows = materialize(rows.select("cell", "id", *self.carry, F.concat("to", F.array("d")).alias("to"), "group", "d"), "rows")
-        inside = F.coalesce(F.col("d") <= self.t.distance + 1e-9, F.lit(False))
-        ahead = F.struct(inside.alias("inside"), F.col("id"))
-        cells = rows.groupBy("cell").agg(F.min_by("id", ahead).alias("pivot"), F.count(F.lit(1)).alias("size"), F.min_by(self.own(), ahead).alias("p"), F.min("group").alias("g1"), F.max("group").alias("g2"))
-        pivots = materialize(cells.filter("g1 != g2").drop("g1", "g2"), "pivots")
-        return materialize(_in_cells(rows.drop("d"), pivots), "open"), pivots
-
-
-def _in_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    return rows.join(cells.select(F.col("cell").alias("cell2")), F.col("cell") == F.col("cell2"), "left_semi")
-
-
-def linked_points(held: DataFrame, bitmaps: DataFrame, measured: Callable[[DataFrame], DataFrame], threshold: Threshold) -> DataFrame:
+        """(x, y, d, link): each set of a region with the pivots of the region that it may be within 2 T of."""
+        lines = rows.join(_side(pivots, "p_"), (F.col("region") == F.col("p_region")) & (F.col("id") != F.col("p_pivot")))
+        lines = materialize(lines.select(F.col("id").alias("x"), F.col("p_pivot").alias("y")).distinct(), "lines")
+        near = materialize(self.reachable(lines, self.t.twice()), "near")
+        found = materialize(self.distances(near, self.t.twice()), "distances")
+        discard(lines, near)
+        return found
+
+    def split(self, rows: DataFrame, pivots: DataFrame, found: DataFrame, groups: DataFrame) -> DataFrame:
+        """The sets of all regions in the regions of pivots and in rest regions, but for pivots and regions of one group."""
+        at = (F.col("region") == F.col("p_region")) & (F.col("id") == F.col("p_pivot"))
+        out = rows.join(_side(pivots, "p_"), at, "left_anti")
+        lines = rows.select("region", "id").join(_side(pivots, "p_"), F.col("region") == F.col("p_region"))
+        far = lines.join(found, (F.col("id") == F.col("x")) & (F.col("p_pivot") == F.col("y"))).groupBy(F.col("region").alias("region2"), F.col("id").alias("id2"))
+        far = far.agg(F.array_sort(F.collect_list(F.struct("d", F.col("y").alias("pivot"), "link"))).alias("to"))
+        out = out.join(far, (F.col("region") == F.col("region2")) & (F.col("id") == F.col("id2")), "left")
+        nearest = F.try_element_at("to", F.lit(1))
+        place = lambda key, home: F.struct(F.xxhash64("region", key).alias("region"), home.alias("home"))
+        window = nearest["d"] + 2 * self.t.distance + 1e-6  # a little too wide loses nothing
+        visits = F.transform(F.filter("to", lambda p: p["d"] <= window), lambda p: place(p["pivot"], p["pivot"] == nearest["pivot"]))
+        rest = F.when(F.col("to").isNull() | ~nearest["link"], F.array(place(F.lit("rest"), F.lit(True))))
+        none = F.array().cast("array<struct<region:bigint,home:boolean>>")
+        out = out.withColumn("at", F.explode(F.concat(F.coalesce(visits, none), F.coalesce(rest, none))))
+        out = out.join(_side(groups, "g_"), F.col("id") == F.col("g_node"), "left")
+        own = ["id", "n", "pos", *(c for c in rows.columns if c.startswith("f_"))]
+        out = materialize(out.select("at.region", "at.home", *own, F.col("size").alias("before"), F.coalesce("g_component", "id").alias("group")), "split")
+        several = out.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 != g2")
+        held = out.join(_side(several.select("region", "size"), "s_"), F.col("region") == F.col("s_region"))
+        held = materialize(held.select("region", "home", *own, F.col("s_size").alias("size"), "before", "group"), "open")
+        discard(out)
+        return held
+
+    def met(self, rows: DataFrame, folds: list[str]) -> DataFrame:
+        """All pairs (x, y) of different groups in a leaf that may link, one of them at home."""
+        blocks = F.ceil(F.col("size") / BLOCK)
+        rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), blocks))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.select("region", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "home", "id", "n", "pos", "group", *folds)
+        x, y = _side(rows, "x_"), _side(rows, "y_")
+        at = (F.col("x_region") == F.col("y_region")) & (F.col("x_lo") == F.col("y_lo")) & (F.col("x_hi") == F.col("y_hi"))
+        once = (F.col("x_block") != F.col("y_block")) | (F.col("x_lo") == F.col("x_hi"))  # sets of one block meet under its own key only
+        pair = (F.col("x_id") < F.col("y_id")) & (F.col("x_home") | F.col("y_home")) & (F.col("x_group") != F.col("y_group"))
+        found = x.join(y, at & once & pair & self.t.possible("x_", "y_") & self.t.near("x_", "y_", folds))
+        return found.select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
+
+
+def linked_points(held: DataFrame, points: DataFrame, measured: Callable[[DataFrame], DataFrame], threshold: Threshold, seen: list | None = None) -> DataFrame:
     """(node, component) of all sets that link with others.
 
-    ``held`` has rows (cell, id, n, pos) such that sets that link share a cell: n is the set's size, pos the cell's place in the
-    set's order. ``bitmaps`` has the parity bitmaps (b_0, b_1, ...) of each id. ``measured`` adds nx, ny and common to pairs
-    (x, y).
+    ``held`` has rows (cell, id, n, pos, f_0, f_1, ...) such that sets that link share a cell: n is the set's size, pos the
+    cell's place in the set's order, f_i parity bitmaps of fewer bits than those of ``points`` (id, n, b_0, b_1, ...).
+    ``measured`` adds nx, ny and common to pairs (x, y). ``seen`` gets the number of pivots of each round.
     """
-    cells = _Cells(threshold, [c for c in bitmaps.columns if c.startswith("b_")])
-    n_rows = held.count()
-    several = materialize(held.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "several")
-    rows = _in_cells(held, several).join(bitmaps.select(F.col("id").alias("id2"), *cells.bits), F.col("id") == F.col("id2")).drop("id2")
-    rows = materialize(rows.withColumn("to", F.array().cast("array<double>")), "open")
-    pivots = materialize(rows.groupBy("cell").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"), F.min_by(cells.own(), "id").alias("p")), "pivots")
-    links = groups = None
-    before = None
-    while not rows.isEmpty():
-        left = pivots.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0]
-        few = left <= max(FEW_PAIRS, n_rows // 20 if FEW_PAIRS else 0) or (before is not None and left > LEAST_GAIN * before)
-        before = left
-        if few:
-            pairs = cells.windows(rows)
-        else:
-            pairs = cells.to_pivots(rows, pivots).filter("possible").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct()
-        pairs = materialize(pairs, "pairs")
-        if few and pairs.isEmpty():
-            break
-        found = materialize(measured(pairs), "distances")
-        new = found.filter(threshold.links(F.col("common"), F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        links = new if groups is None else groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
-        groups = materialize(components(links), "components")
-        if few:
+    space = _Space(points, measured, threshold)
+    folds = [c for c in held.columns if c.startswith("f_")]
+    sizes = held.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rows = held.join(_side(sizes, "s_"), F.col("cell") == F.col("s_cell"))
+    rows = materialize(rows.select(F.col("cell").alias("region"), F.lit(True).alias("home"), "id", "n", "pos", *folds, F.col("s_size").alias("size"), F.lit(None).cast("long").alias("before"), F.col("id").alias("group")), "open")
+    groups = _no_groups(held)
+    leaves, spent = [], []
+    unsplit = (F.col("size") <= LEAF) | F.coalesce(F.col("size") > SPLIT * F.col("before"), F.lit(False))
+    while True:
+        leaves.append(rows.filter(unsplit))
+        spent.append(rows)
+        large = rows.filter(~unsplit)
+        if large.isEmpty():
             break
-        rows, pivots = cells.narrowed(rows, pivots, found, groups)
-    if groups is None:
-        kind = held.schema["id"].dataType.simpleString()
-        groups = held.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
-    return groups
+        pivots = materialize(space.chosen(large), "pivots")
+        if seen is not None:
+            seen.append(pivots.count())
+        found = space.to_pivots(large, pivots)
+        groups, old = _joined(groups, found.filter("link").select(F.col("x").alias("a"), F.col("y").alias("b"))), groups
+        rows = space.split(large, pivots, found, groups)
+        discard(pivots, found, old)
+    met = materialize(reduce(DataFrame.unionByName, (space.met(leaf, folds) for leaf in leaves)).distinct(), "met")
+    discard(*spent)
+    apart = met.join(_side(groups, "g_"), F.col("x") == F.col("g_node"), "left").join(_side(groups, "h_"), F.col("y") == F.col("h_node"), "left")
+    apart = apart.filter(F.coalesce("g_component", "x") != F.coalesce("h_component", "y")).select("x", "y")
+    near = materialize(space.reachable(apart, threshold), "near")
+    found = materialize(space.distances(near, threshold).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    discard(met, near)
+    out = _joined(groups, found)
+    discard(groups, found)
+    return out
+
+
+def _no_groups(held: DataFrame) -> DataFrame:
+    kind = held.schema["id"].dataType.simpleString()
+    return held.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of what is grouped and newly linked."""
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))

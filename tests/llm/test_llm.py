@@ -46,9 +46,11 @@ def test_oracles(spark):
         assert rows_of(df) == sql_rows(sql, SF, df.columns), name
 
 
-@pytest.mark.parametrize("few", [0, 100_000])
-def test_jaccard_join(spark, texts, few, monkeypatch):
-    monkeypatch.setattr(pivots, "FEW_PAIRS", few)
+@pytest.mark.parametrize(("leaf", "n_pivots", "block"), [(16, 8, 256), (4, 3, 2)])
+def test_jaccard_join(spark, texts, leaf, n_pivots, block, monkeypatch):
+    for name, value in (("LEAF", leaf), ("PIVOTS", n_pivots), ("BLOCK", block)):
+        monkeypatch.setattr(pivots, name, value)
+    texts = texts + [(900 + i, t.replace("w1 ", "W1  ") + f" x{i}") for i, t in enumerate([texts[7][1] * 3] * 25)]
 
     def shingles(t):
         w = [x.decode().lower() for x in words_of(t)]
@@ -60,8 +62,14 @@ def test_jaccard_join(spark, texts, few, monkeypatch):
             for j, b in sets.items():
                 if a and b and 100 * len(a & b) >= 85 * len(a | b):
                     root[i] = root[j] = min(root[i], root[j])
-    got = jaccard_join.jaccard_components(table_of(spark, texts), k=4, least=85).collect()
+    seen = []
+    got = jaccard_join.jaccard_components(table_of(spark, texts), k=4, least=85, seen=seen).collect()
+    assert seen and seen[0] > 0  # pivots were drawn
+    if leaf < 16:
+        assert len(seen) > 1  # and regions recurred
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), root[i]) for i in sets}
+    if leaf < 16:
+        return
     kept = jaccard_join.drop_near_duplicates(table_of(spark, texts), k=4, least=85)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in root if root[i] == i)
     assert kept.columns == table_of(spark, texts).columns
