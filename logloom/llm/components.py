@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import attach_groups, discard, materialize
+from logloom.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node u ties its larger (or its smaller) neighbours to the least of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("size")), "least")
-    # a star's centre may have any number of neighbours: its rows stay where they are
-    tied = attach_groups(both, least, "a", "size", edges.count(), F.xxhash64("b", F.lit(11))).select("a", "b", F.least("a", "m").alias("m"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "a2")
+    # a star's centre may have any number of neighbours: adaptive execution splits its rows in this join
+    tied = both.join(least, F.col("a") == F.col("a2")).select("a", "b", F.least("a", "m").alias("m"))
     far = tied.filter("b > a") if large else tied
     out = far.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(tied.select("a", F.col("m").alias("b")))
-    out = materialize(out.filter("a > b").distinct(), "stars")
-    discard(least)
-    return out
+    return materialize(out.filter("a > b").distinct(), "stars")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ The space comes covered by cells: sets that link share one. A cell is the first
   d(x, q) > 2 T, so d(y, q) > T and y is in the rest region. The same holds with x and y exchanged, so the two either meet in
   the region of one of them or both in the rest. A set without any pivot in reach is over 2 T from all, so what links with it
   is over T from all: they meet in the rest.
-* Pivots have met all others of their region and leave it. Regions whose sets are all connected are done; the others recur.
-* Regions of at most LEAF sets, and those that the last pivots did not split (their sets lie apart from all of them), are
-  leaves: the pairs of which one set is at home, and that sizes, places and bitmaps let link, are measured. Leaves of more
-  sets are cut into blocks that meet under keys of their own.
+* Pivots have met all others of their region and leave it. A region whose sets all link with one pivot is done; others recur.
+* Regions of at most LEAF sets, and those that the last pivots did not halve (their sets lie apart from all of them), are
+  leaves: the pairs of which one set is at home, that are not yet connected, and that sizes, places and bitmaps let link, are
+  measured. Leaves of more sets are cut into blocks that meet under keys of their own.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ from logloom.llm.common import discard, materialize
 from logloom.llm.components import components
 
 #: Regions of so many sets at most are leaves.
-LEAF = 16
+LEAF = 32
 #: Pivots of a region, at most.
-PIVOTS = 8
+PIVOTS = 16
 #: A region that holds more than this share of its parent's sets was not split: it is a leaf of any size.
-SPLIT = 0.75
+SPLIT = 0.5
 #: Sets of a block of a large leaf, about.
 BLOCK = 256
 
@@ -100,9 +100,11 @@ class _Space:
         return self.measured(pairs).filter(t.links(*of)).select("x", "y", d.alias("d"), self.t.links(*of).alias("link"))
 
     def chosen(self, rows: DataFrame) -> DataFrame:
-        """(region, pivot): of each region the sets with least hashes in PIVOTS slots, without those near an earlier one."""
+        """(region, pivot): of each region the sets with least hashes in PIVOTS slots, without those near an earlier one; sets
+        that link with an earlier pivot come last."""
         slot = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(PIVOTS))
-        drawn = rows.groupBy("region", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"))).alias("least"))
+        order = F.struct((F.col("group") != F.col("id")).alias("linked"), F.xxhash64("id").alias("hash"))
+        drawn = rows.groupBy("region", slot.alias("slot")).agg(F.min(F.struct(order.alias("h"), F.col("id"))).alias("least"))
         drawn = drawn.select("region", "least.h", F.col("least.id").alias("pivot"))
         own = self.points.select(F.col("id").alias("id2"), F.col("n").alias("size"), F.array(*self.bits).alias("bits"))
         listed = drawn.join(own, F.col("pivot") == F.col("id2")).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("h", "pivot", "size", "bits"))).alias("all"))
@@ -120,8 +122,9 @@ class _Space:
         discard(lines, near)
         return found
 
-    def split(self, rows: DataFrame, pivots: DataFrame, found: DataFrame, groups: DataFrame) -> DataFrame:
-        """The sets of all regions in the regions of pivots and in rest regions, but for pivots and regions of one group."""
+    def split(self, rows: DataFrame, pivots: DataFrame, found: DataFrame) -> DataFrame:
+        """The sets of all regions in the regions of pivots and in rest regions, but for pivots and regions of one group: sets
+        that link with one pivot are a group, named by the first such pivot."""
         at = (F.col("region") == F.col("p_region")) & (F.col("id") == F.col("p_pivot"))
         out = rows.join(_side(pivots, "p_"), at, "left_anti")
         lines = rows.select("region", "id").join(_side(pivots, "p_"), F.col("region") == F.col("p_region"))
@@ -135,9 +138,8 @@ class _Space:
         rest = F.when(F.col("to").isNull() | ~nearest["link"], F.array(place(F.lit("rest"), F.lit(True))))
         none = F.array().cast("array<struct<region:bigint,home:boolean>>")
         out = out.withColumn("at", F.explode(F.concat(F.coalesce(visits, none), F.coalesce(rest, none))))
-        out = out.join(_side(groups, "g_"), F.col("id") == F.col("g_node"), "left")
         own = ["id", "n", "pos", *(c for c in rows.columns if c.startswith("f_"))]
-        out = materialize(out.select("at.region", "at.home", *own, F.col("size").alias("before"), F.coalesce("g_component", "id").alias("group")), "split")
+        out = materialize(out.select("at.region", "at.home", *own, F.col("size").alias("before"), F.when((F.col("group") == F.col("id")) & nearest["link"], nearest["pivot"]).otherwise(F.col("group")).alias("group")), "split")
         several = out.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 != g2")
         held = out.join(_side(several.select("region", "size"), "s_"), F.col("region") == F.col("s_region"))
         held = materialize(held.select("region", "home", *own, F.col("s_size").alias("size"), "before", "group"), "open")
@@ -170,8 +172,7 @@ def linked_points(held: DataFrame, points: DataFrame, measured: Callable[[DataFr
     sizes = held.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     rows = held.join(_side(sizes, "s_"), F.col("cell") == F.col("s_cell"))
     rows = materialize(rows.select(F.col("cell").alias("region"), F.lit(True).alias("home"), "id", "n", "pos", *folds, F.col("s_size").alias("size"), F.lit(None).cast("long").alias("before"), F.col("id").alias("group")), "open")
-    groups = _no_groups(held)
-    leaves, spent = [], []
+    leaves, spent, links = [], [], []
     unsplit = (F.col("size") <= LEAF) | F.coalesce(F.col("size") > SPLIT * F.col("before"), F.lit(False))
     while True:
         leaves.append(rows.filter(unsplit))
@@ -183,17 +184,22 @@ def linked_points(held: DataFrame, points: DataFrame, measured: Callable[[DataFr
         if seen is not None:
             seen.append(pivots.count())
         found = space.to_pivots(large, pivots)
-        groups, old = _joined(groups, found.filter("link").select(F.col("x").alias("a"), F.col("y").alias("b"))), groups
-        rows = space.split(large, pivots, found, groups)
-        discard(pivots, found, old)
+        links.append(found)
+        rows = space.split(large, pivots, found)
+        discard(pivots)
+    as_links = lambda df: df.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = components(reduce(DataFrame.unionByName, (as_links(x.filter("link")) for x in links))) if links else _no_groups(held)
+    discard(*links)
     met = materialize(reduce(DataFrame.unionByName, (space.met(leaf, folds) for leaf in leaves)).distinct(), "met")
     discard(*spent)
     apart = met.join(_side(groups, "g_"), F.col("x") == F.col("g_node"), "left").join(_side(groups, "h_"), F.col("y") == F.col("h_node"), "left")
     apart = apart.filter(F.coalesce("g_component", "x") != F.coalesce("h_component", "y")).select("x", "y")
     near = materialize(space.reachable(apart, threshold), "near")
-    found = materialize(space.distances(near, threshold).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
-    discard(met, near)
-    out = _joined(groups, found)
+    discard(met)
+    found = materialize(space.distances(near, threshold), "links")
+    discard(near)
+    known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    out = components(known.unionByName(as_links(found)))
     discard(groups, found)
     return out
 
@@ -201,8 +207,3 @@ def linked_points(held: DataFrame, points: DataFrame, measured: Callable[[DataFr
 def _no_groups(held: DataFrame) -> DataFrame:
     kind = held.schema["id"].dataType.simpleString()
     return held.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
-
-
-def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """The components of what is grouped and newly linked."""
-    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
