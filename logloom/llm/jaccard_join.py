@@ -127,7 +127,7 @@ class _Join:
         rows = self.points.agg(F.sum("n")).first()[0] or 0
         least = max(64, -(-(rows * (t.parts - t.least) * 5 // 4 // t.parts + self.total * 2) // MAX_FREQUENT))
         often = _map_sets(docs, self.k, first_ones, counted).groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > least)
-        often = often.select("cell").toPandas()["cell"].to_numpy(np.int64)  # MAX_FREQUENT at most
+        often = often.select("cell").toArrow()["cell"].to_numpy()  # MAX_FREQUENT at most
         frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
 
         def prefixes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,9 +146,9 @@ class _Join:
         several = materialize(several.select("cell"), "several")
         bits = filter_bits(several.count())
         slot = F.explode(F.array(F.col("cell").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("cell", 32).bitwiseAND(F.lit(bits - 1)))).alias("slot")
-        words = several.select(slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask")).toPandas()  # bits / 64 at most
+        words = several.select(slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask")).toArrow()  # bits / 64 at most
         table = np.zeros(bits // 64, np.uint64)
-        table[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+        table[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
         shared = spark.sparkContext.broadcast(table)
         discard(several)
 
@@ -167,14 +167,14 @@ class _Join:
 
     def measured(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
         """(x, y, nx, ny, common) of ``pairs`` (x, y) of points, from the whole sets of both."""
-        ids = materialize(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "measured")
+        ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
         leads = materialize(ids.join(self.points.select("id", "doc"), "id"), "leads")
         bits = filter_bits(leads.count())
         near = bloom_probe(docs, bloom_words(leads, "doc", bits), F.col("doc"), bits, "maybe").filter("maybe").select("doc", "text")
         sets = _map_sets(near, self.k, _whole, f"doc {self.kind}, id long, shingles array<bigint>")
         sets = sets.join(leads.select(F.col("id").alias("id2"), F.col("doc").alias("doc2")), (F.col("id") == F.col("id2")) & (F.col("doc") == F.col("doc2"))).select("id", "shingles")
         sets = materialize(sets.dropDuplicates(["id"]) if self.repeated else sets, "shingles")
-        discard(ids, leads)
+        discard(leads)
         self.open.append(sets)
         side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
         out = pairs.select("x", "y").join(side("y"), "y").join(side("x"), "x")

@@ -31,7 +31,7 @@ from logloom.llm.components import components
 #: Regions of so many sets at most are leaves.
 LEAF = 32
 #: Pivots of a region, at most.
-PIVOTS = 16
+PIVOTS = 8
 #: A region that holds more than this share of its parent's sets was not split: it is a leaf of any size.
 SPLIT = 0.5
 #: Sets of a block of a large leaf, about.
@@ -116,10 +116,10 @@ class _Space:
     def to_pivots(self, rows: DataFrame, pivots: DataFrame) -> DataFrame:
         """(x, y, d, link): each set of a region with the pivots of the region that it may be within 2 T of."""
         lines = rows.join(_side(pivots, "p_"), (F.col("region") == F.col("p_region")) & (F.col("id") != F.col("p_pivot")))
-        lines = materialize(lines.select(F.col("id").alias("x"), F.col("p_pivot").alias("y")).distinct(), "lines")
+        lines = lines.select(F.col("id").alias("x"), F.col("p_pivot").alias("y")).distinct()
         near = materialize(self.reachable(lines, self.t.twice()), "near")
         found = materialize(self.distances(near, self.t.twice()), "distances")
-        discard(lines, near)
+        discard(near)
         return found
 
     def split(self, rows: DataFrame, pivots: DataFrame, found: DataFrame) -> DataFrame:
