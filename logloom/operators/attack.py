@@ -13,7 +13,7 @@ TECHNIQUE = "array<struct<id:string,name:string,tactic:string>>"
 def techniques_of(event_type: Column, fallback: Column | None = None, mode: str = "both") -> Column:
     """Techniques of a type (of ``fallback`` where it is unknown), of one mode: attacker_infra, victim_server or both."""
     one = lambda t: F.struct(F.lit(t[0]).alias("id"), F.lit(t[1]).alias("name"), F.lit(t[2]).alias("tactic"))
-    pairs = [(F.lit(e), F.array(*map(one, T.techniques(e)))) for e in T.TECHNIQUES_OF if T.techniques(e)]
+    pairs = [(F.lit(e), F.array(*map(one, found))) for e, found in T.techniques_by_type().items()]
     table = F.create_map(*(x for p in pairs for x in p))
     kind = event_type if fallback is None else F.when(event_type.isin("", "unknown") | event_type.isNull(), fallback).otherwise(event_type)
     found = F.coalesce(F.try_element_at(table, kind), F.array().cast(TECHNIQUE))

@@ -22,7 +22,7 @@ def location(source: Column, meta: dict[str, Column]) -> Column:
         [
             (disk, place((m("name"), m("path")), detail("Dateisystem-Eintrag", tagged("Partition: ", "partition"), tagged("Inode: ", "inode"), fs), F.lit("Sleuth Kit (pytsk3)"))),
             (source == "dissect", place((m("path"), m("name")), F.coalesce(tagged("Dissect-Plugin: ", "plugin"), F.lit("Dissect-Artefakt")), F.lit("dissect.target"))),
-            (source.isin(LOG_SOURCES), place((m("source_file"),), detail("Text-Log", tagged("Zeile: ", "line_number"), tagged("Host: ", "hostname")), F.lit("LFX Log-Parser"))),
+            (source.isin(LOG_SOURCES), place((m("source_file"),), detail("Text-Log", tagged("Zeile: ", "line_number"), tagged("Host: ", "hostname")), F.lit("Log-Parser"))),
             (source.startswith("uac"), place((m("path"), m("source_file")), F.coalesce(tagged("UAC-Artefakt: ", "artifact_type"), F.lit("UAC-Artefakt")), F.lit("UAC (Unix Artifact Collector)"))),
         ],
         place((m("name"), m("path"), m("source_file")), F.concat(F.lit("Quelle: "), source), source),

@@ -35,14 +35,16 @@ def timestomping(files: DataFrame) -> DataFrame:
     return _finding(hits, "timestomping", F.when(F.col("n_hits") >= 5, "high").otherwise("medium"), "T1070.006")
 
 
-def log_gaps(events: DataFrame, hours: int = 6) -> DataFrame:
-    """(gap_start, gap_end, seconds) of pauses of so many hours or more.
+def log_gaps(events: DataFrame, hours: int = 6, by: tuple[str, ...] = (), least: int = 10) -> DataFrame:
+    """(gap_start, gap_end, seconds) of pauses of so many hours or more, of each value of ``by``; none where there are fewer than
+    ``least`` times.
 
     A pause that long spans the border of an hour, so only each hour's first and last time are compared: as many rows as hours.
     """
-    times = events.filter("ts is not null").groupBy(F.date_trunc("HOUR", "ts").alias("hour")).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    before = F.lag("hi").over(Window.orderBy("hour"))
-    gaps = times.select(before.alias("gap_start"), F.col("lo").alias("gap_end"))
+    times = events.filter("ts is not null").groupBy(*by, F.date_trunc("HOUR", "ts").alias("hour")).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy(*by)
+    before, n = F.lag("hi").over(own.orderBy("hour")), F.sum("n").over(own)
+    gaps = times.select(*by, before.alias("gap_start"), F.col("lo").alias("gap_end"), n.alias("n")).filter(F.col("n") >= least).drop("n")
     return gaps.withColumn("seconds", F.unix_micros("gap_end") / 1e6 - F.unix_micros("gap_start") / 1e6).filter(F.col("seconds") >= hours * 3600)
 
 
@@ -100,10 +102,11 @@ def all_findings(events: DataFrame, files: DataFrame, least: int = 20) -> DataFr
 
 
 def risk(findings: DataFrame) -> DataFrame:
-    """Score 0 to 100, level, number of findings and their categories."""
+    """Score 0 to 100, level, number of findings, their categories, and a sentence that sums them up."""
     weight = F.when(F.col("severity") == "high", 20).when(F.col("severity") == "medium", 10).otherwise(5)
     out = findings.agg(F.least(F.lit(100), F.coalesce(F.sum(weight), F.lit(0))).cast("long").alias("risk_score"), F.count(F.lit(1)).alias("n_findings"), F.array_sort(F.collect_set("category")).alias("categories"))
-    return out.withColumn("risk_level", risk_level(F.col("risk_score")))
+    out = out.withColumn("risk_level", risk_level(F.col("risk_score")))
+    return out.withColumn("summary", F.when(F.col("n_findings") == 0, "no signs of tampering").otherwise(F.format_string("%d findings, risk %d of 100 (%s): %s", "n_findings", "risk_score", "risk_level", F.array_join("categories", ", "))))
 
 
 def risk_level(score: Column) -> Column:

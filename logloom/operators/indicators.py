@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from logloom.functions import tables as T
 from logloom.functions.classify import first_of
 
+#: Values of a knowledge base that texts are searched for, at most.
+MAX_VALUES = 10_000
 CATEGORIES = {"ips": "ip", "domains": "domain", "users": "user", "processes": "process", "files": "file", "hostnames": "hostname"}
 
 
@@ -46,9 +48,16 @@ def verdict(kb_confidence: Column, abuse_score: Column) -> Column:
 
 
 def context_matches(events: DataFrame, kb: DataFrame) -> DataFrame:
-    """(seq, value) where an event's text holds a value of the knowledge base: texts meet the values by their tokens."""
-    token = F.explode(F.array_distinct(F.split(F.coalesce(F.col("description"), F.lit("")), r"[\s,;\"'()\[\]=]+"))).alias("token")
-    return events.select("seq", token).join(kb.select("value"), F.col("token") == F.col("value")).select("seq", "value").distinct()
+    """(seq, value) where an event's text holds a value of the knowledge base anywhere, whatever the case.
+
+    A knowledge base of up to MAX_VALUES different values is sent to all tasks, which look for each; a longer one is an error.
+    """
+    values = [r["value"] for r in kb.select("value").filter("value is not null and value != ''").distinct().limit(MAX_VALUES + 1).collect()]
+    if len(values) > MAX_VALUES:
+        raise ValueError(f"more than {MAX_VALUES} values to look for")
+    held = F.broadcast(events.sparkSession.createDataFrame([(v, v.lower()) for v in values], "value string, sought string"))
+    text = events.select("seq", F.lower(F.coalesce(F.col("description"), F.lit(""))).alias("text"))
+    return text.join(held, F.col("text").contains(F.col("sought"))).select("seq", "value")
 
 
 def signature_matches(events: DataFrame, signatures: list[tuple[str, str, str]]) -> DataFrame:
@@ -58,8 +67,9 @@ def signature_matches(events: DataFrame, signatures: list[tuple[str, str, str]])
 
 
 def shared(indicators: DataFrame, source: str, least: int = 2) -> DataFrame:
-    """Values in so many sources or more, with how many."""
-    return indicators.groupBy("category", "value").agg(F.count_distinct(source).alias("n_sources")).filter(F.col("n_sources") >= least)
+    """Values in so many sources or more, with how many and which, in order. Sources are jobs: a list holds each once."""
+    by = indicators.groupBy("category", "value").agg(F.array_sort(F.collect_set(source)).alias("sources"))
+    return by.select("category", "value", F.size("sources").cast("long").alias("n_sources"), "sources").filter(F.col("n_sources") >= least)
 
 
 def near_in_time(events: DataFrame, value: str, source: str, seconds: int) -> DataFrame:

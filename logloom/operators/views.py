@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import tables as T
-from logloom.functions.classify import is_external, risk_level
+from logloom.functions.classify import first_of, is_external, risk_level
 
 IP_AFTER = r"(?:from|to)\s+(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
 
@@ -23,7 +23,7 @@ def scatter(events: DataFrame) -> DataFrame:
 
 
 def phases(events: DataFrame) -> DataFrame:
-    of = F.create_map(*(F.lit(x) for p, kinds in T.PHASES.items() for k in kinds for x in (k, p)))
+    of = F.create_map(*(F.lit(x) for kv in T.PHASES.items() for x in kv))
     return events.select("event_type").distinct().select(F.try_element_at(of, F.upper("event_type")).alias("phase")).filter("phase is not null").distinct()
 
 
@@ -79,21 +79,29 @@ def top_per_source(events: DataFrame, source: str, n: int = 5) -> DataFrame:
 
 
 def file_size(n: Column) -> Column:
-    units = [(1 << 30, "GB"), (1 << 20, "MB"), (1 << 10, "KB")]
-    out = F.when(n.isNull(), F.lit("-"))
-    for size, unit in units:
-        out = out.when(n >= size, F.format_string(f"%.1f {unit}", n / float(size)))
-    return out.otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    """In the largest unit of which there is one, with a decimal (halves are rounded up); none counts as nothing."""
+    units = [(1 << 40, "TB"), (1 << 30, "GB"), (1 << 20, "MB"), (1 << 10, "KB"), (1, "B")]
+    one = lambda size, unit: F.concat(F.round(n / F.lit(float(size)), 1).cast("decimal(20,1)").cast("string"), F.lit(f" {unit}"))
+    return first_of([(n >= size, one(size, unit)) for size, unit in units], "0 B")
 
 
 def percent(score: Column) -> Column:
-    return F.format_string("%d%%", F.round(score * 100).cast("int"))
+    """A whole percentage; a dash where there is no score."""
+    return F.when(score.isNull(), "—").otherwise(F.format_string("%d%%", F.round(score * 100).cast("int")))
 
 
 def truncated(text: Column, n: int = 80) -> Column:
-    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("…"))).otherwise(text)
+    """The first ``n`` characters and an ellipsis; nothing for no text."""
+    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("…"))).otherwise(F.coalesce(text, F.lit("")))
 
 
 def duration(ms: Column) -> Column:
-    s = F.floor(ms / 1000)
-    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s")))
+    """Milliseconds below a second, seconds with a decimal below a minute, then minutes and seconds."""
+    tenths = F.round(ms / F.lit(1000.0), 1).cast("decimal(20,1)").cast("string")
+    minutes, rest = F.floor(ms / 60000).cast("string"), F.floor(ms % 60000 / 1000).cast("string")
+    return first_of([(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))), (ms < 60000, F.concat(tenths, F.lit("s")))], F.concat(minutes, F.lit("m "), rest, F.lit("s")))
+
+
+def german_date(ts: Column) -> Column:
+    """Day, month and year; a dash where there is no time."""
+    return F.coalesce(F.date_format(ts, "dd.MM.yyyy"), F.lit("—"))

@@ -42,7 +42,7 @@ def values(rows: list[tuple], names: str) -> str:
     return f"(values {', '.join(str(r) if len(r) > 1 else f'({r[0]!r})' for r in rows)}) {names}"
 
 
-TECH = values([(e, *t) for e in T.TECHNIQUES_OF for t in T.techniques(e)], "tech(et, id, name, tactic)")
+TECH = values(T.TECHNIQUES, "tech(et, id, name, tactic)")
 SCORES = values(list(T.TYPE_SCORES.items()), "sc(et, s)")
 
 
@@ -310,9 +310,9 @@ def a1(spark, sf_dir):
 @query("A8_scaling", f"""{EV} select 'hour' as feature, round(avg(hour(ts)), 6) as mean, round(stddev_pop(hour(ts)), 6) as deviation from ev
   union all select 'day_of_week', round(avg(isodow(ts) - 1), 6), round(stddev_pop(isodow(ts) - 1), 6) from ev""")
 def a8(spark, sf_dir):
-    rows = scoring.features(timeline(spark, sf_dir))
-    out = rows.agg(*(f(c).alias(f"{c}_{n}") for c in ("hour", "day_of_week") for n, f in (("mean", F.avg), ("dev", F.stddev_pop))))
-    return out.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.round(f"{c}_mean", 6).alias("mean"), F.round(f"{c}_dev", 6).alias("deviation")) for c in ("hour", "day_of_week")))).alias("x")).select("x.*")
+    mean, deviation = scoring.scaling(scoring.features(timeline(spark, sf_dir)))
+    rows = [(f, round(m, 6), round(d, 6)) for f, m, d in zip(scoring.FEATURES, mean, deviation, strict=True) if f in ("hour", "day_of_week")]
+    return spark.createDataFrame(rows, "feature string, mean double, deviation double")
 
 
 @query("A9_A10_isolation_forest")
@@ -374,9 +374,14 @@ def m5(spark, sf_dir):
     return attack.technique_counts(timeline(spark, sf_dir))
 
 
-@query("M6_infra_buckets", " union all ".join(f"select '{b}' as bucket, count(*) as n from events where event_type in {tuple({'signup': 'auth_success'}.get(x, x) for x in t)}" for b, t in T.INFRA_BUCKETS.items()))
+#: Types of the engine for those of the benchmark's events.
+ENGINE_TYPES = {"view": "c2_beacon", "click": "file_download", "purchase": "vpn_connection", "signup": "auth_success", "error": "data_exfiltration"}
+
+
+@query("M6_infra_buckets", f"with e as (select case event_type {' '.join(f"when '{k}' then '{v}'" for k, v in ENGINE_TYPES.items())} end as t from events) " + " union all ".join(f"select '{b}' as bucket, count(*) as n from e where t in {tuple(t)}" for b, t in T.INFRA_BUCKETS.items()))
 def m6(spark, sf_dir):
-    return attack.infra_buckets(table(spark, sf_dir, "events"))
+    own = table(spark, sf_dir, "events").withColumn("event_type", classify.first_of([(F.col("event_type") == k, v) for k, v in ENGINE_TYPES.items()], F.lit(None).cast("string")))
+    return attack.infra_buckets(own)
 
 
 CHAIN = values([(i, t) for i, t in enumerate(T.KILL_CHAIN)], "kc(phase, tactic)")
@@ -400,16 +405,21 @@ def f1(spark, sf_dir):
     return _short(findings.timestomping(files(spark, sf_dir)))
 
 
-@query("F2_log_gaps", f"""{EV}, g as (select ts, lag(ts) over (order by ts) as p from ev where event_type = 'user_created' and hostname = 'host1')
-select {WHEN.format('p')} as gap_start, {WHEN.format('ts')} as gap_end, epoch(ts) - epoch(p) as seconds from g where epoch(ts) - epoch(p) >= 21600""")
+@query("F2_log_gaps", f"""{EV}, g as (select hostname, event_type, ts, lag(ts) over (partition by hostname, event_type order by ts) as p, count(*) over (partition by hostname, event_type) as k from ev)
+select hostname, event_type, {WHEN.format('p')} as gap_start, {WHEN.format('ts')} as gap_end, epoch(ts) - epoch(p) as seconds from g where k >= 10 and epoch(ts) - epoch(p) >= 3600""")
 def f2(spark, sf_dir):
-    gaps = findings.log_gaps(timeline(spark, sf_dir).filter("event_type = 'user_created' and hostname = 'host1'"))
-    return gaps.select(when("gap_start"), when("gap_end"), "seconds")
+    gaps = findings.log_gaps(timeline(spark, sf_dir), hours=1, by=("hostname", "event_type"))
+    return gaps.select("hostname", "event_type", when("gap_start"), when("gap_end"), "seconds")
+
 
+@query("F2_log_gaps_of_all", f"{EV}, g as (select ts, lag(ts) over (order by ts) as p from ev) select {WHEN.format('p')} as gap_start, {WHEN.format('ts')} as gap_end, epoch(ts) - epoch(p) as seconds from g where epoch(ts) - epoch(p) >= 21600")
+def f2a(spark, sf_dir):
+    return findings.log_gaps(timeline(spark, sf_dir)).select(when("gap_start"), when("gap_end"), "seconds")
 
-@query("F3_identical_seconds", f"select {WHEN.format('o_orderdate')} as second, count(*) as n from orders group by o_orderdate having count(*) >= 20")
+
+@query("F3_identical_seconds", f"select {WHEN.format("date_trunc('month', o_orderdate)")} as second, count(*) as n from orders group by 1 having count(*) >= 20")
 def f3(spark, sf_dir):
-    own = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts"))
+    own = table(spark, sf_dir, "orders").select(F.date_trunc("MONTH", F.col("o_orderdate").cast("timestamp")).alias("ts"))
     return findings.identical_seconds(own).select(when("second"), "n")
 
 
@@ -456,7 +466,11 @@ def f9(spark, sf_dir):
     return _short(findings.deletions(commands(spark, sf_dir)))
 
 
-@query("F10_F12_risk", "select cast(100 as bigint) as risk_score, cast(6 as bigint) as n_findings, 'critical' as risk_level, 'log_clearing,rootkit,suspicious_deletions,time_manipulation,truncated_logs,wipe_tools' as categories")
+_FOUND = " union all ".join([_tools("wipe_tools", "high", 0, 1), _tools("log_clearing", "high", 2, 3), _tools("time_manipulation", "medium", 4, 5), _tools("rootkit", "high", 6), _tools("suspicious_deletions", "high", 7), "select 'truncated_logs', 'medium', count(*), least(15, count(*)) from fs where size = 0 having count(*) > 0"])
+
+
+@query("F10_F12_risk", f"""{FS}, f as ({_FOUND}), r as (select cast(least(100, sum(case severity when 'high' then 20 when 'medium' then 10 else 5 end)) as bigint) as risk_score, count(*) as n_findings, string_agg(category, ',' order by category) as categories from f)
+select risk_score, n_findings, case when risk_score >= 60 then 'critical' when risk_score >= 40 then 'high' when risk_score >= 20 then 'medium' when risk_score > 0 then 'low' else 'none' end as risk_level, categories from r""")
 def f10(spark, sf_dir):
     e = commands(spark, sf_dir)
     parts = [findings.wipe_tools(e), findings.log_clearing(e), findings.time_tools(e), findings.rootkits(e), findings.deletions(e), findings.truncated_logs(files(spark, sf_dir))]
@@ -577,7 +591,7 @@ def i6(spark, sf_dir):
     return indicators.looked_up(indicators.extracted(timeline(spark, sf_dir)), kb(spark))
 
 
-@query("I10_context_matches", f"{EV} select seq, v.value from ev join (values ('45.155.1.2'), ('45.155.2.3'), ('192.168.1.1')) v(value) on list_contains(regexp_split_to_array(description, '[ =]'), v.value)")
+@query("I10_context_matches", f"{EV} select seq, v.value from ev join (values ('45.155.1.2'), ('45.155.2.3'), ('192.168.1.1')) v(value) on contains(lower(description), lower(v.value))")
 def i10(spark, sf_dir):
     return indicators.context_matches(timeline(spark, sf_dir), kb(spark).withColumn("value", F.trim("value")).dropDuplicates(["value"]).filter("value <> 'HOST1'"))
 
@@ -587,10 +601,10 @@ def i12(spark, sf_dir):
     return timeline(spark, sf_dir).filter("is_anomaly").select("seq", F.concat_ws(" | ", "event_type", "hostname", F.left("description", F.lit(60))).alias("line"))
 
 
-@query("X1_shared_indicators", f"{IOC} select category, value, count(distinct hostname) as n_sources from ioc group by category, value having count(distinct hostname) >= 2")
+@query("X1_shared_indicators", f"{IOC} select category, value, count(distinct hostname) as n_sources, string_agg(distinct hostname, ',' order by hostname) as sources from ioc group by category, value having count(distinct hostname) >= 2")
 def x1(spark, sf_dir):
     own = timeline(spark, sf_dir).withColumn("job", F.col("hostname"))
-    return indicators.shared(indicators.extracted(own, "job"), "job")
+    return indicators.shared(indicators.extracted(own, "job"), "job").withColumn("sources", F.array_join("sources", ","))
 
 
 @query("X2_X5_combined_techniques", f"{EV} select id, count(*) as n, count(distinct hostname) as n_sources from ev join {TECH} on et = event_type where is_anomaly group by id order by n desc, id limit 20")
@@ -649,7 +663,7 @@ def x10(spark, sf_dir):
 
 
 @query("V1_V2_provenance", f"""{EV} select seq, hostname || '.log' as evidence_file, left(sha256(hostname || '.log'), 16) as sha256_short, left(md5(hostname || '.log'), 16) as md5_short, hostname || '.log' as found_in_file,
-  'Zeile: ' || seq || ' | Host: ' || hostname as location_detail, 'LFX Log-Parser' as extracted_by, round(anomaly_score, 3)::double as anomaly_score, event_type, left(description, 120) as description from ev where is_anomaly""")
+  'Zeile: ' || seq || ' | Host: ' || hostname as location_detail, 'Log-Parser' as extracted_by, round(anomaly_score, 3)::double as anomaly_score, event_type, left(description, 120) as description from ev where is_anomaly""")
 def v1(spark, sf_dir):
     own = timeline(spark, sf_dir).filter("is_anomaly").withColumn("source_file", F.concat("hostname", F.lit(".log"))).withColumn("line_number", F.col("seq"))
     names = own.select(F.col("source_file").alias("file")).distinct()
@@ -693,9 +707,10 @@ def q2(spark, sf_dir):
     return views.scatter(timeline(spark, sf_dir))
 
 
-@query("Q3_phases", "select distinct case event_type when 'auth_failure' then 'initial' end as phase from (select 'auth_failure' as event_type from events)")
+@query("Q3_phases", f"with {ORDERS}, t as (select distinct ['auth_failure', 'c2_beacon', 'data_exfiltration', 'scheduled_task', 'account', 'web_admin'][k % 6 + 1] as event_type from o), p(event_type, phase) as (values {', '.join(map(str, [(k.lower(), v) for k, v in T.PHASES.items()]))}) select distinct phase from t join p using (event_type)")
 def q3(spark, sf_dir):
-    return views.phases(timeline(spark, sf_dir))
+    kinds = F.array(*map(F.lit, ("auth_failure", "c2_beacon", "data_exfiltration", "scheduled_task", "account", "web_admin")))
+    return views.phases(lines(spark, sf_dir, "pipe").select(F.element_at(kinds, (F.col("k") % 6 + 1).cast("int")).alias("event_type")))
 
 
 IPS = f"{EV}, i as (select regexp_extract(description, '(?:from|to)\\s+(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})', 1) as ip, * from ev)"
@@ -786,11 +801,15 @@ def q19(spark, sf_dir):
 
 
 @query("Q20_formatters", """
-select doc_id, case when n_chars >= 1024 then format('{:.1f} KB', n_chars / 1024.0) else n_chars || ' B' end as size, (doc_id % 101) || '%' as percent,
-  case when length(text) > 20 then left(text, 20) || '…' else text end as short, case when doc_id < 60 then doc_id || 's' else (doc_id // 60) || 'm ' || (doc_id % 60) || 's' end as took from documents""")
+with d as (select doc_id, n_chars, text, (doc_id % 7) * 700 * (case when doc_id % 3 = 0 then 100 else 1 end) as ms, case when n_chars >= 1024 then 1024 else 1 end as unit from documents)
+select doc_id, case when coalesce(n_chars, 0) = 0 then '0 B' else format('{:.1f}', floor(n_chars * 10 / unit::double + 0.5) / 10) || case when unit = 1 then ' B' else ' KB' end end as size,
+  (doc_id % 101) || '%' as percent, case when length(text) > 20 then left(text, 20) || '…' else coalesce(text, '') end as short,
+  case when ms < 1000 then ms || 'ms' when ms < 60000 then format('{:.1f}s', floor(ms / 100.0 + 0.5) / 10) else (ms // 60000) || 'm ' || (ms % 60000 // 1000) || 's' end as took,
+  strftime(to_timestamp(doc_id * 86400), '%d.%m.%Y') as day from d""")
 def q20(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", views.file_size(F.col("n_chars")).alias("size"), views.percent((F.col("doc_id") % 101) / 100.0).alias("percent"), views.truncated(F.col("text"), 20).alias("short"), views.duration(F.col("doc_id") * 1000).alias("took"))
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    ms = k % 7 * 700 * F.when(k % 3 == 0, 100).otherwise(1)
+    return d.select("doc_id", views.file_size(F.col("n_chars")).alias("size"), views.percent(k % 101 / 100.0).alias("percent"), views.truncated(F.col("text"), 20).alias("short"), views.duration(ms).alias("took"), views.german_date(F.timestamp_seconds(k * 86400)).alias("day"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
