@@ -1,49 +1,86 @@
 """Quality classifier by co-training (Blum and Mitchell, 1998).
 
-Two views of a document are judged apart: what its text is made of, and what its page says about it (language, source, length
-and layout). Each view's logistic regression is fitted on labelled documents; in every round the documents that one view is
-sure of become pseudo-labelled for the other. At last both views are calibrated on labelled documents that were held out and
-combined by weights fitted there. Features, scores and pseudo-labels are column expressions over all documents; only the
-fits, on samples of bounded size, run on the driver.
+Two views of a document are judged apart: its text (hashed words and pairs of words, and what it is made of) and its metadata
+(language, source, stated length). Each view starts from labelled documents; in every round the documents that one view is sure
+of become pseudo-labelled for the other, and stay so: the first round that is sure of a document decides. Each view learns by
+counts of its features in good and bad documents, summed over all of them by Spark. Both are calibrated on labelled documents
+that were held out, and combined there.
+
+Labelled documents are a sample of bounded size (MAX_LABELLED); pseudo-labelled ones aren't: all that a view is sure of count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialize
+from logloom.llm.common import discard, materialize
 from logloom.llm.toxic import fit_toxic
+from logloom.llm.words import Alphabet, Words, chunks, grams, inside_text, mix
 
-#: Labelled rows, and pseudo-labelled ones, in a fit at most: a sample by a hash of the id.
+#: Labelled rows of each class at most: those with the least hashes of their ids.
 MAX_LABELLED = 20_000
 ROUNDS = 2
 #: A view is sure of what it gives less than this, or more than one less this, of a chance of being good.
 SURE = 0.02
-SOURCES, LANGS = 32, 8
+#: Hashed features of a text, and of metadata.
+WORDS, PAGE = 1 << 15, 1 << 10
+#: Counts that each feature starts with in both classes.
+PRIOR = 1.0
+
+_KINDS = np.zeros((4, 256))
+for _i, _inside in enumerate((lambda b: 0x21 <= b < 0x7F and not chr(b).isalnum() and chr(b) not in ",-.", lambda b: 0x41 <= b <= 0x5A, lambda b: 0x30 <= b <= 0x39, lambda b: b in b"|,.")):
+    _KINDS[_i] = [float(_inside(b)) for b in range(256)]
+
+
+@dataclass
+class Batch:
+    """Features of consecutive documents: word buckets with the document of each, shapes and metadata buckets of each one."""
+
+    bucket: np.ndarray
+    doc: np.ndarray
+    shape: np.ndarray
+    page: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.shape)
 
 
-def text_features(text: Column) -> list[Column]:
-    """What a text is made of: shares of kinds of characters and words. All 0 for a null or empty text."""
-    text = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    n = F.greatest(F.size(words), F.lit(1)).cast("double")
-    share = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double") / chars
-    different = F.size(F.array_distinct(words)).cast("double") / n
-    return [share(r"[\x21-\x2B\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"), share(r"\p{Lu}"), share(r"[0-9]"), share(r"\|"), share(r"[.,]"), different, different * F.log1p(n), chars / n / 10, F.log1p(n)]
+def _shape(words: Words, offsets: np.ndarray) -> np.ndarray:
+    """What each text is made of: shares of kinds of characters, of different words, lengths. All 0 for an empty text."""
+    n = np.diff(words.first)
+    size = np.maximum(np.diff(offsets), 1)
+    ends = np.concatenate([np.zeros((len(_KINDS), 1)), np.cumsum(_KINDS[:, words.data], axis=1)], axis=1)
+    shares = (ends[:, offsets[1:]] - ends[:, offsets[:-1]]) / size
+    different = np.array([len(np.unique(words.hash[a:b])) for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)], float) / np.maximum(n, 1)
+    return np.stack([*shares, different, different * np.log1p(n), size / np.maximum(n, 1) / 10 * (n > 0), np.log1p(n)], 1)
 
 
-def page_features(lang: Column, source: Column, chars: Column, text: Column) -> list[Column]:
-    """What a page says about a text: language and source (by hashed buckets), length and lines."""
-    bucket = lambda c, n: F.pmod(F.xxhash64(F.coalesce(c.cast("string"), F.lit(""))), F.lit(n))
-    one_of = lambda c, n: [(bucket(c, n) == i).cast("double") for i in range(n)]
-    size = F.coalesce(chars.cast("double"), F.lit(0.0))
-    lines = (F.regexp_count(F.coalesce(text, F.lit("")), F.lit("\n")) + 1).cast("double")
-    return [F.log1p(F.greatest(size, F.lit(0.0))), F.log1p(lines), F.log1p(size / lines), *one_of(lang, LANGS), *one_of(source, SOURCES)]
+def _page(lang: list, source: list, chars: list) -> np.ndarray:
+    """Buckets of language, source, both, and stated length by powers of two; nulls are values of their own."""
+    size = [None if c is None else int(np.log2(max(c, 0) + 1)) for c in chars]
+    named = [[f"l {a}", f"s {b}", f"ls {a} {b}", f"n {c}"] for a, b, c in zip(lang, source, size, strict=True)]
+    hashed = np.array([[int.from_bytes(x.encode()[-8:], "little") ^ len(x) << 40 ^ sum(x.encode()) << 48 for x in row] for row in named], np.uint64).reshape(-1, 4)
+    return (mix(hashed) % np.uint64(PAGE)).astype(np.int64)
+
+
+def _batches(batch: pa.RecordBatch, text: str, lang: str, source: str, chars: str) -> Iterator[tuple[int, Batch]]:
+    """(first row, features) of parts of an Arrow batch."""
+    column = lambda c: batch.column(batch.schema.get_field_index(c))
+    meta = [column(c).to_pylist() for c in (lang, source, chars)]
+    for a, b, words in chunks(column(text), Alphabet("space", fold=True)):
+        of_word = words.text_of_word()
+        pairs = inside_text(words, 2)
+        both = np.concatenate([words.hash, grams(words.hash, 2)[pairs]])
+        doc = np.concatenate([of_word, of_word[: len(pairs)][pairs]])
+        lengths = np.array([len((x or "").encode()) for x in column(text).slice(a, b - a).to_pylist()], np.int64)
+        shape = _shape(words, np.concatenate([[0], np.cumsum(lengths)]))
+        yield a, Batch((mix(both) % np.uint64(WORDS)).astype(np.int64), doc, shape, _page(*(m[a:b] for m in meta)))
 
 
 @dataclass
@@ -52,94 +89,183 @@ class Logistic:
     bias: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Logistic:
-        """By Newton steps, on standardised features; classes weigh the same."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> Logistic:
+        """By Newton steps, on standardised features."""
         mean, scale = x.mean(0), x.std(0) + 1e-9
         z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-        each = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         w, penalty = np.zeros(z.shape[1]), ridge * np.eye(z.shape[1])
         penalty[-1, -1] = 1e-6
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (each * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + penalty, z.T @ (each * (y - p)) - penalty @ w)
+            step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
             w = w + np.clip(step, -5, 5)
             if np.abs(step).max() < 1e-6:
                 break
         return cls(w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum()))
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights + self.bias
+        return np.clip(x @ self.weights + self.bias, -20, 20)
 
-    def column(self, features: list[Column]) -> Column:
-        out = F.lit(self.bias)
-        for w, f in zip(self.weights.tolist(), features, strict=True):
-            out = out + F.lit(w) * f
-        return out
 
+def _chance(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-logit))
 
-def _chance(logit: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
+
+def _odds(counts: np.ndarray) -> np.ndarray:
+    """Log-odds of each feature from its counts (bad, good)."""
+    share = (counts + PRIOR) / (counts + PRIOR).sum(1, keepdims=True)
+    return np.log(share[1]) - np.log(share[0])
+
+
+@dataclass
+class Views:
+    """Both views: log-odds of words and of metadata, and the logits that calibrate them."""
+
+    words: np.ndarray
+    page: np.ndarray
+    text_fit: Logistic | None = None
+    page_fit: Logistic | None = None
+
+    def features(self, x: Batch) -> tuple[np.ndarray, np.ndarray]:
+        total = np.bincount(x.doc, self.words[x.bucket], len(x))
+        mean = total / np.maximum(np.bincount(x.doc, minlength=len(x)), 1)
+        return np.hstack([mean[:, None], x.shape]), self.page[x.page].sum(1)[:, None]
+
+    def logits(self, x: Batch) -> tuple[np.ndarray, np.ndarray]:
+        t, p = self.features(x)
+        return self.text_fit.logit(t), self.page_fit.logit(p)
 
 
 @dataclass
 class QualityModel:
-    """Both views and how their logits combine: (text, page, bias). Without views all documents score ``prior``."""
+    """Both views and how their logits combine. Without views all documents score ``prior``."""
 
-    text: Logistic | None
-    page: Logistic | None
-    mix: tuple[float, float, float]
+    views: Views | None
+    mix: Logistic | None
     prior: float = 1.0
 
     def scored(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
         """``docs`` with p_text, p_page and score: chances that the document is good."""
-        if self.text is None or self.page is None:
+        if self.views is None:
             return docs.select("*", *(F.lit(self.prior).alias(c) for c in ("p_text", "p_page", "score")))
-        text = self.text.column(text_features(F.col(text_col)))
-        page = self.page.column(page_features(F.col(lang_col), F.col(source_col), F.col(chars_col), F.col(text_col)))
-        a, b, c = self.mix
-        clip = lambda x: F.greatest(F.least(x, F.lit(20.0)), F.lit(-20.0))
-        both = docs.withColumn("__t", clip(text)).withColumn("__p", clip(page))
-        return both.select(*docs.columns, _chance(F.col("__t")).alias("p_text"), _chance(F.col("__p")).alias("p_page"), _chance(a * F.col("__t") + b * F.col("__p") + c).alias("score"))
+        model = docs.sparkSession.sparkContext.broadcast((self.views, self.mix))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            views, mixed = model.value
+            for batch in batches:
+                for a, x in _batches(batch, text_col, lang_col, source_col, chars_col):
+                    t, p = views.logits(x)
+                    out = (_chance(t), _chance(p), _chance(mixed.logit(np.stack([t, p], 1))))
+                    part = batch.slice(a, len(x))
+                    yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, out)], [*part.schema.names, "p_text", "p_page", "score"])
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        return docs.mapInArrow(score, f"{kinds}, p_text double, p_page double, score double")
+
+
+class _Fit:
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, chars_col: str, label_col: str):
+        given = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
+        given = given.withColumn("held", F.pmod(F.xxhash64("id"), F.lit(4)) == 0)
+        self.own = {r["id"]: (r["y"], r["held"]) for y in (0, 1) for r in given.filter(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(MAX_LABELLED).collect()}
+        kinds = [y for y, held in self.own.values() if held], [y for y, held in self.own.values() if not held]
+        if not all(min(sum(k), len(k) - sum(k)) >= 5 for k in kinds):  # too few to hold any out: all serve for both
+            self.own = {i: (y, None) for i, (y, _) in self.own.items()}
+        self.rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(chars_col).cast("double").alias("chars"))
+        self.given = docs.sparkSession.sparkContext.broadcast(self.own)
+
+    def sample(self) -> DataFrame:
+        """The labelled rows of the sample."""
+        given, schema = self.given, self.rows.schema
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([i in given.value for i in batch.column(0).to_pylist()], pa.bool_()))
+
+        return materialize(self.rows.mapInArrow(pick, schema), "labelled")
+
+    def counted(self, rows: DataFrame, rounds: list[Views], pseudo: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Counts (bad, good) of words and metadata: over labelled rows, or over the others by what earlier rounds are sure of."""
+        given = self.given
+        earlier = rows.sparkSession.sparkContext.broadcast(rounds)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, page = np.zeros((2, WORDS), np.int64), np.zeros((2, PAGE), np.int64)
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                for a, x in _batches(batch, "text", "lang", "source", "chars"):
+                    of = [given.value.get(i) for i in ids[a : a + len(x)]]
+                    known = np.array([o is not None for o in of], bool)
+                    for_text = for_page = np.array([-1 if o is None or o[1] else o[0] for o in of], np.int64)
+                    if pseudo:
+                        for_text, for_page = np.full(len(x), -1), np.full(len(x), -1)
+                        for views in earlier.value:
+                            t, p = map(_chance, views.logits(x))
+                            sure = lambda c: np.where(c > 1 - SURE, 1, np.where(c < SURE, 0, -1))
+                            for_text, for_page = np.where(for_text < 0, sure(p), for_text), np.where(for_page < 0, sure(t), for_page)
+                        for_text[known] = for_page[known] = -1
+                    for y in (0, 1):
+                        words[y] += np.bincount(x.bucket[for_text[x.doc] == y], minlength=WORDS)
+                        page[y] += np.bincount(x.page[for_page == y].ravel(), minlength=PAGE)
+            both = np.concatenate([words, page], 1)
+            y, at = np.nonzero(both)
+            yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(both[y, at])], ["y", "at", "n"])
+
+        got = rows.mapInArrow(count, "y int, at int, n long").groupBy("y", "at").agg(F.sum("n").alias("n")).toArrow()  # 2 (WORDS + PAGE) at most
+        out = np.zeros((2, WORDS + PAGE))
+        out[got["y"].to_numpy(), got["at"].to_numpy()] = got["n"].to_numpy()
+        return out[:, :WORDS], out[:, WORDS:]
+
+    def calibrated(self, sample: DataFrame, views: Views) -> tuple[Views, np.ndarray, np.ndarray]:
+        """The views with logits fitted on held-out labels; those rows' logits (text, metadata) and labels."""
+        given, model = self.given, sample.sparkSession.sparkContext.broadcast(views)
 
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                for a, x in _batches(batch, "text", "lang", "source", "chars"):
+                    own = [given.value[i] for i in ids[a : a + len(x)]]
+                    use = np.array([held is not False for _, held in own], bool)
+                    t, p = model.value.features(x)
+                    yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in own], pa.int32()), pa.array(list(np.hstack([t, p])), pa.list_(pa.float64()))], ["y", "x"]).filter(pa.array(use))
 
-def _arrays(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    got = rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(limit).select("t", "p", "y", "held").collect()
-    return np.array([r["t"] for r in got], float), np.array([r["p"] for r in got], float), np.array([r["y"] for r in got], float), np.array([r["held"] for r in got], bool)
+        got = sample.mapInArrow(measure, "y int, x array<double>").toArrow()  # 2 MAX_LABELLED rows at most, but for repeated ids
+        y = got["y"].to_numpy().astype(float)
+        if not len(y) or y.min() == y.max():
+            return views, np.zeros((0, 2)), y
+        x = got["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+        order = np.lexsort(np.column_stack([x, y]).T)  # the sums don't depend on how rows came
+        x, y = x[order], y[order]
+        done = Views(views.words, views.page, Logistic.fit(x[:, :-1], y), Logistic.fit(x[:, -1:], y))
+        return done, np.stack([done.text_fit.logit(x[:, :-1]), done.page_fit.logit(x[:, -1:])], 1), y
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality") -> QualityModel:
     """A model from ``labels`` (id, 0 or 1). Labels that are null or neither don't count; of several for a document the mean
-    does, a tie being good. With no labels of one of the kinds, all documents score 1 (or 0 if all labels are 0)."""
-    given = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id2")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    features = docs.select(F.col(id_col).alias("id"), F.array(*text_features(F.col(text_col))).alias("t"), F.array(*page_features(F.col(lang_col), F.col(source_col), F.col(chars_col), F.col(text_col))).alias("p"))
-    held = F.pmod(F.xxhash64("id"), F.lit(4)) == 0
-    rows = materialize(features.join(given, F.col("id") == F.col("id2"), "left").drop("id2").withColumn("held", held), "features")
-    t, p, y, out = _arrays(rows.filter("y is not null"), MAX_LABELLED)
-    if not len(y) or y.min() == y.max():
-        return QualityModel(None, None, (0, 0, 0), float(y[0]) if len(y) else 1.0)
-    if min(y[out].sum(), (1 - y[out]).sum(), y[~out].sum(), (1 - y[~out]).sum()) < 5:
-        out = np.zeros(len(y), bool)  # too few to hold any out
-    own = ~out
-    text, page = Logistic.fit(t[own], y[own]), Logistic.fit(p[own], y[own])
-    column = lambda model, c, n: _chance(model.column([F.element_at(c, i + 1) for i in range(n)]))
-    for _ in range(ROUNDS):
-        free = rows.filter("y is null").withColumn("pt", column(text, "t", t.shape[1])).withColumn("pp", column(page, "p", p.shape[1]))
-        sure = lambda c: (F.col(c) < SURE) | (F.col(c) > 1 - SURE)
-        for_page, for_text = (free.filter(sure(c)).withColumn("y", (F.col(c) > 0.5).cast("int")) for c in ("pt", "pp"))
-        tt, _, ty, _ = _arrays(for_text, MAX_LABELLED)
-        _, pp, py, _ = _arrays(for_page, MAX_LABELLED)
-        more = lambda x, y_, x2, y2: Logistic.fit(np.vstack([x, x2]) if len(x2) else x, np.concatenate([y_, y2]))
-        text, page = more(t[own], y[own], tt, ty), more(p[own], y[own], pp, py)
-    at = out if out.any() else own
-    both = np.clip(np.stack([text.logit(t[at]), page.logit(p[at])], 1), -20, 20)
-    mix = Logistic.fit(both, y[at])
-    return QualityModel(text, page, (float(mix.weights[0]), float(mix.weights[1]), mix.bias))
+    does, a tie being good. With labels of one kind or none on documents that are there, all documents score 1 (or 0 if all
+    labels are 0)."""
+    own = _Fit(docs, labels, id_col, text_col, lang_col, source_col, chars_col, label_col)
+    if len({y for y, _ in own.own.values()}) < 2:
+        return QualityModel(None, None, float(next(iter(own.own.values()), (1, False))[0]))
+    sample = own.sample()
+    words, page = own.counted(sample, [], pseudo=False)
+    rounds = []
+    for _ in range(ROUNDS + 1):
+        more = own.counted(own.rows, rounds, pseudo=True) if rounds else (0, 0)
+        views, logits, y = own.calibrated(sample, Views(_odds(words + more[0]), _odds(page + more[1])))
+        if not len(logits):
+            return QualityModel(None, None, float(y[0]) if len(y) else 1.0)
+        rounds.append(views)
+    discard(sample)
+    return QualityModel(rounds[-1], Logistic.fit(logits, y))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
     """For each row of ``docs``: its id, p_text, p_page, score, keep (score >= 0.5), toxic (by its words, where ``labels`` has
-    a column toxic). Rows that repeat score the same; null columns count as empty or 0; an empty table gives an empty result."""
-    out = fit(docs, labels, id_col, **columns).scored(docs.select(id_col, *(c for c in ("text", "lang", "source", "n_chars"))) if not columns else docs)
-    text_col = columns.get("text_col", "text")
-    toxic = fit_toxic(docs, labels, id_col, text_col).toxic(F.col(text_col)) if "toxic" in labels.columns else F.lit(False)
-    return out.select(id_col, "p_text", "p_page", "score", (F.col("score") >= 0.5).alias("keep"), toxic.alias("toxic"))
+    a column toxic). Rows that repeat score the same; null columns are values of their own, a null text counts as empty; rows
+    without an id are scored but never count as labelled; an empty table gives an empty result. Other columns are ignored."""
+    names = {"text_col": "text", "lang_col": "lang", "source_col": "source", "chars_col": "n_chars"} | {k: v for k, v in columns.items() if k != "label_col"}
+    own = docs.select(F.col(id_col).alias("id"), *(F.col(v).alias(k) for k, v in names.items()))
+    out = fit(docs, labels, id_col, **columns).scored(own, *names)
+    toxic = fit_toxic(docs, labels, id_col, names["text_col"]).toxic(F.col("text_col")) if "toxic" in labels.columns else F.lit(False)
+    return out.select(F.col("id").alias(id_col), "p_text", "p_page", "score", (F.col("score") >= 0.5).alias("keep"), toxic.alias("toxic"))

@@ -201,13 +201,34 @@ def test_decontamination(spark, limit):
 
 
 def test_quality_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = (queries.table(spark, sf, t) for t in ("documents", "labels"))
     test = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(4)) == 0
-    scored = quality.quality(docs, labels.filter(~test)).join(labels.filter(test), "doc_id").collect()
-    assert np.mean([r["keep"] == (r["quality"] == 1) for r in scored]) > 0.85
+    model = quality.fit(docs, labels.filter(~test))
+    got = model.scored(docs.join(labels.filter(test).select("doc_id", "quality"), "doc_id")).select("quality", "p_text", "p_page", "score").toPandas()
+    y, right, error = got["quality"].to_numpy(), {}, {}
+    for c in ("p_text", "p_page", "score"):
+        p = got[c].to_numpy()
+        right[c] = np.mean((p >= 0.5) == (y == 1))
+        bins = np.minimum((p * 10).astype(int), 9)
+        error[c] = sum(abs(p[bins == b].mean() - y[bins == b].mean()) * np.mean(bins == b) for b in set(bins))
+    print(right, error)
+    assert right["score"] > 0.9 and right["score"] >= max(right["p_text"], right["p_page"]) - 0.005
+    assert max(error.values()) < 0.05
+
+
+def test_quality_of_odd_rows(spark):
+    """Nulls in every column, repeated rows, empty texts, other columns, no labels, labels of one kind."""
+    rows = [(i, "good plain words here" if i % 2 else "!! || ## 77", "en" if i % 3 else None, None if i % 5 == 0 else "s", None if i % 4 == 0 else 20, "clash") for i in range(60)]
+    rows += [(None, None, None, None, None, None), (1, "", "en", "s", 0, None), (2, "x", "en", "s", 1, "a"), (2, "x", "en", "s", 1, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    labels = docs.filter("doc_id < 40").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).dropDuplicates()
+    got = quality.quality(docs, labels).collect()
+    assert len(got) == len(rows)
+    assert all(r["keep"] == (r["doc_id"] % 2 == 1) for r in got if r["doc_id"] and r["doc_id"] >= 40)
+    for some, keep in ((labels.limit(0), True), (labels.filter("quality = 1"), True), (labels.filter("quality = 0"), False)):
+        assert {r["keep"] for r in quality.quality(docs, some).collect()} == {keep}
     assert quality.quality(docs.limit(0), labels).count() == 0
-    assert quality.quality(docs, labels.limit(0)).filter("keep").count() == docs.count()
 
 
 def test_line_dedup(spark):
