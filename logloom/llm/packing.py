@@ -38,7 +38,8 @@ _LETTERS = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")  # no apostrophe
 
 
 class Encoder(dict):
-    """Ids of texts by a tokenizer that lower-cases and neither joins nor looks across blanks.
+    """Ids of texts by a tokenizer that lower-cases and neither joins nor looks across blanks, but for strings of its own special
+    tokens: a text that may hold one is encoded whole.
 
     The ids of words are kept for reuse, as little-endian unsigned 32-bit integers, in two generations: when the newer one is
     full it becomes the older one, and words that come again move back.
@@ -48,7 +49,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
@@ -72,8 +73,14 @@ class Encoder(dict):
         if len(self) > MEMO_WORDS // 2:
             self.older = dict(self)
             self.clear()
-        split = (_BLANK.split(t) if _ODD_BLANKS.search(t) else t.split() for t in ((t or "") for t in texts))
-        return [b"".join(map(self.__getitem__, words)) + LAST for words in split]
+        out = []
+        for text in ((t or "") for t in texts):
+            low = text.lower()
+            if any(t in low for t in self.special):
+                out.append(self.encode(text) + LAST)
+            else:
+                out.append(b"".join(map(self.__getitem__, _BLANK.split(text) if _ODD_BLANKS.search(text) else text.split())) + LAST)
+        return out
 
 
 @lru_cache(maxsize=1)

@@ -1,15 +1,18 @@
 """Secret scans: patterns, and the novelty of strings to a dictionary-primed zstandard compressor.
 
 A long string with a sensitive word in the text around it, on either side and across lines, is a candidate, and so is one
-that follows a candidate closely, as the lines of a key block do. It is compressed together with the text around it by a compressor that
-already knows common identifiers; what it adds to the compressed size, in bytes, tells how much of it neither the code around
-nor the dictionary explains. Random keys add about as many bytes as they carry; names and words add few.
+that follows a candidate closely, as the lines of a key block do. It is compressed together with the text around it by a
+compressor that already knows common identifiers: those of code, and those that most documents of the corpus hold, which are
+counted first. What the string adds to the compressed size, in bytes, tells how much of it neither the text around nor the
+dictionary explains. Random keys add about as many bytes as they carry; names and words add few. Strings that the patterns
+found are measured as well.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +32,13 @@ SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key"
 AROUND = 400
 #: A candidate is reported if it adds so many bytes for each of its characters, and so many in all.
 LEAST_SHARE, LEAST_BYTES = 0.7, 12
-_CANDIDATE = re.compile(r"(?![0-9]+(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{16,}")  # not plain numbers
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")  # plain numbers are no candidates
+_DIGITS = re.compile(r"[0-9]+")
+#: Identifiers of the corpus: letters alone, as keys seldom are; so many of the most frequent ones make the dictionary.
+_IDENTIFIER = re.compile(r"[A-Za-z_]{3,24}")
+MAX_IDENTIFIERS = 4096
+#: Counts of so many different ones are held in a task; then they are passed on.
+HELD = 200_000
 
 #: What the compressor knows from the start.
 IDENTIFIERS = """
@@ -53,9 +62,29 @@ def _compressor(identifiers: str):
     import zstandard
 
     known = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(level=9)
     return zstandard.ZstdCompressor(level=9, dict_data=known, write_checksum=False, write_content_size=False)
 
 
+def common_identifiers(docs: DataFrame, text_col: str = "text", most: int = MAX_IDENTIFIERS) -> str:
+    """The identifiers that most documents of the whole corpus hold, the commonest last: there a compressor finds them best."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(set(_IDENTIFIER.findall(text or "")))
+                if len(seen) > HELD:
+                    yield rows()
+                    seen.clear()
+        yield rows()
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    best = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()
+    return " ".join(r["word"] for r in reversed(best))
+
+
 def marginal_bytes(text: str, start: int, stop: int, identifiers: str = IDENTIFIERS) -> int:
     """Bytes that the string adds to the compressed text around it."""
     before, own, after = text[max(0, start - AROUND) : start], text[start:stop], text[stop : stop + AROUND]
@@ -74,16 +103,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], identifiers: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
-    """Incompressible strings amid sensitive words, apart from ``taken`` spans. The sensitive context goes on from a find to the
-    strings within AROUND characters after it."""
+def novel_spans(text: str, identifiers: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
+    """Incompressible strings amid sensitive words. The sensitive context goes on from a find to the strings within AROUND
+    characters after it."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
     out, reach = [], -1
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for s, _, e in taken):
+        if _DIGITS.fullmatch(text, a, b):
             continue
         # the string's own characters are no context; lower-casing may change lengths, so it comes after the cut
         near = a <= reach or any(w in part for part in (text[max(0, a - AROUND) : a].lower(), text[b : b + AROUND].lower()) for w in SENSITIVE)
@@ -97,13 +126,17 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identifiers: str = IDENTIFIERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identifiers: str | None = None) -> DataFrame:
     """For each row of ``docs``: its id, n_assign, n_access, n_hex, n_novel, base_sha256, spans.
 
+    ``identifiers``: what the compressor knows from the start; None: IDENTIFIERS and the common ones of ``docs``, counted first.
+
     ``spans`` lists kind:start:end of all finds by start, then kind; code points, end exclusive. A null or empty text has none.
     Rows that repeat are reported as often; rows without an id keep the null. An empty table gives an empty result. Other
-    columns are ignored, whatever their names. Nothing is shuffled: every text is scanned whole, by itself.
+    columns are ignored, whatever their names. Only counts of identifiers are shuffled: every text is scanned whole, by itself.
     """
+    if identifiers is None:
+        identifiers = f"{IDENTIFIERS} {common_identifiers(docs, text_col)}"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +146,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 base, found = [], []
                 for text in part.column(1).to_pylist():
                     base.append(base_spans(text or ""))
-                    found.append(sorted(base[-1] + novel_spans(text or "", base[-1], identifiers)))
+                    found.append(sorted(base[-1] + novel_spans(text or "", identifiers)))
                 counts = [pa.array([sum(k == kind for _, k, _ in x) for x in found], pa.int64()) for kind in range(4)]
                 hashes = [hashlib.sha256(written(x).encode()).hexdigest() for x in base]
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(hashes, pa.string()), pa.array(map(written, found), pa.string())], ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])

@@ -84,8 +84,7 @@ def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    more = [(900, "Straße O'Neil's a-b 12.5 \x1c x y İ </s> 你好"), (901, "word, word. Word! WORD")]
+    more = [(902, "hi <|startoftext|> there <|ENDofText|>x [UNK] <s> </s> <pad>"), (900, "Straße O'Neil's a-b 12.5 \x1c x y İ </s> 你好"), (901, "word, word. Word! WORD")]
     rows = packing.packed(table_of(spark, texts + more), queries.tokenizer_path(), size=64).collect()
     for i, t in texts + more:
         own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
@@ -137,6 +136,7 @@ def test_secret_scan(spark):
     spans = [f"assign:0:{at('x') + 1}", f"access:{at('AKIA')}:{at('AKIA') + 21}", f"hex:{at('deadbeef')}:{at('deadbeef') + 26}"]
     spans[0] = f"assign:0:{at('hunter22x') + 9}"
     assert a["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+    spans.insert(2, spans[1].replace("access", "novel"))  # what a pattern found is measured as well
     assert a["spans"] == ",".join([*spans, f"novel:{at(odd)}:{at(odd) + len(odd)}"])
     assert rows[2]["spans"] == rows[3]["spans"] == "" and rows[4]["spans"] == "assign:21:33"
 
@@ -322,7 +322,32 @@ def test_secrets_across_lines():
         (f"nothing of note\n{odd[0]}\n", []),
     ]
     for text, want in cases:
-        assert [text[a:b] for a, _, b in secrets.novel_spans(text, [])] == want
+        assert [text[a:b] for a, _, b in secrets.novel_spans(text)] == want
+
+
+def test_secrets_planted(spark):
+    """Base spans against a plain search; random keys amid sensitive words are found, names and prose aren't."""
+    r = random.Random(8)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = [a + b + c for a in ("customer_", "billing_", "session_", "internal_") for b in ("authentication_", "repository_", "connection_") for c in ("handler_class", "factory_name", "service_client")]
+    texts, planted = [], {}
+    for i in range(300):
+        key = "".join(r.choice(chars) for _ in range(r.choice((20, 32, 44))))
+        said = " ".join(r.choice(names) if r.random() < 0.3 else r.choice(("value", "of", "the", "token", "for", "a", "request")) for _ in range(60))
+        line = r.choice(("the private credential is {} today", "secret = '{}'", "bearer {}", "access_key:\n  {}")).format(key)
+        texts.append((i, f"{said}\n{line}\n{said}" if i % 2 else said))
+        if i % 2:
+            planted[i] = key
+    rows = {x["doc_id"]: x["spans"] for x in secrets.scan_secrets(table_of(spark, texts)).collect()}
+    novel = lambda i: [texts[i][1][int(a) : int(b)] for k, a, b in (x.split(":") for x in rows[i].split(",") if x) if k == "novel"]
+    found = sum(planted[i] in novel(i) for i in planted)
+    wrong = sum(x != planted.get(i) for i, _ in texts for x in novel(i))
+    assert found >= 0.9 * len(planted) and wrong <= 0.01 * len(texts), (found, len(planted), wrong)
+    kinds = {"assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", "access": r"AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
+    for i, t in texts:
+        base = sorted((m.start(), list(kinds).index(k), m.end(), k) for k, p in kinds.items() for m in re.finditer(p, t))
+        assert [x for x in rows[i].split(",") if x and not x.startswith("novel")] == [f"{k}:{a}:{b}" for a, _, b, k in base]
+    secrets.novel_spans("secret " + "7" * 1_000_000)  # in time that grows with the length
 
 
 @pytest.mark.parametrize("limit", [0, 10**9])
