@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,13 @@ WORDS, PAGE = 1 << 15, 1 << 10
 #: Counts that each feature starts with in both classes.
 PRIOR = 1.0
 
-_KINDS = np.zeros((4, 256))
-for _i, _inside in enumerate((lambda b: 0x21 <= b < 0x7F and not chr(b).isalnum() and chr(b) not in ",-.", lambda b: 0x41 <= b <= 0x5A, lambda b: 0x30 <= b <= 0x39, lambda b: b in b"|,.")):
-    _KINDS[_i] = [float(_inside(b)) for b in range(256)]
+#: Which bytes are of a kind: other marks, upper case, digits, and marks that part.
+_KINDS = [
+    np.array([0x21 <= b < 0x7F and not chr(b).isalnum() and chr(b) not in ",-." for b in range(256)], np.int32),
+    np.array([0x41 <= b <= 0x5A for b in range(256)], np.int32),
+    np.array([0x30 <= b <= 0x39 for b in range(256)], np.int32),
+    np.array([b in b"|,." for b in range(256)], np.int32),
+]
 
 
 @dataclass
@@ -55,8 +60,10 @@ def _shape(words: Words, offsets: np.ndarray) -> np.ndarray:
     """What each text is made of: shares of kinds of characters, of different words, lengths. All 0 for an empty text."""
     n = np.diff(words.first)
     size = np.maximum(np.diff(offsets), 1)
-    ends = np.concatenate([np.zeros((len(_KINDS), 1)), np.cumsum(_KINDS[:, words.data], axis=1)], axis=1)
-    shares = (ends[:, offsets[1:]] - ends[:, offsets[:-1]]) / size
+    shares = []
+    for kind in _KINDS:  # one at a time, so that little memory is held
+        ends = np.concatenate([[0], np.cumsum(kind[words.data])])
+        shares.append((ends[offsets[1:]] - ends[offsets[:-1]]) / size)
     different = np.array([len(np.unique(words.hash[a:b])) for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)], float) / np.maximum(n, 1)
     return np.stack([*shares, different, different * np.log1p(n), size / np.maximum(n, 1) / 10 * (n > 0), np.log1p(n)], 1)
 
@@ -78,7 +85,7 @@ def _batches(batch: pa.RecordBatch, text: str, lang: str, source: str, chars: st
         pairs = inside_text(words, 2)
         both = np.concatenate([words.hash, grams(words.hash, 2)[pairs]])
         doc = np.concatenate([of_word, of_word[: len(pairs)][pairs]])
-        lengths = np.array([len((x or "").encode()) for x in column(text).slice(a, b - a).to_pylist()], np.int64)
+        lengths = pc.fill_null(pc.binary_length(column(text).slice(a, b - a)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         shape = _shape(words, np.concatenate([[0], np.cumsum(lengths)]))
         yield a, Batch((mix(both) % np.uint64(WORDS)).astype(np.int64), doc, shape, _page(*(m[a:b] for m in meta)))
 
@@ -176,13 +183,8 @@ class _Fit:
 
     def sample(self) -> DataFrame:
         """The labelled rows of the sample."""
-        given, schema = self.given, self.rows.schema
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([i in given.value for i in batch.column(0).to_pylist()], pa.bool_()))
-
-        return materialize(self.rows.mapInArrow(pick, schema), "labelled")
+        ids = self.rows.sparkSession.createDataFrame([(i,) for i in self.own], self.rows.select("id").schema)  # 2 MAX_LABELLED at most
+        return materialize(self.rows.join(F.broadcast(ids), "id", "left_semi"), "labelled")
 
     def counted(self, rows: DataFrame, rounds: list[Views], pseudo: bool) -> tuple[np.ndarray, np.ndarray]:
         """Counts (bad, good) of words and metadata: over labelled rows, or over the others by what earlier rounds are sure of."""
