@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken together up to so many bytes; a longer one comes alone, whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _STEP = 0x9E3779B97F4A7C15
 _ODD = 0xD6E8FEB86659FD93
