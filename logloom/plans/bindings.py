@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import parse
+from logloom.operators import results
 from logloom.operators.normalize import normalized
 
 #: Syslog lines carry no year.
@@ -114,3 +117,11 @@ def doc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     none = F.lit(None).cast("string")
     return d.select(F.col("doc_id").alias("seq"), F.col("text").alias("description"), F.col("source").alias("job"), *(none.alias(c) for c in ("user", "process", "hostname", "path", "src_ip")))
+
+
+def written(spark: SparkSession, sf_dir: str) -> str:
+    """The folder in which an analysis of the timeline, by its given scores, has left its results."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    out = f"{shared}/logloom-results-{uuid.uuid4().hex}"
+    results.analyse(spark, timeline(spark, sf_dir), files(spark, sf_dir), out, "job-1", score=False)
+    return out

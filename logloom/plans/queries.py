@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions import classify, parse
 from logloom.functions import tables as T
-from logloom.operators import attack, evidence, findings, indicators, normalize, profile, scoring, views
-from logloom.plans.bindings import FILES, ORDERS, TIMELINE, YEAR, doc_events, files, lines, parsed, syslog_lines, table, text, timeline
+from logloom.operators import attack, evidence, findings, indicators, normalize, profile, results, scoring, views
+from logloom.plans.bindings import FILES, ORDERS, TIMELINE, YEAR, doc_events, files, lines, parsed, syslog_lines, table, text, timeline, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -812,6 +812,53 @@ def q20(spark, sf_dir):
     return d.select("doc_id", views.file_size(F.col("n_chars")).alias("size"), views.percent(k % 101 / 100.0).alias("percent"), views.truncated(F.col("text"), 20).alias("short"), views.duration(ms).alias("took"), views.german_date(F.timestamp_seconds(k * 86400)).alias("day"))
 
 
+# --- results that are written and read back ----------------------------------------------------------------------------------------------
+
+
+@query("K1_K14_written_results", f"""{BOTH} select 'normalized' as output, count(*) as n from ev union all select 'timeline.csv', count(*) from ev union all select 'files.csv', count(*) from fs
+  union all select 'anomalies', count(*) from ev where is_anomaly union all select 'provenance', count(*) from ev where is_anomaly union all select 'system_profile', 1 union all select 'summary', 1 union all select 'jobs', 1 union all select 'stage_times', 10""")
+def k1(spark, sf_dir):
+    out, n = written(spark, sf_dir), F.count(F.lit(1)).alias("n")
+    read = {"normalized": spark.read.parquet, "timeline.csv": spark.read.option("header", True).csv, "files.csv": spark.read.option("header", True).csv}
+    return normalize.united(*(read.get(name, spark.read.json)(f"{out}/{name}").agg(n).select(F.lit(name).alias("output"), "n") for name in ("normalized", "timeline.csv", "files.csv", "anomalies", "provenance", "system_profile", "summary", "jobs", "stage_times")))
+
+
+@query("S13_job_outputs", f"{EV} select 'job-1' as job_id, seq, event_type, description, anomaly_score::double as anomaly_score from ev where is_anomaly")
+def s13(spark, sf_dir):
+    _, anomalies, _ = results.read_jobs(spark, {"job-1": written(spark, sf_dir), "job-2": f"{sf_dir}/no-such-job"})
+    return anomalies.select("job_id", "seq", "event_type", "description", "anomaly_score")
+
+
+@query("I1_recent", f"{EV} select seq, {WHEN.format('ts')} as ts, event_type as type, description from ev order by ev.ts desc, seq limit 1000")
+def i1r(spark, sf_dir):
+    return results.selected(timeline(spark, sf_dir), "recent").select("seq", when(), "type", "description")
+
+
+@query("I11_infra_indicators", f"""{EV}, a as (select * from ev where is_anomaly and event_type = 'firewall_drop'), i as (select 'ips' as category, unnest(regexp_extract_all(description, '\\b(?:[0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}\\b')) as value from a union select 'processes', process from a),
+r as (select category, value, row_number() over (partition by category order by value) as nr from (select distinct category, value from i)) select category, value from r where nr <= 30 and (category = 'ips' or nr <= 20)""")
+def i11(spark, sf_dir):
+    return results.infra_indicators(timeline(spark, sf_dir).filter("is_anomaly"))
+
+
+@query("I13_infra_or_all", f"{EV} select seq from ev where is_anomaly and event_type = 'scheduled_task'")
+def i13(spark, sf_dir):
+    # no anomaly of this kind tells of infrastructure, so all are taken
+    return results.infra_or_all(timeline(spark, sf_dir).filter("is_anomaly and event_type = 'scheduled_task'")).select("seq")
+
+
+@query("I14_prompt_sections", f"""{IOC}, d as (select distinct category, value from ioc), r as (select category, left(value, 80) as value, row_number() over (partition by category order by value) as nr from d qualify nr <= 10),
+e as (select seq, {WHEN.format('ts')} || ' | ' || event_type || ' | ' || description as line from ev where event_type in {tuple(T.SUSPICIOUS_TYPES)} or is_anomaly or anomaly_score > 0.5 or {WORDS} order by seq limit 100)
+select 'events' as section, seq as nr, line from e union all select category, nr, value from r""")
+def i14(spark, sf_dir):
+    return results.prompt_sections(timeline(spark, sf_dir))
+
+
+@query("C17_keyword_techniques", "select doc_id, t.id from documents join (values ('password', 'T1110'), ('server', 'T1190'), ('data', 'T1005')) t(word, id) on contains(lower(text), t.word)")
+def c17(spark, sf_dir):
+    words = {"password": ("T1110", "Brute Force", "Credential Access"), "server": ("T1190", "Exploit Public-Facing Application", "Initial Access"), "data": ("T1005", "Data from Local System", "Collection")}
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(results.keyword_techniques(F.col("text"), words)).alias("t")).select("doc_id", "t.id")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each type an hour on each host."""
     return q1b(spark, sf_dir)
