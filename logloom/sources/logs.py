@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,18 +14,18 @@ from logloom.functions import parse
 from logloom.functions.classify import first_of
 
 
-def text_lines(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_number, line) of text logs: stripped, without blank and '#' lines, numbers counting all lines from 1.
 
-    With ``whole_files`` each file is one row first, which must fit in a task. Without, files are split into blocks; numbers
-    then count within a block and only order lines.
+    Files are read in blocks of any size; the lines of each block are counted first, and those of earlier blocks added up.
     """
-    if whole_files:
-        raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    else:
-        raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("line"))
-    line = F.trim(F.regexp_replace("line", "[\r�]", ""))
-    return raw.select("file", (F.col("i") + 1).cast("long").alias("line_number"), line.alias("line")).filter((F.length("line") > 0) & ~F.col("line").startswith("#"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("line"))
+    blocks = raw.groupBy("file", "block").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    line = F.trim(F.regexp_replace("line", "[\r\ufffd]", ""))
+    numbered = raw.join(blocks, ["file", "block"]).select("file", (F.col("i") + F.col("shift") + 1).cast("long").alias("line_number"), line.alias("line"))
+    return numbered.filter((F.length("line") > 0) & ~F.col("line").startswith("#"))
 
 
 #: Parts of file names that point to a format, and the pattern that some line of the sample must match.
@@ -55,9 +56,9 @@ def sniffed(lines: DataFrame) -> DataFrame:
     return found.select("file", first_of(rules, F.coalesce("first", F.lit("generic"))).alias("format"))
 
 
-def read_logs(spark: SparkSession, path: str, year: int, whole_files: bool = True) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, year: int) -> DataFrame:
     """Events of all text logs under a path: the common fields with file, line_number, raw_line."""
-    lines = text_lines(spark, path, whole_files)
+    lines = text_lines(spark, path)
     formats = sniffed(lines)
     out = parse.with_events(lines.join(formats, "file"), parse.any_format(F.col("format")), year=year).filter("e is not null")
     return out.select("file", "line_number", F.col("line").alias("raw_line"), "format", "e.*")
@@ -73,11 +74,18 @@ def bodyfile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def artifact_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of artifact tables with a header, tagged with their file; all columns as a map."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)
-    fields = F.map_from_arrays(F.array(*(F.lit(c) for c in raw.columns)), F.array(*(F.col(f"`{c}`").cast("string") for c in raw.columns)))
-    return raw.select(F.concat(F.lit("uac_artifacts/"), stem).alias("source"), fields.alias("fields"))
+    """Rows of artifact tables, each file by its own header, tagged with the file's name; all columns as a map.
+
+    Tables are few and of a kind (one file each), so each is a source of its own.
+    """
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path).select("path").orderBy("path")
+    parts = []
+    for (file,) in names.collect():  # names only
+        raw = spark.read.option("header", True).csv(file)
+        fields = F.map_from_arrays(F.array(*(F.lit(c) for c in raw.columns)), F.array(*(F.col(f"`{c}`").cast("string") for c in raw.columns)))
+        stem = file.rpartition("/")[2].removesuffix(".csv")
+        parts.append(raw.select(F.lit(f"uac_artifacts/{stem}").alias("source"), fields.alias("fields")))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "source string, fields map<string,string>")
 
 
 #: The layout of login records on Linux: 384 bytes.
@@ -150,6 +158,11 @@ def input_type(name: Column, is_dir: Column | None = None) -> Column:
     return first_of([*([(is_dir, "uac_dump")] if is_dir is not None else []), *rules], "logs")
 
 
+def stored_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Stored cases, the last changed file first."""
+    return json_rows(spark, path, CASE).orderBy(F.desc("_modified"), "_file")
+
+
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Knowledge bases, cases and other JSON files, a row for each object; broken files are skipped. Has ``_file`` and ``_modified``."""
     raw = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
@@ -175,7 +188,7 @@ MAGIC = [("504B0304", "archive"), ("1F8B", "archive"), ("456C6646696C6500", "evt
 
 def detected(spark: SparkSession, path: str) -> DataFrame:
     """File info rows: path, size, modified, type by first bytes, then by name, then by whether it is UTF-8."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).withColumn("content", F.substring("content", 1, 512))
     head = F.hex(F.substring("content", 1, 16))
     magic = first_of([(head.startswith(m), t) for m, t in MAGIC], F.lit(None).cast("string"))
     name = F.element_at(F.split("path", "/"), -1)
