@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import bloom_probe, bloom_words, filter_bits, materialize
+from logloom.llm.common import attach_groups, bloom_probe, bloom_words, filter_bits, materialize
 from logloom.llm.words import Alphabet, Words, chunks, grams, inside_text, window_min
 
 WINDOW, M = 20, 5
@@ -80,6 +80,11 @@ def own_hash(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64(text_col)
 
 
+def _own_key(*columns: str) -> Column:
+    """A key of a row's own, as long as the hashes of strings, for rows of hot strings."""
+    return F.unhex(F.md5(F.concat_ws(" ", F.lit("row"), *(F.col(c).cast("string") for c in columns))))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, m: int = M) -> DataFrame:
     """Rows (id, h, start, stop): words start ... stop - 1 of the document with this id and own_hash h are repeats."""
     spark = docs.sparkSession
@@ -110,11 +115,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h"), F.col("start"))
     strings = materialize(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"), F.min("minimiser").alias("minimiser"), F.min("n").alias("n")), "strings")
     # all but the first of equal strings
-    later = found.select("id", "h", "start", "key").join(strings.filter("times > 1").select("key", "first", "n"), "key").filter(place != F.col("first"))
+    repeated = strings.filter("times > 1").select("key", "first", "n", "times")
+    later = attach_groups(found.select("id", "h", "start", "key"), repeated, "key", "times", found.count(), _own_key("id", "h", "start")).filter(place != F.col("first"))
     later = later.select("id", "h", "start", (F.col("start") + F.col("n") + (window - 1)).alias("stop"))
     # windows of the first ones, where different strings have the same minimiser
-    shared = strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("minimiser")
-    several = materialize(strings.join(shared, "minimiser").select("key", "first"), "several")
+    shared = strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    several = attach_groups(strings.select("key", "first", "minimiser"), shared, "minimiser", "k", strings.count(), F.xxhash64("key"))
+    several = materialize(several.filter("k is not null").select("key", "first"), "several")
     bits = filter_bits(several.count())
     firsts = bloom_words(several.select(F.xxhash64("key", "first.id", "first.h", "first.start").alias("at")), "at", bits)
     near = bloom_probe(found, firsts, F.xxhash64("key", "id", "h", "start"), bits, "maybe").filter("maybe")
@@ -136,8 +143,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     windows = unpacked.mapInArrow(unpack, f"id {kind}, h long, start long, window binary")
     windows = materialize(windows, "windows")
-    firsts = materialize(windows.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("window", "first"), "firsts")
-    other = windows.join(firsts, "window").filter(place != F.col("first")).select("id", "h", "start", (F.col("start") + window).alias("stop"))
+    firsts = materialize(windows.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1"), "firsts")
+    other = attach_groups(windows, firsts, "window", "times", windows.count(), _own_key("id", "h", "start")).filter(place != F.col("first")).select("id", "h", "start", (F.col("start") + window).alias("stop"))
     return later.unionByName(other)
 
 
