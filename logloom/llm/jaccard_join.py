@@ -167,16 +167,19 @@ class _Join:
 
     def measured(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
         """(x, y, nx, ny, common) of ``pairs`` (x, y) of points, from the whole sets of both."""
-        ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        end = lambda c, x: F.struct(F.col(c).alias("id"), F.lit(x).alias("first"))
+        ends = pairs.select(F.explode(F.array(end("x", True), end("y", False))).alias("end")).select("end.*")
+        ids = ends.groupBy("id").agg(F.bool_or("first").alias("is_x"), F.bool_or(~F.col("first")).alias("is_y"))
         leads = materialize(ids.join(self.points.select("id", "doc"), "id"), "leads")
         bits = filter_bits(leads.count())
         near = bloom_probe(docs, bloom_words(leads, "doc", bits), F.col("doc"), bits, "maybe").filter("maybe").select("doc", "text")
         sets = _map_sets(near, self.k, _whole, f"doc {self.kind}, id long, shingles array<bigint>")
-        sets = sets.join(leads.select(F.col("id").alias("id2"), F.col("doc").alias("doc2")), (F.col("id") == F.col("id2")) & (F.col("doc") == F.col("doc2"))).select("id", "shingles")
+        sets = sets.join(leads.select(F.col("id").alias("id2"), F.col("doc").alias("doc2"), "is_x", "is_y"), (F.col("id") == F.col("id2")) & (F.col("doc") == F.col("doc2"))).select("id", "is_x", "is_y", "shingles")
         sets = materialize(sets.dropDuplicates(["id"]) if self.repeated else sets, "shingles")
         discard(leads)
         self.open.append(sets)
-        side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
+        # a set travels only to the sides on which it stands
+        side = lambda c: sets.filter(f"is_{c}").select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
         out = pairs.select("x", "y").join(side("y"), "y").join(side("x"), "x")
         return out.select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.size(F.array_intersect("sx", "sy")).cast("long").alias("common"))
 
