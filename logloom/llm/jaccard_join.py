@@ -25,6 +25,8 @@ from logloom.llm.words import Alphabet, Words, chunks, grams, mix
 
 #: Frequent shingles that are broadcast number so many at most (8 MB).
 MAX_FREQUENT = 1 << 20
+#: Shingles of all sets that meet at one home, at most (16 MB).
+HOME = 1 << 21
 
 
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
@@ -127,7 +129,9 @@ class _Join:
         rows = self.points.agg(F.sum("n")).first()[0] or 0
         least = max(64, -(-(rows * (t.parts - t.least) * 5 // 4 // t.parts + self.total * 2) // MAX_FREQUENT))
         often = _map_sets(docs, self.k, first_ones, counted).groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > least)
-        often = often.select("cell").toArrow()["cell"].to_numpy()  # MAX_FREQUENT at most
+        held = materialize(often.select("cell"), "often")
+        often = held.toArrow()["cell"].to_numpy()  # MAX_FREQUENT at most
+        discard(held)
         frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
 
         def prefixes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,19 +170,64 @@ class _Join:
         return out.dropDuplicates(["cell", "id"]) if self.repeated else out
 
     def measured(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-        """(x, y, nx, ny, common) of ``pairs`` (x, y) of points, from the whole sets of both."""
-        ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        leads = materialize(ids.join(self.points.select("id", "doc"), "id"), "leads")
-        bits = filter_bits(leads.count())
-        near = bloom_probe(docs, bloom_words(leads, "doc", bits), F.col("doc"), bits, "maybe").filter("maybe").select("doc", "text")
-        sets = _map_sets(near, self.k, _whole, f"doc {self.kind}, id long, shingles array<bigint>")
-        sets = sets.join(leads.select(F.col("id").alias("id2"), F.col("doc").alias("doc2")), (F.col("id") == F.col("id2")) & (F.col("doc") == F.col("doc2"))).select("id", "shingles")
-        sets = materialize(sets.dropDuplicates(["id"]) if self.repeated else sets, "shingles")
-        discard(leads)
+        """(x, y, nx, ny, common) of ``pairs`` (x, y) of points, from the whole sets of both.
+
+        Pairs meet at homes: the least point among x, y and their neighbours in ``pairs``. Points that are near one another
+        mostly share a home, so a set travels about once, however many pairs it stands in. Pairs at homes whose sets hold more
+        than HOME shingles are joined one by one instead.
+        """
+        both = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(pairs.select(F.col("y").alias("a"), F.col("x").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        of = lambda c: least.select(F.col("a").alias(c), F.col("m").alias(f"m{c}"))
+        homed = materialize(pairs.select("x", "y").join(of("x"), "x").join(of("y"), "y").select("x", "y", F.least("mx", "my").alias("home")), "homes")
+        sent = homed.select("home", F.explode(F.array("x", "y")).alias("id")).distinct()
+        sent = materialize(sent.join(self.points.select("id", "doc", "n"), "id"), "sent")
+        crowded = sent.groupBy("home").agg(F.sum("n").alias("load")).filter(F.col("load") > HOME).select("home")
+        crowded = materialize(crowded, "crowded")
+        split = lambda df, how: df.join(crowded, "home", how)
+        self.open += [homed, sent, crowded]
+        out = self._at_homes(self._sets(docs, split(sent, "left_anti")), split(homed, "left_anti"))
+        if crowded.isEmpty():
+            return out
+        sets = materialize(self._sets(docs, split(sent, "left_semi").dropDuplicates(["id"])), "shingles")
         self.open.append(sets)
         side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
-        out = pairs.select("x", "y").join(side("y"), "y").join(side("x"), "x")
-        return out.select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.size(F.array_intersect("sx", "sy")).cast("long").alias("common"))
+        single = split(homed, "left_semi").select("x", "y").join(side("y"), "y").join(side("x"), "x")
+        return out.unionByName(single.select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.size(F.array_intersect("sx", "sy")).cast("long").alias("common")))
+
+    def _sets(self, docs: DataFrame, sent: DataFrame) -> DataFrame:
+        """(home, id, shingles) of all rows of ``sent`` (home, id, doc)."""
+        bits = filter_bits(sent.count())
+        near = bloom_probe(docs, bloom_words(sent, "doc", bits), F.col("doc"), bits, "maybe").filter("maybe").select("doc", "text")
+        sets = _map_sets(near, self.k, _whole, f"doc {self.kind}, id long, shingles array<bigint>")
+        sets = sets.join(sent.select("home", F.col("id").alias("id2"), F.col("doc").alias("doc2")), (F.col("id") == F.col("id2")) & (F.col("doc") == F.col("doc2")))
+        sets = sets.select("home", "id", "shingles")
+        return sets.dropDuplicates(["home", "id"]) if self.repeated else sets
+
+    def _at_homes(self, sets: DataFrame, homed: DataFrame) -> DataFrame:
+        """The pairs of each home, measured where its sets are: these come first and hold HOME shingles at most."""
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, here, of = None, {}, ["x", "y", "nx", "ny", "common"]
+            for batch in batches:
+                lists = batch.column(3)
+                values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+                found = []
+                for i, (home, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                    if home != at:
+                        at, here = home, {}
+                    if y is None:
+                        here[x] = values[ends[i] : ends[i + 1]].copy()
+                    else:
+                        a, b = here[x], here[y]
+                        both = np.sort(np.concatenate([a, b]), kind="stable")
+                        found.append((x, y, len(a), len(b), int(np.count_nonzero(both[1:] == both[:-1]))))
+                table = np.array(found, np.int64).reshape(-1, 5)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], of)
+
+        rows = sets.select("home", F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "shingles")
+        rows = rows.unionByName(homed.select("home", "x", "y", F.lit(None).cast("array<bigint>").alias("shingles")))
+        return rows.repartition("home").sortWithinPartitions("home", F.asc_nulls_first("y")).mapInArrow(measure, "x long, y long, nx long, ny long, common long")
 
     def linked(self, seen: list | None = None) -> DataFrame:
         """(node, component) of the points that link with others, or that are texts of one document."""
