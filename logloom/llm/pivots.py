@@ -146,6 +146,11 @@ class _Space:
         discard(out)
         return held
 
+    def grouped(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """``rows`` with the components that the links of all pivots make as their groups; a set without links is its own."""
+        known = rows.drop("group").join(groups, F.col("id") == F.col("node"), "left")
+        return known.withColumn("group", F.coalesce("component", "id")).drop("node", "component")
+
     def met(self, rows: DataFrame, folds: list[str]) -> DataFrame:
         """All pairs (x, y) of different groups in a leaf that may link, one of them at home."""
         blocks = F.ceil(F.col("size") / BLOCK)
@@ -190,11 +195,9 @@ def linked_points(held: DataFrame, points: DataFrame, measured: Callable[[DataFr
     as_links = lambda df: df.select(F.col("x").alias("a"), F.col("y").alias("b"))
     groups = components(reduce(DataFrame.unionByName, (as_links(x.filter("link")) for x in links))) if links else _no_groups(held)
     discard(*links)
-    met = materialize(reduce(DataFrame.unionByName, (space.met(leaf, folds) for leaf in leaves)).distinct(), "met")
+    met = materialize(reduce(DataFrame.unionByName, (space.met(space.grouped(leaf, groups), folds) for leaf in leaves)).distinct(), "met")
     discard(*spent)
-    apart = met.join(_side(groups, "g_"), F.col("x") == F.col("g_node"), "left").join(_side(groups, "h_"), F.col("y") == F.col("h_node"), "left")
-    apart = apart.filter(F.coalesce("g_component", "x") != F.coalesce("h_component", "y")).select("x", "y")
-    near = materialize(space.reachable(apart, threshold), "near")
+    near = materialize(space.reachable(met, threshold), "near")
     discard(met)
     found = materialize(space.distances(near, threshold), "links")
     discard(near)
