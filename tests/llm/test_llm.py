@@ -74,6 +74,30 @@ def test_jaccard_join(spark, texts, leaf, n_pivots, block, monkeypatch):
     assert kept.columns == table_of(spark, texts).columns
 
 
+@pytest.mark.parametrize("home", [100, 1 << 21])
+def test_jaccard_pairs_at_homes(spark, home, monkeypatch):
+    """Homes of a few sets at most and crowded ones give the links of brute force."""
+    monkeypatch.setattr(jaccard_join, "HOME", home)
+    draw, texts = random.Random(3), [(900, None), (901, ""), (902, "a b")]
+    for group in range(6):
+        base = [f"w{draw.randrange(400)}" for _ in range(60)]
+        for version in range(6):
+            words = list(base)
+            for _ in range(version // 2):
+                words[draw.randrange(60)] = f"z{draw.randrange(99)}"
+            texts.append((group * 10 + version, " ".join(words)))
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} or ({tuple(w)} if w else set()) for i, w in ((i, (t or "").split()) for i, t in texts)}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = jaccard_join.jaccard_components(table_of(spark, texts), k=4, least=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), root[i]) for i in sets}
+    assert len(set(root.values())) < len(sets)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 3), (5, 5)], "a long, b long")
     assert {r["node"]: r["component"] for r in components.components(links).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
