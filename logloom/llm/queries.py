@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from logloom.llm.chat import chains, formatted, read_back
 from logloom.llm.decontaminate import contamination
 from logloom.llm.exact_dedup import exact_groups
+from logloom.llm.fill_middle import fill_in_middle, restore
 from logloom.llm.jaccard_join import jaccard_components
 from logloom.llm.line_dedup import line_dedup
+from logloom.llm.neighbours import nearest
 from logloom.llm.packing import digests, packed
 from logloom.llm.quality import quality
 from logloom.llm.secrets import scan_secrets
 from logloom.llm.sharding import lookup_table, place
 from logloom.llm.substring_dedup import substring_dedup
+from logloom.llm.whitening import whitened
 
 #: Folder and name of the public tokenizer; None: where the installed package has it.
 TOKENIZER: str | None = None
@@ -87,7 +90,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_packing, op3_exact_dedup, op4_secret_scan, op5_sharding, op6_substring_dedup, op7_chat_formatting, op8_decontamination, op9_quality, op10_line_dedup)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = restore(fill_in_middle(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_packing, op3_exact_dedup, op4_secret_scan, op5_sharding, op6_substring_dedup, op7_chat_formatting, op8_decontamination, op9_quality, op10_line_dedup, op11_whitening, op12_fill_in_middle, op13_neighbours)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
@@ -108,4 +124,14 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   cast(sum(20 + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '#', '&num;'), ':', '&colon;'))
     + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '#', '&num;'))) as bigint) as formatted_chars
 from t group by conv_id""",
+    "op12_fill_in_middle": r"""
+with t as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as hex from documents),
+u as (select *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units from t),
+h as (select *, cast(len(units) as bigint) as n, [cast('0x' || substr(hex, 1, 8) as bigint), cast('0x' || substr(hex, 9, 8) as bigint), cast('0x' || substr(hex, 17, 8) as bigint), cast('0x' || substr(hex, 25, 8) as bigint)] as h from u),
+c as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 50 then 'plain' when h[4] % 100 < 80 then 'spm' else 'psm' end as form from h),
+p as (select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256 from p""",
 }
