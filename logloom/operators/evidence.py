@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.classify import first_of
+from logloom.sources.files import register
+from logloom.sources.stored import numbered
 
+#: Sources that are logs; the labels of ``location`` are fixed too.
 LOG_SOURCES = ["syslog", "logs", "webserver", "audit", "firewall", "journal", "apt", "yum", "mysql", "openvpn", "iptables", "dnf", "mysql_error", "mysql_general", "event_log", "text_log", "wtmp", "sysmon"]
 
 
@@ -30,13 +33,22 @@ def location(source: Column, meta: dict[str, Column]) -> Column:
 
 
 def provenance(anomalies: DataFrame, hashes: DataFrame) -> DataFrame:
-    """A row for each anomaly (seq, source, source_file, ...): place, hash prefixes of its evidence file, score, short text."""
+    """A row for each anomaly (seq, source, source_file, ...), numbered in the order of ``seq``: place, hash prefixes of its evidence
+    file, score, short text. ``hashes`` (file, md5, sha256) are those of the files' contents."""
     meta = {k: F.col(k) for k in ("source_file", "line_number", "hostname", "path") if k in anomalies.columns}
     found = anomalies.withColumn("__at", location(F.col("source"), meta))
-    side = hashes.select(F.col("file").alias("__file"), F.left("sha256", F.lit(16)).alias("sha256_short"), F.left("md5", F.lit(16)).alias("md5_short"))
+    short = lambda c: F.concat(F.left(c, F.lit(16)), F.lit("...")).alias(f"{c}_short")
+    side = hashes.select(F.col("file").alias("__file"), short("sha256"), short("md5"))
     out = found.join(side, F.col("source_file") == F.col("__file"), "left")
     none = F.lit("nicht berechnet")
-    return out.select("seq", F.col("source_file").alias("evidence_file"), F.coalesce("sha256_short", none).alias("sha256_short"), F.coalesce("md5_short", none).alias("md5_short"), F.col("__at.file").alias("found_in_file"), F.col("__at.detail").alias("location_detail"), F.col("__at.tool").alias("extracted_by"), F.bround("anomaly_score", 3).alias("anomaly_score"), "event_type", F.left("description", F.lit(120)).alias("description"))
+    rows = out.select("seq", F.col("source_file").alias("evidence_file"), F.coalesce("sha256_short", none).alias("sha256_short"), F.coalesce("md5_short", none).alias("md5_short"), F.col("__at.file").alias("found_in_file"), F.col("__at.detail").alias("location_detail"), F.col("__at.tool").alias("extracted_by"), F.bround("anomaly_score", 3).alias("anomaly_score"), "event_type", F.left("description", F.lit(120)).alias("description"))
+    return numbered(rows, F.col("seq"))
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, changed, md5, sha256) of all files below a path, whatever their size."""
+    register(spark)
+    return spark.read.format("file_digests").load(path)
 
 
 def dual_hash(files: DataFrame, content: str = "content") -> DataFrame:

@@ -5,8 +5,12 @@ Evidence is the first few hits in timeline order, kept by a bounded top-k rather
 
 from __future__ import annotations
 
-from functools import reduce
+import heapq
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,12 +97,98 @@ def second_finding(events: DataFrame) -> DataFrame:
     return _finding(hits, "identical_timestamps", "medium", "T1070.006", k=5)
 
 
+#: The checks that a row passes by itself: severity, technique, pieces of evidence.
+ROW_CHECKS = {
+    "timestomping": ("", "T1070.006", 10), "wipe_tools": ("high", "T1485", 10), "log_clearing": ("high", "T1070.002", 10), "time_manipulation": ("medium", "T1070.006", 10),
+    "rootkit": ("high", "T1014", 10), "truncated_logs": ("medium", "T1070.002", 15), "suspicious_deletions": ("high", "T1070.004", 10),
+}
+#: Evidence of a check that is kept on the way: as much as any check shows.
+KEPT = 15
+
+
+def _hits(events: DataFrame, files: DataFrame) -> DataFrame:
+    """(category, seq, text) of all checks on rows, and (null, null, null, ts) of each event: one scan of either table."""
+    hit = lambda category, text: F.struct(F.lit(category).alias("category"), F.col("seq").cast("long").alias("seq"), text.alias("text"), F.lit(None).cast("timestamp").alias("ts"))
+    found = lambda category, text, patterns: (lambda t: F.when(t.isNotNull(), hit(category, t)))(F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in patterns)))
+    words = lambda tools: [rf"(?i)\b{t}\b" for t in tools]
+    said = F.col("description")
+    time = F.struct(F.lit(None).cast("string").alias("category"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("text"), F.col("ts").alias("ts"))
+    of_event = F.array(time, found("wipe_tools", said, words(T.WIPE_TOOLS)), found("wipe_tools", said, [T.DD_WIPE]), found("log_clearing", said, T.LOG_CLEARING), found("time_manipulation", said, words(T.TIME_TOOLS)), found("rootkit", F.concat_ws(" ", "description", "path"), T.ROOTKIT), found("suspicious_deletions", said, [T.DELETIONS]))
+    late = F.col("ctime") - F.nullif(F.col("mtime"), F.lit(0))
+    stomped = F.concat(F.col("path"), F.lit(": "), F.format_string("%.1f", (F.col("ctime") - F.col("mtime")) / 3600.0), F.lit(" h"))
+    empty = F.col("path").rlike(r"^/var/log/.+$") & (F.col("size") == 0)
+    of_file = F.array(F.when(late > 86400, hit("timestomping", stomped)), F.when(empty, hit("truncated_logs", F.col("path"))))
+    own = [t.select(F.explode(F.array_compact(a)).alias("h")).select("h.*") for t, a in ((events, of_event), (files, of_file))]
+    return own[0].unionByName(own[1])
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition: count, first KEPT hits and count of other texts than 'date' of each category; count, first and last time of
+    each second of a batch."""
+    kept: dict[str, list[tuple[int, str]]] = {}
+    count: dict[str, list[int]] = {}
+    for batch in batches:
+        category, seq, text, ts = (batch.column(i) for i in range(4))
+        rows = pc.is_valid(category)
+        for c, s, t in zip(*(x.filter(rows).to_pylist() for x in (category, seq, text)), strict=True):
+            own = kept.setdefault(c, [])
+            own.append((s if s is not None else -(1 << 63), t))
+            n = count.setdefault(c, [0, 0])
+            n[0] += 1
+            n[1] += t.lower() != "date"
+            if len(own) > 64 * KEPT:
+                kept[c] = heapq.nsmallest(KEPT, own)
+        times = ts.filter(pc.invert(rows))
+        known = times.drop_null().cast(pa.int64()).to_numpy()
+        second, start, n = np.unique(np.sort(known) // 1_000_000, return_index=True, return_counts=True)
+        known = np.sort(known)
+        yield _rows([None] * len(second), second, n, np.zeros(len(second), int), known[start], known[start + n - 1] if len(n) else known, [[]] * len(second))
+        if blank := len(times) - len(known):
+            yield _rows([None], [None], [blank], [0], [None], [None], [[]])
+    names = sorted(kept)
+    yield _rows(names, [None] * len(names), [count[c][0] for c in names], [count[c][1] for c in names], [None] * len(names), [None] * len(names), [[{"seq": s, "text": t} for s, t in heapq.nsmallest(KEPT, kept[c])] for c in names])
+
+
+def _rows(*columns) -> pa.RecordBatch:
+    first = pa.list_(pa.struct([("seq", pa.int64()), ("text", pa.string())]))
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), first)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["category", "second", "n", "other", "lo", "hi", "first"])
+
+
 def all_findings(events: DataFrame, files: DataFrame, least: int = 20) -> DataFrame:
-    """All checks; those on times only where there are enough events."""
-    enough = events.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(F.lit(1).alias("__1"))
-    timed = [f.join(F.broadcast(enough)).drop("__1") for f in (timestomping(files), gap_finding(events), second_finding(events))]
-    rest = [wipe_tools(events), log_clearing(events), time_tools(events), rootkits(events), truncated_logs(files), deletions(events)]
-    return reduce(DataFrame.unionByName, timed + rest)
+    """All checks in one pass: each table is read once. Those on times count only where there are ``least`` events.
+
+    Partitions count their hits and keep the first of each check; seconds are added up, then hours, whose first and last times tell
+    the gaps; hours are few, so one task may see them all.
+    """
+    parts = _hits(events, files).mapInArrow(_partial, "category string, second long, n long, other long, lo long, hi long, first array<struct<seq:long,text:string>>")
+    merged = lambda n: F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, n)  # noqa: E731  a list of KEPT at most a partition
+    seconds = parts.groupBy("category", "second").agg(F.sum("n").alias("n"), F.sum("other").alias("other"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), merged(KEPT).alias("first"))
+    busy = F.when(F.col("second").isNotNull() & (F.col("n") >= 20), F.struct((-F.col("n")).alias("seq"), F.date_format(F.timestamp_seconds("second"), "yyyy-MM-dd HH:mm:ss").alias("text")))
+    own = seconds.withColumn("busy", busy).withColumn("first", F.when(F.col("category").isNull(), F.array_compact(F.array("busy"))).otherwise(F.col("first")))
+    hours = own.groupBy("category", F.expr("second div 3600").alias("hour")).agg(F.sum("n").alias("n"), F.sum("other").alias("other"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("busy").alias("n_busy"), merged(KEPT).alias("first"))
+    before = F.lag("hi").over(Window.partitionBy("category").orderBy(F.col("hour").asc_nulls_first()))
+    pause = (F.col("lo") - before) / 1e6
+    gaps = hours.withColumn("gap", F.when(pause >= 6 * 3600, F.struct(F.floor(before / 1_000_000).alias("seq"), F.format_string("%.1f h", pause / 3600.0).alias("text"))))
+    total = gaps.groupBy("category").agg(F.sum("n").alias("n"), F.sum("other").alias("other"), F.sum("n_busy").alias("n_busy"), F.count("gap").alias("n_gaps"), F.sum(F.when(F.col("hour").isNotNull(), F.col("n"))).alias("n_timed"), merged(KEPT).alias("first"), F.slice(F.array_sort(F.collect_list("gap")), 1, 5).alias("gaps"))
+    # as many rows as checks: the row without a category holds the times
+    enough = F.coalesce(F.col("n_events") >= least, F.lit(False))
+    finding = lambda category, severity, n, technique, first: F.struct(F.lit(category).alias("category"), severity.alias("severity"), n.alias("n_hits"), F.lit(technique).alias("technique"), F.transform(first, lambda x: x["text"]).alias("evidence"))
+    timed = F.array(
+        F.when(enough & (F.col("n_gaps") > 0) & (F.col("n_timed") >= 10), finding("log_gap", F.when(F.col("n_gaps") > 1, "high").otherwise("medium"), F.col("n_gaps"), "T1070", F.col("gaps"))),
+        F.when(enough & (F.col("n_busy") > 0), finding("identical_timestamps", F.lit("medium"), F.col("n_busy"), "T1070.006", F.slice("first", 1, 5))),
+    )
+    by_row = []
+    for category, (severity, technique, k) in ROW_CHECKS.items():
+        level = F.lit(severity) if severity else F.when(F.col("n") >= 5, "high").otherwise("medium")
+        holds = F.col("category") == category
+        if category == "timestomping":
+            holds &= enough
+        if category == "time_manipulation":  # 'date' alone needs three hits
+            holds &= (F.col("other") > 0) | (F.col("n") >= 3)
+        by_row.append(F.when(holds, finding(category, level, F.col("n"), technique, F.slice("first", 1, k))))
+    found = total.withColumn("n_events", F.max(F.when(F.col("category").isNull(), F.col("n"))).over(Window.partitionBy()))
+    return found.select(F.explode(F.array_compact(F.when(F.col("category").isNull(), timed).otherwise(F.array(*by_row)))).alias("f")).select("f.*")
 
 
 def risk(findings: DataFrame) -> DataFrame:

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions import tables as T
 from logloom.functions.classify import first_of
+from logloom.operators.patterns import matches
 
-#: Values of a knowledge base that texts are searched for, at most.
-MAX_VALUES = 10_000
 CATEGORIES = {"ips": "ip", "domains": "domain", "users": "user", "processes": "process", "files": "file", "hostnames": "hostname"}
 
 
@@ -48,16 +47,8 @@ def verdict(kb_confidence: Column, abuse_score: Column) -> Column:
 
 
 def context_matches(events: DataFrame, kb: DataFrame) -> DataFrame:
-    """(seq, value) where an event's text holds a value of the knowledge base anywhere, whatever the case.
-
-    A knowledge base of up to MAX_VALUES different values is sent to all tasks, which look for each; a longer one is an error.
-    """
-    values = [r["value"] for r in kb.select("value").filter("value is not null and value != ''").distinct().limit(MAX_VALUES + 1).collect()]
-    if len(values) > MAX_VALUES:
-        raise ValueError(f"more than {MAX_VALUES} values to look for")
-    held = F.broadcast(events.sparkSession.createDataFrame([(v, v.lower()) for v in values], "value string, sought string"))
-    text = events.select("seq", F.lower(F.coalesce(F.col("description"), F.lit(""))).alias("text"))
-    return text.join(held, F.col("text").contains(F.col("sought"))).select("seq", "value")
+    """(seq, value) where an event's text holds a value of the knowledge base anywhere, whatever the case: any number of values."""
+    return matches(events, kb, "seq", "description", "value")
 
 
 def signature_matches(events: DataFrame, signatures: list[tuple[str, str, str]]) -> DataFrame:

@@ -64,11 +64,12 @@ def prompt_sections(events: DataFrame, n_events: int = 100, n_values: int = 10)
     return rows.unionByName(found.select(F.col("category").alias("section"), F.col("nr").cast("long").alias("nr"), F.col("value").alias("line")))
 
 
-def analyse(spark: SparkSession, events: DataFrame, files: DataFrame, out_dir: str, job_id: str, score: bool = True) -> None:
+def analyse(spark: SparkSession, events: DataFrame, files: DataFrame, out_dir: str, job_id: str, score: bool = True, evidence_dir: str | None = None) -> None:
     """All stages over normalized ``events`` and ``files``, each written under ``out_dir``: what follows reads what was written.
 
     Leaves normalized (Parquet), timeline.csv, files.csv, system_profile, findings, anomalies, selection, provenance, indicators,
-    summary, and appends to jobs and stage_times. With ``score`` unset, events bring their own anomaly_score and is_anomaly.
+    digests, summary, and appends to jobs and stage_times. With ``score`` unset, events bring their own anomaly_score and is_anomaly.
+    Events name their ``source_file`` by the path below ``evidence_dir``; without that folder no digests are known.
     """
     at = lambda name: f"{out_dir}/{name}"
     took: list[tuple[str, str, float]] = []
@@ -91,11 +92,19 @@ def analyse(spark: SparkSession, events: DataFrame, files: DataFrame, out_dir: s
     stage("anomalies", lambda: write_json(anomalies, at("anomalies")))
     stage("selection", lambda: write_json(selected(events), at("selection")))
     stage("indicators", lambda: write_json(indicators.extracted(events), at("indicators")))
-    hosts = events.filter("is_anomaly").withColumn("source_file", F.concat("hostname", F.lit(".log"))).withColumn("line_number", F.col("seq"))
-    hashes = evidence.dual_hash(hosts.select(F.col("source_file").alias("file")).distinct(), "file").select("file", "md5", "sha256")
-    stage("provenance", lambda: write_json(evidence.provenance(hosts, hashes), at("provenance")))
+    hashes = spark.createDataFrame([], "file string, size long, changed double, md5 string, sha256 string")
+    if evidence_dir:
+        below = F.substring_index(F.col("file"), evidence_dir.rstrip("/").rpartition("/")[2] + "/", -1)
+        hashes = evidence.digests(spark, evidence_dir).withColumn("file", below)
+    write_json(hashes, at("digests"))
+    hashes = spark.read.schema(hashes.schema).json(at("digests"))
+    missing = {c: F.lit(None).cast(t) for c, t in (("source_file", "string"), ("line_number", "long")) if c not in events.columns}
+    stage("provenance", lambda: write_json(evidence.provenance(events.filter("is_anomaly").withColumns(missing), hashes), at("provenance")))
     counts = events.agg(F.count(F.lit(1)).alias("n_events"), F.count_if("is_anomaly").alias("n_anomalies"), F.round(F.max("anomaly_score"), 3).alias("top_score"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     summary = counts.join(F.broadcast(findings.risk(found))).withColumn("job_id", F.lit(job_id))
+    files_of = hashes.agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("evidence_bytes"), F.max(F.when(F.col("file").isNotNull(), F.struct("md5", "sha256"))).alias("__one"))
+    one = lambda c: F.when(F.col("n_files") == 1, F.col(f"__one.{c}")).alias(f"{c}_hash")  # noqa: E731  of one evidence file, as its own
+    summary = summary.join(F.broadcast(files_of)).select(*summary.columns, "n_files", "evidence_bytes", one("md5"), one("sha256"))
     stage("summary", lambda: write_json(summary, at("summary")))
     append(spark.createDataFrame([(job_id, "done")], "job_id string, status string").withColumn("finished", F.current_timestamp()), at("jobs"))
     append(spark.createDataFrame(took, "job_id string, stage string, seconds double"), at("stage_times"))

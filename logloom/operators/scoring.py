@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import tables as T
 from logloom.functions.classify import is_private
+from logloom.sources.stored import quantile, stored
 
 FEATURES = ["hour", "day_of_week", "is_off_hours", "event_type_score", "message_length", "suspicious_keyword_count", "has_external_ip", "file_size_log"]
 
@@ -98,23 +97,26 @@ def isolation_scores(rows: DataFrame, key: str = "event_key", contamination: flo
     """Adds raw_score, anomaly_score (0 to 1, 1 the most anomalous) and is_anomaly to rows with features.
 
     Trees grow from the rows with the least hashes of ``key``, trees x size at most, so the forest doesn't depend on how rows are
-    partitioned. Rows whose score is below the ``contamination`` quantile are anomalies; ties at it aren't. Empty rows stay so.
+    partitioned. Rows whose score is below the exact ``contamination`` quantile are anomalies; ties at it aren't. Keys and features
+    are written once, for scaling, sample and quantile; only the features of a row go through Python. Empty rows stay so.
     """
-    mean, scale = scaling(rows)
-    got = rows.select(*FEATURES, F.xxhash64(key, F.lit(seed)).alias("__h"), F.col(key)).orderBy("__h", key).limit(trees * size).collect()
+    narrow = stored(rows.select(F.col(key).alias("key"), *FEATURES), "features")
+    mean, scale = scaling(narrow)
+    got = narrow.withColumn("h", F.xxhash64("key", F.lit(seed))).orderBy("h", "key", *FEATURES).limit(trees * size).collect()
     if not got:
         return rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("raw_score", "double"), ("anomaly_score", "double"), ("is_anomaly", "boolean"))))
     sample = (np.array([[r[c] for c in FEATURES] for r in got], float) - mean) / scale
     forest = rows.sparkSession.sparkContext.broadcast(Forest(sample, trees, size, seed))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in FEATURES], 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.value.score((x - mean) / scale))], [*batch.schema.names, "raw_score"])
+    @F.arrow_udf("double")
+    def score(*columns: pa.Array) -> pa.Array:
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], 1)
+        return pa.array(forest.value.score((x - mean) / scale))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    scored = rows.mapInArrow(score, f"{kinds}, raw_score double")
-    low, high, cut = scored.agg(F.min("raw_score"), F.max("raw_score"), F.percentile("raw_score", F.lit(contamination))).first()
+    raw = stored(narrow.select(score(*FEATURES).alias("raw_score")), "scores")
+    low, high = raw.agg(F.min("raw_score"), F.max("raw_score")).first()
+    cut = quantile(raw, "raw_score", contamination)
+    scored = rows.withColumn("raw_score", score(*FEATURES))
     return scored.withColumn("anomaly_score", inverted(F.col("raw_score"), low, high)).withColumn("is_anomaly", F.col("raw_score") < F.lit(cut))
 
 

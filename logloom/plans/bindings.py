@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import parse
 from logloom.operators import results
+from logloom.operators.evidence import digests
 from logloom.operators.normalize import normalized
+from logloom.sources.stored import new_folder
 
 #: Syslog lines carry no year.
 YEAR = 2024
@@ -119,9 +119,38 @@ def doc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("seq"), F.col("text").alias("description"), F.col("source").alias("job"), *(none.alias(c) for c in ("user", "process", "hostname", "path", "src_ip")))
 
 
+def evidence_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the syslog lines of each host, in their order, as one file (hostname=.../...)."""
+    out = new_folder(spark, "evidence")
+    own = syslog_lines(spark, sf_dir).withColumn("hostname", F.regexp_extract("line", " (host[0-9]+) ", 1))
+    own.repartition("hostname").sortWithinPartitions("hostname", "seq").select("hostname", "line").write.partitionBy("hostname").text(out)
+    return out
+
+
+#: The same files in SQL: a row for each host with its digests.
+EVIDENCE = """
+lines as (select event_id as seq, 'host' || (user_id % 5) as hostname, strftime(ts, '%b %-d %H:%M:%S') || ' host' || (user_id % 5) || ' ' ||
+  case event_type when 'error' then 'sshd[' || event_id || ']: Failed password for user' || user_id || ' from 45.155.' || (user_id % 200) || '.' || (event_id % 250 + 1) || ' port 22 ssh2'
+    when 'view' then 'kernel: [UFW BLOCK] IN=eth0 OUT= SRC=10.0.' || (user_id % 200) || '.' || (event_id % 250 + 1) || ' DST=192.168.1.1 PROTO=TCP'
+    when 'purchase' then 'sudo: user' || user_id || ' : COMMAND=/bin/ls' when 'click' then 'CRON[' || event_id || ']: (user' || user_id || ') CMD (run-parts)'
+    else 'useradd: useradd new user name=user' || user_id end as line from events),
+hashed as (select hostname, md5(t) as md5, sha256(t) as sha256, strlen(t) as size from (select hostname, string_agg(line || chr(10), '' order by seq) as t from lines group by hostname))
+"""
+
+
+def with_files(events: DataFrame) -> DataFrame:
+    """Events that name the evidence file of their host and the line in it."""
+    return events.withColumn("source_file", F.concat("hostname", F.lit(".log"))).withColumn("line_number", F.col("seq"))
+
+
+def host_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, size, md5, sha256) of the evidence files, by the names of ``with_files``."""
+    own = digests(spark, evidence_files(spark, sf_dir)).filter(F.col("file").contains("hostname=") & (F.col("size") > 0) & ~F.col("file").endswith(".crc"))
+    return own.select(F.concat(F.regexp_extract("file", "hostname=([^/]+)/", 1), F.lit(".log")).alias("file"), "size", "md5", "sha256")
+
+
 def written(spark: SparkSession, sf_dir: str) -> str:
     """The folder in which an analysis of the timeline, by its given scores, has left its results."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    out = f"{shared}/logloom-results-{uuid.uuid4().hex}"
+    out = new_folder(spark, "results")
     results.analyse(spark, timeline(spark, sf_dir), files(spark, sf_dir), out, "job-1", score=False)
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logloom.functions import classify, parse
 from logloom.functions import tables as T
 from logloom.operators import attack, evidence, findings, indicators, normalize, profile, results, scoring, views
-from logloom.plans.bindings import FILES, ORDERS, TIMELINE, YEAR, doc_events, files, lines, parsed, syslog_lines, table, text, timeline, written
+from logloom.plans.bindings import EVIDENCE, FILES, ORDERS, TIMELINE, YEAR, doc_events, files, host_digests, lines, parsed, syslog_lines, table, text, timeline, with_files, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -477,6 +477,16 @@ def f10(spark, sf_dir):
     return findings.risk(normalize.united(*parts)).select("risk_score", "n_findings", "risk_level", F.array_join("categories", ",").alias("categories"))
 
 
+@query("F0_all_findings", f"""{FS}, c as ({_FOUND} union all select 'timestomping', case when count(*) >= 5 then 'high' else 'medium' end, count(*), least(10, count(*)) from fs where ctime - mtime > 86400 having count(*) > 0),
+sec as (select date_trunc('second', ts) as s, count(*) as n from events group by 1 having count(*) >= 20), g as (select ts, lag(ts) over (order by ts) as p from events),
+t as (select 'log_gap' as category, case when count(*) > 1 then 'high' else 'medium' end as severity, count(*) as n_hits, least(5, count(*)) as n_evidence from g where epoch(ts) - epoch(p) >= 21600 having count(*) > 0
+  union all select 'identical_timestamps', 'medium', count(*), least(5, count(*)) from sec having count(*) > 0)
+select * from c union all select * from t where (select count(*) from events) >= 20""")
+def f0(spark, sf_dir):
+    own = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    return _short(findings.all_findings(commands(spark, sf_dir).join(own, "seq"), files(spark, sf_dir)))
+
+
 # --- system profile --------------------------------------------------------------------------------------------------------------
 
 
@@ -596,6 +606,13 @@ def i10(spark, sf_dir):
     return indicators.context_matches(timeline(spark, sf_dir), kb(spark).withColumn("value", F.trim("value")).dropDuplicates(["value"]).filter("value <> 'HOST1'"))
 
 
+@query("I10_values_of_a_table", f"{EV} select seq, v.value from ev join (select distinct 'User' || c_custkey as value from customer) v on contains(lower(description), lower(v.value))")
+def i10t(spark, sf_dir):
+    """Values as many as customers, of which one may hold another."""
+    own = table(spark, sf_dir, "customer").select(text("User", F.col("c_custkey")).alias("value"))
+    return indicators.context_matches(timeline(spark, sf_dir), own)
+
+
 @query("I12_compact_lines", f"{EV} select seq, event_type || ' | ' || hostname || ' | ' || left(description, 60) as line from ev where is_anomaly")
 def i12(spark, sf_dir):
     return timeline(spark, sf_dir).filter("is_anomaly").select("seq", F.concat_ws(" | ", "event_type", "hostname", F.left("description", F.lit(60))).alias("line"))
@@ -662,12 +679,15 @@ def x10(spark, sf_dir):
 # --- provenance -----------------------------------------------------------------------------------------------------------------------
 
 
-@query("V1_V2_provenance", f"""{EV} select seq, hostname || '.log' as evidence_file, left(sha256(hostname || '.log'), 16) as sha256_short, left(md5(hostname || '.log'), 16) as md5_short, hostname || '.log' as found_in_file,
-  'Zeile: ' || seq || ' | Host: ' || hostname as location_detail, 'Log-Parser' as extracted_by, round(anomaly_score, 3)::double as anomaly_score, event_type, left(description, 120) as description from ev where is_anomaly""")
+@query("V1_V2_provenance", f"""{EV}, {EVIDENCE} select row_number() over (order by seq) as nr, seq, hostname || '.log' as evidence_file, left(sha256, 16) || '...' as sha256_short, left(md5, 16) || '...' as md5_short, hostname || '.log' as found_in_file,
+  'Zeile: ' || seq || ' | Host: ' || hostname as location_detail, 'Log-Parser' as extracted_by, round(anomaly_score, 3)::double as anomaly_score, event_type, left(description, 120) as description from ev join hashed using (hostname) where is_anomaly""")
 def v1(spark, sf_dir):
-    own = timeline(spark, sf_dir).filter("is_anomaly").withColumn("source_file", F.concat("hostname", F.lit(".log"))).withColumn("line_number", F.col("seq"))
-    names = own.select(F.col("source_file").alias("file")).distinct()
-    return evidence.provenance(own, evidence.dual_hash(names, "file").select("file", "md5", "sha256"))
+    return evidence.provenance(with_files(timeline(spark, sf_dir).filter("is_anomaly")), host_digests(spark, sf_dir))
+
+
+@query("V3_file_digests", f"with {EVIDENCE} select hostname || '.log' as file, size, md5, sha256 from hashed")
+def v3f(spark, sf_dir):
+    return host_digests(spark, sf_dir)
 
 
 @query("V3_dual_hash", "select doc_id, md5(text) as md5, sha256(text) as sha256 from documents")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import parse
 from logloom.functions.classify import first_of
+from logloom.sources.files import register
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -74,49 +73,40 @@ def bodyfile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def artifact_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of artifact tables, each file by its own header, tagged with the file's name; all columns as a map.
+    """(source, file, fields) of the rows of all artifact tables below a path, each by the header of its own file, as a map.
 
-    Tables are few and of a kind (one file each), so each is a source of its own.
+    One plan for any number of files: the first line of each is its header, and rows are read with as many columns as the widest
+    header. Names that are missing or that repeat get a number; rows with more fields than their header are dropped, and what a
+    row lacks is null. Files without a line add nothing.
     """
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path).select("path").orderBy("path")
-    parts = []
-    for (file,) in names.collect():  # names only
-        raw = spark.read.option("header", True).csv(file)
-        fields = F.map_from_arrays(F.array(*(F.lit(c) for c in raw.columns)), F.array(*(F.col(f"`{c}`").cast("string") for c in raw.columns)))
-        stem = file.rpartition("/")[2].removesuffix(".csv")
-        parts.append(raw.select(F.lit(f"uac_artifacts/{stem}").alias("source"), fields.alias("fields")))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "source string, fields map<string,string>")
-
-
-#: The layout of login records on Linux: 384 bytes.
-_LOGIN = struct.Struct("<h2xi32s4s32s256shhiii4i20s")
-LOGIN_TYPES = {2: "system_boot", 7: "auth_success", 8: "session_closed"}
-
-
-def login_events(content: bytes, failed: bool) -> list[tuple]:
-    """(ts seconds, event_type, user, line, host) of the records of a login file; ``failed``: the file lists failed logins."""
-    text = lambda b: b.split(b"\0", 1)[0].decode("utf-8", "replace")
-    out = []
-    for r in _LOGIN.iter_unpack(content[: len(content) // _LOGIN.size * _LOGIN.size]):
-        kind, _, line, _, user, host, *_rest = r
-        seconds = r[9]
-        if kind in LOGIN_TYPES and text(user):
-            out.append((seconds, "auth_failure" if failed else LOGIN_TYPES[kind], text(user), text(line), text(host)))
-    return out
+    own = {"recursiveFileLookup": "true", "pathGlobFilter": "*.csv"}
+    lines = spark.read.options(**own).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("line"))
+    heads = lines.filter((F.col("block") == 0) & (F.trim("line") != "")).groupBy("file").agg(F.min_by("line", "i").alias("line"))
+    width = heads.agg(F.max(F.length("line") - F.length(F.replace("line", F.lit(","))))).first()[0]
+    if width is None:
+        return spark.createDataFrame([], "source string, file string, fields map<string,string>")
+    names = [f"c{i}" for i in range(width + 2)]  # one more than the widest header has
+    schema = ", ".join(f"{c} string" for c in names)
+    given = F.from_csv("line", schema)
+    header = F.array(*(given[c] for c in names))
+    used = F.size(F.split(F.regexp_replace("line", r'"[^"]*"', "q"), ","))
+    titles = F.transform(F.slice(header, 1, used), lambda t, i: F.coalesce(F.nullif(F.trim(t), F.lit("")), F.concat(F.lit("Unnamed: "), i.cast("string"))))
+    earlier = lambda i: F.size(F.filter(F.slice("titles", 1, i), lambda x: x == F.element_at("titles", i + 1)))
+    unique = F.transform("titles", lambda t, i: F.when(earlier(i) > 0, F.concat(t, F.lit("."), earlier(i).cast("string"))).otherwise(t))
+    heads = heads.select("file", titles.alias("titles")).select(F.col("file").alias("__file"), unique.alias("titles"))
+    rows = spark.read.schema(schema).options(**own, header="true").csv(path).select(F.col("_metadata.file_path").alias("file"), F.array(*names).alias("cells"))
+    n = F.size("titles")
+    fit = rows.join(heads, F.col("file") == F.col("__file")).filter(~F.exists(F.slice("cells", n + 1, F.size("cells")), lambda c: c.isNotNull()))
+    stem = F.regexp_replace(F.url_decode(F.element_at(F.split("file", "/"), -1)), r"\.csv$", "")
+    return fit.select(F.concat(F.lit("uac_artifacts/"), stem).alias("source"), "file", F.map_from_arrays("titles", F.slice("cells", 1, n)).alias("fields"))
 
 
 def read_logins(spark: SparkSession, path: str) -> DataFrame:
-    """Events of wtmp, btmp and utmp files, one file a task."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p, *e) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in login_events(c, "btmp" in p.rpartition("/")[2])]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.string()) for c in columns[2:])], ["file", "seconds", "event_type", "user", "line", "host"])
-
-    out = files.mapInArrow(decode, "file string, seconds long, event_type string, user string, line string, host string")
-    return out.select("file", F.timestamp_seconds("seconds").alias("ts"), "event_type", "user", F.col("line").alias("terminal"), F.col("host").alias("hostname"), F.nullif(F.regexp_extract("host", r"^(\d+\.\d+\.\d+\.\d+)", 1), F.lit("")).alias("src_ip"))
+    """Events of login files (see ``files.LoginRecords``), of any size: tasks read ranges of records."""
+    register(spark)
+    own = spark.read.format("login_records").load(path)
+    ip = F.nullif(F.regexp_extract("hostname", r"^(\d+\.\d+\.\d+\.\d+)", 1), F.lit(""))
+    return own.select("file", F.timestamp_seconds("seconds").alias("ts"), "event_type", "user", "terminal", "hostname", ip.alias("src_ip"), "pid", F.col("nr").alias("line_number"))
 
 
 def sysmon_events(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -182,16 +172,50 @@ def file_system(number: Column) -> Column:
     return F.coalesce(F.try_element_at(names, number.cast("int")), F.concat(F.lit("unbekannt("), number.cast("string"), F.lit(")")))
 
 
-#: First bytes of files and what they are.
-MAGIC = [("504B0304", "archive"), ("1F8B", "archive"), ("456C6646696C6500", "evtx"), ("455646", "disk_image"), ("4C504B53484852", "journal_log")]
+#: First bytes of files that settle what they are, endings of names, and first bytes of media types.
+MAGIC = [("455646", "disk_image"), ("23204469736B2044657363726970746F7246696C65", "disk_image")]
+ENDINGS = {
+    "disk_image": ["dd", "raw", "img", "001", "e01", "ex01", "ewf", "aff", "afd", "vdi", "vmdk", "vhd", "vhdx", "qcow", "qcow2", "iso"],
+    "logs": ["log", "txt", "syslog", "auth", "messages", "evtx", "evt"],
+    "archive": ["zip", "tar", "gz", "bz2", "7z", "rar", "tgz"],
+}
+MEDIA = [("504B0304", "application/zip"), ("1F8B", "application/gzip"), ("425A68", "application/x-bzip2"), ("377ABCAF271C", "application/x-7z-compressed"), ("FD377A585A00", "application/x-xz-compressed"), ("52617221", "application/x-rar-compressed"), ("25504446", "application/pdf"), ("89504E47", "image/png"), ("7F454C46", "application/x-executable"), ("456C6646696C6500", "application/x-ms-evtx")]
+#: Names within a folder that show a dump of live artifacts.
+DUMP_NAMES = ["bodyfile.txt", "live_response", "artifacts"]
+LARGE, SMALL = 1_000_000_000, 10_000_000
+
+
+def _ending(name: Column) -> Column:
+    return F.lower(F.regexp_extract(name, r"[^/]\.([^./]*)$", 1))
 
 
 def detected(spark: SparkSession, path: str) -> DataFrame:
-    """File info rows: path, size, modified, type by first bytes, then by name, then by whether it is UTF-8."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).withColumn("content", F.substring("content", 1, 512))
-    head = F.hex(F.substring("content", 1, 16))
+    """File info rows (path, name, size, modified, extension, mime_type, type) of all files below a path, of which the first 512
+    bytes are read: by first bytes, then by the ending of the name, then by media type, then by size: beyond a gigabyte and
+    mostly outside printable ASCII a disk image, below 10 MB and UTF-8 a log."""
+    register(spark)
+    files = spark.read.format("file_heads").load(path).withColumn("name", F.element_at(F.split("file", "/"), -1))
+    head, ending = F.hex("head"), _ending(F.col("name"))
     magic = first_of([(head.startswith(m), t) for m, t in MAGIC], F.lit(None).cast("string"))
-    name = F.element_at(F.split("path", "/"), -1)
-    by_name = F.nullif(input_type(name), F.lit("logs"))
-    text = F.when(F.is_valid_utf8(F.substring("content", 1, 512).cast("string")), "logs")
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.coalesce(magic, by_name, text, F.lit("unknown")).alias("type"))
+    by_name = first_of([(ending.isin(e), t) for t, e in ENDINGS.items()], F.lit(None).cast("string"))
+    # a character may be cut off at the end of what is read
+    plain = F.exists(F.array(*(F.substring("head", 1, F.octet_length("head") - cut) for cut in range(4))), lambda h: F.is_valid_utf8(h.cast("string"))) & ~F.contains(F.col("head"), F.lit(b"\0"))
+    tar = F.substring("head", 258, 5) == F.lit(b"ustar")
+    media = first_of([*((head.startswith(m), t) for m, t in MEDIA), (tar, "application/x-tar"), (F.octet_length("head") == 0, "inode/x-empty"), (plain, "text/plain")], "application/octet-stream")
+    by_media = first_of([(F.col("mime_type").contains("text"), "logs"), (F.col("mime_type").rlike("compressed|zip|tar"), "archive")], F.lit(None).cast("string"))
+    binary = F.length(F.regexp_replace(head, "(?:[2-6][0-9A-F]|7[0-9A-F])(?=(?:..)*$)", "")) / F.length(head) > 0.5
+    by_size = first_of([((F.col("size") > LARGE) & binary, "disk_image"), ((F.col("size") < SMALL) & plain, "logs")], "unknown")
+    out = files.withColumn("mime_type", media)
+    return out.select(F.col("file").alias("path"), "name", "size", F.timestamp_micros((F.col("changed") * 1_000_000).cast("long")).alias("modified"), ending.alias("extension"), "mime_type", F.coalesce(magic, by_name, by_media, by_size).alias("type"))
+
+
+def detected_folders(spark: SparkSession, path: str) -> DataFrame:
+    """(path, type) of each folder below a path that holds anything: a dump by the names in it, logs where all files in it end like
+    logs, else unknown. ``path`` itself is among them."""
+    register(spark)
+    root = path.rstrip("/")
+    names = spark.read.format("file_heads").load(path).select(F.split(F.substring(F.col("file"), F.locate(root.rpartition(":")[2], F.col("file")) + len(root.rpartition(":")[2]) + 1, 1 << 30), "/").alias("parts"))
+    place = names.select("parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"))
+    held = place.select(F.concat_ws("/", F.lit(root), F.slice("parts", 1, F.col("depth") - 1)).alias("path"), F.element_at("parts", F.col("depth")).alias("name"), (F.col("depth") == F.size("parts")).alias("is_file"))
+    shape = held.groupBy("path").agg(F.bool_or(F.col("name").isin(DUMP_NAMES)).alias("dump"), F.bool_and(~F.col("is_file") | _ending(F.col("name")).isin(ENDINGS["logs"])).alias("logs"))
+    return shape.select("path", first_of([(F.col("dump"), "uac_dump"), (F.col("logs"), "logs")], "unknown").alias("type"))
