@@ -99,5 +99,6 @@ def chains(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     those of the same turn by role and text, so repeated rows follow each other; rows without a conversation form one."""
     rows = conversations.select(F.col(conv_col).alias("tree"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     nr = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text"))
-    name = lambda n: F.concat(F.coalesce(F.col("tree").cast("string"), F.lit("null")), F.lit(":"), n.cast("string"))
+    # a conversation without an id has names of its own, which no id can give
+    name = lambda n: F.concat(F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit("")), F.lit(":"), n.cast("string"))
     return rows.withColumn("nr", nr).select("tree", name(F.col("nr")).alias("node"), F.when(F.col("nr") > 1, name(F.col("nr") - 1)).alias("parent"), F.lit(0.0).alias("score"), "role", "text")

@@ -19,11 +19,14 @@ def _hash(*parts: object) -> int:
 
 
 def lookup_table(shards: list[str], slots: int = SLOTS, weights: dict[str, int] | None = None) -> list[int]:
-    """For each slot the number of its shard. A shard of weight w has w turns a round. Names must differ."""
+    """For each slot the number of its shard. A shard of weight w has w turns a round, none of weight 0. Names must differ; weights
+    of other names, negative ones, and no turns at all are errors."""
     if not shards or len(set(shards)) < len(shards):
         raise ValueError("shards need different names")
     if slots < 2 or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
         raise ValueError("the number of slots must be prime")
+    if weights and (set(weights) - set(shards) or min(weights.values()) < 0 or not any(weights.get(s, 1) for s in shards)):
+        raise ValueError("weights are for shards, not negative, and not all 0")
     at = [_hash("offset", s) % slots for s in shards]
     skip = [_hash("skip", s) % (slots - 1) + 1 for s in shards]
     turns = [i for i, s in enumerate(shards) for _ in range((weights or {}).get(s, 1))]
