@@ -20,7 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     labels = table(spark, sf_dir, "labels")
     model, toxic = fit(docs, labels), fit_toxic(docs, labels)
     docs = docs.filter(~toxic.toxic(F.col("text")))
-    return model.scored(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c in ("p_text", "p_page", "score")})).filter("score >= 0.5").select(*docs.columns)
+    own = {c: f"own_{i}_{c}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang", "source", "n_chars")}
+    return model.scored(docs.withColumnsRenamed(own)).filter("score >= 0.5").select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality_classifier), ("exact dedup", exact_dedup), ("n-gram Jaccard join", jaccard_join), ("benchmark decontamination", decontamination), ("packing", packing)]
 
-#: Jaccard components and the classifier have no SQL; the stages are tested against brute force.
+#: Jaccard components and the classifier have no SQL; tests/llm holds what the stages are compared with.
 ORACLE_SQL = None
 
 
