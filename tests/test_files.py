@@ -189,7 +189,7 @@ def test_analysis_tells_digests_of_contents(spark, tmp_path):
     (tmp_path / "evidence" / "auth.log").write_bytes(b"one\ntwo\n")
     rows = [(i, f"2025-01-01 00:{i:02d}:00", "auth_failure", "Failed password", "auth.log" if i else "gone.log", i, i / 20) for i in range(20)]
     events = spark.createDataFrame(rows, "seq long, t string, event_type string, description string, source_file string, line_number long, anomaly_score double").withColumn("ts", F.to_timestamp("t")).withColumn("is_anomaly", F.col("seq") % 5 == 0).withColumn("source", F.lit("syslog"))
-    events = events.withColumns({c: F.lit(None).cast("string") for c in ("user", "process", "hostname", "path", "src_ip")})
+    events = events.withColumns({c: F.lit(None).cast("string") for c in ("user", "process", "hostname", "path", "src_ip", "package", "action", "unit", "size")})
     files = spark.createDataFrame([], "seq long, path string, mtime long, ctime long, size long, partition string, filesystem string")
     results.analyse(spark, events, files, str(tmp_path / "out"), "j", score=False, evidence_dir=str(tmp_path / "evidence"))
     md5, sha256 = hashlib.md5(b"one\ntwo\n").hexdigest(), hashlib.sha256(b"one\ntwo\n").hexdigest()
