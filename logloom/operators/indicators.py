@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import tables as T
 from logloom.functions.classify import first_of
+from logloom.operators.normalize import field
 from logloom.operators.patterns import matches
 
 CATEGORIES = {"ips": "ip", "domains": "domain", "users": "user", "processes": "process", "files": "file", "hostnames": "hostname"}
@@ -28,22 +29,49 @@ def indicator_values(text: Column, user: Column, process: Column, hostname: Colu
 
 
 def extracted(events: DataFrame, *keys: str) -> DataFrame:
-    """Different (category, value) of events, for each value of ``keys``."""
-    own = indicator_values(F.coalesce(F.col("description"), F.lit("")), F.col("user"), F.col("process"), F.col("hostname"), F.col("path"), F.col("src_ip"))
+    """Different (category, value) of events, for each value of ``keys``, from their columns and their metadata."""
+    own = indicator_values(F.coalesce(F.col("description"), F.lit("")), *(field(events, c) for c in ("user", "process", "hostname", "path", "src_ip")))
     return events.select(*keys, F.explode(F.array_distinct(own)).alias("i")).select(*keys, "i.*").distinct()
 
 
-def looked_up(indicators: DataFrame, kb: DataFrame) -> DataFrame:
-    """Indicators with what a knowledge base says of them; its first entry of a value counts (column ``nr``)."""
-    first = kb.groupBy(F.lower(F.trim("value")).alias("__value")).agg(F.min_by(F.struct("threat", "confidence"), "nr").alias("kb"))
-    out = indicators.join(first, F.lower(F.trim("value")) == F.col("__value"), "left").drop("__value")
-    confidence = F.coalesce(F.col("kb.confidence"), F.lit("unknown"))
-    return out.select(*indicators.columns, F.col("kb.threat").alias("threat"), confidence.alias("confidence"), verdict(F.col("kb.confidence"), F.lit(None).cast("int")).alias("verdict"))
+#: Days for which a reputation holds, and keys over which the events of one value are spread.
+REPUTATION_DAYS, SPREAD = 90, 8
+
+
+def looked_up(indicators: DataFrame, kb: DataFrame, reputations: DataFrame | None = None) -> DataFrame:
+    """Indicators with what a knowledge base says of them; its first entry of a value counts (column ``nr``). With ``reputations``
+    (value, score from 0 to 100, at), addresses also have the score that held at their ``ts``."""
+    first = kb.groupBy(F.lower(F.trim("value")).alias("__value")).agg(F.min_by(F.struct("threat", F.coalesce("confidence", F.lit("medium")).alias("confidence")), "nr").alias("kb"))
+    own = indicators if reputations is None else with_reputation(indicators, reputations)
+    score = F.lit(None).cast("int") if reputations is None else F.when(F.col("category") == "ips", F.col("__score"))
+    out = own.withColumn("__abuse", score).join(first, F.lower(F.trim("value")) == F.col("__value"), "left")
+    known, abuse = F.col("kb.confidence"), F.col("__abuse")
+    levels = F.array(known, first_of([(abuse >= 75, "high"), (abuse >= 25, "medium"), (abuse.isNotNull(), "low")], F.lit(None).cast("string")))
+    confidence = first_of([(F.array_contains(F.array_compact(levels), c), c) for c in ("high", "medium")] + [(known.isNotNull() | abuse.isNotNull(), "low")], "unknown")
+    return out.select(*indicators.columns, F.col("kb.threat").alias("threat"), confidence.alias("confidence"), *([abuse.alias("abuse_score")] if reputations is not None else []), verdict(known, abuse).alias("verdict"))
+
+
+def with_reputation(indicators: DataFrame, reputations: DataFrame) -> DataFrame:
+    """Indicators (value, ts, ...) with ``__score``: the latest score of their value at their time or up to 90 days before it.
+
+    An as-of join by one sort: both go by value and spans of 90 days, an entry to its span and the next one, for one more is too
+    late. Values with many events are spread over several keys, to each of which the few entries of the value go.
+    """
+    span = lambda c: F.floor(F.unix_seconds(c) / (REPUTATION_DAYS * 86400))
+    rows = indicators.select(F.lower(F.trim("value")).alias("__v"), span("ts").alias("__span"), F.pmod(F.xxhash64(*(c for c in indicators.columns)), F.lit(SPREAD)).alias("__key"), F.col("ts").alias("__at"), F.lit(1).alias("__kind"), F.struct(*indicators.columns).alias("__row"), F.lit(None).cast("struct<at:timestamp,score:int>").alias("__entry"))
+    entries = reputations.filter("value is not null and at is not null and score is not null").select(F.lower(F.trim("value")).alias("__v"), F.explode(F.array(span("at"), span("at") + 1)).alias("__span"), F.col("at").alias("__at"), F.struct(F.col("at").cast("timestamp").alias("at"), F.col("score").cast("int").alias("score")).alias("__entry"))
+    entries = entries.withColumn("__key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))).withColumn("__kind", F.lit(0))
+    both = rows.unionByName(entries, allowMissingColumns=True)
+    order = Window.partitionBy("__v", "__span", "__key").orderBy("__at", "__kind", F.col("__entry.score"))
+    latest = F.last("__entry", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("__latest", latest).filter("__kind = 1")
+    holds = F.col("__at") <= F.col("__latest.at") + F.make_dt_interval(F.lit(REPUTATION_DAYS))
+    return met.select("__row.*", F.when(holds, F.col("__latest.score")).alias("__score"))
 
 
 def verdict(kb_confidence: Column, abuse_score: Column) -> Column:
-    """By a reputation score from 0 to 100 where there is one, else by the knowledge base."""
-    return first_of([(abuse_score >= 50, "malicious"), (abuse_score >= 25, "suspicious"), (kb_confidence == "high", "malicious"), (kb_confidence.isNotNull(), "suspicious"), (abuse_score.isNotNull(), "clean")], "unknown")
+    """By the knowledge base where it knows the value, else by a reputation score from 0 to 100."""
+    return first_of([(kb_confidence == "high", "malicious"), (kb_confidence.isNotNull(), "suspicious"), (abuse_score >= 50, "malicious"), (abuse_score >= 25, "suspicious"), (abuse_score.isNotNull(), "clean")], "unknown")
 
 
 def context_matches(events: DataFrame, kb: DataFrame) -> DataFrame:

@@ -28,13 +28,31 @@ def stable_id(source: Column, inode: Column, *rest: Column) -> Column:
     return F.concat(source, F.lit("_"), F.coalesce(inode.cast("string"), F.hex(F.xxhash64(*rest))))
 
 
-def normalized(parsed: DataFrame, seq: str = "seq") -> DataFrame:
-    """Events with id, ts, event_type, source, description from parsed lines (source, event_type, message, path, raw_line)."""
+def normalized(parsed: DataFrame, seq: str = "seq", metadata: bool = False) -> DataFrame:
+    """Events with id, ts, event_type, source, description from parsed lines (source, event_type, message, path, raw_line).
+
+    With ``metadata``, every field of the line but its time is also kept in a variant column of that name, so that tables of
+    different sources meet in one schema; ``field`` reads it.
+    """
     none = F.lit(None)
     kind = inferred_type(F.col("event_type"), none, none, none)
     out = parsed.withColumn("event_type", kind).withColumn("ts_synthetic", F.col("ts").isNull())
     out = out.withColumn("event_key", stable_id(F.col("source"), none, F.col("raw_line"), F.col(seq)))
-    return out.withColumn("description", description(F.col("message"), F.col("event_type"), F.col("path"), none))
+    out = out.withColumn("description", description(F.col("message"), F.col("event_type"), F.col("path"), none))
+    return with_metadata(out, *(c for c in parsed.columns if c not in ("ts", seq))) if metadata else out
+
+
+def with_metadata(events: DataFrame, *fields: str) -> DataFrame:
+    """``events`` with the given fields as one variant column; those that are null are left out of it."""
+    return events.withColumn("metadata", F.parse_json(F.to_json(F.struct(*(F.col(f"`{c}`") for c in fields)))))
+
+
+def field(events: DataFrame, name: str, kind: str = "string") -> Column:
+    """A field of events: the column of that name, and what metadata hold of it where there is no column, or nothing in it."""
+    own = [F.col(f"`{name}`").cast(kind)] if name in events.columns else []
+    if "metadata" in events.columns and events.schema["metadata"].dataType.typeName() == "variant":
+        own.append(F.try_variant_get("metadata", f"$.{name}", kind))
+    return F.coalesce(*own) if own else F.lit(None).cast(kind)
 
 
 def united(*sources: DataFrame) -> DataFrame:

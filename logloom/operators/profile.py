@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import tables as T
 from logloom.functions.classify import first_of, has
-from logloom.operators.normalize import top_per_group
+from logloom.operators.normalize import field
 
 
 def os_vote(files: DataFrame) -> DataFrame:
@@ -49,7 +49,8 @@ def users(events: DataFrame, n: int = 20) -> DataFrame:
 
 def packages(events: DataFrame, n: int = 100) -> DataFrame:
     """The last action on each package, in the order of their first appearance."""
-    by = events.filter("package is not null").groupBy("package").agg(F.max_by("action", "seq").alias("action"), F.min("seq").alias("first_seq"))
+    own = events.select("seq", field(events, "package").alias("package"), field(events, "action").alias("action")).filter("package is not null")
+    by = own.groupBy("package").agg(F.max_by("action", "seq").alias("action"), F.min("seq").alias("first_seq"))
     return by.orderBy("first_seq", "package").limit(n)
 
 
@@ -80,5 +81,3 @@ def system_profile(events: DataFrame, files: DataFrame) -> DataFrame:
     score = sum((F.when(w, n).otherwise(0) for w, n in points), F.lit(0))
     return one.withColumn("confidence", first_of([(score >= 6, "high"), (score >= 3, "medium")], "low"))
 
-
-__all__ = ["addresses", "distribution", "hostname", "kernel", "os_vote", "packages", "services", "suspicious_dirs", "system_profile", "top_per_group", "users"]

@@ -1,6 +1,6 @@
 """What an analysis leaves behind: its tables, written by Spark's writers under a folder of the job, and read back.
 
-All writers replace what the folder holds, but for job records, audit entries and stage times, which are appended.
+Each job's results replace what it left before, but for job records, audit entries and stage times, which are appended.
 """
 
 from __future__ import annotations
@@ -12,22 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import classify
-from logloom.operators import attack, evidence, findings, indicators, normalize, profile, scoring, views
+from logloom.operators import attack, evidence, findings, indicators, profile, scoring, views
+from logloom.operators.store import read_results, write_result
 
 #: Types whose anomalies tell of an attacker's infrastructure, whatever their tactics.
 INFRA_TYPES = ["c2_beacon", "c2_tool", "vpn_connection", "dns_query", "network_connect", "suspicious_tool_installed", "file_download", "ssh_event", "data_exfiltration"]
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
-def write_csv(df: DataFrame, path: str) -> None:
-    """As CSV with a header; nested columns as JSON."""
-    nested = {f.name for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")}
-    df.select(*(F.to_json(c).alias(c) if c in nested else F.col(f"`{c}`") for c in df.columns)).write.mode("overwrite").option("header", True).csv(path)
-
-
 def append(df: DataFrame, path: str) -> None:
     """Job records, audit entries and stage times: new rows, never changed ones."""
     df.write.mode("append").json(path)
@@ -64,66 +55,84 @@ def prompt_sections(events: DataFrame, n_events: int = 100, n_values: int = 10)
     return rows.unionByName(found.select(F.col("category").alias("section"), F.col("nr").cast("long").alias("nr"), F.col("value").alias("line")))
 
 
+def tampering(found: DataFrame) -> DataFrame:
+    """One row: the risk of the findings, its level and sentence, and the findings themselves, the gravest first."""
+    grave = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    rows = found.agg(F.array_sort(F.collect_list(F.struct(grave.alias("__grave"), "category", "severity", "n_hits", "technique", "evidence"))).alias("f"))  # as many as checks
+    bare = F.transform("f", lambda x: F.struct(*(x[c].alias(c) for c in ("category", "severity", "n_hits", "technique", "evidence"))))
+    return findings.risk(found).join(F.broadcast(rows)).withColumn("findings", bare).drop("f")
+
+
 def analyse(spark: SparkSession, events: DataFrame, files: DataFrame, out_dir: str, job_id: str, score: bool = True, evidence_dir: str | None = None) -> None:
     """All stages over normalized ``events`` and ``files``, each written under ``out_dir``: what follows reads what was written.
 
-    Leaves normalized (Parquet), timeline.csv, files.csv, system_profile, findings, anomalies, selection, provenance, indicators,
-    digests, summary, and appends to jobs and stage_times. With ``score`` unset, events bring their own anomaly_score and is_anomaly.
-    Events name their ``source_file`` by the path below ``evidence_dir``; without that folder no digests are known.
+    Leaves normalized (Parquet), timeline.csv, files.csv, system_profile, findings, tampering, anomalies, selection, provenance,
+    indicators, digests, summary, each a table partitioned by job of which the job's own partition is replaced, and appends to jobs,
+    audit and stage_times. With ``score`` unset, events bring their own anomaly_score and is_anomaly. Events name their
+    ``source_file`` by the path below ``evidence_dir``; without that folder no digests are known.
     """
-    at = lambda name: f"{out_dir}/{name}"
     took: list[tuple[str, str, float]] = []
+    put = lambda df, name, form="json": write_result(df, out_dir, name, job_id, form)
+    get = lambda df, name, form="parquet": read_results(spark, out_dir, name, _ddl(df), [job_id], form).drop("job_id")
 
     def stage(name: str, run: Callable[[], None]) -> None:
         began = time.time()
         run()
         took.append((job_id, name, round(time.time() - began, 3)))
 
+    audit(spark, out_dir, "analysis_started", job_id=job_id)
     if score:
         events = scoring.isolation_scores(scoring.features(events.drop("anomaly_score", "is_anomaly")))
-    stage("normalized", lambda: events.write.mode("overwrite").parquet(at("normalized")))
-    events = spark.read.parquet(at("normalized"))
-    stage("timeline", lambda: write_csv(events.orderBy("ts", "seq"), at("timeline.csv")))
-    stage("files", lambda: write_csv(files, at("files.csv")))
-    stage("system_profile", lambda: write_json(profile.system_profile(events, files), at("system_profile")))
-    stage("findings", lambda: findings.all_findings(events, files).write.mode("overwrite").parquet(at("findings")))
-    found = spark.read.parquet(at("findings"))
+    stage("normalized", lambda: put(events, "normalized", "parquet"))
+    events = get(events, "normalized")
+    stage("timeline", lambda: put(events, "timeline.csv", "csv"))
+    stage("files", lambda: put(files, "files.csv", "csv"))
+    stage("system_profile", lambda: put(profile.system_profile(events, files), "system_profile"))
+    found = findings.all_findings(events, files)
+    stage("findings", lambda: put(found, "findings", "parquet"))
+    found = get(found, "findings")
+    put(tampering(found), "tampering")
     anomalies = attack.enriched(events.filter("is_anomaly")).withColumn("explanation", scoring.explanation())
-    stage("anomalies", lambda: write_json(anomalies, at("anomalies")))
-    stage("selection", lambda: write_json(selected(events), at("selection")))
-    stage("indicators", lambda: write_json(indicators.extracted(events), at("indicators")))
+    stage("anomalies", lambda: put(anomalies, "anomalies"))
+    stage("selection", lambda: put(selected(events), "selection"))
+    stage("indicators", lambda: put(indicators.extracted(events), "indicators"))
     hashes = spark.createDataFrame([], "file string, size long, changed double, md5 string, sha256 string")
     if evidence_dir:
         below = F.substring_index(F.col("file"), evidence_dir.rstrip("/").rpartition("/")[2] + "/", -1)
         hashes = evidence.digests(spark, evidence_dir).withColumn("file", below)
-    write_json(hashes, at("digests"))
-    hashes = spark.read.schema(hashes.schema).json(at("digests"))
+    put(hashes, "digests")
+    hashes = get(hashes, "digests", "json")
     missing = {c: F.lit(None).cast(t) for c, t in (("source_file", "string"), ("line_number", "long")) if c not in events.columns}
-    stage("provenance", lambda: write_json(evidence.provenance(events.filter("is_anomaly").withColumns(missing), hashes), at("provenance")))
+    stage("provenance", lambda: put(evidence.provenance(events.filter("is_anomaly").withColumns(missing), hashes), "provenance"))
     counts = events.agg(F.count(F.lit(1)).alias("n_events"), F.count_if("is_anomaly").alias("n_anomalies"), F.round(F.max("anomaly_score"), 3).alias("top_score"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    summary = counts.join(F.broadcast(findings.risk(found))).withColumn("job_id", F.lit(job_id))
+    summary = counts.join(F.broadcast(findings.risk(found)))
     files_of = hashes.agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("evidence_bytes"), F.max(F.when(F.col("file").isNotNull(), F.struct("md5", "sha256"))).alias("__one"))
     one = lambda c: F.when(F.col("n_files") == 1, F.col(f"__one.{c}")).alias(f"{c}_hash")  # noqa: E731  of one evidence file, as its own
     summary = summary.join(F.broadcast(files_of)).select(*summary.columns, "n_files", "evidence_bytes", one("md5"), one("sha256"))
-    stage("summary", lambda: write_json(summary, at("summary")))
-    append(spark.createDataFrame([(job_id, "done")], "job_id string, status string").withColumn("finished", F.current_timestamp()), at("jobs"))
-    append(spark.createDataFrame(took, "job_id string, stage string, seconds double"), at("stage_times"))
+    stage("summary", lambda: put(summary, "summary"))
+    append(spark.createDataFrame([(job_id, "done")], "job_id string, status string").withColumn("finished", F.current_timestamp()), f"{out_dir}/jobs")
+    append(spark.createDataFrame(took, "job_id string, stage string, seconds double"), f"{out_dir}/stage_times")
+    audit(spark, out_dir, "analysis_completed", job_id=job_id, stages=str(len(took)))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def audit(spark: SparkSession, out_dir: str, what: str, **details: str) -> None:
+    """Appends an entry (timestamp, event, details) to the audit log below ``out_dir``; entries are never changed."""
+    entry = evidence.audit_entry(F.current_timestamp(), F.lit(what), **{k: F.lit(v) for k, v in details.items()})
+    append(spark.range(1).select(entry.alias("e")).select("e.*"), f"{out_dir}/audit")
 
 
-def read_jobs(spark: SparkSession, out_dirs: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(summaries, anomalies, indicators) of the outputs of jobs, each row with its job_id; a job without one of them adds none."""
-    anomaly = "seq long, event_type string, description string, hostname string, anomaly_score double"
-    kinds = {"summary": "n_events long, n_anomalies long, top_score double, risk_score long, risk_level string", "anomalies": anomaly, "indicators": "category string, value string"}
-    out = []
-    for name, schema in kinds.items():
-        parts = [spark.read.schema(schema).option("ignoreMissingFiles", True).json(f"{d}/{name}").withColumn("job_id", F.lit(j)) for j, d in out_dirs.items() if _exists(spark, f"{d}/{name}")]
-        out.append(normalize.united(*parts) if parts else spark.createDataFrame([], f"{schema}, job_id string"))
-    return tuple(out)
+ANOMALY = "seq long, event_type string, description string, hostname string, anomaly_score double"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+def read_jobs(spark: SparkSession, out_dir: str, jobs: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summaries, anomalies, indicators) of all jobs or of some, each row with its job_id: one scan of each kind, of the partitions
+    of those jobs; a job without one of them adds none."""
+    kinds = {"summary": "n_events long, n_anomalies long, top_score double, risk_score long, risk_level string", "anomalies": ANOMALY, "indicators": "category string, value string"}
+    return tuple(read_results(spark, out_dir, name, schema, jobs, "json") for name, schema in kinds.items())
 
 
 def keyword_techniques(text, words: dict[str, tuple[str, str, str]]):

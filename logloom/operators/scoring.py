@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import tables as T
 from logloom.functions.classify import is_private
+from logloom.operators.normalize import field
 from logloom.sources.stored import quantile, stored
 
 FEATURES = ["hour", "day_of_week", "is_off_hours", "event_type_score", "message_length", "suspicious_keyword_count", "has_external_ip", "file_size_log"]
@@ -28,8 +29,9 @@ def features(events: DataFrame) -> DataFrame:
     m = F.lower(F.coalesce(F.col("description"), F.lit("")))
     off = (F.hour("ts") >= 22) | (F.hour("ts") < 6)
     ips = F.regexp_extract_all(m, F.lit(T.IPV4), F.lit(0))
-    external = F.when(F.col("src_ip").isNotNull(), ~is_private(F.col("src_ip"))).otherwise(F.exists(ips, lambda ip: ~is_private(ip)))
-    size = F.col("size").try_cast("double")
+    src_ip = field(events, "src_ip")
+    external = F.when(src_ip.isNotNull(), ~is_private(src_ip)).otherwise(F.exists(ips, lambda ip: ~is_private(ip)))
+    size = field(events, "size").try_cast("double")
     # an event without a time has no more features than the type score 1
     values = {
         "hour": F.hour("ts"), "day_of_week": F.weekday("ts"), "is_off_hours": off.cast("int"), "event_type_score": type_score(F.col("event_type")),

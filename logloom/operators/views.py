@@ -45,12 +45,31 @@ def top_by_score(events: DataFrame, n: int, least: float | None = None) -> DataF
     return own.orderBy(F.desc_nulls_last("anomaly_score"), "seq").limit(n)
 
 
-def event_page(events: DataFrame, text: str = "", sort: str = "ts", descending: bool = False, page: int = 0, size: int = 25) -> DataFrame:
-    """A page of events that hold a text, sorted by any column, nulls last both ways."""
+def event_page(events: DataFrame, text: str = "", sort: str = "ts", descending: bool = False, page: int = 0, size: int = 25, after: tuple | None = None) -> DataFrame:
+    """A page of events that hold a text, sorted by any column, nulls last both ways; texts in the order of a dictionary.
+
+    ``after`` is (value of the sort column, seq) of the last event of the page before: what follows is found by a filter, so any
+    page costs what the first one does. Without it, ``page`` pages are passed over.
+    """
     holds = F.concat_ws(" ", "description", "event_type", "source", F.col("seq").cast("string"))
     own = events.filter(F.lower(holds).contains(text.lower())) if text else events
-    key = F.coalesce(F.col(sort), F.lit(0.0)) if sort == "anomaly_score" else F.col(sort)
-    return own.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "seq").offset(page * size).limit(size)
+    key = page_key(events, sort)
+    if after is not None:
+        value, seq = after
+        at = F.lit(value).cast(events.schema[sort].dataType)
+        at = F.coalesce(at, F.lit(0.0)) if sort == "anomaly_score" else at
+        tied = key.isNull() & F.lit(value is None) if value is None and sort != "anomaly_score" else key == at
+        beyond = F.lit(False) if value is None and sort != "anomaly_score" else (key < at if descending else key > at) | key.isNull()
+        own = own.filter(beyond | (tied & (F.col("seq") > seq)))
+    ordered = own.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "seq")
+    return ordered.limit(size) if after is not None else ordered.offset(page * size).limit(size)
+
+
+def page_key(events: DataFrame, sort: str) -> Column:
+    """What pages are sorted by: no score counts as 0, and texts go by the rules of Unicode collation."""
+    if sort == "anomaly_score":
+        return F.coalesce(F.col(sort), F.lit(0.0))
+    return F.collate(F.col(sort), "UNICODE") if events.schema[sort].dataType.typeName() == "string" else F.col(sort)
 
 
 def counts_by(events: DataFrame, column: str) -> DataFrame:

@@ -38,10 +38,10 @@ def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("seq", text(F.date_format("t", "MMM d HH:mm:ss"), " host", u % 5, " ", said).alias("line"))
 
 
-def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalized events of the syslog lines, with a given score."""
+def timeline(spark: SparkSession, sf_dir: str, metadata: bool = False) -> DataFrame:
+    """Normalized events of the syslog lines, with a given score; with ``metadata`` their further fields too."""
     lines = parse.with_events(syslog_lines(spark, sf_dir), parse.syslog, year=YEAR).filter("e is not null")
-    out = normalized(lines.select("seq", F.col("line").alias("raw_line"), "e.*"))
+    out = normalized(lines.select("seq", F.col("line").alias("raw_line"), "e.*"), metadata=metadata)
     score = (F.col("seq") * 37 % 1000) / F.lit(1000.0)
     return out.withColumn("anomaly_score", score).withColumn("is_anomaly", score >= 0.9)
 
@@ -152,5 +152,5 @@ def host_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written(spark: SparkSession, sf_dir: str) -> str:
     """The folder in which an analysis of the timeline, by its given scores, has left its results."""
     out = new_folder(spark, "results")
-    results.analyse(spark, timeline(spark, sf_dir), files(spark, sf_dir), out, "job-1", score=False)
+    results.analyse(spark, timeline(spark, sf_dir, metadata=True), files(spark, sf_dir), out, "job-1", score=False)
     return out

@@ -11,6 +11,7 @@ from logloom.functions import classify, parse
 from logloom.functions import tables as T
 from logloom.operators import attack, evidence, findings, indicators, normalize, profile, results, scoring, views
 from logloom.plans.bindings import EVIDENCE, FILES, ORDERS, TIMELINE, YEAR, doc_events, files, host_digests, lines, parsed, syslog_lines, table, text, timeline, with_files, written
+from logloom.sources.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -469,6 +470,13 @@ def f9(spark, sf_dir):
 _FOUND = " union all ".join([_tools("wipe_tools", "high", 0, 1), _tools("log_clearing", "high", 2, 3), _tools("time_manipulation", "medium", 4, 5), _tools("rootkit", "high", 6), _tools("suspicious_deletions", "high", 7), "select 'truncated_logs', 'medium', count(*), least(15, count(*)) from fs where size = 0 having count(*) > 0"])
 
 
+#: What the checks find in the timeline and the files.
+_FOUND_IN_EVENTS = """select 'timestomping' as category, case when count(*) >= 5 then 'high' else 'medium' end as severity, count(*) as n_hits from fs where ctime - mtime > 86400 having count(*) > 0
+  union all select 'truncated_logs', 'medium', count(*) from fs where size = 0 having count(*) > 0
+  union all select 'identical_timestamps', 'medium', count(*) from (select ts from ev group by ts having count(*) >= 20) having count(*) > 0
+  union all select 'log_gap', case when count(*) > 1 then 'high' else 'medium' end, count(*) from (select ts, lag(ts) over (order by ts) as p from ev) where epoch(ts) - epoch(p) >= 21600 having count(*) > 0"""
+
+
 @query("F10_F12_risk", f"""{FS}, f as ({_FOUND}), r as (select cast(least(100, sum(case severity when 'high' then 20 when 'medium' then 10 else 5 end)) as bigint) as risk_score, count(*) as n_findings, string_agg(category, ',' order by category) as categories from f)
 select risk_score, n_findings, case when risk_score >= 60 then 'critical' when risk_score >= 40 then 'high' when risk_score >= 20 then 'medium' when risk_score > 0 then 'low' else 'none' end as risk_level, categories from r""")
 def f10(spark, sf_dir):
@@ -845,10 +853,77 @@ def k1(spark, sf_dir):
 
 @query("S13_job_outputs", f"{EV} select 'job-1' as job_id, seq, event_type, description, anomaly_score::double as anomaly_score from ev where is_anomaly")
 def s13(spark, sf_dir):
-    _, anomalies, _ = results.read_jobs(spark, {"job-1": written(spark, sf_dir), "job-2": f"{sf_dir}/no-such-job"})
+    _, anomalies, _ = results.read_jobs(spark, written(spark, sf_dir), ["job-1", "job-2"])
     return anomalies.select("job_id", "seq", "event_type", "description", "anomaly_score")
 
 
+@query("K_written_contents", f"""{BOTH}, {EVIDENCE},
+f as (select * from ({_FOUND_IN_EVENTS}) where category is not null),
+r as (select cast(least(100, coalesce(sum(case severity when 'high' then 20 when 'medium' then 10 else 5 end), 0)) as bigint) as risk, count(*) as n from f)
+select 'normalized' as output, 'seq' as item, cast(sum(seq) as varchar) as held from ev
+union all select 'normalized', 'metadata', cast(count(distinct process || hostname) as varchar) from ev
+union all select 'timeline.csv', 'description', cast(sum(length(description)) as varchar) from ev
+union all select 'files.csv', 'size', cast(sum(size) as varchar) from fs
+union all select 'findings', category, n_hits || ' ' || severity from f
+union all select 'tampering', 'risk', risk || ' ' || n from r
+union all select 'summary', 'risk', cast(risk as varchar) from r
+union all select 'summary', 'n_anomalies', cast(count(*) as varchar) from ev where is_anomaly
+union all select 'anomalies', 'seq', cast(sum(seq) as varchar) from ev where is_anomaly
+union all select 'provenance', 'nr', cast(sum(nr * seq) as varchar) from (select seq, row_number() over (order by seq) as nr from ev where is_anomaly)
+union all select 'selection', 'seq', cast(sum(seq) as varchar) from (select seq from ev where event_type in {tuple(T.SUSPICIOUS_TYPES)} or is_anomaly or anomaly_score > 0.5 or {WORDS} order by seq limit 1000)
+union all select 'indicators', 'ips', cast(count(distinct ip) as varchar) from (select unnest(regexp_extract_all(description, '\\b(?:[0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}\\b')) as ip from ev)
+union all select 'audit', 'analysis_completed', '1'""")
+def k_contents(spark, sf_dir):
+    """What an analysis has written, read back: sums and values of each output."""
+    out, total = written(spark, sf_dir), lambda c: F.sum(c).cast("string")
+    json, csv = spark.read.json, spark.read.option("header", True).csv
+    item = lambda df, output, name, value: df.select(F.lit(output).alias("output"), name.alias("item"), value.alias("held"))
+    one = lambda df, output, name, value: item(df.agg(value.alias("v")), output, F.lit(name), F.col("v").cast("string"))
+    own = spark.read.parquet(f"{out}/normalized")
+    found = spark.read.parquet(f"{out}/findings")
+    meta = F.concat(F.variant_get("metadata", "$.process", "string"), F.variant_get("metadata", "$.hostname", "string"))
+    return normalize.united(
+        one(own, "normalized", "seq", total("seq")), one(own, "normalized", "metadata", F.count_distinct(meta)), one(csv(f"{out}/timeline.csv"), "timeline.csv", "description", F.sum(F.length("description"))),
+        one(csv(f"{out}/files.csv"), "files.csv", "size", total(F.col("size").cast("long"))), item(found, "findings", F.col("category"), F.concat_ws(" ", F.col("n_hits").cast("string"), "severity")),
+        item(json(f"{out}/tampering"), "tampering", F.lit("risk"), F.concat_ws(" ", F.col("risk_score").cast("string"), F.size("findings").cast("string"))), item(json(f"{out}/summary"), "summary", F.lit("risk"), F.col("risk_score").cast("string")),
+        item(json(f"{out}/summary"), "summary", F.lit("n_anomalies"), F.col("n_anomalies").cast("string")), one(json(f"{out}/anomalies"), "anomalies", "seq", total("seq")), one(json(f"{out}/provenance"), "provenance", "nr", total(F.col("nr") * F.col("seq"))),
+        one(json(f"{out}/selection"), "selection", "seq", total("seq")), one(json(f"{out}/indicators").filter("category = 'ips'"), "indicators", "ips", F.count_distinct("value")), item(json(f"{out}/audit").groupBy("event").count().filter("event = 'analysis_completed'"), "audit", F.col("event"), F.col("count").cast("string")),
+    )
+
+
+@query("N1_metadata", f"{EV} select seq, process, hostname, 'syslog' as source, description as message from ev")
+def n1m(spark, sf_dir):
+    """Fields that only metadata hold, after a union with a table that has none, a removal of repeats and a write."""
+    own = timeline(spark, sf_dir, metadata=True).select("seq", "ts", "description", "metadata")
+    both = normalize.united(own.unionByName(own), files(spark, sf_dir).select((-F.col("seq")).alias("seq"), "path"))
+    back = stored(normalize.deduplicated(both, ("seq",)), "metadata").filter("seq >= 0")
+    return back.select("seq", *(normalize.field(back, c).alias(c) for c in ("process", "hostname", "source", "message")))
+
+
+@query("I2_indicators_of_metadata", f"{IOC} select distinct category, value from ioc")
+def i2m(spark, sf_dir):
+    own = timeline(spark, sf_dir, metadata=True).select("description", "metadata")
+    return indicators.extracted(own)
+
+
+REPUTED = "rep as (select '45.155.' || (c_custkey % 200) || '.' || (c_custkey % 250 + 1) as value, c_custkey % 101 as score, cast('2024-01-01' as timestamp) + to_days(cast(c_custkey % 400 as int)) - to_days(200) as at from customer)"
+
+
+@query("I6_I9_reputations", f"""{EV}, {REPUTED}, i as (select distinct unnest(regexp_extract_all(description, '\\b(?:[0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}\\b')) as value, ts from ev),
+k as (select lower(trim(value)) as v, arg_min(threat, nr) as threat, arg_min(confidence, nr) as confidence from {values(KB, 'kb(nr, value, threat, confidence)')} group by 1),
+s as (select i.value, i.ts, arg_max(score, (r.at, score)) as score from i left join rep r on r.value = i.value and r.at <= i.ts and r.at >= i.ts - to_days(90) group by 1, 2)
+select value, {WHEN.format('ts')} as ts, threat, cast(score as int) as abuse_score,
+  case when confidence = 'high' or score >= 75 then 'high' when confidence = 'medium' or score >= 25 then 'medium' when confidence is not null or score is not null then 'low' else 'unknown' end as confidence,
+  case when confidence = 'high' then 'malicious' when confidence is not null then 'suspicious' when score >= 50 then 'malicious' when score >= 25 then 'suspicious' when score is not null then 'clean' else 'unknown' end as verdict
+from s left join k on lower(trim(value)) = v""")
+def i6r(spark, sf_dir):
+    """Addresses with the reputation that held when they were seen."""
+    c = F.col("c_custkey")
+    rep = table(spark, sf_dir, "customer").select(text("45.155.", c % 200, ".", c % 250 + 1).alias("value"), (c % 101).alias("score"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(c.cast("int") % 400 - 200)).alias("at"))
+    seen = indicators.extracted(timeline(spark, sf_dir), "ts").filter("category = 'ips'")
+    return indicators.looked_up(seen, kb(spark), rep).select("value", when(), "threat", "abuse_score", "confidence", "verdict")
+
+
 @query("I1_recent", f"{EV} select seq, {WHEN.format('ts')} as ts, event_type as type, description from ev order by ev.ts desc, seq limit 1000")
 def i1r(spark, sf_dir):
     return results.selected(timeline(spark, sf_dir), "recent").select("seq", when(), "type", "description")
