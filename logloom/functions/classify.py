@@ -209,6 +209,12 @@ def risk_level5(score: Column) -> Column:
     return first_of([(score >= 0.8, "critical"), (score >= 0.6, "high"), (score >= 0.4, "medium"), (score >= 0.2, "low")], "info")
 
 
+def job_risk(is_anomaly: Column, score: Column) -> Column:
+    """Aggregate: the level of the highest score of anomalies, ``info`` where there are none."""
+    top = F.max(F.when(is_anomaly, score))
+    return F.when(top.isNull(), "info").otherwise(risk_level(top))
+
+
 def is_private(ip: Column) -> Column:
     return ip.rlike(T.PRIVATE_IP)
 

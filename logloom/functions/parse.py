@@ -52,6 +52,23 @@ def stamp(text: Column, pattern: str) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern))
 
 
+#: A time as text: a date, with a time of day after T or a blank, the former with a fraction and a zone if both are there, or a zone.
+TIME_TEXT = r"(\d{4})-(\d{1,2})-(\d{1,2})(?:T(\d{1,2}):(\d{1,2}):(\d{1,2})(?:(?:\.(\d{1,6}))?(Z|[+-]\d{2}:?\d{2}))?|\s+(\d{1,2}):(\d{1,2}):(\d{1,2}))?"
+
+
+def any_time(raw: Column) -> Column:
+    """A time from text in one of five forms, of which the first 26 characters count; without a zone it is UTC, anything else null.
+
+    So a fraction of six digits leaves no room for a zone, and such a time is null.
+    """
+    cut = F.left(F.trim(raw.cast("string")), F.lit(26))
+    part = lambda i: F.regexp_extract(cut, f"^(?:{TIME_TEXT})$", i)
+    two = lambda *i: F.lpad(F.coalesce(*(F.nullif(part(j), F.lit("")) for j in i), F.lit("00")), 2, "0")
+    zone = F.regexp_replace(F.coalesce(F.nullif(part(8), F.lit("")), F.lit("Z")), r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
+    fraction = F.coalesce(F.nullif(part(7), F.lit("")), F.lit("0"))
+    return F.concat(part(1), F.lit("-"), two(2), F.lit("-"), two(3), F.lit("T"), two(4, 9), F.lit(":"), two(5, 10), F.lit(":"), two(6, 11), F.lit("."), fraction, zone).try_cast("timestamp")
+
+
 def iso(text: Column) -> Column:
     return text.try_cast("timestamp")
 

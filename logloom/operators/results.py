@@ -8,14 +8,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import classify
-from logloom.operators import attack, evidence, findings, indicators, profile, scoring, views
+from logloom.operators import attack, evidence, findings, indicators, normalize, profile, scoring, views
 from logloom.operators.store import read_results, write_result
 
-#: Types whose anomalies tell of an attacker's infrastructure, whatever their tactics.
+#: Types whose anomalies tell of an attacker's infrastructure, whatever their tactics.
 INFRA_TYPES = ["c2_beacon", "c2_tool", "vpn_connection", "dns_query", "network_connect", "suspicious_tool_installed", "file_download", "ssh_event", "data_exfiltration"]
 
 
@@ -47,6 +47,20 @@ def infra_indicators(anomalies: DataFrame) -> DataFrame:
     return views.indicator_list(found, 30).filter((F.col("category") == "ips") | (F.col("nr") <= 20)).select("category", "value")
 
 
+def infra_panel(anomalies: DataFrame) -> DataFrame:
+    """(category, nr, value) of an attacker's infrastructure, in the order of first appearance: 30 addresses, source and destination
+    ones, 20 names that were looked up, 20 tools that were installed."""
+    own = attack.enriched(anomalies).filter(F.col("event_type").isin(INFRA_TYPES) | F.col("is_attacker_infra"))
+    f = lambda name: normalize.field(own, name)
+    asked = F.coalesce(f("query_name"), F.nullif(F.regexp_extract(F.coalesce(f("message"), f("description")), "fragt '([^']+)'", 1), F.lit("")))
+    at = lambda category, place, value: F.struct(F.lit(category).alias("category"), F.lit(place).alias("place"), value.alias("value"))
+    address = lambda ip: F.when(~ip.startswith("127.") & ~ip.isin("::1", ""), ip)
+    kinds = F.array(at("ips", 0, address(f("src_ip"))), at("ips", 1, address(f("dst_ip"))), at("domains", 0, F.when(F.col("event_type") == "dns_query", asked)), at("tools", 0, F.when(F.col("event_type") == "suspicious_tool_installed", F.nullif(f("package"), F.lit("")))))
+    first = own.select("seq", F.explode(kinds).alias("k")).filter("k.value is not null").groupBy("k.category", "k.value").agg(F.min(F.struct("seq", "k.place")).alias("first"))
+    nr = F.row_number().over(Window.partitionBy("category").orderBy("first", "value"))
+    return first.withColumn("nr", nr).filter(F.col("nr") <= F.when(F.col("category") == "ips", 30).otherwise(20)).select("category", F.col("nr").cast("long").alias("nr"), "value")
+
+
 def prompt_sections(events: DataFrame, n_events: int = 100, n_values: int = 10) -> DataFrame:
     """(section, nr, line) of a prompt: the first suspicious events, and the first indicators of each category."""
     picked = selected(events, n=n_events)

@@ -87,6 +87,50 @@ def report_table(events: DataFrame, n: int = 30) -> DataFrame:
     return top.select("seq", "event_type", F.left("description", F.lit(80)).alias("description"), risk_level(F.col("anomaly_score")).alias("risk"))
 
 
+def report_remainder(events: DataFrame, n: int = 30) -> DataFrame:
+    """How many anomalies the report's table leaves out."""
+    return events.filter("is_anomaly").agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("n_more"))
+
+
+#: Types whose anomalies the infrastructure view lists, whatever their tactics.
+INFRA_VIEW_TYPES = ["c2_beacon", "c2_tool", "vpn_connection", "vpn_disconnect", "vpn_ip_assigned", "dns_query", "network_connect", "suspicious_tool_installed", "package_install", "reverse_shell_attempt"]
+
+
+def infra_anomalies(anomalies: DataFrame, n: int = 50) -> DataFrame:
+    """The first anomalies that by type or tactic tell of an attacker's infrastructure."""
+    from logloom.operators.attack import enriched
+
+    return enriched(anomalies).filter(F.col("event_type").isin(INFRA_VIEW_TYPES) | F.col("is_attacker_infra")).orderBy("seq").limit(n)
+
+
+def compact_line(events: DataFrame, long: bool = False) -> Column:
+    """An anomaly in one line: time, type, score, host and address, description; ``long``: with id, user and up to three techniques."""
+    from logloom.operators.attack import techniques_of
+    from logloom.operators.normalize import field
+
+    tagged = lambda label, c: F.when(field(events, c) != "", F.concat(F.lit(f"{label}="), field(events, c)))
+    said = F.coalesce(F.nullif(F.coalesce(F.col("description"), F.lit("")), F.lit("")), field(events, "message"), F.lit(""))
+    time = F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("?"))
+    head = F.format_string("[%s] %s (score=%.2f)", time, F.coalesce("event_type", F.lit("?")), F.coalesce(F.col("anomaly_score").cast("double"), F.lit(0.0)))
+    if not long:
+        return F.concat_ws(" | ", head, tagged("host", "hostname"), tagged("ip", "src_ip"), F.left(said, F.lit(150)))
+    ids = F.transform(F.slice(techniques_of(F.col("event_type")), 1, 3), lambda t: t["id"])
+    head = F.concat(F.lit("["), F.coalesce(F.col("seq").cast("string"), F.lit("?")), F.lit("] "), head)
+    return F.concat_ws(" | ", head, tagged("host", "hostname"), tagged("ip", "src_ip"), tagged("user", "user"), F.left(said, F.lit(200)), F.when(F.size(ids) > 0, F.concat(F.lit("MITRE: "), F.array_join(ids, ", "))))
+
+
+def technique_list(anomalies: DataFrame, source: str) -> DataFrame:
+    """(source_idx, technique_id, technique_name, tactic, ts, event_type, seq) of all techniques of all sources, repeats and all;
+    sources count from 0 in their order. Sources are jobs, so their list is short."""
+    from logloom.operators.attack import techniques_of
+
+    names = anomalies.select(F.col(source).alias("__source")).distinct()
+    index = names.withColumn("source_idx", F.row_number().over(Window.orderBy("__source")) - 1)
+    own = anomalies.join(F.broadcast(index), F.col(source).eqNullSafe(F.col("__source")))
+    each = own.select("source_idx", F.explode(techniques_of(F.col("event_type"))).alias("t"), "ts", "event_type", "seq")
+    return each.select("source_idx", F.col("t.id").alias("technique_id"), F.col("t.name").alias("technique_name"), F.col("t.tactic").alias("tactic"), "ts", "event_type", "seq")
+
+
 def indicator_list(indicators: DataFrame, n: int = 20) -> DataFrame:
     nr = F.row_number().over(Window.partitionBy("category").orderBy("value"))
     return indicators.withColumn("nr", nr).filter(F.col("nr") <= n).select("category", F.left("value", F.lit(80)).alias("value"), "nr")

@@ -237,6 +237,12 @@ def c14(spark, sf_dir):
     return timeline(spark, sf_dir).filter("is_anomaly").groupBy("hostname").agg(F.max("anomaly_score").alias("m")).select("hostname", classify.risk_level(F.col("m")).alias("risk"))
 
 
+@query("C14_job_risk_of_all", f"{EV} select description, case when max(anomaly_score) filter (where is_anomaly) is null then 'info' when max(anomaly_score) filter (where is_anomaly) >= 0.8 then 'critical' when max(anomaly_score) filter (where is_anomaly) >= 0.6 then 'high' else 'low' end as risk from ev group by description")
+def c14a(spark, sf_dir):
+    """What has no anomaly counts as info."""
+    return timeline(spark, sf_dir).groupBy("description").agg(classify.job_risk(F.col("is_anomaly"), F.col("anomaly_score")).alias("risk"))
+
+
 @query("C15_C16_addresses", """
 with ip as (select event_id, (user_id % 256) || '.' || (event_id % 40) || '.1.1' as ip from events)
 select event_id, ip, regexp_matches(ip, '^(10\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|192\\.168\\.|127\\.)') as private, not (starts_with(ip, '10.') or starts_with(ip, '192.168.') or starts_with(ip, '172.') or starts_with(ip, '127.')) as external from ip""")
@@ -437,6 +443,27 @@ def _tools(category: str, severity: str, *which: int, k: int = 10) -> str:
     return f"select '{category}' as category, '{severity}' as severity, count(*) as n_hits, least({k}, count(*)) as n_evidence from events where event_id % {len(TOOLS)} in ({', '.join(map(str, which))}) having count(*) > 0"
 
 
+@query("F3_identical_seconds_of_events", f"with s as (select date_trunc('second', ts - to_seconds(cast(epoch(ts) as bigint) % 3600)) as second from events) select {WHEN.format('second')} as second, count(*) as n from s group by 1 having count(*) >= 20")
+def f3e(spark, sf_dir):
+    """Events whose clock stood still for an hour each."""
+    t = F.col("ts").cast("timestamp")
+    own = table(spark, sf_dir, "events").select((F.unix_seconds(t) - F.unix_seconds(t) % 3600).alias("s"))
+    return findings.identical_seconds(own.select(F.timestamp_seconds("s").alias("ts"))).select(when("second"), "n")
+
+
+@query("F13_timestamps", """
+with f as (select event_id, event_id % 7 as k, ts from events)
+select event_id, case when k in (0, 3) then strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') when k = 1 then strftime(date_trunc('second', ts) - interval 2 hour, '%Y-%m-%d %H:%M:%S') when k = 2 then strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S')
+  when k = 4 then strftime(ts, '%Y-%m-%d 00:00:00') end as ts from f""")
+def f13(spark, sf_dir):
+    """Times in forms that are taken (a date, two with a time, one with a zone, one with a fraction and a zone) and two that aren't."""
+    t, k = F.date_trunc("SECOND", F.col("ts").cast("timestamp")), F.col("event_id") % 7
+    at = lambda p: F.date_format(t, p)
+    raw = classify.first_of([(k == 0, at("yyyy-MM-dd'T'HH:mm:ss")), (k == 1, text(at("yyyy-MM-dd'T'HH:mm:ss"), "+0200")), (k == 2, text(at("yyyy-MM-dd'T'HH:mm:ss"), ".5Z")), (k == 3, at("yyyy-MM-dd HH:mm:ss")), (k == 4, at("yyyy-MM-dd")), (k == 5, text(at("yyyy-MM-dd'T'HH:mm:ss"), ".123456+00:00"))], "nan")
+    own = table(spark, sf_dir, "events").select("event_id", parse.any_time(raw).alias("ts"))
+    return own.select("event_id", when())
+
+
 @query("F4_wipe_tools", _tools("wipe_tools", "high", 0, 1))
 def f4(spark, sf_dir):
     return _short(findings.wipe_tools(commands(spark, sf_dir)))
@@ -495,6 +522,31 @@ def f0(spark, sf_dir):
     return _short(findings.all_findings(commands(spark, sf_dir).join(own, "seq"), files(spark, sf_dir)))
 
 
+_LEVELS = [("none", 0, "none", 0), ("truncated_logs", 10, "low", 1), ("wipe_tools", 20, "medium", 1), ("time_manipulation,wipe_tools,truncated_logs", 40, "high", 3), ("rootkit,wipe_tools,log_clearing", 60, "critical", 3)]
+
+
+@query("F10_levels", f"with l(checks, risk_score, risk_level, n_findings) as {values(_LEVELS, '')} select checks, cast(risk_score as bigint) as risk_score, risk_level, cast(n_findings as bigint) as n_findings from l where (select count(*) from events) >= 9 and exists (select 1 from lineitem where l_orderkey % 97 = 0)")
+def f10l(spark, sf_dir):
+    """All levels of risk, each from the checks named."""
+    e = commands(spark, sf_dir)
+    made = {"truncated_logs": findings.truncated_logs(files(spark, sf_dir)), "wipe_tools": findings.wipe_tools(e), "time_manipulation": findings.time_tools(e), "rootkit": findings.rootkits(e), "log_clearing": findings.log_clearing(e)}
+    parts = []
+    for names, *_ in _LEVELS:
+        own = [made[n] for n in names.split(",") if n in made] or [made["rootkit"].filter("n_hits < 0")]
+        parts.append(findings.risk(normalize.united(*own)).select(F.lit(names).alias("checks"), "risk_score", "risk_level", "n_findings"))
+    return normalize.united(*parts)
+
+
+@query("Y2_Y10_profile_of_a_host", """with e as (select event_id, user_id from events), u as (select 'user' || (user_id % 50) as u, count(*) as n from e group by 1 order by n desc, u limit 20)
+select 'linux' as os_type, (select 'host' || (user_id % 3) as h from e group by 1 order by count(*) desc, h limit 1) as hostname, (select '6.1.' || user_id from e where event_id % 50 = 7 order by event_id limit 1) as kernel, (select count(*) from u) as n_users, 'high' as confidence""")
+def y10h(spark, sf_dir):
+    """A system whose paths, kernel line, packages and users are known."""
+    s, u = F.col("event_id"), F.col("user_id")
+    own = table(spark, sf_dir, "events").select(s.alias("seq"), F.when(s % 50 == 7, text("Linux version 6.1.", u, " (x)")).otherwise("plain").alias("description"), text("host", u % 3).alias("hostname"), text("user", u % 50).alias("user"), text("pkg", u % 9).alias("package"), F.lit("install").alias("action"), F.lit("/usr/bin/bash").alias("path"), F.lit(None).cast("string").alias("src_ip"))
+    on_disk = own.select("seq", text("/x/bin/bash", F.col("seq")).alias("path"))
+    return profile.system_profile(own, on_disk).select("os_type", "hostname", "kernel", F.size("users").cast("long").alias("n_users"), "confidence")
+
+
 # --- system profile --------------------------------------------------------------------------------------------------------------
 
 
@@ -614,6 +666,27 @@ def i10(spark, sf_dir):
     return indicators.context_matches(timeline(spark, sf_dir), kb(spark).withColumn("value", F.trim("value")).dropDuplicates(["value"]).filter("value <> 'HOST1'"))
 
 
+_LINE = "'[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' || event_type || ' (score=' || printf('%.2f', round(anomaly_score, 2)) || ')'"
+
+
+_IDS: dict[str, list[str]] = {}
+for _kind, _id, *_ in T.TECHNIQUES:
+    _IDS.setdefault(_kind, []).append(_id)
+
+
+@query("I12_long_lines", f"""{EV}, m as (select * from {values([(k, ', '.join(v[:3])) for k, v in _IDS.items()], 'm(et, ids)')})
+select seq, '[' || seq || '] ' || {_LINE} || ' | host=' || hostname || ' | ' || left(description, 200) || coalesce(' | MITRE: ' || ids, '') as line from ev left join m on et = event_type where is_anomaly""")
+def i12l(spark, sf_dir):
+    own = timeline(spark, sf_dir).filter("is_anomaly").drop("src_ip", "user")
+    return own.select("seq", views.compact_line(own, long=True).alias("line"))
+
+
+@query("I12_short_lines", f"{EV} select seq, {_LINE} || ' | host=' || hostname || ' | ' || left(description, 150) as line from ev where is_anomaly")
+def i12s(spark, sf_dir):
+    own = timeline(spark, sf_dir).filter("is_anomaly").drop("src_ip")
+    return own.select("seq", views.compact_line(own).alias("line"))
+
+
 @query("I10_values_of_a_table", f"{EV} select seq, v.value from ev join (select distinct 'User' || c_custkey as value from customer) v on contains(lower(description), lower(v.value))")
 def i10t(spark, sf_dir):
     """Values as many as customers, of which one may hold another."""
@@ -638,6 +711,12 @@ def x5(spark, sf_dir):
     return own.groupBy("t.id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hostname").alias("n_sources")).orderBy(F.desc("n"), "id").limit(20)
 
 
+@query("X2_technique_list", f"{EV}, s as (select distinct hostname from ev where is_anomaly), i as (select hostname, row_number() over (order by hostname) - 1 as source_idx from s) select source_idx, id as technique_id, name as technique_name, tactic, {WHEN.format('ts')} as ts, event_type, seq from ev join i using (hostname) join {TECH} on et = event_type where is_anomaly")
+def x2(spark, sf_dir):
+    own = views.technique_list(timeline(spark, sf_dir).filter("is_anomaly"), "hostname")
+    return own.select(F.col("source_idx").cast("long").alias("source_idx"), "technique_id", "technique_name", "tactic", when(), "event_type", "seq")
+
+
 @query("X3_X6_source_summary", f"{EV} select hostname, count(*) as n_events, count(*) filter (where is_anomaly) as n_anomalies, round(max(anomaly_score), 3)::double as top_score from ev group by hostname")
 def x6(spark, sf_dir):
     return timeline(spark, sf_dir).groupBy("hostname").agg(F.count(F.lit(1)).alias("n_events"), F.count_if("is_anomaly").alias("n_anomalies"), F.round(F.max("anomaly_score"), 3).alias("top_score"))
@@ -792,6 +871,14 @@ def q12(spark, sf_dir):
     return attack.enriched(timeline(spark, sf_dir).filter("is_anomaly")).filter("is_attacker_infra").orderBy("seq").limit(50).select("seq", "event_type")
 
 
+@query("Q12_infra_anomalies_by_type", f"""with o as (select o_orderkey as k, ['vpn_connection', 'vpn_disconnect', 'auth_failure', 'vpn_tls_error', 'vpn_event'][o_orderkey % 5 + 1] as t from orders),
+a as (select o.k, o.t, coalesce(bool_or(tactic in {tuple(T.ATTACKER_TACTICS)}), false) as infra from o left join {TECH} on et = o.t where o.k % 3 = 0 group by 1, 2)
+select k as seq, t as event_type from a where t in {tuple(views.INFRA_VIEW_TYPES)} or infra order by seq limit 50""")
+def q12t(spark, sf_dir):
+    own = parsed(spark, sf_dir, "openvpn", parse.openvpn).withColumnRenamed("k", "seq").filter("seq % 3 = 0")
+    return views.infra_anomalies(own).select("seq", "event_type")
+
+
 @query("Q13_anomaly_list", f"{EV} select seq, anomaly_score::double as anomaly_score from ev where is_anomaly and event_type in (select et from {TECH} where tactic = 'Credential Access')")
 def q13(spark, sf_dir):
     own = attack.enriched(timeline(spark, sf_dir).filter("is_anomaly")).filter(F.array_contains("mitre_tactics", "Credential Access"))
@@ -808,6 +895,11 @@ def q15(spark, sf_dir):
     return views.report_table(timeline(spark, sf_dir))
 
 
+@query("Q15_remainder", f"{EV} select greatest(count(*) - 30, 0) as n_more from ev where is_anomaly")
+def q15r(spark, sf_dir):
+    return views.report_remainder(timeline(spark, sf_dir))
+
+
 @query("Q16_callouts", f"{EV} select seq, anomaly_score::double as anomaly_score from ev where is_anomaly order by anomaly_score desc, seq limit 3")
 def q16(spark, sf_dir):
     return views.top_by_score(timeline(spark, sf_dir).filter("is_anomaly"), 3).select("seq", "anomaly_score")
@@ -935,6 +1027,19 @@ def i11(spark, sf_dir):
     return results.infra_indicators(timeline(spark, sf_dir).filter("is_anomaly"))
 
 
+@query("I11_infra_panel", f"""with {ORDERS}, d as (select '10.8.0.' || (c % 250) as value, min(k) as p from o where k % 5 = 0 group by 1)
+select 'ips' as category, row_number() over (order by p) as nr, value from d qualify nr <= 30""")
+def i11p(spark, sf_dir):
+    return results.infra_panel(parsed(spark, sf_dir, "openvpn", parse.openvpn).withColumnRenamed("k", "seq").filter("event_type = 'vpn_connection'"))
+
+
+@query("I14_infra_sections", f"""{IOC}, d as (select distinct category, value from ioc), r as (select category, left(value, 80) as value, row_number() over (partition by category order by value) as nr from d qualify nr <= 20),
+e as (select seq, {WHEN.format('ts')} || ' | ' || event_type || ' | ' || description as line from ev where event_type in {tuple(T.SUSPICIOUS_TYPES)} or is_anomaly or anomaly_score > 0.5 or {WORDS} order by seq limit 80)
+select 'events' as section, seq as nr, line from e union all select category, nr, value from r""")
+def i14i(spark, sf_dir):
+    return results.prompt_sections(timeline(spark, sf_dir), 80, 20)
+
+
 @query("I13_infra_or_all", f"{EV} select seq from ev where is_anomaly and event_type = 'scheduled_task'")
 def i13(spark, sf_dir):
     # no anomaly of this kind tells of infrastructure, so all are taken

@@ -67,9 +67,13 @@ BODYFILE = "md5 string, name string, inode string, mode string, uid int, gid int
 
 
 def bodyfile(spark: SparkSession, path: str) -> DataFrame:
-    """Filesystem records of bodyfiles (pipe-separated); malformed lines are dropped."""
-    reader = spark.read.schema(BODYFILE).option("sep", "|").option("mode", "DROPMALFORMED").option("pathGlobFilter", "bodyfile*.txt").option("recursiveFileLookup", True)
-    return reader.csv(path).withColumn("source", F.lit("uac_bodyfile"))
+    """Filesystem records of bodyfiles (pipe-separated): of the one in the folder itself, else of all below it. Malformed lines are
+    dropped."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bodyfile.txt")
+    own = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    reader = spark.read.schema(BODYFILE).option("sep", "|").option("mode", "DROPMALFORMED")
+    rows = reader.csv(f"{path}/bodyfile.txt") if own else reader.option("pathGlobFilter", "bodyfile*.txt").option("recursiveFileLookup", True).csv(path)
+    return rows.withColumn("source", F.lit("uac_bodyfile"))
 
 
 def artifact_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -159,6 +163,13 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_modified"))
 
 
+def known_indicators(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of indicator files (see IOC_KB) with ``nr``, their order, and ``reported``, the time that ``first_seen`` names: what
+    ``indicators.looked_up`` takes. Broken files, and entries without a value, are skipped."""
+    own = json_rows(spark, path, IOC_KB).filter("value is not null")
+    return own.withColumn("nr", F.monotonically_increasing_id()).withColumn("reported", parse.any_time(F.col("first_seen")))
+
+
 IOC_KB = "value string, type string, threat string, source string, confidence string, first_seen string, tags array<string>"
 SIGNATURE_KB = "name string, pattern string, severity string, description string, recommendation string"
 CASE = "case_id string, name string, case_number string, description string, analyst string, job_ids array<string>, created_at string, updated_at string"

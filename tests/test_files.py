@@ -197,3 +197,51 @@ def test_analysis_tells_digests_of_contents(spark, tmp_path):
     assert (summary["md5_hash"], summary["sha256_hash"], summary["n_files"], summary["evidence_bytes"]) == (md5, sha256, 1, 8)
     got = [(r["nr"], r["seq"], r["sha256_short"], r["location_detail"]) for r in spark.read.json(str(tmp_path / "out" / "provenance")).orderBy("nr").collect()]
     assert got == [(i + 1, 5 * i, f"{sha256[:16]}..." if i else "nicht berechnet", f"Zeile: {5 * i}") for i in range(4)]
+
+
+TIMES = ["2025-01-15T08:00:01", "2025-01-15 08:00:01", "2025-01-15", "2025-1-5", "2025-01-15T08:00:01Z", "2025-01-15T08:00:01+02:00", "2025-01-15T08:00:01-0530", "2025-01-15T08:00:01.5Z", "2025-01-15T08:00:01.123456+00:00", "2025-01-15T08:00:01.5", " 2025-01-15 ", "2025-13-01", "2025-02-30", "2025-01-15T25:00:00", "nan", "-", "", None, "15.01.2025", "2025-01-15T8:0:1", "2025-01-15T08:00:01.123+0000", "2025-01-15 08:00:01Z", "2025-01-15T08:00"]
+
+
+def test_times_as_text(spark):
+    import datetime
+
+    from logloom.functions import parse
+
+    def want(raw):
+        for form in ("%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d"):
+            try:
+                t = datetime.datetime.strptime((raw or "").strip()[:26], form)
+                return (t if t.tzinfo else t.replace(tzinfo=datetime.timezone.utc)).timestamp()
+            except ValueError:
+                pass
+
+    rows = spark.createDataFrame([(t,) for t in TIMES], "t string").select("t", (F.unix_micros(parse.any_time(F.col("t"))) / 1e6).alias("s")).collect()
+    assert {r["t"]: r["s"] for r in rows} == {t: want(t) for t in TIMES}
+
+
+def test_known_indicators_and_bodyfiles(spark, tmp_path):
+    (tmp_path / "kb").mkdir()
+    (tmp_path / "kb" / "iocs.json").write_text('[{"value": "1.2.3.4", "threat": "a", "confidence": "high", "first_seen": "2025-01-15"}, {"value": "1.2.3.4", "threat": "b"}, {"threat": "none"}]')
+    (tmp_path / "kb" / "broken.json").write_text("[{")
+    got = logs.known_indicators(spark, str(tmp_path / "kb")).orderBy("nr").collect()
+    assert [(r["value"], r["threat"], str(r["reported"])) for r in got] == [("1.2.3.4", "a", "2025-01-15 00:00:00"), ("1.2.3.4", "b", "None")]
+    line = "0|{}|12|r/rrw|0|0|99|1|2|3|4\n"
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "bodyfile.txt").write_text(line.format("/deep") + "bad line\n")
+    assert [r["name"] for r in logs.bodyfile(spark, str(tmp_path)).filter("size is not null").collect()] == ["/deep"]
+    (tmp_path / "bodyfile.txt").write_text(line.format("/root"))
+    assert [r["name"] for r in logs.bodyfile(spark, str(tmp_path)).collect()] == ["/root"]
+
+
+def test_scores_of_nothing(spark):
+    from logloom.operators import scoring
+
+    rows = spark.createDataFrame([], "event_key string, " + ", ".join(f"{c} double" for c in scoring.FEATURES))
+    out = scoring.isolation_scores(rows)
+    assert out.count() == 0 and out.columns[-3:] == ["raw_score", "anomaly_score", "is_anomaly"]
+
+
+def test_broken_files_are_skipped(spark, tmp_path):
+    for name, text in (("a", '{"case_id": "a"}'), ("b", "{broken"), ("c", '{"case_id": "c", "job_ids": ["1"]}'), ("d", "")):
+        (tmp_path / f"{name}.json").write_text(text)
+    assert sorted(r["case_id"] for r in logs.stored_cases(spark, str(tmp_path)).collect()) == ["a", "c"]
