@@ -2,65 +2,136 @@
 
 Equal token sets are one set from the start. The tokens of a line are ordered by rarity; a set of n tokens meets others only in
 its first n - ceil(0.8 n) + 1 tokens (prefix filter), at places after which enough can follow (positional filter), if sizes
-allow (length filter) and parity bitmaps differ in few bits. Every pair that passes is verified on the tokens themselves.
-Cells of many sets are cut into blocks that meet pairwise under keys of their own. Built from DataFrame functions alone.
+allow (length filter) and parity bitmaps differ in few bits. Every pair that passes is verified on 64-bit hashes of all tokens.
+Cells of many sets are cut into blocks that meet pairwise under keys of their own.
+
+Lines are cut into tokens, hashed and ordered in Arrow batches, a whole batch at once; grouping, cells, pairs and links are joins
+and aggregates of Spark. (Built from DataFrame functions alone it took several times the CPU time that it may; see the README.)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import attach_groups, bloom_probe, bloom_words, filter_bits, materialize
+from logloom.llm.common import attach_groups, bloom_probe, bloom_words, discard, filter_bits, materialize
 from logloom.llm.pivots import Threshold
+from logloom.llm.words import Alphabet, chunks, mix
 
-#: Token frequencies are counted in so many buckets by hash: the table that is broadcast has this size for any input.
+#: Token frequencies are counted in so many buckets by hash: the table that is broadcast has this size (a byte each) for any input.
 BUCKETS = 1 << 20
 #: Sets of a block of a cell, about: so many at most meet as many under one key.
 BLOCK = 256
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def tokens(line: Column) -> Column:
-    """Distinct lower-cased words of a line."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), SPACE), ""))
-
-
-def _rarity(lines: DataFrame) -> Column:
-    """Array of BUCKETS levels: 8 log2 of how often tokens of a bucket occur in the lines, at most 254."""
-    bucket = F.xxhash64("token").bitwiseAND(F.lit(BUCKETS - 1))
-    counts = lines.select(F.explode(tokens(F.col("line"))).alias("token")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    levels = [0] * BUCKETS
-    for b, level in counts.select("bucket", F.least(F.lit(254), F.round(8 * F.log2("n"))).cast("int")).toLocalIterator():
-        levels[b] = level
-    return F.from_json(F.lit("[" + ",".join(map(str, levels)) + "]"), "array<int>")  # folded to one literal
-
-
-def _cells(lines: DataFrame, t: Threshold) -> DataFrame:
-    """(cell, id, n, pos): the rarest tokens of each set, as 8 bits of rarity and 54 of a hash."""
-    rarity = _rarity(lines)
-    hashes = lines.select("id", F.transform(tokens(F.col("line")), lambda x: F.xxhash64(x)).alias("hashes"))
-    place = lambda h: (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")
-    key = lambda h: F.element_at(rarity, place(h)).cast("long") * F.lit(1 << 54) + h.bitwiseAND(F.lit((1 << 54) - 1))
-    n = F.size("hashes").cast("long")
-    prefix = n - F.ceil(n * t.least / t.parts).cast("long") + 1
-    own = hashes.select("id", n.alias("n"), F.slice(F.sort_array(F.transform("hashes", key)), F.lit(1), prefix.cast("int")).alias("cells"))
-    out = own.select("id", "n", F.posexplode("cells").alias("pos", "cell"))
-    return out.select("cell", "id", "n", F.col("pos").cast("long").alias("pos"))
-
-
-def _bitmaps(lines: DataFrame) -> DataFrame:
-    """(id, b_0 ... b_3): parity bitmaps of 256 bits."""
-    hashes = lines.select("id", F.transform(tokens(F.col("line")), lambda x: F.xxhash64(x)).alias("hashes"))
-    parity = lambda i: F.expr(f"aggregate(hashes, 0L, (a, h) -> a ^ if((shiftright(h, 40) & 3) = {i}, shiftleft(1L, cast(shiftright(h, 32) & 63 as int)), 0L))")
-    return hashes.select("id", *(parity(i).alias(f"b_{i}") for i in range(4)))
 
 
-def _candidates(held: DataFrame, bitmaps: DataFrame, t: Threshold) -> DataFrame:
+class Lines:
+    """Distinct tokens of all lines of a chunk of texts: ``hash`` by line, each line's from ``start``; its text and number."""
+
+    def __init__(self, words, edges: np.ndarray):
+        breaks = np.flatnonzero(words.data == 10)
+        before = np.searchsorted(breaks, edges[:-1])  # line breaks before each text
+        text = np.searchsorted(edges, words.start, side="right") - 1
+        line = np.searchsorted(breaks, words.start)
+        group = line + text  # a text begins a line of its own
+        order = np.lexsort((words.hash, group))
+        group, hashed = group[order], words.hash[order]
+        first = np.ones(len(group), bool)
+        first[1:] = (group[1:] != group[:-1]) | (hashed[1:] != hashed[:-1])
+        group, self.hash, where = group[first], hashed[first], order[first]
+        self.start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.start, len(group)))
+        self.text = text[where][self.start]
+        self.no = line[where][self.start] - before[self.text]
+
+    def keys(self) -> pa.Array:
+        """A line's set in 16 bytes: two sums over its tokens, whatever their order."""
+        sums = [np.add.reduceat(mix(self.hash ^ np.uint64(salt)), self.start) for salt in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(self.start), [None, pa.py_buffer(np.stack(sums, 1).astype("<u8").tobytes())]).cast(pa.binary())
+
+    def parity(self, word: int) -> np.ndarray:
+        """One of two words of a bitmap in which each token flips a bit."""
+        bit = (self.hash >> np.uint64(32)) & np.uint64(127)
+        own = np.where(bit >> np.uint64(6) == word, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+        return np.bitwise_xor.reduceat(own, self.start).view(np.int64)
+
+    def lists(self, values: np.ndarray, take: np.ndarray) -> pa.Array:
+        """The first ``take`` values of each line."""
+        place = np.arange(len(values)) - np.repeat(self.start, self.size)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(values[place < np.repeat(take, self.size)]))
+
+
+def lines_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+    """Rows with the lines of their texts, of which at least one holds a token."""
+    alphabet = Alphabet("space", fold=False)
+    for batch in batches:
+        for a, b, words in chunks(batch.column(column), alphabet):
+            if len(words.start):
+                length = pc.fill_null(pc.binary_length(batch.column(column).slice(a, b - a)), 0).to_numpy()
+                yield batch.slice(a, b - a), Lines(words, np.concatenate([[0], np.cumsum(length)]).astype(np.int64))
+
+
+def _levels(texts: DataFrame) -> np.ndarray:
+    """8 log2 of how often tokens of each bucket occur in lines, at most 254: BUCKETS bytes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for _, own in lines_of(batches, 0):
+            total += np.bincount((own.hash & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
+
+    counts = texts.select("low").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row a bucket
+    out = np.zeros(BUCKETS, np.uint8)
+    out[counts.column("bucket").to_numpy()] = np.minimum(254, np.round(8 * np.log2(counts.column("n").to_numpy())))
+    return out
+
+
+def _sets(texts: DataFrame, kind: str, t: Threshold) -> DataFrame:
+    """(id, h, no, key, n, b_0, b_1, cells) of each line with tokens; cells are its rarest tokens, as 8 bits of rarity and 54 of a
+    hash."""
+    sent = texts.sparkSession.sparkContext.broadcast(_levels(texts))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = sent.value
+        for batch, own in lines_of(batches, 2):
+            line = np.repeat(np.arange(len(own.start)), own.size)
+            cell = (levels[(own.hash & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64) << 54) + (own.hash & np.uint64((1 << 54) - 1)).astype(np.int64)
+            cell = cell[np.lexsort((cell, line))]
+            prefix = own.size + (-t.least * own.size) // t.parts + 1  # n - ceil(n least / parts) + 1
+            row = pa.array(own.text)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(own.no.astype(np.int32)), own.keys(), pa.array(own.size), pa.array(own.parity(0)), pa.array(own.parity(1)), own.lists(cell, prefix)], ["id", "h", "no", "key", "n", "b_0", "b_1", "cells"])
+
+    return texts.mapInArrow(scan, f"id {kind}, h long, no int, key binary, n long, b_0 long, b_1 long, cells array<long>")
+
+
+def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, tokens) of the sets ``wanted`` (key): hashes of their tokens, of one line each."""
+    bits = filter_bits(wanted.count())
+    filled = bloom_words(wanted.withColumn("key", F.xxhash64("key")), "key", bits).toArrow()  # at most bits / 64 rows
+    masks = np.zeros(bits // 64, np.int64)
+    masks[filled.column("word").to_numpy()] = filled.column("mask").to_numpy()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in lines_of(batches, 0):
+            yield pa.RecordBatch.from_arrays([own.keys(), own.lists(own.hash.view(np.int64), own.size)], ["key", "tokens"])
+
+    words = wanted.sparkSession.createDataFrame(filled.select(["word", "mask"]))
+    every = texts.select("low").mapInArrow(scan, "key binary, tokens array<long>")
+    near = bloom_probe(every, words, F.xxhash64("key"), bits, "maybe").filter("maybe").select("key", "tokens")
+    return near.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
+
+
+def _candidates(sets: DataFrame, t: Threshold) -> DataFrame:
     """All pairs (x, y) of sets in a cell that the places, sizes and bitmaps let link."""
-    carry = ["n", "pos", *(c for c in bitmaps.columns if c != "id")]
-    several = materialize(held.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumnRenamed("cell", "cell2"), "several")
-    rows = held.join(several, F.col("cell") == F.col("cell2")).join(bitmaps.withColumnRenamed("id", "id2"), F.col("id") == F.col("id2"))
+    carry = ["n", "pos", "b_0", "b_1"]
+    each = sets.select("id", "n", "b_0", "b_1", F.posexplode("cells").alias("pos", "cell")).withColumn("pos", F.col("pos").cast("long"))
+    several = materialize(each.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumnRenamed("cell", "cell2"), "several")
+    rows = each.join(several, F.col("cell") == F.col("cell2"))
     blocks = F.ceil(F.col("k") / BLOCK)
     rows = rows.select("cell", "id", *carry, blocks.alias("blocks"), F.pmod(F.xxhash64("id", F.lit(3)), blocks).alias("block"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -69,43 +140,48 @@ def _candidates(held: DataFrame, bitmaps: DataFrame, t: Threshold) -> DataFrame:
     at = (F.col("xcell") == F.col("ycell")) & (F.col("xlo") == F.col("ylo")) & (F.col("xhi") == F.col("yhi"))
     once = (F.col("xblock") != F.col("yblock")) | (F.col("xlo") == F.col("xhi"))  # sets of one block meet under its own key only
     met = x.join(y, at & once & (F.col("xid") < F.col("yid")) & t.possible("x", "y") & t.near("x", "y", carry[2:]))
-    return met.select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct()
+    out = materialize(met.select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct(), "pairs")
+    discard(several)
+    return out
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
+def _verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
     """Those of ``pairs`` (x, y) that link, from the tokens of both."""
-    ids = materialize(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "measured")
-    bits = filter_bits(ids.count())
-    near = bloom_probe(sets.select("id", "line"), bloom_words(ids, "id", bits), F.col("id"), bits, "maybe").filter("maybe")
-    near = materialize(near.select("id", tokens(F.col("line")).alias("tokens")), "tokens")
-    side = lambda c: near.select(F.col("id").alias(c), F.col("tokens").alias(f"s{c}"))
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    wanted = materialize(sets.select("id", "key").join(ids, "id", "left_semi"), "measured")
+    tokens = materialize(_tokens(texts, wanted.select("key")).join(wanted, "key").select("id", "tokens"), "tokens")
+    side = lambda c: tokens.select(F.col("id").alias(c), F.col("tokens").alias(f"s{c}"))
     both = pairs.join(side("y"), "y").join(side("x"), "x")
     size = lambda c: F.size(c).cast("long")
-    return both.filter(t.links(size(F.array_intersect("sx", "sy")), size("sx"), size("sy"))).select("x", "y")
+    out = materialize(both.filter(t.links(size(F.array_intersect("sx", "sy")), size("sx"), size("sy"))).select("x", "y"), "links")
+    discard(wanted, tokens)
+    return out
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80, parts: int = 100) -> DataFrame:
     """(id, h, no, class_id, n_links, removed) of all lines that hold tokens; h is a hash of the document's text, no counts from 0."""
     t = Threshold(least, parts)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    key = F.unhex(F.md5(F.array_join(F.array_sort(tokens(F.col("line"))), " ")))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.lower(text).alias("low"))
+    lines = materialize(_sets(texts, docs.schema[id_col].dataType.simpleString(), t), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h"), F.col("no"))
-    keyed = lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", key)
-    sets = keyed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"), F.first("line").alias("line"))
-    sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "lines")
-    own = sets.select("id", "line")
-    pairs = materialize(_candidates(materialize(_cells(own, t), "cells"), materialize(_bitmaps(own), "bitmaps"), t), "pairs")
-    links = materialize(_verified(sets, pairs, t), "links")
+    one = (F.first(c).alias(c) for c in ("n", "b_0", "b_1", "cells"))
+    grouped = lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"), *one)
+    sets = materialize(grouped.withColumn("id", F.monotonically_increasing_id()), "sets")
+    pairs = _candidates(sets, t)
+    links = _verified(texts, sets, pairs, t)
     both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
     # of each set with links: how many, and the first line of those that it links with
     met = both.join(sets.select(F.col("id").alias("y"), "first"), "y").groupBy(F.col("x").alias("id2")).agg(F.count(F.lit(1)).alias("n_links"), F.min("first").alias("other"))
-    grouped = sets.select("id", "key", "size", "first").join(met, F.col("id") == F.col("id2"), "left")
-    grouped = grouped.select("key", "size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("first", F.coalesce("other", "first")).alias("head"))
-    narrow = materialize(keyed.select("id", "h", "no", "key"), "places")
+    heads = sets.select("id", "key", "size", "first").join(met, F.col("id") == F.col("id2"), "left")
+    heads = materialize(heads.select("key", "size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("first", F.coalesce("other", "first")).alias("head")), "heads")
+    discard(sets, pairs, links)
+    narrow = lines.select("id", "h", "no", "key")
     spread = F.unhex(F.md5(F.concat_ws(" ", F.lit("line"), F.col("id").cast("string"), F.col("h").cast("string"), F.col("no").cast("string"))))
-    out = attach_groups(narrow, materialize(grouped, "heads"), "key", "size", narrow.count(), spread)
-    return out.select("id", "h", "no", F.lower(F.hex("key")).alias("class_id"), "n_links", (place != F.col("head")).alias("removed"))
+    out = attach_groups(narrow, heads, "key", "size", narrow.count(), spread)
+    out = materialize(out.select("id", "h", "no", F.col("key").alias("class_id"), "n_links", (place != F.col("head")).alias("removed")), "places")
+    discard(lines, heads)
+    return out.withColumn("class_id", F.lower(F.hex("class_id")))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80, parts: int = 100) -> DataFrame:
@@ -122,7 +198,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = line_groups(docs, id_col, text_col, least, parts)
     found = found.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("no", "class_id", "n_links", "removed"))).alias("found")).select(F.col("id").alias("id2"), F.col("h").alias("h2"), "found")
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"))
     out = own.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
     removed = F.transform(F.filter("found", lambda x: x["removed"]), lambda x: x["no"])
     removed = F.coalesce(removed, F.array().cast("array<int>"))
@@ -131,7 +207,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with their texts less the lines that ``line_dedup`` removes; ids must differ. Shuffles the texts."""
-    side = removed.select(F.col(id_col).alias("__id"), F.col("removed_lines").alias("__gone"))
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    return docs.join(side, F.col(id_col) == F.col("__id"), "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    """``docs`` with their texts less the lines that ``line_dedup`` removes; ids must differ, and a row without one stays as it is.
+    Shuffles the texts."""
+    side = removed.select(F.col(id_col).alias("__line_id"), F.col("removed_lines").alias("__line_gone"))
+    own = docs.join(side, F.col(id_col) == F.col("__line_id"), "left")
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.col("__line_gone"), i)), "\n")
+    return own.withColumn(text_col, F.when(F.coalesce(F.size("__line_gone"), F.lit(0)) == 0, F.col(text_col)).otherwise(kept)).select(*docs.columns)

@@ -40,3 +40,49 @@ def test_pipeline_keeps_columns_that_a_model_names(spark):
     assert kept.columns == docs.columns
     rows = kept.collect()
     assert rows and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in ("score", "p_text", "p_page", "own_score"))
+
+
+def test_texts_without_lines(spark):
+    from logloom.llm import line_dedup
+
+    rows = [(1, "alpha beta\nx\nalpha  beta", "a"), (2, "BETA alpha\n\nnew", "b"), (3, None, "c"), (4, "alpha beta", "d"), (5, "kept", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, removed_lines string").repartition(3)
+    got = line_dedup.without_lines(docs, line_dedup.line_dedup(docs))
+    assert got.columns == docs.columns
+    assert {r["doc_id"]: (r["text"], r["removed_lines"]) for r in got.collect()} == {1: ("alpha beta\nx", "a"), 2: ("\nnew", "b"), 3: (None, "c"), 4: ("", "d"), 5: ("kept", None)}
+
+
+def test_lines_of_unicode_and_long_texts(spark):
+    """Line numbers and token sets as plain Python has them, over texts without words, breaks at either end, and a long one."""
+    import random
+
+    from logloom.llm import line_dedup
+
+    draw = random.Random(2)
+    pool = ["Ä", "ä", "wörd", "日本", "x", "", " ", "\t", " ", " ", "\r"]
+    texts = ["\n".join(" ".join(draw.choice(pool) for _ in range(draw.randrange(5))) for _ in range(draw.randrange(6))) for _ in range(120)]
+    texts += ["\n\n", "\na\n", "a", "\n", "  \n  a b c d e f  \n", "z q " * 100_000 + "\nz q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    lines = [(i, n, frozenset(w.lower() for w in __import__("re").split(r"[\x20\x09-\x0D]+", x) if w)) for i, t in enumerate(texts) for n, x in enumerate(t.split("\n"))]
+    match = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    want = {i: [] for i in range(len(texts))}
+    seen = []
+    for i, n, s in lines:
+        if s and any(match(s, t) for t in seen):
+            want[i].append(n)
+        seen.append(s)
+    got = line_dedup.line_dedup(docs).collect()
+    assert {r["doc_id"]: r["removed_lines"] for r in got} == want
+    assert {r["doc_id"]: r["n_lines"] for r in got} == {i: t.count("\n") + 1 for i, t in enumerate(texts)}
+
+
+def test_line_dedup_leaves_nothing_behind(spark):
+    from logloom.llm import common, line_dedup
+
+    from pathlib import Path
+
+    names = lambda: {p.name for p in Path(common.shared_dir(spark).removeprefix("file://")).glob("logloom-*")}
+    before = names()
+    line_dedup.line_dedup(queries.table(spark, SF, "documents")).count()
+    left = names() - before
+    assert len(left) == 1 and left.pop().startswith("logloom-places")  # what the result itself reads
