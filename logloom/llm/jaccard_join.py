@@ -25,8 +25,8 @@ from logloom.llm.words import Alphabet, Words, chunks, grams, mix
 
 #: Frequent shingles that are broadcast number so many at most (8 MB).
 MAX_FREQUENT = 1 << 20
-#: Shingles of all sets that meet at one home, at most (16 MB).
-HOME = 1 << 21
+#: Shingles of all sets that meet at one home, about (4 MB).
+HOME = 1 << 19
 
 
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
@@ -74,12 +74,6 @@ def _signature(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(_keys(sets)), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(bitmaps.T))], ["doc", "id", "n", *BITMAP_NAMES])
 
 
-def _whole(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    return pa.RecordBatch.from_arrays([ids, pa.array(_keys(sets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], ["doc", "id", "shingles"])
-
-
 def _slots(cells, bits: int):
     """Two places of a 64-bit hash in a filter of ``bits``; takes numpy arrays."""
     return (cells & np.uint64(bits - 1)).astype(np.int64), ((cells >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
@@ -173,60 +167,57 @@ class _Join:
         """(x, y, nx, ny, common) of ``pairs`` (x, y) of points, from the whole sets of both.
 
         Pairs meet at homes: the least point among x, y and their neighbours in ``pairs``. Points that are near one another
-        mostly share a home, so a set travels about once, however many pairs it stands in. Pairs at homes whose sets hold more
-        than HOME shingles are joined one by one instead.
+        mostly share a home, so a text travels about once, however many pairs its set stands in. Homes whose sets hold more than
+        HOME shingles are cut into blocks of sets: pairs meet where their two blocks do.
         """
         both = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(pairs.select(F.col("y").alias("a"), F.col("x").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         of = lambda c: least.select(F.col("a").alias(c), F.col("m").alias(f"m{c}"))
         homed = materialize(pairs.select("x", "y").join(of("x"), "x").join(of("y"), "y").select("x", "y", F.least("mx", "my").alias("home")), "homes")
-        sent = homed.select("home", F.explode(F.array("x", "y")).alias("id")).distinct()
-        sent = materialize(sent.join(self.points.select("id", "doc", "n"), "id"), "sent")
-        crowded = sent.groupBy("home").agg(F.sum("n").alias("load")).filter(F.col("load") > HOME).select("home")
-        crowded = materialize(crowded, "crowded")
-        split = lambda df, how: df.join(crowded, "home", how)
-        self.open += [homed, sent, crowded]
-        out = self._at_homes(self._sets(docs, split(sent, "left_anti")), split(homed, "left_anti"))
-        if crowded.isEmpty():
-            return out
-        sets = materialize(self._sets(docs, split(sent, "left_semi").dropDuplicates(["id"])), "shingles")
-        self.open.append(sets)
-        side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
-        single = split(homed, "left_semi").select("x", "y").join(side("y"), "y").join(side("x"), "x")
-        return out.unionByName(single.select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.size(F.array_intersect("sx", "sy")).cast("long").alias("common")))
-
-    def _sets(self, docs: DataFrame, sent: DataFrame) -> DataFrame:
-        """(home, id, shingles) of all rows of ``sent`` (home, id, doc)."""
+        at = lambda df: df.select("home", F.explode(F.array("x", "y")).alias("id")).distinct()
+        loads = at(homed).join(self.points.select("id", "n"), "id").groupBy("home").agg(F.sum("n").alias("load")).filter(F.col("load") > HOME)
+        crowded = materialize(loads.select(F.col("home").alias("home2"), F.ceil(F.col("load") * 2 / HOME).alias("blocks")), "crowded")
+        block = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.col("blocks"))
+        place = F.xxhash64("home", F.least(block("x"), block("y")), F.greatest(block("x"), block("y")))
+        split = homed.join(crowded, F.col("home") == F.col("home2"), "left")
+        split = materialize(split.select("x", "y", F.when(F.col("blocks").isNull(), F.col("home")).otherwise(place).alias("home")), "blocks")
+        sent = materialize(at(split).join(self.points.select("id", "doc"), "id"), "sent")
+        discard(homed, crowded)
+        self.open += [split, sent]
+        return self._at_homes(self._texts(docs, sent), split)
+
+    def _texts(self, docs: DataFrame, sent: DataFrame) -> DataFrame:
+        """(home, id, text) of all rows of ``sent`` (home, id, doc): texts travel, as they take less than their sets."""
         bits = filter_bits(sent.count())
         near = bloom_probe(docs, bloom_words(sent, "doc", bits), F.col("doc"), bits, "maybe").filter("maybe").select("doc", "text")
-        sets = _map_sets(near, self.k, _whole, f"doc {self.kind}, id long, shingles array<bigint>")
-        sets = sets.join(sent.select("home", F.col("id").alias("id2"), F.col("doc").alias("doc2")), (F.col("id") == F.col("id2")) & (F.col("doc") == F.col("doc2")))
-        sets = sets.select("home", "id", "shingles")
-        return sets.dropDuplicates(["home", "id"]) if self.repeated else sets
+        return near.join(sent.select("home", "id", F.col("doc").alias("doc2")), F.col("doc") == F.col("doc2")).select("home", "id", "text")
 
-    def _at_homes(self, sets: DataFrame, homed: DataFrame) -> DataFrame:
-        """The pairs of each home, measured where its sets are: these come first and hold HOME shingles at most."""
+    def _at_homes(self, texts: DataFrame, homed: DataFrame) -> DataFrame:
+        """The pairs of each home, measured where its texts are: these come first, and their sets hold about HOME shingles. Of
+        several texts of one document the one that is the point counts."""
+        k, alphabet = self.k, Alphabet("space", fold=True)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, here, of = None, {}, ["x", "y", "nx", "ny", "common"]
             for batch in batches:
-                lists = batch.column(3)
-                values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
                 found = []
-                for i, (home, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                    if home != at:
-                        at, here = home, {}
-                    if y is None:
-                        here[x] = values[ends[i] : ends[i + 1]].copy()
-                    else:
-                        a, b = here[x], here[y]
-                        both = np.sort(np.concatenate([a, b]), kind="stable")
-                        found.append((x, y, len(a), len(b), int(np.count_nonzero(both[1:] == both[:-1]))))
+                for a in range(0, batch.num_rows, 512):
+                    own = batch.slice(a, 512)
+                    sets = [s for _, _, words in chunks(own.column(3), alphabet) for s in shingle_sets(words, k)]
+                    for s, key, home, x, y in zip(sets, _keys(sets).tolist(), *(own.column(c).to_pylist() for c in range(3)), strict=True):
+                        if home != at:
+                            at, here = home, {}
+                        if y is not None:
+                            u, v = here[x], here[y]
+                            both = np.sort(np.concatenate([u, v]), kind="stable")
+                            found.append((x, y, len(u), len(v), int(np.count_nonzero(both[1:] == both[:-1]))))
+                        elif key == x:
+                            here[x] = s
                 table = np.array(found, np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], of)
 
-        rows = sets.select("home", F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "shingles")
-        rows = rows.unionByName(homed.select("home", "x", "y", F.lit(None).cast("array<bigint>").alias("shingles")))
+        rows = texts.select("home", F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "text")
+        rows = rows.unionByName(homed.select("home", "x", "y", F.lit(None).cast("string").alias("text")))
         return rows.repartition("home").sortWithinPartitions("home", F.asc_nulls_first("y")).mapInArrow(measure, "x long, y long, nx long, ny long, common long")
 
     def linked(self, seen: list | None = None) -> DataFrame:
