@@ -11,6 +11,7 @@ and aggregates of Spark. (Built from DataFrame functions alone it took several t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,11 +54,9 @@ class Lines:
         sums = [np.add.reduceat(mix(self.hash ^ np.uint64(salt)), self.start) for salt in (0x243F6A8885A308D3, 0x13198A2E03707344)]
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(self.start), [None, pa.py_buffer(np.stack(sums, 1).astype("<u8").tobytes())]).cast(pa.binary())
 
-    def parity(self, word: int) -> np.ndarray:
-        """One of two words of a bitmap in which each token flips a bit."""
-        bit = (self.hash >> np.uint64(32)) & np.uint64(127)
-        own = np.where(bit >> np.uint64(6) == word, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-        return np.bitwise_xor.reduceat(own, self.start).view(np.int64)
+    def parity(self) -> np.ndarray:
+        """A bitmap in which each token flips a bit."""
+        return np.bitwise_xor.reduceat(np.uint64(1) << ((self.hash >> np.uint64(32)) & np.uint64(63)), self.start).view(np.int64)
 
     def lists(self, values: np.ndarray, take: np.ndarray) -> pa.Array:
         """The first ``take`` values of each line."""
@@ -92,7 +91,7 @@ def _levels(texts: DataFrame) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, kind: str, t: Threshold) -> DataFrame:
-    """(id, h, no, key, n, b_0, b_1, cells) of each line with tokens; cells are its rarest tokens, as 8 bits of rarity and 54 of a
+    """(id, h, no, key, n, bits, cells) of each line with tokens; cells are its rarest tokens, as 8 bits of rarity and 54 of a
     hash."""
     sent = texts.sparkSession.sparkContext.broadcast(_levels(texts))
 
@@ -104,9 +103,9 @@ def _sets(texts: DataFrame, kind: str, t: Threshold) -> DataFrame:
             cell = cell[np.lexsort((cell, line))]
             prefix = own.size + (-t.least * own.size) // t.parts + 1  # n - ceil(n least / parts) + 1
             row = pa.array(own.text)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(own.no.astype(np.int32)), own.keys(), pa.array(own.size), pa.array(own.parity(0)), pa.array(own.parity(1)), own.lists(cell, prefix)], ["id", "h", "no", "key", "n", "b_0", "b_1", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(own.no.astype(np.int32)), own.keys(), pa.array(own.size), pa.array(own.parity()), own.lists(cell, prefix)], ["id", "h", "no", "key", "n", "bits", "cells"])
 
-    return texts.mapInArrow(scan, f"id {kind}, h long, no int, key binary, n long, b_0 long, b_1 long, cells array<long>")
+    return texts.mapInArrow(scan, f"id {kind}, h long, no int, key binary, n long, bits long, cells array<long>")
 
 
 def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -127,21 +126,31 @@ def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _candidates(sets: DataFrame, t: Threshold) -> DataFrame:
-    """All pairs (x, y) of sets in a cell that the places, sizes and bitmaps let link."""
-    carry = ["n", "pos", "b_0", "b_1"]
-    each = sets.select("id", "n", "b_0", "b_1", F.posexplode("cells").alias("pos", "cell")).withColumn("pos", F.col("pos").cast("long"))
-    several = materialize(each.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumnRenamed("cell", "cell2"), "several")
-    rows = each.join(several, F.col("cell") == F.col("cell2"))
-    blocks = F.ceil(F.col("k") / BLOCK)
-    rows = rows.select("cell", "id", *carry, blocks.alias("blocks"), F.pmod(F.xxhash64("id", F.lit(3)), blocks).alias("block"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", *carry)
+    """All pairs (x, y) of sets in a cell that the places, sizes and bitmaps let link.
+
+    A cell holds at most as many sets as its rarity tells, so only cells of frequent tokens are counted; those of more than BLOCK
+    sets are cut into blocks. Size, place and block travel as one number.
+    """
+    each = sets.select("id", "n", "bits", F.posexplode("cells").alias("pos", "cell"))
+    frequent = F.expr("shiftright(cell, 54)") >= 8 * math.floor(math.log2(BLOCK))
+    crowded = each.filter(frequent).groupBy("cell").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > BLOCK)
+    crowded = materialize(crowded.select(F.col("cell").alias("cell2"), F.ceil(F.col("k") / BLOCK).alias("blocks")), "crowded")
+    packed = lambda block: F.shiftleft("n", 32).bitwiseOR(F.shiftleft(F.least(F.col("pos"), F.lit((1 << 20) - 1)).cast("long"), 12)).bitwiseOR(block.bitwiseAND(F.lit(4095)).cast("long"))
+    plain = lambda df: df.select(F.col("cell").alias("at"), "id", packed(F.lit(0).cast("long")).alias("own"), "bits")
+    if crowded.isEmpty():
+        rows = plain(each)
+    else:
+        cut = each.filter(frequent).join(crowded, F.col("cell") == F.col("cell2"), "left").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks"))
+        blocks = cut.filter("blocks is not null").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        blocks = blocks.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("at"), "id", packed(F.when(F.col("block") == F.col("other"), F.lit(0)).when(F.col("block") < F.col("other"), F.lit(1)).otherwise(F.lit(2)).cast("long")).alias("own"), "bits")
+        rows = plain(each.filter(~frequent)).unionByName(plain(cut.filter("blocks is null"))).unionByName(blocks)
     x, y = (rows.select(*(F.col(c).alias(f"{s}{c}") for c in rows.columns)) for s in "xy")
-    at = (F.col("xcell") == F.col("ycell")) & (F.col("xlo") == F.col("ylo")) & (F.col("xhi") == F.col("yhi"))
-    once = (F.col("xblock") != F.col("yblock")) | (F.col("xlo") == F.col("xhi"))  # sets of one block meet under its own key only
-    met = x.join(y, at & once & (F.col("xid") < F.col("yid")) & t.possible("x", "y") & t.near("x", "y", carry[2:]))
+    side = lambda s: (F.expr(f"shiftright({s}own, 32)").alias(f"{s}n"), F.expr(f"shiftright({s}own, 12) & 1048575").alias(f"{s}pos"), F.expr(f"{s}own & 4095").alias(f"{s}block"), F.col(f"{s}id"), F.col(f"{s}bits"))
+    met = x.join(y, (F.col("xat") == F.col("yat")) & (F.col("xid") < F.col("yid"))).select(*side("x"), *side("y"))
+    once = (F.col("xblock") != F.col("yblock")) | (F.col("xblock") == 0)  # sets of one block meet under its own key only
+    met = met.filter(once & t.possible("x", "y") & t.near("x", "y", ["bits"]))
     out = materialize(met.select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct(), "pairs")
-    discard(several)
+    discard(crowded)
     return out
 
 
@@ -165,7 +174,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.lower(text).alias("low"))
     lines = materialize(_sets(texts, docs.schema[id_col].dataType.simpleString(), t), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h"), F.col("no"))
-    one = (F.first(c).alias(c) for c in ("n", "b_0", "b_1", "cells"))
+    one = (F.first(c).alias(c) for c in ("n", "bits", "cells"))
     grouped = lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"), *one)
     sets = materialize(grouped.withColumn("id", F.monotonically_increasing_id()), "sets")
     pairs = _candidates(sets, t)
