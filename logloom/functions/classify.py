@@ -95,9 +95,9 @@ def iptables_prefix(prefix: Column) -> Column:
 
 #: Numbers of system calls and the event they are.
 SYSCALLS = {
-    "59": "code_execution", "322": "code_execution", "2": "file_access", "257": "file_access", "87": "file_deleted", "263": "file_deleted",
-    "82": "file_modified", "90": "permission_change", "92": "permission_change", "161": "permission_change", "41": "network_activity",
-    "42": "network_activity", "43": "network_activity", "105": "privilege_change", "117": "privilege_change",
+    "59": "code_execution", "322": "code_execution", "41": "network_activity", "42": "network_activity", "43": "network_activity",
+    "105": "privilege_change", "117": "privilege_change", "2": "file_access", "257": "file_access", "87": "file_deleted", "263": "file_deleted",
+    "82": "file_modified", "90": "permission_change", "92": "permission_change", "161": "permission_change",
 }
 
 
