@@ -154,12 +154,12 @@ def firewall(line: Column, year: int) -> Steps:
 
 
 def key_values(text: Column) -> Column:
-    """key=value pairs: quoted ones first, of which the last wins; of bare ones the first."""
+    """key=value pairs: quoted ones first, of which the last wins; then, of other keys, the first bare one, which may begin with a quote."""
     entries = lambda pattern: F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("v"))
     empty = F.create_map().cast("map<string,string>")
     put = lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"]))
     quoted = F.aggregate(entries(r'(\w+)="([^"]*)"'), empty, put)
-    return F.aggregate(entries(r'(\w+)=([^\s"]\S*)'), quoted, lambda m, e: F.when(F.map_contains_key(m, e["k"]), m).otherwise(put(m, e)))
+    return F.aggregate(entries(r'(\w+)=(\S+)'), quoted, lambda m, e: F.when(F.map_contains_key(m, e["k"]), m).otherwise(put(m, e)))
 
 
 def audit(line: Column, year: int) -> Steps:

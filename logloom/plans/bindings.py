@@ -77,6 +77,37 @@ fs as (select l_orderkey * 10 + l_linenumber as seq, '/var/log/' || l_orderkey a
 """
 
 
+#: Syslog lines of every rule (process, message, event type): one for each type and for most ways to it.
+SYSLOG_CASES = [
+    ("sshd", "Accepted publickey for a", "auth_success"), ("sshd", "Invalid user b from 1.2.3.4", "auth_failure"), ("sshd", "Received disconnect from 1.2.3.4", "ssh_disconnect"), ("sshd", "Server listening on port 22", "ssh_event"),
+    ("sudo", "a : 3 incorrect password attempts", "sudo_failure"), ("sudo", "a : user NOT in sudoers", "sudo_denied"), ("sudo", "a : COMMAND=/bin/id", "privilege_escalation"),
+    ("su", "FAILED su for root by a", "auth_failure"), ("su", "Successful su for root", "privilege_escalation"), ("cron", "new job in crontab", "scheduled_task_created"), ("crond", "run-parts", "scheduled_task"),
+    ("systemd", "Started Session 1", "service_event"), ("systemd", "Reached target", "system_event"), ("kernel", "iptables: REJECT", "firewall_drop"), ("kernel", "[UFW ALLOW] SRC=1.1.1.1", "firewall_allow"), ("kernel", "ufw audit", "firewall_event"),
+    ("kernel", "Out of memory: killed", "system_alert"), ("kernel", "possible SYN flood", "network_attack"), ("kernel", "app segfault at 0", "process_crash"), ("kernel", "usb 1-1 new device", "kernel_event"),
+    ("dpkg", "upgrade libc", "package_install"), ("rpm", "erase libc", "package_remove"), ("yum", "clean all", "package_event"), ("bash", "wget http://x", "file_download"), ("bash", "chmod 777 /x", "permission_change"),
+    ("bash", "cat /etc/shadow", "credential_access"), ("bash", "scp a b", "data_exfiltration"), ("bash", "nmap -sS x", "network_tool"), ("bash", "socat tcp x", "c2_tool"), ("bash", "history -c", "anti_forensics"), ("bash", "rm -rf /var/log", "log_cleared"),
+    ("bash", "adduser c", "user_created"), ("bash", "usermod -G x c", "account_modification"), ("bash", "deluser c", "user_deleted"), ("bash", "vi .ssh/x", "ssh_key_modified"), ("bash", "crontab -e", "crontab_modified"),
+    ("bash", "vi /etc/rc.local", "persistence_mechanism"), ("pam_unix", "authentication failure", "auth_failure"), ("pam_unix", "session opened for a", "auth_success"), ("pam_unix", "session closed for a", "session_closed"), ("pam_unix", "check pass", "pam_event"),
+    ("bash", "bash -i", "reverse_shell_attempt"), ("bash", "base64 -d x", "code_execution"), ("app", "all is well", "system_event"),
+]
+#: Lines of other formats and the event type each is: of rules that the tables' own lines don't reach.
+FORMAT_CASES = {
+    "apache_combined": [('9.9.9.9 - - [15/Jan/2025:08:00:01 +0000] "GET %s HTTP/1.1" %s 5' % (path, status), kind) for path, status, kind in (("/?q=<script>", 200, "xss_attempt"), ("/x.php?cmd=id", 200, "webshell_access"), ("/%2e%2e/x", 200, "path_traversal"), ("/a?union+x", 404, "sqli_attempt"), ("/.env", 200, "suspicious_request"), ("/a", 404, "http_error"), ("/a", 503, "http_server_error"), ("/a", 403, "http_error"), ("/a", 200, "http_request"))],
+    "audit": [(f"type={kind} msg=audit(1700000000.000:1): {rest}", event) for kind, rest, event in (("EXECVE", 'argc=2 a0="bash" a1="/dev/tcp"', "reverse_shell_attempt"), ("EXECVE", 'argc=2 a0="base64" a1="-d"', "code_execution"), ("EXECVE", 'argc=2 a0="history" a1="-c"', "anti_forensics"), ("EXECVE", 'argc=2 a0="useradd" a1="x"', "account_modification"), ("EXECVE", 'argc=1 a0="crontab"', "persistence_mechanism"), ("EXECVE", 'argc=1 a0="ls"', "code_execution"), ("SYSCALL", 'syscall=59 exe="/usr/bin/nmap"', "network_tool"), ("SYSCALL", 'syscall=59 exe="/usr/bin/curl"', "file_download"), ("SYSCALL", 'syscall=2 exe="/usr/bin/scp"', "data_exfiltration"), ("SYSCALL", 'syscall=59 exe="/usr/bin/sudo"', "privilege_escalation"), ("SYSCALL", "syscall=87", "file_deleted"), ("SYSCALL", "syscall=82", "file_modified"), ("SYSCALL", "syscall=90", "permission_change"), ("SYSCALL", "syscall=105", "privilege_change"), ("USER_LOGIN", "res=failed", "auth_failure"), ("USER_LOGIN", "res=success", "auth_success"), ("USER_LOGOUT", "res=success", "session_closed"), ("USER_CMD", "cmd=x", "privilege_escalation"), ("SOCKADDR", "saddr=1", "network_activity"), ("PATH", 'name="/var/log/x" nametype=DELETE', "log_cleared"), ("CONFIG_CHANGE", "op=set", "audit_config_change"), ("SERVICE_START", "unit=x", "service_event"), ("PROCTITLE", "proctitle=1", "process_event"), ("CWD", "cwd=1", "audit_event"))],
+    "apt": [(f"2025-01-15 08:00:01 {action} {package}:amd64 1 2", kind) for action, package, kind in (("install", "masscan", "suspicious_tool_installed"), ("purge", "nmap", "package_remove"), ("configure", "nmap", "package_event"), ("upgrade", "vim", "package_install"))],
+    "yum": [(f"Jan 15 08:00:01 {action}: pkg", kind) for action, kind in (("Installed", "package_install"), ("Dep-Installed", "package_install"), ("Erased", "package_remove"), ("Obsoleted", "package_remove"))],
+    "mysql_error": [(f"2025-01-15T08:00:01.000000Z {level} {said}", kind) for level, said, kind in (("Warning", "Aborted connection 5", "db_connection_error"), ("Note", "IP address could not be resolved", "dns_lookup_failure"), ("ERROR", "broken", "db_error"), ("Warning", "old", "db_warning"), ("Note", "ready", "db_event"))],
+    "openvpn": [(f"Wed Jan 15 08:00:01 2025 10.8.0.1:1194 {said}", kind) for said, kind in (("TLS: Initial packet from x", "vpn_connection"), ("Connection reset, restarting", "vpn_disconnect"), ("cannot load certificate", "vpn_tls_error"), ("PUSHED ifconfig 10.8.0.2", "vpn_ip_assigned"))],
+}
+
+
+def cases_of(spark: SparkSession, sf_dir: str, cases: list[tuple]) -> DataFrame:
+    """(seq, line): events as the given lines, in turn; a case is a line, or a process and message, and what is expected of it."""
+    made = [c[0] if len(c) == 2 else f"Jan  5 10:00:00 gw {c[0]}[7]: {c[1]}" for c in cases]
+    s = F.col("event_id")
+    return table(spark, sf_dir, "events").select(s.alias("seq"), F.element_at(F.array(*map(F.lit, made)), (s % len(made) + 1).cast("int")).alias("line"))
+
+
 def lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """(k, line): orders as lines of a log format."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderdate").cast("timestamp").alias("d"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logloom.functions import classify, parse
 from logloom.functions import tables as T
 from logloom.operators import attack, evidence, findings, indicators, normalize, profile, results, scoring, views
-from logloom.plans.bindings import EVIDENCE, FILES, ORDERS, TIMELINE, YEAR, doc_events, files, host_digests, lines, parsed, syslog_lines, table, text, timeline, with_files, written
+from logloom.plans.bindings import EVIDENCE, FILES, FORMAT_CASES, ORDERS, SYSLOG_CASES, TIMELINE, YEAR, cases_of, doc_events, files, host_digests, lines, parsed, syslog_lines, table, text, timeline, with_files, written
 from logloom.sources.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,6 +196,49 @@ def c1(spark, sf_dir):
     return views.counts_by(timeline(spark, sf_dir), "event_type")
 
 
+def case_counts(cases: list[tuple]) -> str:
+    """SQL of how many events there are of each expected type, when events go through the cases in turn."""
+    return f"select event_type, count(*) as n from (select event_id from events) e join {values([(i, c[-1]) for i, c in enumerate(cases)], 'x(i, event_type)')} on event_id % {len(cases)} = i group by event_type"
+
+
+@query("C1_syslog_types_of_all_rules", case_counts(SYSLOG_CASES))
+def c1a(spark, sf_dir):
+    own = parse.with_events(cases_of(spark, sf_dir, SYSLOG_CASES), parse.syslog, year=YEAR)
+    return views.counts_by(own.select("e.*"), "event_type")
+
+
+def _case_query(kind: str) -> None:
+    def run(spark, sf_dir):
+        return views.counts_by(parse.with_events(cases_of(spark, sf_dir, FORMAT_CASES[kind]), parse.PARSERS[kind], year=YEAR).select("e.*"), "event_type")
+
+    query(f"C_rules_of_{kind}", case_counts(FORMAT_CASES[kind]))(run)
+
+
+for _kind in FORMAT_CASES:
+    _case_query(_kind)
+
+
+#: Events of sysmon (number, image, command line, port) and the type of each.
+SYSMON_CASES = [(3, "/bin/bash", "", "4444", "c2_beacon"), (3, "/bin/nginx", "", "443", "network_connect"), (1, "/bin/sh", "bash -i", "", "reverse_shell_attempt"), (8, "/x", "", "", "remote_thread_create"), (11, "/x", "", "", "file_create"), (23, "/x", "", "", "file_delete"), (99, "/x", "", "", "sysmon_event")]
+
+
+@query("C10_sysmon_rules", case_counts(SYSMON_CASES))
+def c10(spark, sf_dir):
+    from logloom.sources.logs import sysmon_events
+
+    xml = [f'<Event xmlns="x"><System><EventID>{n}</EventID></System><EventData><Data Name="Image">{image}</Data><Data Name="CommandLine">{command}</Data><Data Name="DestinationPort">{port}</Data></EventData></Event>' for n, image, command, port, _ in SYSMON_CASES]
+    return views.counts_by(sysmon_events(cases_of(spark, sf_dir, [(x, "") for x in xml])), "event_type")
+
+
+@query("C6_packages", f"select package, count(*) as n from (select c_custkey, ['{"', '".join(T.ATTACK_PACKAGES)}'][c_custkey % {len(T.ATTACK_PACKAGES)} + 1] as package from customer) group by package")
+def c6(spark, sf_dir):
+    """Every name of an attack tool, within a longer name and in capitals."""
+    names = F.array(*map(F.lit, T.ATTACK_PACKAGES))
+    own = table(spark, sf_dir, "customer").select(F.element_at(names, (F.col("c_custkey") % len(T.ATTACK_PACKAGES) + 1).cast("int")).alias("package"))
+    kind = classify.package_action(F.lit("install"), F.concat(F.lit("lib"), F.upper("package"), F.lit("-dev")))
+    return views.counts_by(own.filter(kind == "suspicious_tool_installed"), "package")
+
+
 @query("C3_web_requests", f"""with {ORDERS}, p as (select k, ['http', 'suspicious_request', 'sqli_attempt', 'path_traversal', 'http'][k % 5 + 1] as a, [200, 404, 500, 403, 200, 200, 301][k % 7 + 1] as status from o)
 select case when a <> 'http' then a when status = 404 then 'http_error' when status >= 500 then 'http_server_error' when status >= 400 then 'http_error' else 'http_request' end as event_type, count(*) as n from p group by 1""")
 def c3(spark, sf_dir):

@@ -245,3 +245,11 @@ def test_broken_files_are_skipped(spark, tmp_path):
     for name, text in (("a", '{"case_id": "a"}'), ("b", "{broken"), ("c", '{"case_id": "c", "job_ids": ["1"]}'), ("d", "")):
         (tmp_path / f"{name}.json").write_text(text)
     assert sorted(r["case_id"] for r in logs.stored_cases(spark, str(tmp_path)).collect()) == ["a", "c"]
+
+
+def test_audit_fields(spark):
+    from logloom.functions import parse
+
+    rows = [('a="x y" b=1 b=2 a=z', {"a": "x y", "b": "1"}), ('msg="p=q r" p=s', {"msg": "p=q r", "p": "s"}), ('c="open d=1', {"c": '"open', "d": "1"}), ('e="1" e="2"', {"e": "2"}), ("", {})]
+    got = {r["t"]: r["kv"] for r in spark.createDataFrame([(t,) for t, _ in rows], "t string").select("t", parse.key_values(F.col("t")).alias("kv")).collect()}
+    assert got == dict(rows)
