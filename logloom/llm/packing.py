@@ -1,7 +1,7 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills every window to target token proportions.
 
-Each source is a queue of tokens and earns credit in proportion to its share of all tokens, so that all queues end
-together. Token i of a queue of T tokens is due at (i + 1/2) / T; windows of ``size`` tokens take the tokens in the order in
+Each source is a queue of tokens and earns credit at a rate: in proportion to its target, or where none is given to its share of
+all tokens, so that all queues end together. Token i of a queue of rate r is due at (i + 1/2) / r; windows of ``size`` tokens take the tokens in the order in
 which they fall due, ties by queue. What a queue is short of its share in one window (its deficit) is thus carried to the
 next, and on across partitions, for due times depend on the totals alone. Any window's cuts are computed from the totals by
 themselves: no window waits for another, nothing is shuffled, and only the last window is not full.
@@ -89,20 +89,44 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cuts(windows: np.ndarray, totals: np.ndarray, size: int = SIZE) -> np.ndarray:
+class Mixture:
+    """Queues of so many tokens each (``totals``) that go on at so many tokens a unit of time (``rates``) until they are empty."""
+
+    def __init__(self, totals: np.ndarray, rates: np.ndarray | None = None):
+        self.totals, self.rates = totals, totals.astype(float) if rates is None else rates.astype(float)
+        self.total = int(totals.sum())
+        ends = totals / self.rates
+        self.times = np.concatenate([[0.0], np.unique(ends)])
+        self.taken = np.minimum(self.rates * self.times[:, None], totals).sum(1)  # by all queues, at the times at which one ends
+        # a queue's largest share among those that are left: at its own end
+        by_end = np.argsort(ends, kind="stable")
+        left = np.cumsum(self.rates[by_end][::-1])[::-1]
+        share = np.empty(len(totals))
+        share[by_end] = self.rates[by_end] / left[np.searchsorted(ends[by_end], ends[by_end], side="left")]
+        self.share = np.minimum(share, 1.0)
+
+    def time_of(self, tokens: np.ndarray) -> np.ndarray:
+        """When so many tokens of all queues are due, about."""
+        return np.interp(tokens, self.taken, self.times)
+
+    def tokens_at(self, time: np.ndarray) -> np.ndarray:
+        return np.interp(time, self.times, self.taken)
+
+
+def cuts(windows: np.ndarray, mixture: Mixture, size: int = SIZE) -> np.ndarray:
     """How many tokens of each queue are in the first ``windows`` windows: a row for each value, a column for each queue."""
-    total, n = int(totals.sum()), len(totals)
+    totals, rates, n = mixture.totals, mixture.rates, len(mixture.totals)
     # the next tokens of each queue after those that are surely due: a queue of share p has about 2 n p of the next 2 n
-    ahead = 4 + np.ceil(4 * n * totals / total).astype(np.int64)
+    ahead = 4 + np.ceil(4 * n * mixture.share).astype(np.int64)
     queue, starts = np.repeat(np.arange(n), ahead), np.concatenate([[0], np.cumsum(ahead)[:-1]])
     nth = np.arange(len(queue)) - starts[queue]
     out = np.zeros((len(windows), n), np.int64)
     step = max(1, 500_000 // len(queue))
     for a in range(0, len(windows), step):
-        want = np.minimum(windows[a : a + step].astype(np.int64) * size, total)
-        sure = np.clip(np.floor(want[:, None] / total * totals - 1.5).astype(np.int64), 0, totals)
+        want = np.minimum(windows[a : a + step].astype(np.int64) * size, mixture.total)
+        sure = np.clip(np.floor(mixture.time_of(want)[:, None] * rates - 1.5).astype(np.int64), 0, totals)
         index = sure[:, queue] + nth
-        due = np.where(index < totals[queue], (index + 0.5) / totals[queue], np.inf)
+        due = np.where(index < totals[queue], (index + 0.5) / rates[queue], np.inf)
         taken = np.zeros(due.shape, np.int64)
         first = np.arange(len(queue)) < (want - sure.sum(1))[:, None]
         np.put_along_axis(taken, np.argsort(due, axis=1, kind="stable"), first, 1)
@@ -110,14 +134,15 @@ def cuts(windows: np.ndarray, totals: np.ndarray, size: int = SIZE) -> np.ndarra
     return out
 
 
-def pieces_of(start: np.ndarray, tokens: np.ndarray, queue: np.ndarray, totals: np.ndarray, size: int = SIZE) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
+def pieces_of(start: np.ndarray, tokens: np.ndarray, queue: np.ndarray, mixture: Mixture, size: int = SIZE) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
     """For each document, the tokens start ... start + tokens - 1 of its queue: first token of each piece, length, window and
     offset in the window."""
-    total, slack = int(totals.sum()), len(totals) / size + 2
-    lo = np.maximum(0, np.floor(start / totals[queue] * total / size - slack)).astype(np.int64)
-    hi = np.minimum(-(-total // size), np.ceil((start + tokens) / totals[queue] * total / size + slack)).astype(np.int64)
+    slack = len(mixture.totals) / size + 2
+    place = lambda at: mixture.tokens_at(at / mixture.rates[queue]) / size
+    lo = np.maximum(0, np.floor(place(start) - slack)).astype(np.int64)
+    hi = np.minimum(-(-mixture.total // size), np.ceil(place(start + tokens) + slack)).astype(np.int64)
     windows = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)])) if len(lo) else lo
-    at = cuts(windows, totals, size)
+    at = cuts(windows, mixture, size)
     before = np.cumsum(at, axis=1) - at
     for s, n, q, i, k in zip(start.tolist(), tokens.tolist(), queue.tolist(), np.searchsorted(windows, lo).tolist(), (hi - lo).tolist(), strict=True):
         own, ahead = at[i : i + k + 1, q], before[i : i + k + 1, q]
@@ -127,6 +152,17 @@ def pieces_of(start: np.ndarray, tokens: np.ndarray, queue: np.ndarray, totals:
         yield (a - s).tolist(), (b[has] - a).tolist(), windows[i + has].tolist(), (ahead[has + 1] - ahead[has] + a - own[has]).tolist()
 
 
+def rates_of(totals: dict[str, int], targets: dict[str, float] | None) -> np.ndarray | None:
+    """Tokens a unit of time of each queue: by its target; queues without one share what targets leave by their tokens."""
+    if not targets:
+        return None
+    if min(targets.values()) <= 0 or sum(targets.values()) > 1 + 1e-9:
+        raise ValueError("targets are shares above 0, of 1 at most together")
+    rest = sum(n for q, n in totals.items() if q not in targets) or 1
+    left = max(1 - sum(targets.values()), 1e-9)  # with nothing left for them, they come last
+    return np.array([targets.get(q, left * n / rest) for q, n in totals.items()]) * sum(totals.values())
+
+
 def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, queue_col: str | None) -> DataFrame:
     """Rows (id, part, queue, at, n_tokens, ids): ``at`` counts the queue's tokens before it within the partition."""
     queue = F.coalesce(F.col(queue_col).cast("string"), F.lit("")) if queue_col else F.lit("")
@@ -147,23 +183,28 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, queue
     return rows.mapInArrow(scan, f"id {kind}, part int, queue string, at long, n_tokens long, ids binary")
 
 
-def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", size: int = SIZE) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", size: int = SIZE, targets: dict[str, float] | None = None) -> DataFrame:
     """Pieces of all documents: id, start, length, doc_tokens, sequence_id, offset, queue, piece_ids (little-endian uint32).
 
     A null or empty text is one token, the ending id. A null source is a queue of its own. Rows that repeat are packed as
     often. Sequences are numbered from 0; all but the last are full. An empty table gives an empty result. Other columns are
     ignored, whatever their names.
+
+    ``targets`` names the shares of tokens that sources have in every window ("" is the null source); sources it doesn't name
+    share the rest by their tokens. Without it each has its share of all tokens. No token is left out or repeated: where a source
+    ends before the others, these go on in their proportions.
     """
     held = materialize(tokenized(docs, tokenizer, id_col, text_col, source_col), "tokens")
     sums = materialize(held.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n")), "sums")
     n_queues = sums.select("queue").distinct().count()
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = lambda q: q if n_queues <= MAX_QUEUES else F.concat(F.lit("queue "), F.pmod(F.xxhash64(q), F.lit(MAX_QUEUES)).cast("string"))
+    some = F.concat(F.lit("queue "), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
+    shared = F.col("queue") if n_queues <= MAX_QUEUES else F.when(F.col("queue").isin(*targets), F.col("queue")).otherwise(some) if targets else some
     # queues that share: their parts follow each other within a partition
     ahead = F.sum("n").over(Window.partitionBy("shared").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1))
-    sums = materialize(sums.withColumn("shared", shared(F.col("queue"))).select("part", "queue", "shared", "n", F.coalesce(ahead, F.lit(0)).alias("ahead")), "places")
+    sums = materialize(sums.withColumn("shared", shared).select("part", "queue", "shared", "n", F.coalesce(ahead, F.lit(0)).alias("ahead")), "places")
     totals_of = dict(sorted((r["shared"], r["t"]) for r in sums.groupBy("shared").agg(F.sum("n").alias("t")).collect()))  # MAX_QUEUES at most
-    totals, number = np.array(list(totals_of.values()), np.int64), {q: i for i, q in enumerate(totals_of)}
+    mixture, number = Mixture(np.array(list(totals_of.values()), np.int64), rates_of(totals_of, targets)), {q: i for i, q in enumerate(totals_of)}
     places = sums.select("part", "queue", "shared", "ahead")
     if sums.count() <= 1_000_000:  # partitions x queues; otherwise a shuffle join
         places = F.broadcast(places)
@@ -175,7 +216,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             start, tokens = (batch.column(i).to_numpy() for i in (1, 3))
             queues = np.array([number[q] for q in batch.column(2).to_pylist()], np.int64)
             row, out, data = [], [[], [], [], []], []
-            for i, (x, found) in enumerate(zip(batch.column(4).to_pylist(), pieces_of(start, tokens, queues, totals, size), strict=True)):
+            for i, (x, found) in enumerate(zip(batch.column(4).to_pylist(), pieces_of(start, tokens, queues, mixture, size), strict=True)):
                 row += [i] * len(found[0])
                 for to, values in zip(out, found, strict=True):
                     to += values

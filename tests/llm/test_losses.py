@@ -86,3 +86,61 @@ def test_line_dedup_leaves_nothing_behind(spark):
     line_dedup.line_dedup(queries.table(spark, SF, "documents")).count()
     left = names() - before
     assert len(left) == 1 and left.pop().startswith("logloom-places")  # what the result itself reads
+
+
+def packed_rows(spark, sizes, targets, size=64):
+    """Sources of so many one-token words each, packed; (source, start, length, sequence, offset) of the pieces."""
+    from logloom.llm import packing
+
+    rows = [(i * 1000 + d, " ".join(["a"] * n), source) for i, (source, ns) in enumerate(sizes.items()) for d, n in enumerate(ns)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = packing.packed(docs, queries.tokenizer_path(), size=size, targets=targets).collect()
+    names = {i: s for i, _, s in rows}
+    assert sum(r["length"] for r in got) == sum(n + 1 for ns in sizes.values() for n in ns)
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    at = {}
+    for s, o, n in places:
+        assert o == at.get(s, 0)
+        at[s] = o + n
+    assert all(n == size for s, n in at.items() if s < max(at))
+    for d in {r["doc_id"] for r in got}:
+        own = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == d)
+        assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+    return [(names[r["doc_id"]], r["length"], r["sequence_id"]) for r in got], len(at)
+
+
+@pytest.mark.parametrize("targets", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.7}, {"b": 0.25, "c": 0.75}, {"a": 0.1, "b": 0.1, "c": 0.1}])
+def test_packing_to_targets(spark, targets):
+    """Every window holds the targets while all sources last; then the others go on in their proportions."""
+    sizes = {"a": [99] * 20, "b": [49, 149] * 10, "c": [9] * 300, "other": [199] * 4}
+    pieces, n = packed_rows(spark, sizes, targets)
+    total = {s: sum(x + 1 for x in v) for s, v in sizes.items()}
+    rest = sum(v for s, v in total.items() if s not in targets)
+    rate = {s: targets.get(s, max(1 - sum(targets.values()), 1e-9) * v / rest if rest else 0) for s, v in total.items()}
+    left = dict(total)
+    for w in range(n - 1):
+        have = {s: sum(k for t, k, q in pieces if t == s and q == w) for s in total}
+        active = [s for s in total if left[s] > have[s]]  # lasts beyond this window
+        if len(active) == sum(v > 0 for v in left.values()):
+            share = sum(rate[s] for s in active)
+            assert all(abs(have[s] - 64 * rate[s] / share) <= 3 for s in active), (w, have)
+        left = {s: left[s] - have[s] for s in total}
+
+
+def test_packing_of_many_sources(spark, monkeypatch):
+    """Thousands of sources: those with targets keep queues of their own."""
+    from logloom.llm import packing
+
+    monkeypatch.setattr(packing, "MAX_QUEUES", 16)
+    sizes = {f"s{i}": [3] for i in range(2000)} | {"big": [999] * 4}
+    pieces, n = packed_rows(spark, sizes, {"big": 0.25})
+    by = [sum(k for t, k, q in pieces if t == "big" and q == w) for w in range(n - 1)]
+    assert all(abs(x - 16) <= 2 for x in by[: 8000 * 4 // 3 // 64 - 2])
+
+
+@pytest.mark.parametrize("targets", [{"a": 0}, {"a": -0.5}, {"a": 0.9, "b": 0.2}])
+def test_targets_that_are_no_shares(targets):
+    from logloom.llm import packing
+
+    with pytest.raises(ValueError):
+        packing.rates_of({"a": 5, "b": 5}, targets)
