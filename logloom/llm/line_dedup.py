@@ -144,6 +144,7 @@ def _candidates(sets: DataFrame, t: Threshold) -> DataFrame:
         blocks = cut.filter("blocks is not null").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         blocks = blocks.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("at"), "id", packed(F.when(F.col("block") == F.col("other"), F.lit(0)).when(F.col("block") < F.col("other"), F.lit(1)).otherwise(F.lit(2)).cast("long")).alias("own"), "bits")
         rows = plain(each.filter(~frequent)).unionByName(plain(cut.filter("blocks is null"))).unionByName(blocks)
+    rows = rows.repartition("at")  # by itself, so that both sides of the join read the one shuffle
     x, y = (rows.select(*(F.col(c).alias(f"{s}{c}") for c in rows.columns)) for s in "xy")
     side = lambda s: (F.expr(f"shiftright({s}own, 32)").alias(f"{s}n"), F.expr(f"shiftright({s}own, 12) & 1048575").alias(f"{s}pos"), F.expr(f"{s}own & 4095").alias(f"{s}block"), F.col(f"{s}id"), F.col(f"{s}bits"))
     met = x.join(y, (F.col("xat") == F.col("yat")) & (F.col("xid") < F.col("yid"))).select(*side("x"), *side("y"))
