@@ -486,7 +486,7 @@ def _tools(category: str, severity: str, *which: int, k: int = 10) -> str:
     return f"select '{category}' as category, '{severity}' as severity, count(*) as n_hits, least({k}, count(*)) as n_evidence from events where event_id % {len(TOOLS)} in ({', '.join(map(str, which))}) having count(*) > 0"
 
 
-@query("F3_identical_seconds_of_events", f"with s as (select date_trunc('second', ts - to_seconds(cast(epoch(ts) as bigint) % 3600)) as second from events) select {WHEN.format('second')} as second, count(*) as n from s group by 1 having count(*) >= 20")
+@query("F3_identical_seconds_of_events", f"with s as (select date_trunc('hour', ts) as second from events) select {WHEN.format('second')} as second, count(*) as n from s group by 1 having count(*) >= 20")
 def f3e(spark, sf_dir):
     """Events whose clock stood still for an hour each."""
     t = F.col("ts").cast("timestamp")
