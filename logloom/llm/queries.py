@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.chat import chains, formatted, read_back
@@ -82,8 +82,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def page_of() -> Column:
+    """The document of a page: the number that ends its address's path."""
+    return F.expr(r"try_cast(nullif(regexp_extract(url, '^[^?#]*/([0-9]+)(?:[.][a-z]+)?/?(?:[?#]|$)', 1), '') as bigint)")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), pages=table(spark, sf_dir, "pages"), page_of=page_of())
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
