@@ -10,18 +10,20 @@ from logloom.llm.decontaminate import drop_contaminated
 from logloom.llm.exact_dedup import drop_exact_duplicates
 from logloom.llm.jaccard_join import drop_near_duplicates
 from logloom.llm.packing import digests, packed
+from logloom.llm.page_view import with_marks
 from logloom.llm.quality import fit
-from logloom.llm.queries import table, tokenizer_path
+from logloom.llm.queries import page_of, table, tokenizer_path
 from logloom.llm.toxic import fit_toxic
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the co-trained classifier nor the words of toxic ones reject."""
     labels = table(spark, sf_dir, "labels")
-    model, toxic = fit(docs, labels), fit_toxic(docs, labels)
-    docs = docs.filter(~toxic.toxic(F.col("text")))
     own = {c: f"own_{i}_{c}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang", "source", "n_chars")}
-    return model.scored(docs.withColumnsRenamed(own)).filter("score >= 0.5").select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+    rows = with_marks(docs.withColumnsRenamed(own), table(spark, sf_dir, "pages"), page_of())
+    model, toxic = fit(rows, labels, marks_col="marks"), fit_toxic(docs, labels)
+    kept = model.scored(rows.filter(~toxic.toxic(F.col("text"))), marks_col="marks").filter("score >= 0.5")
+    return kept.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
