@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import materialize
+from logloom.llm.common import bloom_probe, bloom_words, filter_bits, materialize
 
 #: Marks are hashed into so many.
 MARKS = 1 << 12
@@ -41,16 +41,21 @@ def page_marks(url: Column, html: Column) -> Column:
 def with_marks(docs: DataFrame, pages: DataFrame, page_of: Column, id_col: str = "doc_id", url_col: str = "url", html_col: str = "html", marks_col: str = "marks") -> DataFrame:
     """``docs`` with ``marks_col``: the marks of all pages whose ``page_of`` is the row's id, null where there is none.
 
-    Of several pages of a document each mark is named once, so no row holds more than MARKS. Rows without an id have no page
-    and are spread over the tasks of the join; rows that repeat get the same marks. The marks are written first, so Spark
-    knows their size: it broadcasts small ones and shuffles both sides otherwise.
+    Of several pages of a document each mark is named once, so no row holds more than MARKS. Rows without an id have no page;
+    rows that repeat get the same marks. Only rows that a Bloom filter of the pages' ids lets through are shuffled, once, and
+    written with their marks; all others stay where they are.
     """
     if marks_col in docs.columns:
         raise ValueError(f"docs has a column {marks_col} already")
     of = page_of.cast(docs.schema[id_col].dataType)
     single = pages.select(of.alias("__page"), F.explode(page_marks(F.col(url_col), F.col(html_col))).alias("mark")).filter(F.col("__page").isNotNull())
-    marks = materialize(single.groupBy("__page").agg(F.sort_array(F.collect_set("mark")).alias(marks_col)), "marks").withColumn("__far", F.lit(0).cast("long"))
-    name = max([*docs.columns, ""], key=len) + "_far"  # longer than any, so no column of docs
-    far = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long"))
-    rows = docs.withColumn(name, far)
-    return rows.join(marks, (rows[id_col] == marks["__page"]) & (rows[name] == marks["__far"]), "left").select(*(rows[c] for c in docs.columns), marks[marks_col])
+    marks = materialize(single.groupBy("__page").agg(F.sort_array(F.collect_set("mark")).alias(marks_col)), "marks")
+    bits = filter_bits(marks.count())
+    words = materialize(bloom_words(marks, "__page", bits), "page-filter")
+    flag = max([*docs.columns, ""], key=len) + "_maybe"  # longer than any, so no column of docs
+    probed = bloom_probe(docs, words, F.col(id_col), bits, flag)
+    maybe = F.col(flag) & F.col(id_col).isNotNull()
+    near = probed.filter(maybe)
+    found = near.join(marks, near[id_col] == marks["__page"], "left").select(*(near[c] for c in docs.columns), marks[marks_col])
+    rest = probed.filter(~maybe).select(*docs.columns, F.lit(None).cast("array<int>").alias(marks_col))
+    return rest.unionByName(materialize(found, "with-marks"))
