@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import bloom_probe, bloom_words, filter_bits
+from logloom.llm.common import bloom_probe, bloom_words, discard, filter_bits, materialize
 
 #: So many words count at most, each in so many toxic documents at least and so many deviations beyond chance.
 MAX_WORDS, LEAST_DOCUMENTS, LEAST_DEVIATIONS = 512, 3, 5.0
@@ -51,7 +51,8 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     bits = filter_bits(given.count())
     own = bloom_probe(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), bloom_words(given, "id2", bits), F.col("id"), bits, "maybe").filter("maybe")
     held = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(4)) == 0
-    rows = own.select("id", word_hashes(F.col("text")).alias("words")).join(given, F.col("id") == F.col("id2")).select("words", "y", held.alias("held"))
+    joined = own.select("id", word_hashes(F.col("text")).alias("words")).join(given, F.col("id") == F.col("id2"))
+    rows = materialize(joined.select("words", "y", held.alias("held")), "toxic-words")
     seen = {(r["held"], r["y"]): r["n"] for r in rows.groupBy("held", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if min(seen.get((h, y), 0) for h in (False, True) for y in (0, 1)) >= 5:
         first = _weighted(rows.filter("not held"), seen[False, 1], seen[False, 0])
@@ -61,8 +62,10 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model = _weighted(rows, *(seen.get((False, y), 0) + seen.get((True, y), 0) for y in (1, 0)))
     judge = first if first and first.weights else model
     if not model.weights:
+        discard(rows)
         return model
     steps = cut.groupBy(F.floor(judge.score(F.col("words")) / STEP).cast("int").alias("step"), "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    discard(rows)
     total = {y: sum(r["n"] for r in steps if r["y"] == y) for y in (0, 1)}
     caught = lambda at, y: sum(r["n"] for r in steps if r["y"] == y and r["step"] >= at) / max(total[y], 1)
     model.least = STEP * max(({r["step"] for r in steps if r["step"] > 0} or {1}), key=lambda at: (caught(at, 1) - caught(at, 0), -at))
