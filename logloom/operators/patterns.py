@@ -22,8 +22,8 @@ MAX_BITS = 1 << 26
 GRAMS = (8, 4, 3, 2, 1)
 #: Bytes of texts that are hashed together; a longer text comes alone, whole.
 CHUNK = 1 << 19
-#: Tasks over which the texts that hold one value are spread in the join.
-SPREAD = 16
+#: Bytes of values up to which they are broadcast; more are shuffled, whatever the planner takes their size for.
+SMALL = 1 << 20
 
 _ODD = 0xD6E8FEB86659FD93
 
@@ -81,7 +81,7 @@ def _slots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray], lengths: list[int], bits: int) -> Iterator[pa.RecordBatch]:
-    """Of texts (key, text): (key, part) for each part, once, that both bitmaps let through."""
+    """Of texts (key, text): (part, keys) for each part that both bitmaps let through, with the rows of the chunk that hold it."""
     by_gram = {g: [n for n in lengths if gram_of(n) == g] for g in {gram_of(n) for n in lengths}}
     passes = lambda kind, h: (bitmaps[kind][(h & np.uint64(bits - 1)) >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
     for batch in batches:
@@ -92,7 +92,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray], le
             to = max(at + 1, int(np.searchsorted(whole, whole[at] + CHUNK, side="right")) - 1)
             data, edges = bytes_of(texts.slice(at, to - at))
             sums, end = Sums(data), np.repeat(edges[1:], np.diff(edges))
-            held: set[tuple[int, bytes]] = set()
+            held: dict[bytes, set[int]] = {}
             for g, own in by_gram.items():
                 start = np.arange(max(0, len(data) - g + 1))
                 start = start[end[: len(start)] - start >= g]
@@ -101,9 +101,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray], le
                     fit = start[end[start] - start >= n]
                     fit = fit[passes(1, sums.of(fit, n))]
                     text = np.searchsorted(edges, fit, side="right") - 1
-                    held.update((t, data[s : s + n].tobytes()) for t, s in zip(text.tolist(), fit.tolist(), strict=True))
-            rows = sorted(held)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at + t for t, _ in rows], pa.int64())), pa.array([p for _, p in rows], pa.binary())], ["key", "part"])
+                    for t, s in zip(text.tolist(), fit.tolist(), strict=True):
+                        held.setdefault(data[s : s + n].tobytes(), set()).add(at + t)
+            keys = batch.column(0).take(pa.array([t for own in held.values() for t in own], pa.int64()))
+            edges = np.concatenate([[0], np.cumsum([len(own) for own in held.values()])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.ListArray.from_arrays(pa.array(edges), keys)], ["part", "keys"])
             at = to
 
 
@@ -112,25 +114,25 @@ def matches(texts: DataFrame, values: DataFrame, key: str, text: str, value: str
 
     Null or empty values and null texts match nothing. Any number of values, of any length, overlapping ones and one that all
     texts hold included; values that differ in case alone each give a row. Lengths of values are as many as the plan is given.
+    A value meets each chunk of texts that hold it in one row, so those of a frequent one are few in the join.
     """
     spark = texts.sparkSession
     sought = values.filter((F.col(value) != "") & F.col(value).isNotNull()).select(F.col(value).alias("value"), F.lower(value).cast("binary").alias("sought")).distinct()
-    by_length = sought.groupBy(F.octet_length("sought").alias("n")).agg(F.count(F.lit(1)).alias("m")).collect()  # a row for each length
+    by_length = sought.groupBy(F.octet_length("sought").alias("n")).agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("value")).alias("size")).collect()  # a row for each length
     kind = texts.schema[key].dataType.simpleString()
     if not by_length:
         return spark.createDataFrame([], f"`{key}` {kind}, value {values.schema[value].dataType.simpleString()}")
     lengths = sorted(r["n"] for r in by_length)
     bits = min(MAX_BITS, 1 << max(16, (16 * sum(r["m"] for r in by_length) - 1).bit_length()))
     slots = sought.select("sought").mapInArrow(lambda b: _slots(b, bits), "kind int, slot long")
-    cells = slots.groupBy("kind", F.expr("shiftright(slot, 3)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot & 7 as int))")).alias("mask")).toArrow()  # a row a byte of the bitmaps
-    bitmaps = [np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)]
+    cells = slots.groupBy("kind", F.expr("shiftright(slot, 6)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask")).toArrow()  # a row a word of the bitmaps
+    words = [np.zeros(bits // 64, "<i8"), np.zeros(bits // 64, "<i8")]
     kinds, at, mask = (cells.column(c).to_numpy() for c in ("kind", "at", "mask"))
     for k in (0, 1):
-        bitmaps[k][at[kinds == k]] = mask[kinds == k]
-    sent = spark.sparkContext.broadcast(bitmaps)
+        words[k][at[kinds == k]] = mask[kinds == k]
+    sent = spark.sparkContext.broadcast([w.view(np.uint8) for w in words])
     low = texts.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    found = low.mapInArrow(lambda b: _candidates(b, sent.value, lengths, bits), f"key {kind}, part binary")
-    left = found.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)))
-    right = sought.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
-    met = left.join(right, (F.col("part") == F.col("sought")) & (left["salt"] == right["salt"]))
-    return met.select(F.col("key").alias(key), "value")
+    found = low.mapInArrow(lambda b: _candidates(b, sent.value, lengths, bits), f"part binary, keys array<{kind}>")
+    small = sum(r["size"] for r in by_length) <= SMALL
+    met = found.join(sought.hint("broadcast" if small else "merge"), F.col("part") == F.col("sought"))
+    return met.select(F.explode("keys").alias(key), "value")

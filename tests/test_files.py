@@ -142,6 +142,19 @@ def test_matches_of_a_million_values(spark):
     assert got.count() == 200 and got.select("seq").distinct().count() == 200
 
 
+def test_matches_broadcast_few_values_only(spark, tmp_path):
+    """By the size of the file alone, the planner would send all these values through the driver."""
+    spark.range(200_000).select(F.concat(F.lit("User"), "id").alias("value")).write.parquet(str(tmp_path / "kb"))
+    kb = spark.read.parquet(str(tmp_path / "kb"))
+    some = spark.range(300).select(F.col("id").alias("seq"), F.concat(F.lit("of user"), F.col("id") * 100).alias("description"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    many, few = (patterns.matches(some, v, "seq", "description", "value") for v in (kb, kb.limit(10)))
+    assert "Broadcast" not in plan(many) and "SortMergeJoin" in plan(many)
+    assert "BroadcastHashJoin" in plan(few)
+    # user12300 holds the values User1, User12, User123, User1230 and User12300
+    assert many.count() == sum(len(str(i * 100)) for i in range(300))
+
+
 @pytest.mark.parametrize("few", [3, 1 << 14])
 def test_exact_selection(spark, few, monkeypatch):
     monkeypatch.setattr(stored, "FEW", few)
