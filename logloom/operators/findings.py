@@ -102,6 +102,8 @@ ROW_CHECKS = {
     "timestomping": ("", "T1070.006", 10), "wipe_tools": ("high", "T1485", 10), "log_clearing": ("high", "T1070.002", 10), "time_manipulation": ("medium", "T1070.006", 10),
     "rootkit": ("high", "T1014", 10), "truncated_logs": ("medium", "T1070.002", 15), "suspicious_deletions": ("high", "T1070.004", 10),
 }
+#: What any check of a text finds, or more.
+ANY_CHECK = "|".join(f"(?:{p})" for p in (rf"(?i)\b(?:{'|'.join(T.WIPE_TOOLS + T.TIME_TOOLS)})\b", T.DD_WIPE, *T.LOG_CLEARING, *T.ROOTKIT, T.DELETIONS))
 #: Evidence of a check that is kept on the way: as much as any check shows.
 KEPT = 15
 
@@ -111,14 +113,16 @@ def _hits(events: DataFrame, files: DataFrame) -> DataFrame:
     hit = lambda category, text: F.struct(F.lit(category).alias("category"), F.col("seq").cast("long").alias("seq"), text.alias("text"), F.lit(None).cast("timestamp").alias("ts"))
     found = lambda category, text, patterns: (lambda t: F.when(t.isNotNull(), hit(category, t)))(F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in patterns)))
     words = lambda tools: [rf"(?i)\b{t}\b" for t in tools]
-    said = F.col("description")
+    said, whole = F.col("description"), F.concat_ws(" ", "description", "path")
     time = F.struct(F.lit(None).cast("string").alias("category"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("text"), F.col("ts").alias("ts"))
-    of_event = F.array(time, found("wipe_tools", said, words(T.WIPE_TOOLS)), found("wipe_tools", said, [T.DD_WIPE]), found("log_clearing", said, T.LOG_CLEARING), found("time_manipulation", said, words(T.TIME_TOOLS)), found("rootkit", F.concat_ws(" ", "description", "path"), T.ROOTKIT), found("suspicious_deletions", said, [T.DELETIONS]))
+    own = (found("wipe_tools", said, words(T.WIPE_TOOLS)), found("wipe_tools", said, [T.DD_WIPE]), found("log_clearing", said, T.LOG_CLEARING), found("time_manipulation", said, words(T.TIME_TOOLS)), found("rootkit", whole, T.ROOTKIT), found("suspicious_deletions", said, [T.DELETIONS]))
+    # most events pass no check, which one pattern of all tells; what is found in the description is found in the whole text
+    of_event = F.when(whole.rlike(ANY_CHECK), F.array_compact(F.array(time, *own))).otherwise(F.array(time))
     late = F.col("ctime") - F.nullif(F.col("mtime"), F.lit(0))
     stomped = F.concat(F.col("path"), F.lit(": "), F.format_string("%.1f", (F.col("ctime") - F.col("mtime")) / 3600.0), F.lit(" h"))
     empty = F.col("path").rlike(r"^/var/log/.+$") & (F.col("size") == 0)
-    of_file = F.array(F.when(late > 86400, hit("timestomping", stomped)), F.when(empty, hit("truncated_logs", F.col("path"))))
-    own = [t.select(F.explode(F.array_compact(a)).alias("h")).select("h.*") for t, a in ((events, of_event), (files, of_file))]
+    of_file = F.array_compact(F.array(F.when(late > 86400, hit("timestomping", stomped)), F.when(empty, hit("truncated_logs", F.col("path")))))
+    own = [t.select(F.explode(a).alias("h")).select("h.*") for t, a in ((events, of_event), (files, of_file))]
     return own[0].unionByName(own[1])
 
 
@@ -128,45 +132,51 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: dict[str, list[tuple[int, str]]] = {}
     count: dict[str, list[int]] = {}
     for batch in batches:
-        category, seq, text, ts = (batch.column(i) for i in range(4))
-        rows = pc.is_valid(category)
-        for c, s, t in zip(*(x.filter(rows).to_pylist() for x in (category, seq, text)), strict=True):
-            own = kept.setdefault(c, [])
-            own.append((s if s is not None else -(1 << 63), t))
+        rows = pc.is_valid(batch.column(0))
+        hits, times = batch.filter(rows), batch.column(3).filter(pc.invert(rows))
+        category, seq = hits.column(0), pc.fill_null(hits.column(1), -(1 << 63)).to_numpy()
+        for c in pc.unique(category).to_pylist():
+            here = np.flatnonzero(pc.equal(category, c).to_numpy(zero_copy_only=False))
+            said, at, own = hits.column(2).take(pa.array(here)), seq[here], kept.get(c, [])
             n = count.setdefault(c, [0, 0])
-            n[0] += 1
-            n[1] += t.lower() != "date"
-            if len(own) > 64 * KEPT:
-                kept[c] = heapq.nsmallest(KEPT, own)
-        times = ts.filter(pc.invert(rows))
-        known = times.drop_null().cast(pa.int64()).to_numpy()
-        second, start, n = np.unique(np.sort(known) // 1_000_000, return_index=True, return_counts=True)
-        known = np.sort(known)
-        yield _rows([None] * len(second), second, n, np.zeros(len(second), int), known[start], known[start + n - 1] if len(n) else known, [[]] * len(second))
+            n[0] += len(here)
+            n[1] += len(here) - (pc.sum(pc.equal(pc.utf8_lower(said), "date")).as_py() or 0)
+            bounds = [own[-1][0]] if len(own) == KEPT else []
+            if len(at) >= KEPT:
+                bounds.append(np.partition(at, KEPT - 1)[KEPT - 1])
+            first = np.flatnonzero(at <= min(bounds)) if bounds else np.arange(len(at))  # ties go by their texts
+            kept[c] = heapq.nsmallest(KEPT, [*own, *zip(at[first].tolist(), said.take(pa.array(first)).to_pylist(), strict=True)])
+        known = np.sort(times.drop_null().cast(pa.int64()).to_numpy())
+        second, start, n = np.unique(known // 1_000_000, return_index=True, return_counts=True)
+        yield _rows(len(second), second=second, n=n, lo=known[start], hi=known[start + n - 1] if len(n) else known)
         if blank := len(times) - len(known):
-            yield _rows([None], [None], [blank], [0], [None], [None], [[]])
+            yield _rows(1, n=[blank])
     names = sorted(kept)
-    yield _rows(names, [None] * len(names), [count[c][0] for c in names], [count[c][1] for c in names], [None] * len(names), [None] * len(names), [[{"seq": s, "text": t} for s, t in heapq.nsmallest(KEPT, kept[c])] for c in names])
+    yield _rows(len(names), category=names, n=[count[c][0] for c in names], other=[count[c][1] for c in names])
+    first = [(c, {"seq": s, "text": t}) for c in names for s, t in kept[c]]
+    yield _rows(len(first), category=[c for c, _ in first], hit=[h for _, h in first])
 
 
-def _rows(*columns) -> pa.RecordBatch:
-    first = pa.list_(pa.struct([("seq", pa.int64()), ("text", pa.string())]))
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), first)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["category", "second", "n", "other", "lo", "hi", "first"])
+_PART = {"category": pa.string(), "second": pa.int64(), "hit": pa.struct([("seq", pa.int64()), ("text", pa.string())]), "n": pa.int64(), "other": pa.int64(), "lo": pa.int64(), "hi": pa.int64()}
+
+
+def _rows(rows: int, /, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in _PART.items()], list(_PART))
 
 
 def all_findings(events: DataFrame, files: DataFrame, least: int = 20) -> DataFrame:
     """All checks in one pass: each table is read once. Those on times count only where there are ``least`` events.
 
-    Partitions count their hits and keep the first of each check; seconds are added up, then hours, whose first and last times tell
-    the gaps; hours are few, so one task may see them all.
+    Partitions count their hits and keep the first of each check; seconds are added up by numbers alone, then hours, whose first and
+    last times tell the gaps; hours are few, so one task may see them all.
     """
-    parts = _hits(events, files).mapInArrow(_partial, "category string, second long, n long, other long, lo long, hi long, first array<struct<seq:long,text:string>>")
-    merged = lambda n: F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, n)  # noqa: E731  a list of KEPT at most a partition
-    seconds = parts.groupBy("category", "second").agg(F.sum("n").alias("n"), F.sum("other").alias("other"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), merged(KEPT).alias("first"))
+    parts = _hits(events, files).mapInArrow(_partial, "category string, second long, hit struct<seq:long,text:string>, n long, other long, lo long, hi long")
+    added = [F.sum("n").alias("n"), F.sum("other").alias("other"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    seconds = parts.groupBy("category", "second", "hit").agg(*added, F.count("hit").alias("times"))
     busy = F.when(F.col("second").isNotNull() & (F.col("n") >= 20), F.struct((-F.col("n")).alias("seq"), F.date_format(F.timestamp_seconds("second"), "yyyy-MM-dd HH:mm:ss").alias("text")))
-    own = seconds.withColumn("busy", busy).withColumn("first", F.when(F.col("category").isNull(), F.array_compact(F.array("busy"))).otherwise(F.col("first")))
-    hours = own.groupBy("category", F.expr("second div 3600").alias("hour")).agg(F.sum("n").alias("n"), F.sum("other").alias("other"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("busy").alias("n_busy"), merged(KEPT).alias("first"))
+    own = seconds.withColumn("busy", busy).withColumn("first", F.when(F.col("hit").isNotNull(), F.array_repeat("hit", F.col("times").cast("int"))).when(F.col("busy").isNotNull(), F.array("busy")))
+    merged = lambda n: F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, n)  # noqa: E731  of an hour 3600 at most, of a check KEPT a partition
+    hours = own.groupBy("category", F.expr("second div 3600").alias("hour")).agg(*added, F.count("busy").alias("n_busy"), merged(KEPT).alias("first"))
     before = F.lag("hi").over(Window.partitionBy("category").orderBy(F.col("hour").asc_nulls_first()))
     pause = (F.col("lo") - before) / 1e6
     gaps = hours.withColumn("gap", F.when(pause >= 6 * 3600, F.struct(F.floor(before / 1_000_000).alias("seq"), F.format_string("%.1f h", pause / 3600.0).alias("text"))))

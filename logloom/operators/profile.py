@@ -13,7 +13,8 @@ from logloom.operators.normalize import field
 def os_vote(files: DataFrame) -> DataFrame:
     """Different paths that point to each system, and the one with most (ties: linux, windows, macos; none: unknown)."""
     votes = {o: F.count_distinct(F.when(has(F.col("path"), *p), F.col("path"))) for o, p in T.OS_PATHS.items()}
-    out = files.agg(*(v.alias(o) for o, v in votes.items()))
+    some = files.filter(has(F.col("path"), *(p for own in T.OS_PATHS.values() for p in own)))  # so that few rows are told apart
+    out = some.agg(*(v.alias(o) for o, v in votes.items()))
     most = F.greatest("linux", "windows", "macos")
     return out.withColumn("os_type", first_of([(most == 0, "unknown"), (F.col("linux") == most, "linux"), (F.col("windows") == most, "windows")], "macos"))
 

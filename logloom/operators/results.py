@@ -80,7 +80,7 @@ def tampering(found: DataFrame) -> DataFrame:
 def analyse(spark: SparkSession, events: DataFrame, files: DataFrame, out_dir: str, job_id: str, score: bool = True, evidence_dir: str | None = None) -> None:
     """All stages over normalized ``events`` and ``files``, each written under ``out_dir``: what follows reads what was written.
 
-    Leaves normalized (Parquet), timeline.csv, files.csv, system_profile, findings, tampering, anomalies, selection, provenance,
+    Leaves normalized and files (Parquet), timeline.csv, files.csv, system_profile, findings, tampering, anomalies, selection, provenance,
     indicators, digests, summary, each a table partitioned by job of which the job's own partition is replaced, and appends to jobs,
     audit and stage_times. With ``score`` unset, events bring their own anomaly_score and is_anomaly. Events name their
     ``source_file`` by the path below ``evidence_dir``; without that folder no digests are known.
@@ -100,7 +100,14 @@ def analyse(spark: SparkSession, events: DataFrame, files: DataFrame, out_dir: s
     stage("normalized", lambda: put(events, "normalized", "parquet"))
     events = get(events, "normalized")
     stage("timeline", lambda: put(events, "timeline.csv", "csv"))
-    stage("files", lambda: put(files, "files.csv", "csv"))
+
+
+    def write_files() -> None:
+        put(files, "files", "parquet")
+        put(get(files, "files"), "files.csv", "csv")
+
+    stage("files", write_files)
+    files = get(files, "files")
     stage("system_profile", lambda: put(profile.system_profile(events, files), "system_profile"))
     found = findings.all_findings(events, files)
     stage("findings", lambda: put(found, "findings", "parquet"))

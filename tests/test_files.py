@@ -6,10 +6,12 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import evidence, findings, normalize, patterns
+from logloom.operators import evidence, findings, normalize, patterns, results
+from logloom.plans import bindings
 from logloom.sources import files as source
 from logloom.sources import logs, stored
 
@@ -266,3 +268,29 @@ def test_audit_fields(spark):
     rows = [('a="x y" b=1 b=2 a=z', {"a": "x y", "b": "1"}), ('msg="p=q r" p=s', {"msg": "p=q r", "p": "s"}), ('c="open d=1', {"c": '"open', "d": "1"}), ('e="1" e="2"', {"e": "2"}), ("", {})]
     got = {r["t"]: r["kv"] for r in spark.createDataFrame([(t,) for t, _ in rows], "t string").select("t", parse.key_values(F.col("t")).alias("kv")).collect()}
     assert got == dict(rows)
+
+
+def test_file_records_are_made_once(spark, tmp_path):
+    """What makes the file records (a join, say) runs for the first output alone; the others read what it wrote."""
+    made = spark.sparkContext.accumulator(0)
+
+    def path(i):
+        made.add(1)
+        return f"/var/log/{i}"
+
+    files = spark.range(50).select(F.col("id").alias("seq"), F.udf(path, "string")("id").alias("path"), F.lit(1).cast("long").alias("mtime"), F.lit(90_000).cast("long").alias("ctime"), F.lit(5).cast("long").alias("size"), F.lit("p").alias("partition"), F.lit("fs").alias("filesystem"))
+    events = bindings.timeline(spark, "/root/testdata/sf0.001").limit(30)
+    results.analyse(spark, events, files, str(tmp_path / "out"), "j", score=False)
+    assert made.value == 50
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "files.csv")).count() == 50
+
+
+def test_first_hits_of_a_partition():
+    draw = random.Random(4)
+    rows = [(draw.choice("ab"), draw.choice([None, *range(40)]), draw.choice(["date", "Date", "x", "y", "zz"])) for _ in range(700)] + [("c", 5, "x")]
+    batches = [pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(zip(*part, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)), pa.nulls(len(part), pa.timestamp("us", "UTC"))], ["category", "seq", "text", "ts"]) for part in (rows[:9], rows[9:30], rows[30:500], rows[500:])]
+    got = [r for b in findings._partial(iter(batches)) for r in b.to_pylist()]
+    for c in "abc":
+        own = sorted((-(1 << 63) if s is None else s, t) for k, s, t in rows if k == c)
+        assert [(r["hit"]["seq"], r["hit"]["text"]) for r in got if r["category"] == c and r["hit"]] == own[: findings.KEPT]
+        assert [(r["n"], r["other"]) for r in got if r["category"] == c and not r["hit"]] == [(len(own), sum(t.lower() != "date" for _, t in own))]
