@@ -5,6 +5,11 @@ its first n - ceil(0.8 n) + 1 tokens (prefix filter), at places after which enou
 allow (length filter) and parity bitmaps differ in few bits. Every pair that passes is verified on 64-bit hashes of all tokens.
 Cells of many sets are cut into blocks that meet pairwise under keys of their own.
 
+Sets that lie near one pivot of a crowded cell share a home, and the links inside a home are counted without its pairs. With C the
+tokens that most sets of the home hold, and D the tokens in which a set differs from C, two sets differ in |Dx| + |Dy| - 2 |Dx & Dy|
+tokens. All sets of one size and one |D| therefore link at once with all of another where |Dx| + |Dy| is small enough; beyond
+that, only sets whose D overlap can link, and these meet under the tokens of their D. This is exact whatever C and the home are.
+
 Lines are cut into tokens, hashed and ordered in Arrow batches, a whole batch at once; grouping, cells, pairs and links are joins
 and aggregates of Spark. (Built from DataFrame functions alone it took several times the CPU time that it may; see the README.)
 """
@@ -28,6 +33,10 @@ from logloom.llm.words import Alphabet, chunks, mix
 BUCKETS = 1 << 20
 #: Sets of a block of a cell, about: so many at most meet as many under one key.
 BLOCK = 256
+#: A cell of more sets has pivots: so many at most, for the sets of which it is among the first or the last LOOKS such cells.
+CROWD, PIVOTS, LOOKS = 64, 4, 3
+#: A home of fewer sets is none: its pairs are few.
+LEAST_HOME = 16
 
 
 class Lines:
@@ -125,29 +134,91 @@ def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
+def _homes(sets: DataFrame, t: Threshold) -> DataFrame:
+    """(id, home) of the sets that share a home: first the least pivot of their crowded cells to which they are near, then the
+    largest home of these cells, if they are near its pivot."""
+    common = F.filter("cells", lambda c: F.shiftright(c, 54) >= 8 * math.floor(math.log2(CROWD)))
+    some = sets.select("id", "n", "bits", F.explode(F.array_union(F.slice(common, 1, LOOKS), F.slice(F.reverse(common), 1, LOOKS))).alias("cell"))
+    wide = Threshold(max(0, t.least - (t.parts - t.least) // 2), t.parts)
+    sized = sets.select(F.col("id").alias("home"), F.col("n").alias("yn"), F.col("bits").alias("ybits"))
+
+    def near(pivots: DataFrame) -> DataFrame:
+        """(id, home) for ``pivots`` (cell2, home, yn, ybits): bitmaps of large sets tell less, so these share two cells."""
+        own = some.select("cell", "id", F.col("n").alias("xn"), F.col("bits").alias("xbits"))
+        met = own.join(pivots, (F.col("cell") == F.col("cell2")) & wide.sizes("x", "y") & wide.near("x", "y", ["bits"]))
+        met = met.select("id", "home", ((F.col("xn") <= 64) | t.near("x", "y", ["bits"])).alias("close"))
+        return met.groupBy("id", "home").agg((F.bool_or("close") | (F.count(F.lit(1)) > 1)).alias("close")).filter("close").select("id", "home")
+
+    def large(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("home").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= LEAST_HOME)
+
+    slot = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
+    drawn = some.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), *(F.min(F.when(slot == i, F.col("id"))).alias(f"p{i}") for i in range(PIVOTS)))
+    pivots = drawn.filter(F.col("k") > CROWD).select(F.col("cell").alias("cell2"), F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("home"))
+    pivots = materialize(pivots.join(sized, "home"), "pivots")
+    found = materialize(near(pivots).groupBy("id").agg(F.min("home").alias("home")), "near")
+    found2 = materialize(found.join(large(found), "home"), "large")
+    tops = some.select("cell", "id").join(found2, "id").groupBy("cell", "home", "k").agg(F.count(F.lit(1)).alias("here")).filter("here > 3")
+    tops = tops.groupBy("cell").agg(F.max(F.struct("k", "home")).alias("top")).select(F.col("cell").alias("cell2"), "top.k", "top.home")
+    tops = materialize(tops.join(sized, "home"), "tops")
+    again = near(tops.drop("k")).join(found2.select("home", "k").distinct(), "home").select("id", "k", "home")
+    best = materialize(again.unionByName(found2.select("id", "k", "home")).groupBy("id").agg(F.max(F.struct("k", "home")).alias("top")).select("id", "top.home"), "best")
+    out = materialize(best.join(large(best), "home", "left_semi").select("id", "home"), "homes")
+    discard(pivots, found, found2, tops, best)
+    return out
+
+
+def _inside(members: DataFrame, firsts: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Links inside homes, of ``members`` (id, home, tokens): (id, n_links, other) of those that sizes alone tell, other being the
+    first line among them; (x, y) of the rest; what the former are read from."""
+    total = members.count()
+    sizes = members.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
+    often = members.select("home", F.explode("tokens").alias("token")).groupBy("home", "token").agg(F.count(F.lit(1)).alias("k")).filter(2 * F.col("k") > LEAST_HOME)
+    core = sizes.join(often.select(F.col("home").alias("home2"), "token", "k"), (F.col("home") == F.col("home2")) & (2 * F.col("k") > F.col("size")), "left")
+    core = materialize(core.groupBy("home", "size").agg(F.collect_list("token").alias("core")), "cores")
+    rows = attach_groups(members, core, "home", "size", total, F.xxhash64("id", F.lit(13)))
+    rows = rows.select("id", "home", F.size("tokens").cast("long").alias("n"), F.concat(F.array_except("tokens", "core"), F.array_except("core", "tokens")).alias("diff"))
+    rows = rows.join(firsts, "id").withColumn("h", F.size("diff").cast("long"))
+    rows = materialize(rows, "members")
+    discard(core)
+    links = lambda shared: t.links(F.col("xn") + F.col("yn") - F.col("xh") - F.col("yh") + 2 * shared, 2 * F.col("xn"), 2 * F.col("yn"))  # noqa: E731  (all sizes doubled)
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{s}{c}") for c in df.columns))
+    bins = rows.groupBy("home", "n", "h").agg(F.count(F.lit(1)).alias("k"), F.min("first").alias("first"))
+    met = side(bins, "x").join(side(bins, "y"), (F.col("xhome") == F.col("yhome")) & links(F.lit(0)))
+    met = materialize(met.groupBy("xhome", "xn", "xh").agg(F.sum("yk").alias("k"), F.min("yfirst").alias("other"), F.bool_or((F.col("xn") == F.col("yn")) & (F.col("xh") == F.col("yh"))).alias("own")), "bins")
+    sure = rows.join(F.broadcast(met) if met.count() <= 100_000 else met, (F.col("home") == F.col("xhome")) & (F.col("n") == F.col("xn")) & (F.col("h") == F.col("xh")))
+    sure = sure.select("id", (F.col("k") - F.col("own").cast("long")).alias("n_links"), "other")
+    apart = rows.select("home", "id", "n", "h", F.explode("diff").alias("token"))
+    at = (F.col("xhome") == F.col("yhome")) & (F.col("xtoken") == F.col("ytoken")) & (F.col("xid") < F.col("yid"))
+    pairs = side(apart, "x").join(side(apart, "y"), at & ~links(F.lit(0)) & links(F.least("xh", "yh")))
+    pairs = pairs.groupBy("xid", "yid", "xn", "yn", "xh", "yh").agg(F.count(F.lit(1)).alias("shared")).filter(links(F.col("shared")))
+    return sure, materialize(pairs.select(F.col("xid").alias("x"), F.col("yid").alias("y")), "inside"), [rows, met]
+
+
 def _candidates(sets: DataFrame, t: Threshold) -> DataFrame:
-    """All pairs (x, y) of sets in a cell that the places, sizes and bitmaps let link.
+    """All pairs (x, y) of sets in a cell, not of one home (-1: none), that the places, sizes and bitmaps let link.
 
     A cell holds at most as many sets as its rarity tells, so only cells of frequent tokens are counted; those of more than BLOCK
     sets are cut into blocks. Size, place and block travel as one number.
     """
-    each = sets.select("id", "n", "bits", F.posexplode("cells").alias("pos", "cell"))
+    each = sets.select("id", "n", "bits", "home", F.posexplode("cells").alias("pos", "cell"))
     frequent = F.expr("shiftright(cell, 54)") >= 8 * math.floor(math.log2(BLOCK))
     crowded = each.filter(frequent).groupBy("cell").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > BLOCK)
     crowded = materialize(crowded.select(F.col("cell").alias("cell2"), F.ceil(F.col("k") / BLOCK).alias("blocks")), "crowded")
     packed = lambda block: F.shiftleft("n", 32).bitwiseOR(F.shiftleft(F.least(F.col("pos"), F.lit((1 << 20) - 1)).cast("long"), 12)).bitwiseOR(block.bitwiseAND(F.lit(4095)).cast("long"))
-    plain = lambda df: df.select(F.col("cell").alias("at"), "id", packed(F.lit(0).cast("long")).alias("own"), "bits")
+    plain = lambda df: df.select(F.col("cell").alias("at"), "id", packed(F.lit(0).cast("long")).alias("own"), "bits", "home")
     if crowded.isEmpty():
         rows = plain(each)
     else:
         cut = each.filter(frequent).join(crowded, F.col("cell") == F.col("cell2"), "left").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks"))
         blocks = cut.filter("blocks is not null").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        blocks = blocks.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("at"), "id", packed(F.when(F.col("block") == F.col("other"), F.lit(0)).when(F.col("block") < F.col("other"), F.lit(1)).otherwise(F.lit(2)).cast("long")).alias("own"), "bits")
+        blocks = blocks.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("at"), "id", packed(F.when(F.col("block") == F.col("other"), F.lit(0)).when(F.col("block") < F.col("other"), F.lit(1)).otherwise(F.lit(2)).cast("long")).alias("own"), "bits", "home")
         rows = plain(each.filter(~frequent)).unionByName(plain(cut.filter("blocks is null"))).unionByName(blocks)
     rows = rows.repartition("at")  # by itself, so that both sides of the join read the one shuffle
     x, y = (rows.select(*(F.col(c).alias(f"{s}{c}") for c in rows.columns)) for s in "xy")
     side = lambda s: (F.expr(f"shiftright({s}own, 32)").alias(f"{s}n"), F.expr(f"shiftright({s}own, 12) & 1048575").alias(f"{s}pos"), F.expr(f"{s}own & 4095").alias(f"{s}block"), F.col(f"{s}id"), F.col(f"{s}bits"))
-    met = x.join(y, (F.col("xat") == F.col("yat")) & (F.col("xid") < F.col("yid"))).select(*side("x"), *side("y"))
+    apart = (F.col("xhome") != F.col("yhome")) | (F.col("xhome") < 0)
+    met = x.join(y, (F.col("xat") == F.col("yat")) & (F.col("xid") < F.col("yid")) & apart).select(*side("x"), *side("y"))
     once = (F.col("xblock") != F.col("yblock")) | (F.col("xblock") == 0)  # sets of one block meet under its own key only
     met = met.filter(once & t.possible("x", "y") & t.near("x", "y", ["bits"]))
     out = materialize(met.select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct(), "pairs")
@@ -155,17 +226,18 @@ def _candidates(sets: DataFrame, t: Threshold) -> DataFrame:
     return out
 
 
-def _verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
-    """Those of ``pairs`` (x, y) that link, from the tokens of both."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+def _verified(texts: DataFrame, sets: DataFrame, homes: DataFrame, pairs: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Those of ``pairs`` (x, y) that link, from the tokens of both; (id, home, tokens) of sets with a home."""
+    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).unionByName(homes.select("id")).distinct()
     wanted = materialize(sets.select("id", "key").join(ids, "id", "left_semi"), "measured")
     tokens = materialize(_tokens(texts, wanted.select("key")).join(wanted, "key").select("id", "tokens"), "tokens")
     side = lambda c: tokens.select(F.col("id").alias(c), F.col("tokens").alias(f"s{c}"))
     both = pairs.join(side("y"), "y").join(side("x"), "x")
     size = lambda c: F.size(c).cast("long")
     out = materialize(both.filter(t.links(size(F.array_intersect("sx", "sy")), size("sx"), size("sy"))).select("x", "y"), "links")
+    members = materialize(tokens.join(homes, "id"), "at-home")
     discard(wanted, tokens)
-    return out
+    return out, members
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80, parts: int = 100) -> DataFrame:
@@ -178,14 +250,19 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = (F.first(c).alias(c) for c in ("n", "bits", "cells"))
     grouped = lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"), *one)
     sets = materialize(grouped.withColumn("id", F.monotonically_increasing_id()), "sets")
-    pairs = _candidates(sets, t)
-    links = _verified(texts, sets, pairs, t)
-    both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    homes = _homes(sets, t)
+    at_home = sets.join(homes, "id", "left").withColumn("home", F.coalesce("home", F.lit(-1).cast("long")))
+    pairs = _candidates(at_home, t)
+    links, members = _verified(texts, sets, homes, pairs, t)
+    sure, inside, read = _inside(members, sets.select("id", "first"), t)
+    both = links.unionByName(inside)
+    both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y")))
     # of each set with links: how many, and the first line of those that it links with
-    met = both.join(sets.select(F.col("id").alias("y"), "first"), "y").groupBy(F.col("x").alias("id2")).agg(F.count(F.lit(1)).alias("n_links"), F.min("first").alias("other"))
+    met = both.join(sets.select(F.col("id").alias("y"), "first"), "y").select(F.col("x").alias("id"), F.lit(1).cast("long").alias("n_links"), F.col("first").alias("other")).unionByName(sure)
+    met = met.groupBy(F.col("id").alias("id2")).agg(F.sum("n_links").alias("n_links"), F.min("other").alias("other"))
     heads = sets.select("id", "key", "size", "first").join(met, F.col("id") == F.col("id2"), "left")
     heads = materialize(heads.select("key", "size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("first", F.coalesce("other", "first")).alias("head")), "heads")
-    discard(sets, pairs, links)
+    discard(sets, homes, pairs, links, members, inside, *read)
     narrow = lines.select("id", "h", "no", "key")
     spread = F.unhex(F.md5(F.concat_ws(" ", F.lit("line"), F.col("id").cast("string"), F.col("h").cast("string"), F.col("no").cast("string"))))
     out = attach_groups(narrow, heads, "key", "size", narrow.count(), spread)

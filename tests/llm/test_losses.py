@@ -88,6 +88,38 @@ def test_line_dedup_leaves_nothing_behind(spark):
     assert len(left) == 1 and left.pop().startswith("logloom-places")  # what the result itself reads
 
 
+@pytest.mark.parametrize("n", [20, 45])
+def test_links_of_near_copies_without_their_pairs(spark, n, monkeypatch):
+    """Links of a large group of near copies, and of lines about it, are counted exactly from few pairs."""
+    import random
+
+    from logloom.llm import line_dedup
+
+    draw, base, lines = random.Random(n), [f"b{i}" for i in range(n)], []
+    for i in range(300):
+        own = list(base)
+        for _ in range(draw.randrange(1, 4)):
+            own[draw.randrange(n)] = draw.choice([f"new{i}", f"b{draw.randrange(n)}", f"c{draw.randrange(9)}"])
+        lines.append(" ".join(own))
+    lines += [" ".join(draw.choice([b, f"d{i % 7}"]) for b in base) for i in range(60)] + lines[:5]
+    sets = [frozenset(x.split()) for x in lines]
+    match = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    want = [(any(match(sets[i], sets[j]) for j in range(i)), sum(match(x, y) for y in set(sets)) - 1) for i, x in enumerate(sets)]
+    counts, made = {}, line_dedup.materialize
+
+    def counted(df, tag):
+        out = made(df, tag)
+        counts[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = sorted(line_dedup.line_dedup(docs).collect(), key=lambda x: x["doc_id"])
+    assert [(x["n_removed"] == 1, x["lines"][0]["n_links"]) for x in got] == want
+    assert counts["homes"] >= 250
+    assert counts["pairs"] < 0.1 * sum(k for _, k in want) / 2
+
+
 def packed_rows(spark, sizes, targets, size=64):
     """Sources of so many one-token words each, packed; (source, start, length, sequence, offset) of the pieces."""
     from logloom.llm import packing
