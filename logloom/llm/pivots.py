@@ -15,6 +15,10 @@ The space comes covered by cells: sets that link share one. A cell is the first
 * Regions of at most LEAF sets, and those that the last pivots did not halve (their sets lie apart from all of them), are
   leaves: the pairs of which one set is at home, that are not yet connected, and that sizes, places and bitmaps let link, are
   measured. Leaves of more sets are cut into blocks that meet under keys of their own.
+* Leaves are read twice. First some of them show links inside small blocks of their sets, a number in proportion to the sets,
+  and these connect most of a group of near copies; then all pairs that are still apart meet. So a group isn't made of all its
+  pairs, nor a pair made again in each of the many cells that its sets share.
+* Cells that hold the same sets are one: the first of them in the order of shingles, where each set's place is the earliest.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ PIVOTS = 8
 SPLIT = 0.5
 #: Sets of a block of a large leaf, about.
 BLOCK = 256
+#: Of so many leaves one is read first, inside blocks of so many sets, about.
+FIRST, FIRST_BLOCK = 4, 64
 
 
 class Threshold:
@@ -151,11 +157,14 @@ class _Space:
         known = rows.drop("group").join(groups, F.col("id") == F.col("node"), "left")
         return known.withColumn("group", F.coalesce("component", "id")).drop("node", "component")
 
-    def met(self, rows: DataFrame, folds: list[str]) -> DataFrame:
-        """All pairs (x, y) of different groups in a leaf that may link, one of them at home."""
-        blocks = F.ceil(F.col("size") / BLOCK)
+    def met(self, rows: DataFrame, folds: list[str], first: bool) -> DataFrame:
+        """All pairs (x, y) of different groups in a leaf that may link, one of them at home; ``first``: those inside small
+        blocks of some leaves."""
+        if first:
+            rows = rows.filter(F.pmod(F.xxhash64("region", F.lit(13)), F.lit(FIRST)) == 0)
+        blocks = F.ceil(F.col("size") / (FIRST_BLOCK if first else BLOCK))
         rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), blocks))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.withColumn("other", F.col("block") if first else F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rows = rows.select("region", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "home", "id", "n", "pos", "group", *folds)
         x, y = _side(rows, "x_"), _side(rows, "y_")
         at = (F.col("x_region") == F.col("y_region")) & (F.col("x_lo") == F.col("y_lo")) & (F.col("x_hi") == F.col("y_hi"))
@@ -174,7 +183,9 @@ def linked_points(held: DataFrame, points: DataFrame, measured: Callable[[DataFr
     """
     space = _Space(points, measured, threshold)
     folds = [c for c in held.columns if c.startswith("f_")]
-    sizes = held.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    same = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"same_{seed}") for seed in (5, 6)]
+    sizes = held.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum("pos").alias("places"), *same).filter("size > 1")
+    sizes = sizes.groupBy("size", "same_5", "same_6").agg(F.min(F.struct("places", "cell")).alias("first")).select(F.col("first.cell").alias("cell"), "size")
     rows = held.join(_side(sizes, "s_"), F.col("cell") == F.col("s_cell"))
     rows = materialize(rows.select(F.col("cell").alias("region"), F.lit(True).alias("home"), "id", "n", "pos", *folds, F.col("s_size").alias("size"), F.lit(None).cast("long").alias("before"), F.col("id").alias("group")), "open")
     leaves, spent, links = [], [], []
@@ -195,16 +206,17 @@ def linked_points(held: DataFrame, points: DataFrame, measured: Callable[[DataFr
     as_links = lambda df: df.select(F.col("x").alias("a"), F.col("y").alias("b"))
     groups = components(reduce(DataFrame.unionByName, (as_links(x.filter("link")) for x in links))) if links else _no_groups(held)
     discard(*links)
-    met = materialize(reduce(DataFrame.unionByName, (space.met(space.grouped(leaf, groups), folds) for leaf in leaves)).distinct(), "met")
+    for first in (True, False):
+        met = materialize(reduce(DataFrame.unionByName, (space.met(space.grouped(leaf, groups), folds, first) for leaf in leaves)).distinct(), "met")
+        near = materialize(space.reachable(met, threshold), "near")
+        discard(met)
+        found = materialize(space.distances(near, threshold), "links")
+        discard(near)
+        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups, old = components(known.unionByName(as_links(found))), groups
+        discard(old, found)
     discard(*spent)
-    near = materialize(space.reachable(met, threshold), "near")
-    discard(met)
-    found = materialize(space.distances(near, threshold), "links")
-    discard(near)
-    known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    out = components(known.unionByName(as_links(found)))
-    discard(groups, found)
-    return out
+    return groups
 
 
 def _no_groups(held: DataFrame) -> DataFrame:

@@ -176,3 +176,43 @@ def test_targets_that_are_no_shares(targets):
 
     with pytest.raises(ValueError):
         packing.rates_of({"a": 5, "b": 5}, targets)
+
+
+def test_components_of_near_copies_without_their_pairs(spark, monkeypatch):
+    """Few pairs of a large group of near copies are made, and cells of the same sets are one; the components are exact."""
+    import random
+
+    from logloom.llm import jaccard_join, pivots
+
+    draw, base = random.Random(5), [f"b{i}" for i in range(200)]
+    docs = []
+    for i in range(400):
+        own = list(base)
+        for _ in range(draw.randrange(1, 5)):
+            own[draw.randrange(200)] = f"new{i}"
+        docs.append(own)
+    docs += [[f"c{i // 2} {j}".replace(" ", "x") for j in range(200)] + [f"d{i}"] for i in range(20)]
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in docs]
+    root = list(range(len(sets)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    for _ in range(3):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    made, rows, met = [], [], pivots._Space.met
+
+    def counted(self, leaf, *more):
+        out = met(self, leaf, *more)
+        made.append(out.count())
+        rows.append(leaf.filter(F.col("id").isin(pairs)).groupBy("id").count().agg(F.max("count")).first()[0] or 0)
+        return out
+
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(3)
+    join = jaccard_join._Join(table, "doc_id", "text", 4, pivots.Threshold(85))
+    pairs = [r["id"] for r in join.points.filter("doc >= 400").collect()]
+    monkeypatch.setattr(pivots._Space, "met", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(table, k=4, least=85).collect()}
+    for _ in range(3):
+        root = [root[i] for i in root]
+    assert got == dict(enumerate(root))
+    assert sum(made) < 3 * len(links)
+    assert max(rows) == 1
