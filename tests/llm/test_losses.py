@@ -216,3 +216,27 @@ def test_components_of_near_copies_without_their_pairs(spark, monkeypatch):
     assert got == dict(enumerate(root))
     assert sum(made) < 3 * len(links)
     assert max(rows) == 1
+
+
+def test_packing_encodes_new_words_together(monkeypatch):
+    """Words that aren't known yet take few calls of the tokenizer, and give the ids that whole texts have."""
+    from logloom.llm import packing
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.own, self.calls = tokenizer, 0
+
+        def __getattr__(self, name):
+            self.calls += name.startswith("encode")
+            return getattr(self.own, name)
+
+    texts = [" ".join(f"{'Xq' if i % 3 else 'zü'}{chr(97 + i)}{chr(97 + j)}le{',.;'[j % 3]}" for j in range(26)) for i in range(26)]
+    texts += [None, "", " ", "It's 12 a\x1cb c\x0bd\u0085e f <|ENDofText|> g", "é ́x İK ſtart", " lead", "trail "]
+    e = packing.Encoder(queries.tokenizer_path())
+    e.tokenizer = Counted(e.tokenizer)
+    want = [e.tokenizer.own.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    packed_ids = e(texts)
+    assert [[int.from_bytes(x[i : i + 4], "little") for i in range(0, len(x), 4)] for x in packed_ids] == want
+    assert e.tokenizer.calls < 40
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 1)
+    assert packing.Encoder(queries.tokenizer_path())(texts) == packed_ids
