@@ -57,6 +57,9 @@ def _map_sets(rows: DataFrame, k: int, make, schema: str) -> DataFrame:
 BITMAP, FOLD = 16, 4
 BITMAP_NAMES = [f"b_{i}" for i in range(BITMAP)]
 FOLD_NAMES = [f"f_{i}" for i in range(FOLD)]
+#: Cells of a set that it takes along to its later ones.
+BEFORE = 2
+BEFORE_NAMES = [f"e_{i}" for i in range(BEFORE)]
 
 
 def _bitmap(s: np.ndarray, words: int) -> np.ndarray:
@@ -79,6 +82,14 @@ def _slots(cells, bits: int):
     return (cells & np.uint64(bits - 1)).astype(np.int64), ((cells >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def _shifted(cell: np.ndarray, key: np.ndarray, row: np.ndarray, by: int) -> np.ndarray:
+    """The cell ``by`` places earlier of the same row; its key where there is none."""
+    out = key.copy()
+    own = row[by:] == row[:-by]
+    out[by:][own] = cell[:-by][own]
+    return out
+
+
 class _Join:
     """``keyed``: (doc, id, n, b_0, ...) of each row: the document's id, its point, the point's size and bitmap. ``points``:
     (id, doc, size, n, b_0, ...), the least document and the number of documents of each point."""
@@ -108,8 +119,8 @@ class _Join:
         return keep_or_drop(self.rows.filter("doc is not null"), copies, "doc", copies.count(), keep=False)
 
     def cells(self, docs: DataFrame) -> DataFrame:
-        """(cell, id, n, pos, f_0, ...): the shingles that begin each set; frequent ones come last. Cells that only one set
-        begins with are mostly left out, by a filter of the others."""
+        """(cell, id, n, pos, e_0, ..., f_0, ...): the shingles that begin each set, frequent ones last, and the last of them before
+        each. Cells that only one set begins with are mostly left out, by a filter of the others."""
         t, spark = self.t, docs.sparkSession
         counted = "cell long, n long"
 
@@ -158,9 +169,11 @@ class _Join:
             row, cell, pos = row[may], cell[may], pos[may]
             folds = np.array([_bitmap(s, FOLD) for s in sets], np.int64).reshape(-1, FOLD)
             size = np.array([len(s) for s in sets], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(_keys(sets)[row]), pa.array(size[row]), pa.array(pos), *map(pa.array, np.ascontiguousarray(folds[row].T))], ["cell", "id", "n", "pos", *FOLD_NAMES])
+            cell, key = cell.view(np.int64), _keys(sets)[row]
+            before = [_shifted(cell, key, row, i + 1) for i in range(BEFORE)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, (cell, key, size[row], pos, *before, *np.ascontiguousarray(folds[row].T)))], ["cell", "id", "n", "pos", *BEFORE_NAMES, *FOLD_NAMES])
 
-        out = _map_sets(docs, self.k, begin, "cell long, id long, n long, pos long, " + ", ".join(f"{f} long" for f in FOLD_NAMES))
+        out = _map_sets(docs, self.k, begin, "cell long, id long, n long, pos long, " + ", ".join(f"{f} long" for f in BEFORE_NAMES + FOLD_NAMES))
         return out.dropDuplicates(["cell", "id"]) if self.repeated else out
 
     def measured(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:

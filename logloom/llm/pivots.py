@@ -19,6 +19,8 @@ The space comes covered by cells: sets that link share one. A cell is the first
   and these connect most of a group of near copies; then all pairs that are still apart meet. So a group isn't made of all its
   pairs, nor a pair made again in each of the many cells that its sets share.
 * Cells that hold the same sets are one: the first of them in the order of shingles, where each set's place is the earliest.
+* Each set brings to a cell the last cells that it begins with before. If two sets have one of these in common they have met
+  there, so the pair isn't made again: the first cell that they share has none before it, so no link is lost.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ LEAF = 32
 PIVOTS = 8
 #: A region that holds more than this share of its parent's sets was not split: it is a leaf of any size.
 SPLIT = 0.5
-#: Sets of a block of a large leaf, about.
-BLOCK = 256
+#: Sets of a block of a large leaf, about: as many as one task compares with as many others in about a second, since each set is
+#: copied once for each block of its leaf.
+BLOCK = 4096
 #: Of so many leaves one is read first, inside blocks of so many sets, about.
 FIRST, FIRST_BLOCK = 4, 64
 
@@ -144,7 +147,7 @@ class _Space:
         rest = F.when(F.col("to").isNull() | ~nearest["link"], F.array(place(F.lit("rest"), F.lit(True))))
         none = F.array().cast("array<struct<region:bigint,home:boolean>>")
         out = out.withColumn("at", F.explode(F.concat(F.coalesce(visits, none), F.coalesce(rest, none))))
-        own = ["id", "n", "pos", *(c for c in rows.columns if c.startswith("f_"))]
+        own = ["id", "n", "pos", *(c for c in rows.columns if c.startswith(("e_", "f_")))]
         out = materialize(out.select("at.region", "at.home", *own, F.col("size").alias("before"), F.when((F.col("group") == F.col("id")) & nearest["link"], nearest["pivot"]).otherwise(F.col("group")).alias("group")), "split")
         several = out.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 != g2")
         held = out.join(_side(several.select("region", "size"), "s_"), F.col("region") == F.col("s_region"))
@@ -158,19 +161,22 @@ class _Space:
         return known.withColumn("group", F.coalesce("component", "id")).drop("node", "component")
 
     def met(self, rows: DataFrame, folds: list[str], first: bool) -> DataFrame:
-        """All pairs (x, y) of different groups in a leaf that may link, one of them at home; ``first``: those inside small
-        blocks of some leaves."""
+        """All pairs (x, y) of different groups in a leaf that may link and haven't met in an earlier cell, one of them at home;
+        ``first``: those inside small blocks of some leaves, those in leaves of several blocks also if they have met."""
+        before = [c for c in rows.columns if c.startswith("e_")]
         if first:
             rows = rows.filter(F.pmod(F.xxhash64("region", F.lit(13)), F.lit(FIRST)) == 0)
         blocks = F.ceil(F.col("size") / (FIRST_BLOCK if first else BLOCK))
         rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), blocks))
         rows = rows.withColumn("other", F.col("block") if first else F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.select("region", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "home", "id", "n", "pos", "group", *folds)
+        rows = rows.select("region", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "home", "id", "n", "pos", "group", "blocks", *before, *folds)
         x, y = _side(rows, "x_"), _side(rows, "y_")
         at = (F.col("x_region") == F.col("y_region")) & (F.col("x_lo") == F.col("y_lo")) & (F.col("x_hi") == F.col("y_hi"))
         once = (F.col("x_block") != F.col("y_block")) | (F.col("x_lo") == F.col("x_hi"))  # sets of one block meet under its own key only
         pair = (F.col("x_id") < F.col("y_id")) & (F.col("x_home") | F.col("y_home")) & (F.col("x_group") != F.col("y_group"))
-        found = x.join(y, at & once & pair & self.t.possible("x_", "y_") & self.t.near("x_", "y_", folds))
+        new = reduce(lambda a, b: a & b, (F.col(f"x_{a}") != F.col(f"y_{b}") for a in before for b in before), F.lit(True))
+        new = new | (F.col("x_blocks") > 1) if first else new
+        found = x.join(y, at & once & pair & new & self.t.possible("x_", "y_") & self.t.near("x_", "y_", folds))
         return found.select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
 
 
@@ -178,16 +184,17 @@ def linked_points(held: DataFrame, points: DataFrame, measured: Callable[[DataFr
     """(node, component) of all sets that link with others.
 
     ``held`` has rows (cell, id, n, pos, f_0, f_1, ...) such that sets that link share a cell: n is the set's size, pos the
-    cell's place in the set's order, f_i parity bitmaps of fewer bits than those of ``points`` (id, n, b_0, b_1, ...).
+    cell's place in the set's order (one order for all sets), e_i, if any, the set's last cells before this one (its id where there
+    is none), f_i parity bitmaps of fewer bits than those of ``points`` (id, n, b_0, b_1, ...).
     ``measured`` adds nx, ny and common to pairs (x, y). ``seen`` gets the number of pivots of each round.
     """
     space = _Space(points, measured, threshold)
-    folds = [c for c in held.columns if c.startswith("f_")]
+    folds, before = ([c for c in held.columns if c.startswith(s)] for s in ("f_", "e_"))
     same = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"same_{seed}") for seed in (5, 6)]
     sizes = held.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum("pos").alias("places"), *same).filter("size > 1")
     sizes = sizes.groupBy("size", "same_5", "same_6").agg(F.min(F.struct("places", "cell")).alias("first")).select(F.col("first.cell").alias("cell"), "size")
     rows = held.join(_side(sizes, "s_"), F.col("cell") == F.col("s_cell"))
-    rows = materialize(rows.select(F.col("cell").alias("region"), F.lit(True).alias("home"), "id", "n", "pos", *folds, F.col("s_size").alias("size"), F.lit(None).cast("long").alias("before"), F.col("id").alias("group")), "open")
+    rows = materialize(rows.select(F.col("cell").alias("region"), F.lit(True).alias("home"), "id", "n", "pos", *before, *folds, F.col("s_size").alias("size"), F.lit(None).cast("long").alias("before"), F.col("id").alias("group")), "open")
     leaves, spent, links = [], [], []
     unsplit = (F.col("size") <= LEAF) | F.coalesce(F.col("size") > SPLIT * F.col("before"), F.lit(False))
     while True:

@@ -240,3 +240,28 @@ def test_packing_encodes_new_words_together(monkeypatch):
     assert e.tokenizer.calls < 40
     monkeypatch.setattr(packing, "CHUNK_BYTES", 1)
     assert packing.Encoder(queries.tokenizer_path())(texts) == packed_ids
+
+
+def test_pairs_are_made_where_they_first_meet(spark):
+    """Sets that share many cells make few pairs, and none that links is missing."""
+    import random
+
+    from logloom.llm import jaccard_join, pivots
+
+    draw, base = random.Random(8), [f"b{i}" for i in range(200)]
+    docs = []
+    for i in range(40):
+        own = list(base)
+        own[draw.randrange(200)] = f"new{i}"
+        docs.append(own)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(3)
+    t = pivots.Threshold(85)
+    join = jaccard_join._Join(table, "doc_id", "text", 4, t)
+    of = {r["id"]: r["doc"] for r in join.points.collect()}
+    rows = join.cells(join.documents()).withColumnsRenamed({"cell": "region"}).withColumns({"home": F.lit(True), "size": F.lit(1000), "group": F.col("id")})
+    met = lambda df: pivots._Space(join.points, join.measured, t).met(df, jaccard_join.FOLD_NAMES, False)
+    made = [tuple(sorted((of[r["x"]], of[r["y"]]))) for r in met(rows).collect()]
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in docs]
+    links = {(i, j) for j in range(40) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert len(links) > 300 and links <= set(made)
+    assert len(made) < 4 * len(set(made)) < met(rows.drop("e_0", "e_1")).count()  # the latter: as often as they meet
