@@ -1010,7 +1010,8 @@ union all select 'indicators', 'ips', cast(count(distinct ip) as varchar) from (
 union all select 'audit', 'analysis_completed', '1'""")
 def k_contents(spark, sf_dir):
     """What an analysis has written, read back: sums and values of each output."""
-    out, total = written(spark, sf_dir), lambda c: F.sum(c).cast("string")
+    # places times numbers add up to the cube of the events: beyond 64 bits from about 14 million of them
+    out, total = written(spark, sf_dir), lambda c: F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(38,0)")).cast("string")
     json, csv = spark.read.json, spark.read.option("header", True).csv
     item = lambda df, output, name, value: df.select(F.lit(output).alias("output"), name.alias("item"), value.alias("held"))
     one = lambda df, output, name, value: item(df.agg(value.alias("v")), output, F.lit(name), F.col("v").cast("string"))
@@ -1019,9 +1020,9 @@ def k_contents(spark, sf_dir):
     meta = F.concat(F.variant_get("metadata", "$.process", "string"), F.variant_get("metadata", "$.hostname", "string"))
     return normalize.united(
         one(own, "normalized", "seq", total("seq")), one(own, "normalized", "metadata", F.count_distinct(meta)), one(csv(f"{out}/timeline.csv"), "timeline.csv", "description", F.sum(F.length("description"))),
-        one(csv(f"{out}/files.csv"), "files.csv", "size", total(F.col("size").cast("long"))), item(found, "findings", F.col("category"), F.concat_ws(" ", F.col("n_hits").cast("string"), "severity")),
+        one(csv(f"{out}/files.csv"), "files.csv", "size", F.sum(F.col("size").cast("long"))), item(found, "findings", F.col("category"), F.concat_ws(" ", F.col("n_hits").cast("string"), "severity")),
         item(json(f"{out}/tampering"), "tampering", F.lit("risk"), F.concat_ws(" ", F.col("risk_score").cast("string"), F.size("findings").cast("string"))), item(json(f"{out}/summary"), "summary", F.lit("risk"), F.col("risk_score").cast("string")),
-        item(json(f"{out}/summary"), "summary", F.lit("n_anomalies"), F.col("n_anomalies").cast("string")), one(json(f"{out}/anomalies"), "anomalies", "seq", total("seq")), one(json(f"{out}/provenance"), "provenance", "nr", total(F.col("nr") * F.col("seq"))),
+        item(json(f"{out}/summary"), "summary", F.lit("n_anomalies"), F.col("n_anomalies").cast("string")), one(json(f"{out}/anomalies"), "anomalies", "seq", total("seq")), one(json(f"{out}/provenance"), "provenance", "nr", total(F.col("nr").cast("decimal(19,0)") * F.col("seq").cast("decimal(19,0)"))),
         one(json(f"{out}/selection"), "selection", "seq", total("seq")), one(json(f"{out}/indicators").filter("category = 'ips'"), "indicators", "ips", F.count_distinct("value")), item(json(f"{out}/audit").groupBy("event").count().filter("event = 'analysis_completed'"), "audit", F.col("event"), F.col("count").cast("string")),
     )
 
