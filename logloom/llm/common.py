@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 import weakref
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and no executor's loss loses it.
-
-    The shuffle files of the write go with its end, as nothing reads them again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/logloom-{tag}-{uuid.uuid4().hex}"
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of queries in here go with their end, as nothing reads them again."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and no executor's loss loses it."""
+    return materialize_parts([df], tag)
+
+
+def materialize_parts(parts: Iterable[DataFrame], tag: str) -> DataFrame:
+    """One table of ``parts`` (at least one, of one schema), written one after another: the shuffle files of a part are gone
+    before the next one has any."""
+    path = ""
+    for df in parts:
+        path = path or f"{shared_dir(df.sparkSession)}/logloom-{tag}-{uuid.uuid4().hex}"
+        with cleaned(df.sparkSession):
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     _folders[out] = path
     return out
 

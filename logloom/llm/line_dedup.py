@@ -25,16 +25,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import attach_groups, bloom_probe, bloom_words, discard, filter_bits, materialize
+from logloom.llm.common import attach_groups, bloom_probe, bloom_words, cleaned, discard, filter_bits, materialize, materialize_parts
 from logloom.llm.pivots import Threshold
 from logloom.llm.words import Alphabet, chunks, mix
 
+#: Parity bitmaps of tokens in four parts.
+WIDE = ("b_0", "b_1", "b_2", "b_3")
 #: Token frequencies are counted in so many buckets by hash: the table that is broadcast has this size (a byte each) for any input.
 BUCKETS = 1 << 20
 #: Sets of a block of a cell, about: so many at most meet as many under one key.
 BLOCK = 256
-#: A cell of more sets has pivots: so many at most, for the sets of which it is among the first or the last LOOKS such cells.
+#: Two cells of more sets have pivots: so many at most, for the sets of which they are among the first or the last LOOKS such pairs.
 CROWD, PIVOTS, LOOKS = 64, 4, 3
+#: Lines and cells are shuffled in so many passes by hash, so that a part of them alone lies on disks besides what is written.
+PASSES = 4
 #: A home of fewer sets is none: its pairs are few.
 LEAST_HOME = 16
 
@@ -63,9 +67,12 @@ class Lines:
         sums = [np.add.reduceat(mix(self.hash ^ np.uint64(salt)), self.start) for salt in (0x243F6A8885A308D3, 0x13198A2E03707344)]
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(self.start), [None, pa.py_buffer(np.stack(sums, 1).astype("<u8").tobytes())]).cast(pa.binary())
 
-    def parity(self) -> np.ndarray:
-        """A bitmap in which each token flips a bit."""
-        return np.bitwise_xor.reduceat(np.uint64(1) << ((self.hash >> np.uint64(32)) & np.uint64(63)), self.start).view(np.int64)
+    def parity(self, part: int | None = None) -> np.ndarray:
+        """A bitmap in which each token flips a bit; of four such bitmaps, to one of which each token belongs, the one named."""
+        bit = np.uint64(1) << ((self.hash >> np.uint64(32)) & np.uint64(63))
+        if part is not None:
+            bit[(self.hash >> np.uint64(38)) & np.uint64(3) != part] = 0
+        return np.bitwise_xor.reduceat(bit, self.start).view(np.int64)
 
     def lists(self, values: np.ndarray, take: np.ndarray) -> pa.Array:
         """The first ``take`` values of each line."""
@@ -93,7 +100,8 @@ def _levels(texts: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
 
-    counts = texts.select("low").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row a bucket
+    with cleaned(texts.sparkSession):
+        counts = texts.select("low").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row a bucket
     out = np.zeros(BUCKETS, np.uint8)
     out[counts.column("bucket").to_numpy()] = np.minimum(254, np.round(8 * np.log2(counts.column("n").to_numpy())))
     return out
@@ -118,53 +126,65 @@ def _sets(texts: DataFrame, kind: str, t: Threshold) -> DataFrame:
 
 
 def _tokens(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, tokens) of the sets ``wanted`` (key): hashes of their tokens, of one line each."""
+    """(key, tokens, b_0, ...) of the sets ``wanted`` (key): hashes of their tokens, of one line each, and their parity in 256 bits."""
     bits = filter_bits(wanted.count())
-    filled = bloom_words(wanted.withColumn("key", F.xxhash64("key")), "key", bits).toArrow()  # at most bits / 64 rows
+    with cleaned(wanted.sparkSession):
+        filled = bloom_words(wanted.withColumn("key", F.xxhash64("key")), "key", bits).toArrow()  # at most bits / 64 rows
     masks = np.zeros(bits // 64, np.int64)
     masks[filled.column("word").to_numpy()] = filled.column("mask").to_numpy()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in lines_of(batches, 0):
-            yield pa.RecordBatch.from_arrays([own.keys(), own.lists(own.hash.view(np.int64), own.size)], ["key", "tokens"])
+            yield pa.RecordBatch.from_arrays([own.keys(), own.lists(own.hash.view(np.int64), own.size), *(pa.array(own.parity(i)) for i in range(4))], ["key", "tokens", *WIDE])
 
     words = wanted.sparkSession.createDataFrame(filled.select(["word", "mask"]))
-    every = texts.select("low").mapInArrow(scan, "key binary, tokens array<long>")
-    near = bloom_probe(every, words, F.xxhash64("key"), bits, "maybe").filter("maybe").select("key", "tokens")
-    return near.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    every = texts.select("low").mapInArrow(scan, f"key binary, tokens array<long>, {', '.join(f'{b} long' for b in WIDE)}")
+    near = bloom_probe(every, words, F.xxhash64("key"), bits, "maybe").filter("maybe").select("key", "tokens", *WIDE)
+    return near.join(wanted, "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in ("tokens", *WIDE)))
 
 
 def _homes(sets: DataFrame, t: Threshold) -> DataFrame:
-    """(id, home) of the sets that share a home: first the least pivot of their crowded cells to which they are near, then the
-    largest home of these cells, if they are near its pivot."""
+    """(id, home) of the sets that share a home: first the least pivot of their crowded pairs of cells, then the largest home of
+    their cells, if they are near its pivot.
+
+    Common words alone crowd ever more cells as a table grows, but not pairs of cells, which only near copies share in numbers:
+    pairs are counted by themselves, and little but sets of near copies is looked at further.
+    """
     common = F.filter("cells", lambda c: F.shiftright(c, 54) >= 8 * math.floor(math.log2(CROWD)))
-    some = sets.select("id", "n", "bits", F.explode(F.array_union(F.slice(common, 1, LOOKS), F.slice(F.reverse(common), 1, LOOKS))).alias("cell"))
+    ends = lambda a: F.array_union(F.slice(a, 1, LOOKS), F.slice(F.reverse(a), 1, LOOKS))
+    rest = F.size("common") - 1
+    pairs = F.when(rest > 0, F.zip_with(F.slice("common", F.lit(1), rest), F.slice("common", F.lit(2), rest), lambda a, b: F.xxhash64(a, b))).when(rest == 0, F.array(F.xxhash64(F.col("common")[0], "n")))
+    cells = sets.select("id", "n", "bits", F.explode(ends(common)).alias("cell"))
     wide = Threshold(max(0, t.least - (t.parts - t.least) // 2), t.parts)
     sized = sets.select(F.col("id").alias("home"), F.col("n").alias("yn"), F.col("bits").alias("ybits"))
 
-    def near(pivots: DataFrame) -> DataFrame:
-        """(id, home) for ``pivots`` (cell2, home, yn, ybits): bitmaps of large sets tell less, so these share two cells."""
-        own = some.select("cell", "id", F.col("n").alias("xn"), F.col("bits").alias("xbits"))
+    def near(rows: DataFrame, pivots: DataFrame, shared: int) -> DataFrame:
+        """(id, home) of ``rows`` for ``pivots`` (cell2, home, yn, ybits): bitmaps of large sets tell less, so these share two
+        cells, of which a row is ``shared``."""
+        own = rows.select("cell", "id", F.col("n").alias("xn"), F.col("bits").alias("xbits"))
         met = own.join(pivots, (F.col("cell") == F.col("cell2")) & wide.sizes("x", "y") & wide.near("x", "y", ["bits"]))
         met = met.select("id", "home", ((F.col("xn") <= 64) | t.near("x", "y", ["bits"])).alias("close"))
-        return met.groupBy("id", "home").agg((F.bool_or("close") | (F.count(F.lit(1)) > 1)).alias("close")).filter("close").select("id", "home")
+        return met.groupBy("id", "home").agg((F.bool_or("close") | (shared * F.count(F.lit(1)) > 1)).alias("close")).filter("close").select("id", "home")
 
     def large(rows: DataFrame) -> DataFrame:
         return rows.groupBy("home").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= LEAST_HOME)
 
+    some = sets.select("id", "n", "bits", common.alias("common")).select("id", "n", "bits", F.explode(ends(pairs)).alias("cell"))
+    crowds = materialize(some.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select(F.col("cell").alias("crowd")), "crowds")
+    held = materialize(some.join(crowds, F.col("cell") == F.col("crowd")).drop("crowd"), "held")
     slot = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
-    drawn = some.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), *(F.min(F.when(slot == i, F.col("id"))).alias(f"p{i}") for i in range(PIVOTS)))
-    pivots = drawn.filter(F.col("k") > CROWD).select(F.col("cell").alias("cell2"), F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("home"))
+    drawn = held.groupBy("cell").agg(*(F.min(F.when(slot == i, F.col("id"))).alias(f"p{i}") for i in range(PIVOTS)))
+    pivots = drawn.select(F.col("cell").alias("cell2"), F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("home"))
     pivots = materialize(pivots.join(sized, "home"), "pivots")
-    found = materialize(near(pivots).groupBy("id").agg(F.min("home").alias("home")), "near")
+    found = materialize(near(held, pivots, 2).groupBy("id").agg(F.min("home").alias("home")), "near")
     found2 = materialize(found.join(large(found), "home"), "large")
-    tops = some.select("cell", "id").join(found2, "id").groupBy("cell", "home", "k").agg(F.count(F.lit(1)).alias("here")).filter("here > 3")
+    tops = sets.join(found2, "id").select("home", "k", F.explode(ends(common)).alias("cell")).groupBy("cell", "home", "k").agg(F.count(F.lit(1)).alias("here")).filter("here > 3")
     tops = tops.groupBy("cell").agg(F.max(F.struct("k", "home")).alias("top")).select(F.col("cell").alias("cell2"), "top.k", "top.home")
     tops = materialize(tops.join(sized, "home"), "tops")
-    again = near(tops.drop("k")).join(found2.select("home", "k").distinct(), "home").select("id", "k", "home")
+    again = near(cells, tops.drop("k"), 1).join(found2.select("home", "k").distinct(), "home").select("id", "k", "home")
     best = materialize(again.unionByName(found2.select("id", "k", "home")).groupBy("id").agg(F.max(F.struct("k", "home")).alias("top")).select("id", "top.home"), "best")
     out = materialize(best.join(large(best), "home", "left_semi").select("id", "home"), "homes")
-    discard(pivots, found, found2, tops, best)
+    discard(crowds, held, pivots, found, found2, tops, best)
     return out
 
 
@@ -199,7 +219,8 @@ def _candidates(sets: DataFrame, t: Threshold) -> DataFrame:
     """All pairs (x, y) of sets in a cell, not of one home (-1: none), that the places, sizes and bitmaps let link.
 
     A cell holds at most as many sets as its rarity tells, so only cells of frequent tokens are counted; those of more than BLOCK
-    sets are cut into blocks. Size, place and block travel as one number.
+    sets are cut into blocks. Size, place and block travel as one number. Cells are read in passes; a pair that meets in several
+    passes is told apart behind them.
     """
     each = sets.select("id", "n", "bits", "home", F.posexplode("cells").alias("pos", "cell"))
     frequent = F.expr("shiftright(cell, 54)") >= 8 * math.floor(math.log2(BLOCK))
@@ -207,52 +228,68 @@ def _candidates(sets: DataFrame, t: Threshold) -> DataFrame:
     crowded = materialize(crowded.select(F.col("cell").alias("cell2"), F.ceil(F.col("k") / BLOCK).alias("blocks")), "crowded")
     packed = lambda block: F.shiftleft("n", 32).bitwiseOR(F.shiftleft(F.least(F.col("pos"), F.lit((1 << 20) - 1)).cast("long"), 12)).bitwiseOR(block.bitwiseAND(F.lit(4095)).cast("long"))
     plain = lambda df: df.select(F.col("cell").alias("at"), "id", packed(F.lit(0).cast("long")).alias("own"), "bits", "home")
-    if crowded.isEmpty():
-        rows = plain(each)
-    else:
-        cut = each.filter(frequent).join(crowded, F.col("cell") == F.col("cell2"), "left").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks"))
-        blocks = cut.filter("blocks is not null").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        blocks = blocks.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("at"), "id", packed(F.when(F.col("block") == F.col("other"), F.lit(0)).when(F.col("block") < F.col("other"), F.lit(1)).otherwise(F.lit(2)).cast("long")).alias("own"), "bits", "home")
-        rows = plain(each.filter(~frequent)).unionByName(plain(cut.filter("blocks is null"))).unionByName(blocks)
-    rows = rows.repartition("at")  # by itself, so that both sides of the join read the one shuffle
-    x, y = (rows.select(*(F.col(c).alias(f"{s}{c}") for c in rows.columns)) for s in "xy")
-    side = lambda s: (F.expr(f"shiftright({s}own, 32)").alias(f"{s}n"), F.expr(f"shiftright({s}own, 12) & 1048575").alias(f"{s}pos"), F.expr(f"{s}own & 4095").alias(f"{s}block"), F.col(f"{s}id"), F.col(f"{s}bits"))
-    apart = (F.col("xhome") != F.col("yhome")) | (F.col("xhome") < 0)
-    met = x.join(y, (F.col("xat") == F.col("yat")) & (F.col("xid") < F.col("yid")) & apart).select(*side("x"), *side("y"))
-    once = (F.col("xblock") != F.col("yblock")) | (F.col("xblock") == 0)  # sets of one block meet under its own key only
-    met = met.filter(once & t.possible("x", "y") & t.near("x", "y", ["bits"]))
-    out = materialize(met.select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct(), "pairs")
-    discard(crowded)
+    cells_in_blocks = not crowded.isEmpty()
+
+    def met(each: DataFrame) -> DataFrame:
+        if not cells_in_blocks:
+            rows = plain(each)
+        else:
+            cut = each.filter(frequent).join(crowded, F.col("cell") == F.col("cell2"), "left").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks"))
+            blocks = cut.filter("blocks is not null").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            blocks = blocks.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("at"), "id", packed(F.when(F.col("block") == F.col("other"), F.lit(0)).when(F.col("block") < F.col("other"), F.lit(1)).otherwise(F.lit(2)).cast("long")).alias("own"), "bits", "home")
+            rows = plain(each.filter(~frequent)).unionByName(plain(cut.filter("blocks is null"))).unionByName(blocks)
+        rows = rows.repartition("at")  # by itself, so that both sides of the join read the one shuffle
+        x, y = (rows.select(*(F.col(c).alias(f"{s}{c}") for c in rows.columns)) for s in "xy")
+        side = lambda s: (F.expr(f"shiftright({s}own, 32)").alias(f"{s}n"), F.expr(f"shiftright({s}own, 12) & 1048575").alias(f"{s}pos"), F.expr(f"{s}own & 4095").alias(f"{s}block"), F.col(f"{s}id"), F.col(f"{s}bits"))
+        apart = (F.col("xhome") != F.col("yhome")) | (F.col("xhome") < 0)
+        both = x.join(y, (F.col("xat") == F.col("yat")) & (F.col("xid") < F.col("yid")) & apart).select(*side("x"), *side("y"))
+        once = (F.col("xblock") != F.col("yblock")) | (F.col("xblock") == 0)  # sets of one block meet under its own key only
+        return both.filter(once & t.possible("x", "y") & t.near("x", "y", ["bits"])).select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct()
+
+    parts = materialize_parts((met(each.filter(F.pmod("cell", F.lit(PASSES)) == i)) for i in range(PASSES)), "met")
+    out = materialize(parts.distinct(), "pairs")
+    discard(crowded, parts)
     return out
 
 
 def _verified(texts: DataFrame, sets: DataFrame, homes: DataFrame, pairs: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
     """Those of ``pairs`` (x, y) that link, from the tokens of both; (id, home, tokens) of sets with a home."""
-    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).unionByName(homes.select("id")).distinct()
-    wanted = materialize(sets.select("id", "key").join(ids, "id", "left_semi"), "measured")
-    tokens = materialize(_tokens(texts, wanted.select("key")).join(wanted, "key").select("id", "tokens"), "tokens")
-    side = lambda c: tokens.select(F.col("id").alias(c), F.col("tokens").alias(f"s{c}"))
-    both = pairs.join(side("y"), "y").join(side("x"), "x")
+    ids = lambda pairs: pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id")))
+    wanted = materialize(sets.select("id", "key").join(ids(pairs).unionByName(homes.select("id")).distinct(), "id", "left_semi"), "measured")
+    tokens = materialize(_tokens(texts, wanted.select("key")).join(wanted, "key").select("id", F.size("tokens").cast("long").alias("n"), *WIDE, "tokens"), "tokens")
+    # the wide bitmaps leave few pairs that don't link, so that few tokens travel for nothing
+    marks = lambda c: tokens.select(F.col("id").alias(c), *(F.col(x).alias(f"{c}{x}") for x in ("n", *WIDE)))
+    near = materialize(pairs.join(marks("y"), "y").join(marks("x"), "x").filter(t.near("x", "y", list(WIDE))).select("x", "y"), "alike")
+    some = materialize(tokens.select("id", "tokens").join(ids(near).distinct(), "id", "left_semi"), "compared")
+    members = materialize(tokens.select("id", "tokens").join(homes, "id"), "at-home")
+    discard(wanted, tokens)
+    side = lambda c: some.select(F.col("id").alias(c), F.col("tokens").alias(f"s{c}"))
+    both = near.join(side("y"), "y").join(side("x"), "x")
     size = lambda c: F.size(c).cast("long")
     out = materialize(both.filter(t.links(size(F.array_intersect("sx", "sy")), size("sx"), size("sy"))).select("x", "y"), "links")
-    members = materialize(tokens.join(homes, "id"), "at-home")
-    discard(wanted, tokens)
+    discard(near, some)
     return out, members
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80, parts: int = 100) -> DataFrame:
-    """(id, h, no, class_id, n_links, removed) of all lines that hold tokens; h is a hash of the document's text, no counts from 0."""
+    """(id, h, no, class_id, n_links, removed) of all lines that hold tokens; h is a hash of the document's text, no counts from 0,
+    class_id has 16 bytes."""
     t = Threshold(least, parts)
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.lower(text).alias("low"))
-    lines = materialize(_sets(texts, docs.schema[id_col].dataType.simpleString(), t), "lines")
+    wide = materialize(_sets(texts, docs.schema[id_col].dataType.simpleString(), t), "cells")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h"), F.col("no"))
-    one = (F.first(c).alias(c) for c in ("n", "bits", "cells"))
-    grouped = lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"), *one)
-    sets = materialize(grouped.withColumn("id", F.monotonically_increasing_id()), "sets")
+    one = [F.first(c).alias(c) for c in ("n", "bits", "cells")]
+    grouped = lambda rows: rows.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"), *one)
+    some = lambda i: wide.filter(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(PASSES)) == i)
+    sets = materialize_parts((grouped(some(i)).withColumn("id", F.monotonically_increasing_id() * PASSES + i) for i in range(PASSES)), "sets")
+    lines = materialize(wide.select("id", "h", "no", "key"), "lines")  # cells of lines are needed no more
+    discard(wide)
     homes = _homes(sets, t)
     at_home = sets.join(homes, "id", "left").withColumn("home", F.coalesce("home", F.lit(-1).cast("long")))
     pairs = _candidates(at_home, t)
+    whole, sets = sets, materialize(sets.select("id", "key", "size", "first"), "heads")  # nor those of sets
+    discard(whole)
     links, members = _verified(texts, sets, homes, pairs, t)
     sure, inside, read = _inside(members, sets.select("id", "first"), t)
     both = links.unionByName(inside)
@@ -261,14 +298,13 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = both.join(sets.select(F.col("id").alias("y"), "first"), "y").select(F.col("x").alias("id"), F.lit(1).cast("long").alias("n_links"), F.col("first").alias("other")).unionByName(sure)
     met = met.groupBy(F.col("id").alias("id2")).agg(F.sum("n_links").alias("n_links"), F.min("other").alias("other"))
     heads = sets.select("id", "key", "size", "first").join(met, F.col("id") == F.col("id2"), "left")
-    heads = materialize(heads.select("key", "size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("first", F.coalesce("other", "first")).alias("head")), "heads")
+    heads = materialize(heads.select("key", "size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("first", F.coalesce("other", "first")).alias("head")), "linked")
     discard(sets, homes, pairs, links, members, inside, *read)
-    narrow = lines.select("id", "h", "no", "key")
     spread = F.unhex(F.md5(F.concat_ws(" ", F.lit("line"), F.col("id").cast("string"), F.col("h").cast("string"), F.col("no").cast("string"))))
-    out = attach_groups(narrow, heads, "key", "size", narrow.count(), spread)
+    out = attach_groups(lines, heads, "key", "size", lines.count(), spread)
     out = materialize(out.select("id", "h", "no", F.col("key").alias("class_id"), "n_links", (place != F.col("head")).alias("removed")), "places")
     discard(lines, heads)
-    return out.withColumn("class_id", F.lower(F.hex("class_id")))
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80, parts: int = 100) -> DataFrame:
@@ -289,7 +325,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = own.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
     removed = F.transform(F.filter("found", lambda x: x["removed"]), lambda x: x["no"])
     removed = F.coalesce(removed, F.array().cast("array<int>"))
-    lines = F.coalesce(F.transform("found", lambda x: F.struct(x["no"].alias("no"), x["class_id"].alias("class_id"), x["n_links"].alias("n_links"))), F.array().cast("array<struct<no:int,class_id:string,n_links:bigint>>"))
+    lines = F.coalesce(F.transform("found", lambda x: F.struct(x["no"].alias("no"), F.lower(F.hex(x["class_id"])).alias("class_id"), x["n_links"].alias("n_links"))), F.array().cast("array<struct<no:int,class_id:string,n_links:bigint>>"))
     return out.select(F.col("id").alias(id_col), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"), lines.alias("lines"))
 
 

@@ -120,6 +120,38 @@ def test_links_of_near_copies_without_their_pairs(spark, n, monkeypatch):
     assert counts["pairs"] < 0.1 * sum(k for _, k in want) / 2
 
 
+def test_lines_of_common_words_need_little_disk(spark, monkeypatch):
+    """Lines that share words but aren't near copies have no pivots; no cells lie on disk any more when tokens are compared."""
+    import random
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from logloom.llm import common, line_dedup
+
+    draw, words = random.Random(5), [f"w{i}" for i in range(60)]
+    lines = [" ".join(draw.sample(words, 12)) for _ in range(1000)] + ["a b c d e f g h i j", "a b c d e f g h i k", "x y"]
+    sets = [frozenset(x.split()) for x in lines]
+    match = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    want = [(any(match(sets[i], sets[j]) for j in range(i)), sum(match(x, y) for y in set(sets)) - 1) for i, x in enumerate(sets)]
+    counts, at, made = {}, Path(common.shared_dir(spark).removeprefix("file://")), line_dedup.materialize
+    before = {p.name for p in at.glob("logloom-*")}
+
+    def counted(df, tag):
+        out = made(df, tag)
+        counts[tag] = out.count()
+        if tag in ("tokens", "links"):
+            own = [p for p in at.glob("logloom-*/*.parquet") if p.parent.name not in before]
+            assert own and all("cells" not in pq.read_schema(p).names for p in own)
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = sorted(line_dedup.line_dedup(docs).collect(), key=lambda x: x["doc_id"])
+    assert [(x["n_removed"] == 1, x["lines"][0]["n_links"]) for x in got] == want
+    assert counts["pivots"] == 0 and counts["links"] == sum(k for _, k in want) / 2
+
+
 def packed_rows(spark, sizes, targets, size=64):
     """Sources of so many one-token words each, packed; (source, start, length, sequence, offset) of the pieces."""
     from logloom.llm import packing
